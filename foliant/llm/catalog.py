@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, media, mixing, pieces, pii, quality, secrets
 
 QUERIES = {
+    "op2_media_fingerprints": media.query,
+    "op3_secret_scan": secrets.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_sentencepiece": pieces.query,
     "op8_source_mixing": mixing.query,
+    "op9_quality_classifier": quality.query,
+    "op10_personal_data": pii.query,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def staged(df: DataFrame, path: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has at most so many rows and about so many bytes of text."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             n = n or 0
