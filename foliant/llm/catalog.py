@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, pieces, pii, quality, secrets
+from . import exact_dedup, media, mixing, near_dedup, pieces, pii, quality, secrets, token_files, warc
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_media_fingerprints": media.query,
     "op3_secret_scan": secrets.query,
+    "op4_token_files": token_files.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_warc_archive": warc.query,
     "op7_sentencepiece": pieces.query,
     "op8_source_mixing": mixing.query,
     "op9_quality_classifier": quality.query,
@@ -15,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_warc_archive": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,28 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """What opens files of the shared folder in Python, and the path there."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Write under a name of its own and rename, so that no reader sees half a file."""
+    store, path = filesystem(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(f"{path}.part", compression=None) as out:
+        out.write(data)
+    store.move(f"{path}.part", path)
+
+
+def read_file(uri: str) -> bytes:
+    store, path = filesystem(uri)
+    with store.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has at most so many rows and about so many bytes of text."""
     for batch in batches:

@@ -71,7 +71,7 @@ class Table:
 class Pieces:
     """A vocabulary with the tables that encoding needs. Ids grow as ranks fall."""
 
-    LIMIT = 250_000
+    LIMIT = 500_000  # words in the cache
 
     def __init__(self, path: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -107,7 +107,7 @@ class Pieces:
         joined = [(self.id[p[:k]], self.id[p[k:]], i) for p, i in self.id.items() if SPACE * 2 not in p for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
         self.pairs = Table(np.array([a << 32 | b for a, b, _ in joined], np.uint64), np.array([c for _, _, c in joined], np.int32), 20)
         self.whole = {self.text[i]: i for i in whole}
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.digits = [str(i) for i in range(n)]
         self.numbers = list(range(n))
 
@@ -270,11 +270,11 @@ class Pieces:
             self.known.clear()
         short = [w for w in words if len(w) <= WIDE and SPACE * 2 not in w]
         for w, ids in zip(short, self.table_ids(short), strict=True):
-            self.known[w] = ids, " ".join([self.digits[i] for i in ids])
+            self.known[w] = tuple(ids), " ".join([self.digits[i] for i in ids])
         for w in words:
             if w not in self.known:
                 ids = self.merged(w) if SPACE * 2 in w else self.long_ids(w)
-                self.known[w] = ids, " ".join(map(str, ids))
+                self.known[w] = tuple(ids), " ".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Ids with the end id, and the same in decimal joined by spaces."""
