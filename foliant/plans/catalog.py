@@ -1,4 +1,338 @@
-"""The engine's registered queries, by name, and their SQL counterparts."""
+"""The engine's registered queries, by name, and their SQL counterparts. Every query runs over whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions.classify import HTML_STARTS, IGNORED_EXTENSIONS, IGNORED_NAMES, content_kind, name_kind
+from foliant.functions.globs import like_sql
+from foliant.functions.html import html_to_text
+from foliant.functions.stopwords import default_list, is_stop_word
+from foliant.functions.text import cut_term, words
+from foliant.operators import search, stats, tokens
+from foliant.operators.index import Index
+from foliant.sources import tables
+from foliant.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+# SQL: the tokenizer in RE2's syntax, stop words, and the tables that the queries share.
+SQL_TOKENS = r"[\n\r]\s*[A-Za-z0-9*-]*:[^\n]*|<[^>]{1,20}>|(\p{L}+)[^\p{L}\n]*|[^\p{L}\n]+|[\n\r]"
+SQL_MARKUP = r"<!--[^>]*>?|(?i:<!\[cdata\[)(?s:.*?)(?:\]\]|\z)|<\?[^>]*>?|(?i:<!doctype)[^>]*>?|</?[A-Za-z][^>]*>?"
+STOP_SQL = ", ".join(f"'{w}'" for w in default_list())
+REFERENCES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def _words_sql(table: str, file_id: str, text: str) -> str:
+    return f"SELECT file_id, w AS word FROM (SELECT {file_id} AS file_id, unnest(regexp_extract_all({text}, '{SQL_TOKENS}', 1)) AS w FROM {table}) WHERE w <> ''"
+
+
+def _html_sql(html: str = "html") -> str:
+    out = f"regexp_replace({html}, '{SQL_MARKUP}', '', 'g')"
+    for name, char in REFERENCES:
+        out = f"replace({out}, '{name}', '{char}')"
+    return out
+
+
+def _with(table: str = "documents", file_id: str = "doc_id", text: str = "text", name: str = "'doc/' || doc_id || '.txt'") -> str:
+    return f"""WITH raw AS ({_words_sql(table, file_id, text)}),
+every AS (SELECT file_id, lower(word) AS word FROM raw),
+terms AS (SELECT * FROM every WHERE word NOT IN ({STOP_SQL})),
+tf AS (SELECT file_id, word, count(*) AS tf FROM terms GROUP BY ALL),
+words AS (SELECT word, sum(tf)::BIGINT AS count, count(*) AS df FROM tf GROUP BY word),
+files AS (SELECT {file_id} AS file_id, {name} AS name FROM {table})
+"""
+
+
+DOCS = _with()
+PAGES = _with("pages", "page_id", _html_sql(), "url")
+TALKS = _with("conversations", "(conv_id * 1048576 + turn)", "text", "'conversation/' || conv_id || '/' || turn || '.txt'")
+ITEMS = _with("benchmark", "item_id", "text", "'benchmark/' || item_id || '.txt'")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _tf(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.term_frequencies(tables.documents(spark, d))
+
+
+# Tokens and terms.
+
+
+@query("tokens_txt", DOCS + "SELECT file_id, word FROM raw")
+def tokens_txt(spark, d):
+    return tokens.raw_words(tables.documents(spark, d))
+
+
+@query("tokens_nonstop", DOCS + "SELECT file_id, word FROM terms")
+def tokens_nonstop(spark, d):
+    return tokens.terms(tables.documents(spark, d))
+
+
+@query("stop_word_hits", DOCS + f"SELECT word, count(*) AS hits FROM every WHERE word IN ({STOP_SQL}) GROUP BY word")
+def stop_word_hits(spark, d):
+    return tokens.all_terms(tables.documents(spark, d)).where(is_stop_word(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("term_freq", DOCS + "SELECT file_id, word, tf FROM tf")
+def term_freq(spark, d):
+    return _tf(spark, d)
+
+
+@query(
+    "doc_token_count",
+    DOCS + "SELECT f.file_id, count(e.word) FILTER (e.word NOT IN (" + STOP_SQL + ")) AS token_count, count(e.word) AS n_words FROM files f LEFT JOIN every e USING (file_id) GROUP BY f.file_id",
+)
+def doc_token_count(spark, d):
+    return tokens.token_counts(tables.documents(spark, d))
+
+
+@query("truncate_term")
+def truncate_term(spark, d):
+    return stats.word_stats(_tf(spark, d)).select("word", cut_term(F.col("word")).alias("cut"))
+
+
+# The dictionary.
+
+
+@query("word_stats", DOCS + "SELECT word, count, df FROM words")
+def word_stats(spark, d):
+    return stats.word_stats(_tf(spark, d))
+
+
+@query("postings", DOCS + "SELECT DISTINCT word, file_id FROM terms")
+def postings(spark, d):
+    return _tf(spark, d).select("word", "file_id")
+
+
+@query("total_words", DOCS + "SELECT count(*) AS total FROM terms")
+def total_words(spark, d):
+    return stats.total_words(_tf(spark, d))
+
+
+BAGS = "SELECT word, count, df, least(255, (count * 5120) // (SELECT sum(count) FROM words))::INT AS freq_bag FROM words"
+
+
+@query("freq_bag", DOCS + BAGS)
+def freq_bag(spark, d):
+    return stats.frequency_bags(stats.word_stats(_tf(spark, d)))
+
+
+@query("bag_histogram", DOCS + f"SELECT freq_bag, count(*) AS n_words FROM ({BAGS}) GROUP BY freq_bag")
+def bag_histogram(spark, d):
+    return stats.bag_histogram(freq_bag(spark, d))
+
+
+@query("invert_tf", DOCS + "SELECT file_id, tf, array_to_string(list_sort(list(word)), ' ') AS words FROM tf GROUP BY file_id, tf")
+def invert_tf(spark, d):
+    return _tf(spark, d).groupBy("file_id", "tf").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("words"))
+
+
+@query(
+    "df_histogram_cum",
+    DOCS + "SELECT df, n_words, sum(n_words) OVER (ORDER BY df) * 100.0::DOUBLE / sum(n_words) OVER () AS cum_percent FROM (SELECT df, count(*) AS n_words FROM words GROUP BY df)",
+)
+def df_histogram_cum(spark, d):
+    return stats.df_histogram(stats.word_stats(_tf(spark, d)))
+
+
+@query("rare_words", DOCS + "SELECT word, df FROM words WHERE df <= floor((SELECT count(*) FROM files) * 0.1::DOUBLE)")
+def rare_words(spark, d):
+    docs = tables.documents(spark, d)
+    return stats.rare_words(stats.word_stats(_tf(spark, d)), docs.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("index_stats", DOCS + "SELECT (SELECT count(*) FROM files) AS n_files, count(*) AS n_words, sum(count)::BIGINT AS n_tokens, sum(df)::BIGINT AS n_postings FROM words")
+def index_stats(spark, d):
+    return stats.index_stats(tables.documents(spark, d), stats.word_stats(_tf(spark, d)))
+
+
+@query("posting_stats", DOCS + "SELECT count(*) AS df, coalesce(sum(tf), 0)::BIGINT AS count, min(file_id) AS first_file, max(file_id) AS last_file FROM tf WHERE word = 'token'")
+def posting_stats(spark, d):
+    return stats.posting_stats(_tf(spark, d), "token")
+
+
+# Searching. A word's tf isn't needed here, so terms are filtered before they are counted.
+
+
+def _found_sql(start: str, globs: list[str]) -> str:
+    ids = " INTERSECT ".join(f"SELECT DISTINCT file_id FROM terms WHERE {like_sql('word', g)}" for g in globs)
+    return start + f", found AS ({ids}) SELECT file_id, name FROM files JOIN found USING (file_id)"
+
+
+def _search(name: str, globs: list[str], start: str = DOCS, source: Callable = tables.documents) -> None:
+    @query(name, _found_sql(start.rstrip(), globs))
+    def run(spark, d):
+        texts = source(spark, d)
+        return search.find(tokens.terms(texts), texts, globs)
+
+
+_search("find_one", ["token"])
+_search("find_prefix", ["th*"])
+_search("find_suffix", ["*ing"])
+_search("find_question", ["t??s", "e?a*"])
+_search("find_and", ["th*", "*re"])
+_search("find_and_three", ["th*", "*re", "*ing*"])
+_search("find_no_hit_term", ["th*", "TH*"])
+_search("page_find", ["th*", "*on"], PAGES, tables.pages)
+_search("conversation_find", ["th*", "*on"], TALKS, tables.conversations)
+_search("benchmark_find", ["*e*", "*t"], ITEMS, tables.benchmark)
+
+
+def _lines_sql(globs: list[str], text: str = "text") -> str:
+    some = " OR ".join(like_sql("w", g) for g in globs)
+    return f"array_to_string(list_filter(string_split({text}, chr(10)), lambda l: len(list_filter(string_split(l, ' '), lambda w: {some})) > 0), chr(10))"
+
+
+@query("matched_lines", f"SELECT doc_id AS file_id, {_lines_sql(['th*', '*re'])} AS lines FROM documents")
+def matched_lines(spark, d):
+    docs = tokens.spread(tables.documents(spark, d))
+    return docs.select("file_id", F.array_join(search.matched_lines(F.col("text"), ["th*", "*re"]), "\n").alias("lines"))
+
+
+@query(
+    "find_with_lines",
+    DOCS.rstrip()
+    + f", found AS (SELECT file_id FROM terms WHERE word LIKE 'th%' INTERSECT SELECT file_id FROM terms WHERE word LIKE '%ing') SELECT file_id, name, {_lines_sql(['th*', '*ing'])} AS lines FROM files JOIN found USING (file_id) JOIN documents ON doc_id = file_id",
+)
+def find_with_lines(spark, d):
+    docs = tables.documents(spark, d)
+    found = search.find_with_lines(tokens.terms(docs), docs, docs, ["th*", "*ing"])
+    return found.select("file_id", "name", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("find_files", f"SELECT page_id AS file_id, url AS name FROM pages WHERE {like_sql('url', '*1?/*')}")
+def find_files(spark, d):
+    return search.find_files(_page_names(spark, d), "*1?/*")
+
+
+def _page_names(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("name"))
+
+
+def _page_sql(offset: int) -> str:
+    return _found_sql(DOCS.rstrip(), ["th*", "*re"]) + f" ORDER BY file_id LIMIT 20 OFFSET {offset}"
+
+
+@query("page_first", _page_sql(0))
+def page_first(spark, d):
+    return search.page(QUERIES["find_and"](spark, d), 0)
+
+
+@query("page_next", _page_sql(20))
+def page_next(spark, d):
+    return search.page(QUERIES["find_and"](spark, d), 1)
+
+
+# Pages and files.
+
+
+@query("html_text", f"SELECT page_id AS file_id, length(t) AS n_chars, md5(t) AS md5 FROM (SELECT page_id, {_html_sql()} AS t FROM pages)")
+def html_text(spark, d):
+    pages = tokens.spread(tables.read(spark, d, "pages").select("page_id", "html"))
+    return pages.select(F.col("page_id").alias("file_id"), html_to_text(F.col("html")).alias("t")).select("file_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("md5"))
+
+
+@query("page_term_freq", PAGES + "SELECT file_id, word, tf FROM tf")
+def page_term_freq(spark, d):
+    return tokens.term_frequencies(tables.pages(spark, d))
+
+
+HEAD = r"regexp_replace(substr(t, 1, 256), '^[ \t\n\r]+', '')"
+STARTS = " OR ".join(f"starts_with({HEAD}, '{s}')" for s in HTML_STARTS)
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+@query(
+    "classify_content",
+    f"""SELECT file_id, source_table, CASE WHEN {STARTS} THEN 'html' WHEN regexp_matches({HEAD}, '{CONTROL}') THEN 'ignore' ELSE 'text' END AS kind
+FROM (SELECT doc_id AS file_id, 'documents' AS source_table, text AS t FROM documents UNION ALL SELECT page_id, 'pages', html FROM pages)""",
+)
+def classify_content(spark, d):
+    docs = tables.read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit("documents").alias("source_table"), F.col("text").cast("binary").alias("content"))
+    pages = tables.read(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.lit("pages").alias("source_table"), F.col("html").cast("binary").alias("content"))
+    return docs.union(pages).select("file_id", "source_table", content_kind(F.col("content")).alias("kind"))
+
+
+@query(
+    "classify_name",
+    f"""SELECT page_id AS file_id, CASE WHEN lower(regexp_extract(url, '[^/]*$')) IN ({", ".join(f"'{n}'" for n in IGNORED_NAMES)})
+OR lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+\\.([^.]*)$', 1)) IN ({", ".join(f"'{e}'" for e in IGNORED_EXTENSIONS)}) THEN 'ignore' ELSE 'inspect' END AS kind FROM pages""",
+)
+def classify_name(spark, d):
+    return _page_names(spark, d).select("file_id", name_kind(F.col("name")).alias("kind"))
+
+
+@query("incremental_new_files", "SELECT name FROM (SELECT 'doc/' || doc_id || '.txt' AS name, doc_id FROM documents) WHERE name NOT IN (SELECT 'doc/' || doc_id || '.txt' FROM labels)")
+def incremental_new_files(spark, d):
+    """Documents with labels stand for the files that are indexed already."""
+    indexed = tables.read(spark, d, "labels").select(F.format_string("doc/%d.txt", F.col("doc_id")).alias("name"))
+    return search.new_files(tables.documents(spark, d), indexed).select("name")
+
+
+@query("delete_files", DOCS + f"SELECT word, count(*) AS df FROM tf WHERE file_id NOT IN (SELECT file_id FROM files WHERE {like_sql('name', 'doc/1*')}) GROUP BY word")
+def delete_files(spark, d):
+    files = tables.documents(spark, d).select("file_id", "name")
+    return search.without_files(_tf(spark, d), search.find_files(files, "doc/1*")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
+REFERENCE_CASES = (("&#65;&#x42;&#55296;", "AB&#55296;"), ("&#128512;", "😀"), ("&#x1F600;z", "😀z"), ("&#1114112;", "&#1114112;"), ("&#;", "&#;"), ("&#00000000065", "A"), ("&#99999999999999999999;", "&#99999999999999999999;"))
+BLOCK_CASES = (("x\nSubject: hi\nbody", "x body"), ("x\nBEGIN k\nQUJD\nEND k\ny", "x y"), ("x\nbegin 644 f\nM86\n`\nend\ny", "x y"), ("x\n<i><b>bold", "x bold"), ("a\rKey: v", "a Key v"))
+
+
+def _values_sql(cases: tuple) -> str:
+    # a line break can't stand in a VALUES row as an escape
+    quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
+    return "SELECT input, output FROM (VALUES " + ", ".join(f"({quote(a)}, {quote(b)})" for a, b in cases) + ") v(input, output)"
+
+
+@query("numeric_charrefs", _values_sql(REFERENCE_CASES))
+def numeric_charrefs(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in REFERENCE_CASES], "input string").select("input", html_to_text(F.col("input")).alias("output"))
+
+
+@query("block_strip", _values_sql(BLOCK_CASES))
+def block_strip(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in BLOCK_CASES], "input string").select("input", F.array_join(words(F.col("input")), " ").alias("output"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="foliant-")
+    return f"{shared.rstrip('/')}/foliant-{uuid.uuid4().hex}"
+
+
+@query("stream_index", DOCS + "SELECT word, file_id, tf FROM tf")
+def stream_index(spark, d):
+    """Postings of an index that a stream over the documents has built."""
+    path = _folder(spark)
+    index = Index(spark, f"{path}/index")
+    incremental.index_rows(index, incremental.document_stream(spark, d), f"{path}/checkpoint")
+    return index.postings
+
+
+@query("index_find", _found_sql(DOCS.rstrip(), ["th*", "*re"]))
+def index_find(spark, d):
+    """The same search over an index that is written and read again."""
+    index = Index(spark, f"{_folder(spark)}/index")
+    index.add(tables.documents(spark, d))
+    return search.find(index.postings, index.files, ["th*", "*re"])
