@@ -168,7 +168,7 @@ class SpanModel:
     def __init__(self, counts: list[tuple[str, str, str, int]], rounds: int = 50):
         """counts: (kind, votes, shape, how often), each different triple once."""
         n = np.array([c[3] for c in counts], float)
-        votes = np.array([["-0+".index(v) for v in c[1]] for c in counts]).reshape(-1, N_LABELERS)
+        votes = np.array([["-0+".index(v) for v in c[1]] for c in counts], np.int64).reshape(-1, N_LABELERS)
         # p(vote | span is real or not), with a prior worth 20 candidates that trusts each labeler a little
         prior = 20 * np.stack([np.tile([0.30, 0.50, 0.20], (N_LABELERS, 1)), np.tile([0.05, 0.40, 0.55], (N_LABELERS, 1))])
         self.reliability, share = prior / prior.sum(-1, keepdims=True), 0.3
