@@ -13,8 +13,8 @@ anywhere. Equal registers are likely for similar sets, and sketches of parts mer
 3. Remaining pairs are verified on the full sets, which are computed from the whole texts again; members meet their
    hub in groups that are salted by size.
 4. Verified links give components. Members of a bucket that aren't in one component with all others meet a new hub,
-   and at last each other across components. So every two members of a bucket are compared or already connected,
-   and no link that a shared band shows is lost.
+   and at last each other: buckets are cut into blocks, and a task compares two blocks at a time and returns the links only.
+   So every two members of a bucket are compared or already connected, and no link that a shared band shows is lost.
 
 At similarity 0.85 a pair shares none of the 25 bands of 5 registers with probability 4e-7.
 
@@ -44,8 +44,9 @@ TOP = 65535  # largest exponent
 RATE = 20.0
 BANDS, ROWS = 25, 5
 DOUBT = 0.19  # six standard errors of the estimate at the threshold
-STARS = 3  # hubs a bucket before the rest meets each other
+STARS = 3  # hubs a bucket has before the rest meets each other
 GROUP = 512  # members that meet a copy of their hub
+PART = 256  # members of a block
 
 U = np.uint64
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
@@ -134,6 +135,16 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets are linked, from all their members."""
+    if not len(a) or not len(b):
+        return False
+    found = np.searchsorted(a, b)
+    found[found == len(a)] = 0
+    both = int((a[found] == b).sum())
+    return OF * both >= SIMILAR * (len(a) + len(b) - both)
+
+
 def print_of(items: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     s = np.array([items.sum(dtype=U), mixed(items, 3).sum(dtype=U) if len(items) else U(0)], U).view(np.int64)
@@ -203,10 +214,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not follows.as_py():
                 at, held = (hub, salt), items
             elif at == (hub, salt):
-                found = np.searchsorted(held, items)
-                found[found == len(held)] = 0
-                both = int((held[found] == items).sum())
-                if OF * both >= SIMILAR * (len(held) + len(items) - both):
+                if similar(held, items):
                     a.append(hub)
                     b.append(doc)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -230,6 +238,93 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, path: str) -> D
     return staged(met.mapInArrow(_verify, "a long, b long"), f"{path}/links")
 
 
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each place of a document in a block pair: key, i, j, own, band, doc, comp, items."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    for batch in slices(batches, rows=256, size=2 << 20):
+        rows = []
+        for doc, text, f1, comp, roles in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            items = shingles(text)
+            if print_of(items)[0] == f1:
+                data = items.tobytes()
+                for r in roles:
+                    for other in range(r["parts"]):
+                        rows.append((r["key"], min(r["own"], other), max(r["own"], other), r["own"], r["band"], doc, comp, data))
+                        if len(rows) == 256:
+                            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=BLOCK_NAMES)
+                            rows = []
+        if rows:
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=BLOCK_NAMES)
+
+
+BLOCK_NAMES = ["key", "i", "j", "own", "band", "doc", "comp", "items"]
+
+
+def _links_within(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links in one block pair of a bucket, from (own, band, doc, comp, items), without those that components already know.
+
+    A pair that shares several bands is looked at in the bucket of the first one only.
+    """
+    rows.sort(key=lambda r: r[2])
+    root: dict[int, int] = {r[3]: r[3] for r in rows}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    items = [r[4] for r in rows]
+    sizes = np.array([len(x) for x in items], np.int64)
+    sketches = np.stack([registers(x) for x in items])
+    own, mixed_blocks = np.array([r[0] for r in rows]), len({r[0] for r in rows}) > 1
+    for k in range(len(rows) - 1):
+        least, most = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
+        may = OF * least >= SIMILAR * most
+        if mixed_blocks:
+            may &= own[k + 1 :] != own[k]
+        at = np.flatnonzero(may) + k + 1
+        same = sketches[at] == sketches[k]
+        shared = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2)
+        go = (same.sum(1) * OF >= M * (SIMILAR - 2 * OF * DOUBT)) & (shared.argmax(1) == rows[k][1])
+        at = at[go]
+        if len(at):
+            at = at[likely(np.broadcast_to(sketches[k], (len(at), M)), sketches[at], np.full(len(at), float(sizes[k])), sizes[at].astype(float)) >= SIMILAR / OF - DOUBT]
+        for x in at.tolist():
+            a, b = top(rows[k][3]), top(rows[x][3])
+            if a != b and similar(items[k], items[x]):
+                root[max(a, b)] = min(a, b)
+                yield rows[k][2], rows[x][2]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, held = None, []
+
+    def links() -> pa.RecordBatch:
+        found = list(_links_within(held)) if len(held) > 1 else []
+        return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for key, i, j, *rest, items in zip(*(batch.column(n).to_pylist() for n in range(8)), strict=True):
+            if (key, i, j) != at:
+                yield links()
+                at, held = (key, i, j), []
+            held.append((*rest, np.frombuffer(items, U)))
+    yield links()
+
+
+def met_in_blocks(opened: DataFrame, reps: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """Links between the members of open buckets. Buckets are cut into blocks, and each task holds two of them at a time."""
+    sizes = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("own")
+    placed = opened.join(sizes, "key").groupBy("rep", "comp").agg(F.collect_list(F.struct("key", "band", "parts", own)).alias("roles"))  # BANDS roles at most
+    wanted = placed.join(reps.select("rep", "f1"), "rep")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "f1", "comp", "roles")
+    rows = texts.mapInArrow(_block_rows, "key long, i int, j int, own int, band int, doc long, comp long, items binary")
+    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return staged(met.mapInArrow(_meet, "a long, b long"), f"{path}/links")
+
+
 def _opened(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component, with their hub."""
     first = F.min(F.struct("rep", "comp")).alias("first")
@@ -253,27 +348,24 @@ def near_groups(docs: DataFrame, path: str | None = None) -> DataFrame:
     pooled = full.join(twice, "doc_id").join(classes, ["n", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = staged(pooled, f"{path}/pooled")
 
-    members = reps.select("rep", F.explode("keys").alias("key")).withColumn("comp", F.col("rep"))
+    members = reps.select("rep", F.posexplode("keys").alias("band", "key")).withColumn("comp", F.col("rep"))
     for step in range(STARS + 1):
         here = f"{path}/{step}"
         opened = _opened(members)
         if step < STARS:  # every member meets its bucket's hub, unless both are connected
             pairs = opened.where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+            links = links.union(verified(pairs, reps, docs, here))
         else:
-            x = opened.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-            y = opened.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        found = verified(pairs, reps, docs, here)
-        links = links.union(found)
+            links = links.union(met_in_blocks(opened, reps, docs, here))
         stars = components(links, f"{here}/components")
-        if step == STARS:
-            break
         # the hub has met all others of its bucket; those that are still open go on without it
-        rest = opened.where("rep <> hub").select("key", "rep")
+        rest = opened.where("rep <> hub").select("key", "band", "rep")
         named = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp_"))
-        members = staged(rest.join(named, "rep", "left").select("rep", "key", F.coalesce("comp_", "rep").alias("comp")), f"{here}/members")
-        if not members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").head(1):
-            break
+        members = rest.join(named, "rep", "left").select("rep", "band", "key", F.coalesce("comp_", "rep").alias("comp"))
+        if step < STARS:
+            members = staged(members, f"{here}/members")
+            if not _opened(members).head(1):
+                break
     named = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp_"))
     comps = reps.join(named, "rep", "left").select("n", "f1", "f2", "size", "rep", F.coalesce("comp_", "rep").alias("component"))
     comps = comps.where("size > 1 or component <> rep").select("n", "f1", "f2", "component")
