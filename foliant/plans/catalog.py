@@ -102,7 +102,15 @@ def doc_token_count(spark, d):
     return tokens.token_counts(tables.documents(spark, d))
 
 
-@query("truncate_term")
+BYTES = "octet_length(encode({}))".format
+
+
+@query(
+    "truncate_term",
+    DOCS.rstrip()
+    + f""", fits AS (SELECT word, list_max(list_filter(range(1, length(word) + 1), lambda i: {BYTES("left(word, i)")} <= 20)) AS k FROM words)
+SELECT word, CASE WHEN {BYTES("word")} < 20 THEN word WHEN {BYTES("left(word, k)")} = 20 AND {BYTES("right(left(word, k), 1)")} > 1 THEN left(word, k - 1) ELSE left(word, k) END AS cut FROM fits""",
+)
 def truncate_term(spark, d):
     return stats.word_stats(_tf(spark, d)).select("word", cut_term(F.col("word")).alias("cut"))
 
