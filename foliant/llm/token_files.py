@@ -18,6 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -37,13 +38,18 @@ FILE = 1 << 23  # tokens after which a task starts another file
 class Words:
     """Ids of words, and those of texts put together from them."""
 
-    LIMIT = 1_000_000  # words in the cache
+    LIMIT = 1_400_000  # words in the cache
+    JOINED = 1000
+    SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: some words start with one
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a run of letters or signs
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
@@ -51,10 +57,43 @@ class Words:
         self.ids, self.start, self.size = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def runs(self, word: str) -> int:
+        """1: letters only, 2: letters and then signs, 0: anything else."""
+        if word.isalpha():
+            return int(word.lower().isalpha())  # some letters have a mark apart in lower case
+        body = word.rstrip(self.SIGNS)
+        return 2 * int(body.isalpha() and body.lower().isalpha())
+
+    def _several(self, words: list[str], runs: int) -> list[np.ndarray] | None:
+        """Ids of words of so many runs each, encoded together; None if their ends can't be told."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids])[runs - 1 :: runs] + 1
+        counted = int(self.ends[ids].sum()) == runs * len(words) and len(ends) and ends[-1] == len(ids)
+        return np.split(ids, ends[:-1]) if counted else None
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        """Many calls cost more than many words, so words of one form are encoded together."""
+        out: list[np.ndarray] = [None] * len(words)
+        forms: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(words):
+            forms[self.runs(w)].append(i)
+        for runs in (1, 2):
+            for a in range(0, len(forms[runs]), self.JOINED):
+                some = forms[runs][a : a + self.JOINED]
+                got = self._several([words[i] for i in some], runs)
+                if got is None:
+                    forms[0].extend(some)
+                else:
+                    for i, ids in zip(some, got, strict=True):
+                        out[i] = ids
+        for i, e in zip(forms[0], self.tokenizer.encode_batch_fast([words[i] for i in forms[0]], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
+
     def learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        got = self._ids([w.decode() for w in words])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.concatenate(got)
         n = len(self.number)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
@@ -69,14 +108,11 @@ class Words:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
         parts = [t.encode().split() for t in texts]
-        fresh = {w for p in parts for w in p if w not in self.number}
-        if len(self.number) + len(fresh) > self.LIMIT:
-            self.clear()
-            fresh = {w for p in parts for w in p}
-        if fresh:
-            self.learn(list(fresh))
+        numbers = self._numbers(list(chain.from_iterable(parts)))
+        start = 0
         for p in parts:
-            at = np.fromiter(map(self.number.__getitem__, p), np.int64, len(p))
+            at = numbers[start : start + len(p)]
+            start += len(p)
             size = self.size[at]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(p) else 0
@@ -85,6 +121,19 @@ class Words:
             out[total] = END
             yield out
 
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            fresh = list({words[i] for i in missing})
+            if len(self.number) + len(fresh) > self.LIMIT:
+                self.clear()
+                self.learn(list(set(words)))
+                return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            self.learn(fresh)
+            at[missing] = [self.number[words[i]] for i in missing]
+        return at
+
 
 _loaded: dict[str, Words] = {}
 
@@ -115,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> D
             held, n, place = [], 0, place + 1
             return pa.RecordBatch.from_pylist([row], schema=FILES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=4 << 20):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
                 held.append((doc_id, ids))
                 n += len(ids)
