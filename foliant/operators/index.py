@@ -67,33 +67,48 @@ class Index:
     def add(self, texts: DataFrame) -> None:
         """Index texts: name, kind, text, and perhaps file_id. Names already indexed are passed over, ignored files get no words.
 
-        Ids without file_id go on from the last one, in the order of names: a range sort, and the number of files
-        in the ranges before.
+        What is new is settled on names alone, which for files means that no content is read. Then the texts are
+        joined with their ids, a broadcast or one shuffle, and staged, so that they are read and classified once.
+        Ids without file_id go on from the last one, in the order of names.
         """
         batch = uuid.uuid4().hex
-        fresh = texts.where("name is not null").dropDuplicates(["name"]).join(self._live_names(), "name", "left_anti")
-        if "file_id" in texts.columns:
-            staged = fresh.select("file_id", "name", "kind", "text")
-            staged.write.parquet(f"{self.path}/staging/{batch}")
-            staged = self.spark.read.parquet(f"{self.path}/staging/{batch}")
-        else:
-            fresh.select("name", "kind", "text").repartitionByRange("name").withColumn("part", F.spark_partition_id()).write.parquet(f"{self.path}/staging/{batch}")
-            held = self.spark.read.parquet(f"{self.path}/staging/{batch}")
-            ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-            before = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
-            names = held.select("part", "name").withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("name")))
-            ids = names.join(before, "part").select("name", (F.col("rank") + F.col("before") + F.lit(self.last_id())).alias("file_id"))
-            staged = held.join(ids, "name").select("file_id", "name", "kind", "text")
-        tf = term_frequencies(staged.where("kind <> 'ignore' and text is not null"), self.stop_words)
+        staging = f"{self.path}/staging/{batch}"
+        given = "file_id" in texts.columns
+        named = texts.where("name is not null")
+        names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
+        names = names.join(self.files.select("name"), "name", "left_anti")
+        ids = self._kept(names if given else self._numbered(names, staging), f"{staging}/ids")
+        rows = named.join(ids.select("name", "_id"), "name")
+        if ids.where("copies > 1").head(1):  # one text of a name counts
+            rows = (rows.where("file_id = _id") if given else rows).dropDuplicates(["name"])
+        rows = self._kept(rows.select(F.col("_id").alias("file_id"), "name", "kind", "text"), f"{staging}/texts")
+        tf = term_frequencies(rows.where("kind <> 'ignore' and text is not null"), self.stop_words)
         postings = tf.select(F.lit(batch).alias("batch"), "word", "file_id", "tf")
         postings.repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id").write.mode("append").option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{self.path}/postings")
-        written = self._table("postings", POSTINGS).where(F.col("batch") == batch)
-        counts = written.groupBy("file_id").agg(F.sum("tf").alias("token_count"))
-        files = staged.select("file_id", "name", "kind").join(counts, "file_id", "left")
-        files.select(F.lit(batch).alias("batch"), F.col("file_id").cast("long"), "name", "kind", F.coalesce("token_count", F.lit(0)).alias("token_count")).write.mode("append").parquet(f"{self.path}/files")
-
-    def _live_names(self) -> DataFrame:
-        return self.files.select("name")
+        counts = self._table("postings", POSTINGS).where(F.col("batch") == batch).groupBy("file_id").agg(F.sum("tf").alias("token_count"))
+        files = rows.select("file_id", "name", "kind").join(counts, "file_id", "left")
+        files.select(F.lit(batch).alias("batch"), "file_id", "name", "kind", F.coalesce("token_count", F.lit(0)).alias("token_count")).write.mode("append").parquet(f"{self.path}/files")
+        self._remove(staging)
+
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _numbered(self, names: DataFrame, staging: str) -> DataFrame:
+        """names with _id: their place in a range sort, from the number of names in the ranges before."""
+        held = self._kept(names.repartitionByRange("name").withColumn("part", F.spark_partition_id()), f"{staging}/names")
+        ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        before = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+        rank = F.row_number().over(Window.partitionBy("part").orderBy("name"))
+        return held.withColumn("rank", rank).join(before, "part").select("name", "copies", (F.col("rank") + F.col("before") + F.lit(self.last_id())).cast("long").alias("_id"))
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def clear(self) -> None:
+        """Start anew: remove all tables."""
+        self._remove(self.path)
 
     def delete(self, gone: DataFrame) -> None:
         """Delete files (file_id). Their names may be indexed again."""
