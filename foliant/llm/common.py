@@ -76,6 +76,18 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+_caches: list = []
+
+
+def only(cache) -> None:
+    """Empty the other caches of this process: operators take turns in a Python worker, and each may fill its own."""
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    if not any(c is cache for c in _caches):
+        _caches.append(cache)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has at most so many rows and about so many bytes of text."""
     for batch in batches:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, staged, table, text_of, workspace
+from .common import only, slices, spread, staged, table, text_of, workspace
 from .components import components
 
 WORDS = 5  # a shingle
@@ -152,6 +152,7 @@ def print_of(items: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(KNOWN)
     for batch in slices(batches):
         n, one, two, sketches, keys = [], [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -185,6 +186,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each role of a document: hub, salt, leads, doc, items."""
+    only(KNOWN)
     for batch in slices(batches, rows=256, size=2 << 20):
         rows = []
         for doc, text, f1, roles in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -240,6 +242,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, path: str) -> D
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each place of a document in a block pair: key, i, j, own, band, doc, comp, items."""
+    only(KNOWN)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     for batch in slices(batches, rows=256, size=2 << 20):
         rows = []

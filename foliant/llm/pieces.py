@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, table, text_of
+from .common import only, slices, spread, table, text_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -314,6 +314,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
+        only(p.known)
         for batch in slices(batches, rows=1024, size=2 << 20):
             n, ids_sha, text_sha = [], [], []
             for ids, said in p.encode(batch.column(1).to_pylist()):
@@ -331,6 +332,7 @@ def token_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
+        only(p.known)
         for batch in slices(batches, rows=1024, size=2 << 20):
             yield pa.record_batch([batch.column(0), pa.array([ids for ids, _ in p.encode(batch.column(1).to_pylist())], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, table, text_of
+from .common import only, slices, spread, table, text_of
 
 BITS = 20
 SAMPLE = 5000  # labelled rows to fit on, at most
@@ -118,6 +118,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(KNOWN)
     for batch in slices(batches):
         made = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.record_batch(
@@ -151,6 +152,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(KNOWN)
         for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array([score(t, sent.value) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
@@ -164,6 +166,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     @F.pandas_udf("double")
     def scores(texts):
+        only(KNOWN)
         return texts.map(lambda t: score(t, sent.value)).astype("float64")
 
     return spread(docs).where(scores(text_of()) >= threshold)
