@@ -21,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def splits(df: DataFrame) -> int | None:
+    """The number of partitions of a plan without a shuffle; None for others, whose number only running them tells."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return None if "Exchange" in plan or "AdaptiveSparkPlan" in plan else df._jdf.rdd().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of fewer splits than cores over all cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    """Deal a scan of fewer splits than cores over all cores; larger scans and shuffled tables stay as they are."""
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, splits(df)
+    return df.repartition(cores) if n is not None and n < cores else df
 
 
 def text_of(col: str = "text") -> Column:
