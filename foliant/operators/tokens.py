@@ -12,7 +12,11 @@ from foliant.functions.text import term, words
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Tokenizing is costly and a small file is one split: deal its rows over all cores. Larger scans stay as they are."""
+    """Tokenizing is costly and a small file is one split: deal the rows of such a scan over all cores. Larger scans and tables that
+    are shuffled anyway stay as they are."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
