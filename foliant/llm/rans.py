@@ -23,9 +23,9 @@ MAGIC = b"RANSTOK1"
 BITS = 20  # frequencies sum to 2**BITS
 TOTAL = 1 << BITS
 LOW = 1 << 31  # states lie in [LOW, LOW << 32)
-LANES = 512
+LANES = 1024
 CHECK = 128  # steps between checkpoints
-BLOCK = 1 << 17  # tokens after which a block ends with the document at hand
+BLOCK = 1 << 18  # tokens after which a block ends with the document at hand
 U = np.uint64
 
 

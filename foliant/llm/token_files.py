@@ -23,12 +23,13 @@ from itertools import chain, repeat
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import read_file, slices, staged, table, text_of, workspace, write_file
+from .common import only, read_file, slices, splits, staged, table, text_of, workspace, write_file
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to each document
@@ -53,9 +54,34 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         self.ids, self.start, self.size = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)  # since the cache was last full
         self.used = 0
+        self._put([""], np.empty(0, np.uint32), np.zeros(1, np.int64))  # before leading and after trailing white space
+
+    def make_room(self) -> None:
+        """Keep the words that were used most, half of what fits at most."""
+        n, least = len(self.number), 2
+        while (self.uses[1:n] >= least).sum() > self.LIMIT // 2:
+            least *= 2
+        keep = np.flatnonzero(self.uses[1:n] >= least) + 1
+        names, size, start, ids = list(self.number), self.size[keep], self.start[keep], self.ids
+        self.clear()
+        flat = ids[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        self._put([names[i] for i in keep.tolist()], flat, size)
+
+    def _put(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.number)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + len(words) > len(self.size):
+            self.size, self.start, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.uses))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.size[n : n + len(words)] = sizes
+        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
 
     def runs(self, word: str) -> int:
         """1: letters only, 2: letters and then signs, 0: anything else."""
@@ -64,74 +90,60 @@ class Words:
         body = word.rstrip(self.SIGNS)
         return 2 * int(body.isalpha() and body.lower().isalpha())
 
-    def _several(self, words: list[str], runs: int) -> list[np.ndarray] | None:
-        """Ids of words of so many runs each, encoded together; None if their ends can't be told."""
+    def _several(self, words: list[str], runs: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of so many runs each, encoded together, and their numbers; None if the ends of words can't be told."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids])[runs - 1 :: runs] + 1
-        counted = int(self.ends[ids].sum()) == runs * len(words) and len(ends) and ends[-1] == len(ids)
-        return np.split(ids, ends[:-1]) if counted else None
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != runs * len(words) or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends[runs - 1 :: runs], prepend=-1)
 
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
+    def learn(self, words: list[str]) -> None:
         """Many calls cost more than many words, so words of one form are encoded together."""
-        out: list[np.ndarray] = [None] * len(words)
-        forms: tuple[list[int], ...] = ([], [], [])
-        for i, w in enumerate(words):
-            forms[self.runs(w)].append(i)
+        forms: tuple[list[str], ...] = ([], [], [])
+        for w in words:
+            forms[self.runs(w)].append(w)
         for runs in (1, 2):
             for a in range(0, len(forms[runs]), self.JOINED):
                 some = forms[runs][a : a + self.JOINED]
-                got = self._several([words[i] for i in some], runs)
-                if got is None:
+                if (got := self._several(some, runs)) is None:
                     forms[0].extend(some)
                 else:
-                    for i, ids in zip(some, got, strict=True):
-                        out[i] = ids
-        for i, e in zip(forms[0], self.tokenizer.encode_batch_fast([words[i] for i in forms[0]], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self._ids([w.decode() for w in words])
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate(got)
-        n = len(self.number)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(words) > len(self.size):
-            self.size, self.start = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.start, np.zeros_like(self.start)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(words)] = sizes
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, with the end id."""
-        parts = [t.encode().split() for t in texts]
-        numbers = self._numbers(list(chain.from_iterable(parts)))
-        start = 0
-        for p in parts:
-            at = numbers[start : start + len(p)]
-            start += len(p)
-            size = self.size[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(p) else 0
-            out = np.empty(total + 1, np.uint32)
-            out[:total] = self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(total)]
-            out[total] = END
+                    self._put(some, *got)
+        if forms[0]:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(forms[0], add_special_tokens=False)]
+            self._put(forms[0], np.array(list(chain.from_iterable(got)), np.uint32), np.array(list(map(len, got)), np.int64))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end id. Arrow splits the texts and numbers their different words."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        ends = lists.offsets.to_numpy()
+        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        at = coded.indices.to_numpy()
+        counts = np.bincount(at, minlength=len(coded.dictionary))
+        numbers = self._numbers(coded.dictionary.to_pylist(), counts)[at]
+        size = self.size[numbers]
+        after = np.cumsum(size)
+        flat = self.ids[np.repeat(self.start[numbers] - after + size, size) + np.arange(int(after[-1]) if len(after) else 0)]
+        cuts = np.concatenate([[0], after])[ends - ends[0]].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out = np.empty(b - a + 1, np.uint32)
+            out[:-1] = flat[a:b]
+            out[-1] = END
             yield out
 
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
+    def _numbers(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Numbers of different words, which occur so often."""
         at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            fresh = list({words[i] for i in missing})
-            if len(self.number) + len(fresh) > self.LIMIT:
-                self.clear()
-                self.learn(list(set(words)))
-                return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        fresh = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+        if fresh and len(self.number) + len(fresh) > self.LIMIT:
+            self.make_room()  # which numbers the words anew
+            self.learn([w for w in words if w not in self.number])
+            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        elif fresh:
             self.learn(fresh)
-            at[missing] = [self.number[words[i]] for i in missing]
+            at[at < 0] = [self.number[w] for w in fresh]
+        self.uses[at] += counts
         return at
 
 
@@ -152,6 +164,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, coder = TaskContext.get().partitionId(), words(vocabulary)
+        only(coder)
         held: list[tuple[int | None, np.ndarray]] = []
         n = place = 0
 
@@ -164,8 +177,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> D
             held, n, place = [], 0, place + 1
             return pa.RecordBatch.from_pylist([row], schema=FILES)
 
-        for batch in slices(batches, size=4 << 20):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
+        for batch in slices(batches, rows=10000, size=16 << 20):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
                 held.append((doc_id, ids))
                 n += len(ids)
                 if n >= FILE:
@@ -174,7 +187,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> D
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows._jdf.rdd().getNumPartitions())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), splits(rows) or 0)
     order = F.col("doc_id").asc_nulls_last()
     sorted_rows = rows.repartitionByRange(parts, order).sortWithinPartitions(order, F.xxhash64("text"))
     return staged(sorted_rows.mapInArrow(run, "part int, place int, file string, n_docs long, n_tokens long, n_bytes long"), f"{path}/files")

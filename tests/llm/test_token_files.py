@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -74,5 +75,5 @@ def test_words_as_the_library():
     rng = random.Random(4)
     parts = [*"abc'sÉİΣσ.,!  \n\t12é<|>日本 ́　x-", "<|endoftext|>", "'ll ", "</w>", "ſ", "K"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
-    got = [x.tolist() for i in range(0, len(texts), 100) for x in w.encode(texts[i : i + 100])]
+    got = [x.tolist() for i in range(0, len(texts), 100) for x in w.encode(pa.array(texts[i : i + 100]))]
     assert got == [e.ids + [1] for e in w.tokenizer.encode_batch(texts, add_special_tokens=False)]
