@@ -88,7 +88,7 @@ def mix(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
     rows = docs.withColumn("_src", source_key()).withColumn("_size", n_words())
     match = rows["doc_id"].eqNullSafe(made["_doc"]) & (rows["_src"] == made["_src"]) & (rows["_size"] == made["_size"])
     mine = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(made, match).select(*mine, F.explode("positions").alias("_position")).sort("_position").select(*mine)
+    return rows.join(made, match).select(*mine, F.explode("positions").alias("_position"), "_doc").sort("_position", "_doc").select(*mine)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), first.alias("position"), F.explode(F.expr("sequence(1, n)")).alias("_"))
         .drop("_")
-        .sort("position")
+        .sort("position", "doc_id")  # documents that aren't taken have no position, and their ids deal them out
     )
 
 
