@@ -19,7 +19,8 @@ UUENCODED = rf"begin[^\n]*+(?:[\n\r](?!`(?:\n|\z)){_W}*+[^\n]++)*+[\n\r]`{_W}*+e
 ENCODED = rf"BEGIN[^\n]*+(?:[\n\r](?!END){_W}*+[^\n]++)*+[\n\r]END[^\n]*+"
 HEADER = r"[A-Za-z0-9*-]*+:[^\n]*+"
 TAG = "<[^>]{1,20}+>"
-TOKENS = rf"[\n\r]{_W}*+(?:{SIGNATURE}|{UUENCODED}|{ENCODED}|{HEADER})|{TAG}|({_A}++)[^{_A}\n]*+|[^{_A}\n]++|[\n\r]"
+# Words come first, as most matches are words; nothing else starts with a letter.
+TOKENS = rf"({_A}++)[^{_A}\n]*+|[\n\r]{_W}*+(?:{SIGNATURE}|{UUENCODED}|{ENCODED}|{HEADER})|{TAG}|[^{_A}\n]++|[\n\r]"
 # Every text is covered by matches of TOKENS; group 1 holds the word, if the match is one.
 
 

@@ -35,7 +35,9 @@ def _words_sql(table: str, file_id: str, text: str) -> str:
 
 
 def _html_sql(html: str = "html") -> str:
-    out = f"regexp_replace({html}, '{SQL_MARKUP}', '', 'g')"
+    # references cut off before markup get their semicolon first: none may arise from what stands around markup
+    out = rf"regexp_replace({html}, '&(quot|middot|copy|lt|gt|amp)(<|$)', '&\1;\2', 'g')"
+    out = f"regexp_replace({out}, '{SQL_MARKUP}', '', 'g')"
     for name, char in REFERENCES:
         out = f"replace({out}, '{name}', '{char}')"
     return out
