@@ -63,7 +63,7 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Hashes(dict):
-    LIMIT = 400_000  # words in the cache
+    LIMIT = 200_000  # words in the cache
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -51,7 +51,7 @@ def shape(word: bytes) -> bytes:
 class Hashes(dict):
     """Word to the hashes of itself and its shape, kept for the words seen last."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= self.LIMIT:
