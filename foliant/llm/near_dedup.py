@@ -16,7 +16,8 @@ anywhere. Equal registers are likely for similar sets, and sketches of parts mer
    and at last each other: buckets are cut into blocks, and a task compares two blocks at a time and returns the links only.
    So every two members of a bucket are compared or already connected, and no link that a shared band shows is lost.
 
-At similarity 0.85 a pair shares none of the 25 bands of 5 registers with probability 4e-7.
+The threshold is a parameter, in per cent, and moves the size filters and the cut-offs of the estimates. A pair at similarity 0.85
+shares none of the 25 bands of 5 registers with probability 4e-7, one at 0.8 with 5e-5.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; fewer words than five are one shingle;
 rows that share a doc_id are one document, and their links are pooled; rows without doc_id are linked with nothing, are kept
@@ -37,13 +38,12 @@ from .common import only, slices, spread, staged, table, text_of, workspace
 from .components import components
 
 WORDS = 5  # a shingle
-SIMILAR, OF = 85, 100  # linked if OF * intersection >= SIMILAR * union
+SIMILAR, OF = 85, 100  # linked if OF * intersection >= percent * union; SIMILAR unless another percent is asked for
 M = 128  # registers, a power of 2
 B = 1.001
 TOP = 65535  # largest exponent
 RATE = 20.0
 BANDS, ROWS = 25, 5
-DOUBT = 0.19  # six standard errors of the estimate at the threshold
 STARS = 3  # hubs a bucket has before the rest meets each other
 GROUP = 512  # members that meet a copy of their hub
 PART = 256  # members of a block
@@ -135,14 +135,20 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def doubt(percent: int) -> float:
+    """Six standard errors of the estimate at the threshold, rounded up to hundredths."""
+    share = percent / OF
+    return float(np.ceil(600 * np.sqrt(share * (1 - share) / M)) / 100)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
     """Whether two sets are linked, from all their members."""
     if not len(a) or not len(b):
         return False
     found = np.searchsorted(a, b)
     found[found == len(a)] = 0
     both = int((a[found] == b).sum())
-    return OF * both >= SIMILAR * (len(a) + len(b) - both)
+    return OF * both >= percent * (len(a) + len(b) - both)
 
 
 def print_of(items: np.ndarray) -> tuple[int, int]:
@@ -173,14 +179,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *arrays], names=["doc_id", "n", "f1", "f2", "sketch", "keys"])
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, sketch_a, sketch_b, n_a, n_b) whose estimate isn't far below the threshold."""
     for batch in batches:
         for start in range(0, batch.num_rows, 4096):
             part = batch.slice(start, 4096)
             a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, M) for i in (2, 3))
             sizes = [part.column(i).to_numpy().astype(float) for i in (4, 5)]
-            keep = pa.array(likely(a, b, *sizes) >= SIMILAR / OF - DOUBT)
+            keep = pa.array(likely(a, b, *sizes) >= percent / OF - doubt(percent))
             yield pa.record_batch([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
 
@@ -206,7 +212,7 @@ def _role_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hub", "salt", "follows", "doc", "items"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of a hub and its members, the hub first: the links that hold on the full sets."""
     at, held = None, np.empty(0, U)
     for batch in batches:
@@ -216,19 +222,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not follows.as_py():
                 at, held = (hub, salt), items
             elif at == (hub, salt):
-                if similar(held, items):
+                if similar(held, items, percent):
                     a.append(hub)
                     b.append(doc)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, path: str, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked. docs: doc_id, text."""
     ends = reps.select("rep", "sketch", "n")
     left = ends.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = ends.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    sized = pairs.join(left, "a").join(right, "b").where(OF * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-    close = staged(sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_close, "a long, b long"), f"{path}/close")
+    sized = pairs.join(left, "a").join(right, "b").where(OF * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    close = staged(sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(lambda batches: _close(batches, percent), "a long, b long"), f"{path}/close")
     sizes = close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     members = close.join(sizes, "a").select(F.col("b").alias("doc"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"))
     hubs = sizes.select(F.col("a").alias("doc"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
@@ -237,7 +243,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, path: str) -> D
     texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("doc", "text", "f1", "roles")
     rows = texts.mapInArrow(_sets, "hub long, salt int, follows boolean, doc long, items binary")
     met = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "follows")
-    return staged(met.mapInArrow(_verify, "a long, b long"), f"{path}/links")
+    return staged(met.mapInArrow(lambda batches: _verify(batches, percent), "a long, b long"), f"{path}/links")
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +269,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK_NAMES = ["key", "i", "j", "own", "band", "doc", "comp", "items"]
 
 
-def _links_within(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+def _links_within(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
     """Links in one block pair of a bucket, from (own, band, doc, comp, items), without those that components already know.
 
     A pair that shares several bands is looked at in the bucket of the first one only.
@@ -283,28 +289,28 @@ def _links_within(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     own, mixed_blocks = np.array([r[0] for r in rows]), len({r[0] for r in rows}) > 1
     for k in range(len(rows) - 1):
         least, most = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
-        may = OF * least >= SIMILAR * most
+        may = OF * least >= percent * most
         if mixed_blocks:
             may &= own[k + 1 :] != own[k]
         at = np.flatnonzero(may) + k + 1
         same = sketches[at] == sketches[k]
         shared = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2)
-        go = (same.sum(1) * OF >= M * (SIMILAR - 2 * OF * DOUBT)) & (shared.argmax(1) == rows[k][1])
+        go = (same.sum(1) * OF >= M * (percent - 2 * OF * doubt(percent))) & (shared.argmax(1) == rows[k][1])
         at = at[go]
         if len(at):
-            at = at[likely(np.broadcast_to(sketches[k], (len(at), M)), sketches[at], np.full(len(at), float(sizes[k])), sizes[at].astype(float)) >= SIMILAR / OF - DOUBT]
+            at = at[likely(np.broadcast_to(sketches[k], (len(at), M)), sketches[at], np.full(len(at), float(sizes[k])), sizes[at].astype(float)) >= percent / OF - doubt(percent)]
         for x in at.tolist():
             a, b = top(rows[k][3]), top(rows[x][3])
-            if a != b and similar(items[k], items[x]):
+            if a != b and similar(items[k], items[x], percent):
                 root[max(a, b)] = min(a, b)
                 yield rows[k][2], rows[x][2]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     at, held = None, []
 
     def links() -> pa.RecordBatch:
-        found = list(_links_within(held)) if len(held) > 1 else []
+        found = list(_links_within(held, percent)) if len(held) > 1 else []
         return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
@@ -316,7 +322,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links()
 
 
-def met_in_blocks(opened: DataFrame, reps: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+def met_in_blocks(opened: DataFrame, reps: DataFrame, docs: DataFrame, path: str, percent: int) -> DataFrame:
     """Links between the members of open buckets. Buckets are cut into blocks, and each task holds two of them at a time."""
     sizes = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("own")
@@ -325,7 +331,7 @@ def met_in_blocks(opened: DataFrame, reps: DataFrame, docs: DataFrame, path: str
     texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "f1", "comp", "roles")
     rows = texts.mapInArrow(_block_rows, "key long, i int, j int, own int, band int, doc long, comp long, items binary")
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return staged(met.mapInArrow(_meet, "a long, b long"), f"{path}/links")
+    return staged(met.mapInArrow(lambda batches: _meet(batches, percent), "a long, b long"), f"{path}/links")
 
 
 def _opened(members: DataFrame) -> DataFrame:
@@ -335,8 +341,8 @@ def _opened(members: DataFrame) -> DataFrame:
     return members.join(hubs.select("key", F.col("first.rep").alias("hub"), F.col("first.comp").alias("hub_comp")), "key")
 
 
-def near_groups(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_groups(docs: DataFrame, path: str | None = None, percent: int = SIMILAR) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Sets are linked from this similarity on."""
     spark = docs.sparkSession
     path = path or workspace(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
@@ -357,9 +363,9 @@ def near_groups(docs: DataFrame, path: str | None = None) -> DataFrame:
         opened = _opened(members)
         if step < STARS:  # every member meets its bucket's hub, unless both are connected
             pairs = opened.where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-            links = links.union(verified(pairs, reps, docs, here))
+            links = links.union(verified(pairs, reps, docs, here, percent))
         else:
-            links = links.union(met_in_blocks(opened, reps, docs, here))
+            links = links.union(met_in_blocks(opened, reps, docs, here, percent))
         stars = components(links, f"{here}/components")
         # the hub has met all others of its bucket; those that are still open go on without it
         rest = opened.where("rep <> hub").select("key", "band", "rep")
@@ -377,11 +383,11 @@ def near_groups(docs: DataFrame, path: str | None = None) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, path: str | None = None) -> DataFrame:
+def drop_near_copies(docs: DataFrame, path: str | None = None, percent: int = SIMILAR) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    gone = near_groups(docs, path).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_groups(docs, path, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), percent=SIMILAR)

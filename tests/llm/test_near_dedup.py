@@ -113,3 +113,30 @@ def test_components(spark, tmp_path):
     nodes = defaultdict(int, {r["node"]: r["component"] for r in got})
     assert {n for e in edges for n in e if top(n) != n} == set(nodes)
     assert all(nodes[n] == top(n) for n in nodes)
+
+
+@pytest.mark.parametrize("stars", [near_dedup.STARS, 0])
+def test_another_threshold(spark, sf, monkeypatch, stars):
+    """Groups and dropped copies at 0.8 against a brute-force version, through hubs and through blocks alone."""
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**6 + i, t) for i, t in near_rows(60)]
+    made = [x for x in sets(rows) if x[1]]
+    root = {i: i for i, _ in made}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in made:
+        for j, b in made:
+            if i < j and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    want = {i: top(i) for i in root}
+    assert any(r[2] != want.get(r[0], r[0]) for r in brute(rows))  # some are linked at 0.8 only
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df, percent=80).collect() if r["n_shingles"]} == want
+    if stars:
+        assert {r["doc_id"] for r in near_dedup.drop_near_copies(df, percent=80).collect()} == {i for i, _ in rows if want.get(i, i) == i}
