@@ -81,14 +81,14 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 def pairs(frames: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Times and codes of the pairs: 8 bits of either bin and 6 of the distance in frames."""
     times, codes = [], []
-    for k in range(len(BANDS), len(BANDS) + FAN):  # beyond the peaks of its own frame
-        if len(frames) > k:
-            apart = frames[k:] - frames[:-k]
-            ok = (apart > 0) & (apart <= ZONE)
-            times.append(frames[:-k][ok])
-            codes.append((bins[:-k][ok] << 14) | (bins[k:][ok] << 6) | apart[ok])
-    if not times:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
+    after = np.searchsorted(frames, frames, side="right")  # the first peak beyond those of its own frame
+    for k in range(FAN):
+        a = np.flatnonzero(after + k < len(frames))
+        b = after[a] + k
+        apart = frames[b] - frames[a]
+        ok = apart <= ZONE
+        times.append(frames[a][ok])
+        codes.append((bins[a][ok] << 14) | (bins[b][ok] << 6) | apart[ok])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)

@@ -51,3 +51,24 @@ def test_a_part_matches_in_time():
     at = {c: t for t, c in zip(t1.tolist(), c1.tolist())}
     shifts = [at[c] - t for t, c in zip(t2.tolist(), c2.tolist()) if c in at]
     assert np.bincount([s for s in shifts if s >= 0]).argmax() == 100
+
+
+def test_peaks_are_paired_with_those_that_follow():
+    rng = np.random.default_rng(5)
+    short = 0
+    for size in [384, 448, 640, 1472, *range(2048, 20_000, 2048)] * 10:
+        frames, bins, n = media.peaks(rng.integers(32, 127, size).astype(np.uint8))
+        want = []
+        for a, x in zip(frames.tolist(), bins.tolist()):
+            later = [(b, y) for b, y in zip(frames.tolist(), bins.tolist()) if b > a][: media.FAN]
+            want += [(a, x << 14 | y << 6 | b - a) for b, y in later if b - a <= media.ZONE]
+        times, codes = media.pairs(frames, bins)
+        assert list(zip(times.tolist(), codes.tolist())) == sorted(want)
+        if len(set(frames.tolist())) > 1:
+            assert want
+            short += len(frames) <= 6
+    assert short
+    far = np.array([0, 63, 64, 127, 128], np.int32)
+    assert media.pairs(far, far)[0].tolist() == [0, 63, 64, 127]
+    none = np.empty(0, np.int32)
+    assert [x.tolist() for x in media.pairs(none, none)] == [[], []]
