@@ -5,6 +5,7 @@ a column with the wave module and transforms overlapping frames. In each frame t
 peak if no frame within REACH has a stronger one in that band. Each peak is paired with the FAN peaks that
 follow it within a target zone; a pair's code packs both frequencies and their distance, its time is the anchor's
 frame. Both are stored as arrays ordered by time, so that fingerprints are matched by code and aligned by time.
+Samples of silence (128) are added until the last frame ends with the audio, so that every sample is in a frame.
 
 Audio is transformed in blocks of frames, so memory doesn't grow with its length beyond a few numbers a frame.
 
@@ -95,8 +96,9 @@ def pairs(frames: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray, str]:
-    """Times, codes, and a digest of both with the numbers of frames and peaks."""
-    frames, bins, n = peaks(np.frombuffer(samples, np.uint8))
+    """Times, codes, and a digest of both with the numbers of frames and peaks. Silence fills the last frame."""
+    filled = np.frombuffer(samples + bytes([128]) * (-(len(samples) - FRAME) % HOP), np.uint8)
+    frames, bins, n = peaks(filled)
     times, codes = pairs(frames, bins)
     digest = hashlib.sha256(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
     return times, codes, f"stft{FRAME}/{HOP}:{n}:{len(frames)}:{len(times)}:{digest}"

@@ -72,3 +72,14 @@ def test_peaks_are_paired_with_those_that_follow():
     assert media.pairs(far, far)[0].tolist() == [0, 63, 64, 127]
     none = np.empty(0, np.int32)
     assert [x.tolist() for x in media.pairs(none, none)] == [[], []]
+
+
+def test_the_end_counts():
+    rng = np.random.default_rng(7)
+    for size in (64, 192, 256, 320, 384, 448, 704, 1472):
+        x = rng.integers(32, 127, size).astype(np.uint8)
+        y = x.copy()
+        y[-64:] = rng.integers(32, 127, 64)
+        assert media.fingerprint(x.tobytes())[2].split(":")[1] == str(1 + max(0, -(-(size - 256) // 128)))
+        if size >= 320:  # shorter texts have one frame, and no pairs
+            assert media.fingerprint(x.tobytes())[2] != media.fingerprint(y.tobytes())[2]
