@@ -81,7 +81,7 @@ ID, IBAN, BIRTH, LOCAL_PHONE, DISGUISED, NAME = "national_id", "iban", "birth_da
 LOOSE = {
     ID: re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     IBAN: re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    BIRTH: re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])"),
+    BIRTH: re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|[./-][0-9])"),
     LOCAL_PHONE: re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     DISGUISED: re.compile(r"\b[A-Za-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63})+"),
     NAME: re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Señor|Señora)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?|(?<=[Nn]ame: )[A-Z][a-z]{1,30} [A-Z][a-z]{1,30}"),

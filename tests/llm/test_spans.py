@@ -96,3 +96,12 @@ def test_model_tells_good_candidates_from_bad(spark):
     rows = [(i, f"her ssn is 123-45-{1000 + i}, she said") for i in range(20)] + [(100 + i, f"part no 000-00-{1000 + i} order") for i in range(20)]
     got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got if "national_id" in r["spans"]} == set(range(20))
+
+
+def test_birth_dates_at_the_end_of_a_sentence():
+    found = lambda t: [t[c["start"] : c["end"]] for c in pii.candidates(t) if c["kind"] == pii.BIRTH]
+    for date in ("12.03.1980", "1980-03-12", "3/12/1980"):
+        for end in ("", ".", ".\n", "-", "/", ". 5", ", 5"):
+            assert found(f"born {date}{end}") == [date], (date, end)
+        for end in ("5", ".5", "-5", "/5"):
+            assert found(f"born {date}{end}") == [], (date, end)
