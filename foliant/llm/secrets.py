@@ -35,8 +35,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 SCOPE = 400  # characters
 IDENTIFIER = re.compile(r"(?ai)\b(?:user(?:name)?|login|client_?id|account|access_key_id)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9._@-]{3,64}")
 IDENTIFIER_WORDS = ("user", "login", "client", "account", "access_key")
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,300}|\b(?:[a-z0-9-]{1,63}\.){1,6}[a-z]{2,10}:[0-9]{2,5}\b")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,256}(?![A-Za-z0-9+/_-])")
+ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}+|\b(?:[a-z0-9-]{1,63}\.){1,6}[a-z]{2,10}:[0-9]{2,5}\b")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
 BLANK = re.compile(r"\n[ \t\r]*+\n")
 
 
@@ -73,13 +73,17 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     taken = [(a, b) for a, _, b in base] + [(a, b) for a, _, b in weak]
     if not holders:  # then nothing can support a secret, and there is nothing weak that a secret could support
         return []
-    clear = lambda a, b: all(b <= x or y <= a for x, y in near(a, b))
-    taken.sort()
-    starts = [x for x, _ in taken]
-    longest = max(y - x for x, y in taken)
-
-    def near(a: int, b: int) -> list[tuple[int, int]]:
-        return taken[bisect_left(starts, a - longest) : bisect_left(starts, b)]
+    joined: list[tuple[int, int]] = []  # without overlaps, so that long parts don't make the search long
+    for a, b in sorted(taken):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    starts = [x for x, _ in joined]
+
+    def clear(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i == 0 or joined[i - 1][1] <= a
 
     weak += [(m.start(), "opaque", m.end()) for m in OPAQUE.finditer(text) if clear(m.start(), m.end()) and is_opaque(m[0])]
     secrets = sorted([(a, b) for a, k, b in base if k != 1] + [(a, b) for a, k, b in weak if k == "opaque"])

@@ -105,3 +105,9 @@ def test_birth_dates_at_the_end_of_a_sentence():
             assert found(f"born {date}{end}") == [date], (date, end)
         for end in ("5", ".5", "-5", "/5"):
             assert found(f"born {date}{end}") == [], (date, end)
+
+
+def test_long_parts_of_a_credential_are_whole():
+    key, url = "x7Kp2vQ9LmZ4tR8wB1nY6cD3" * 20, "https://db.example.com/" + "x" * 600
+    assert linked(f"username=alice\nkey {key}") == [("identifier", "username=alice"), ("opaque", key)]
+    assert linked(f"{url}\n{key}") == [("endpoint", url), ("opaque", key)]
