@@ -17,6 +17,8 @@ every target is 0. Other columns are carried by mix() and never read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +71,9 @@ def plan(docs: DataFrame, path: str, **how) -> DataFrame:
     blocks = blocks.join(targets(sources, **how), "src")
     within = Window.partitionBy("src", "block").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = units.join(blocks, ["src", "block"]).withColumn("due", F.col("block_start") + F.coalesce(F.sum("words").over(within), F.lit(0)))
+    passes = math.ceil(how.get("most", MOST))  # no target is larger
     middle = lambda k: F.col("due") + k * F.col("source_size") + F.col("words") / 2.0
-    copies = F.array_compact(F.array(*[F.when((middle(k) <= F.col("target")) & (F.col("words") > 0), position(middle(k))) for k in range(2)]))
+    copies = F.array_compact(F.array(*[F.when((middle(k) <= F.col("target")) & (F.col("words") > 0), position(middle(k))) for k in range(passes)]))
     return staged(rows.withColumn("positions", copies).select("doc_id", "src", "size", "n", "source_size", "target", "due", "positions"), f"{path}/plan")
 
 

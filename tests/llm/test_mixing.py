@@ -65,3 +65,12 @@ def test_awkward_rows(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
     none = awkward.withColumn("text", F.lit(None).cast("string"))
     assert mixing.mix(none).count() == 0 and {r["target"] for r in mixing.plan(none, workspace(spark, "test")).collect()} == {0.0}
+
+
+def test_a_source_may_be_taken_more_than_twice(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 20 else "b") for i in range(220)], "doc_id long, text string, source string")
+    rows = mixing.plan(docs, workspace(spark, "test"), most=3.5).collect()
+    taken = {s: sum(r["size"] * len(r["positions"]) for r in rows if r["src"] == s) for s in ("1a", "1b")}
+    for r in rows:
+        assert abs(taken[r["src"]] - r["target"]) <= 5
+    assert {len(r["positions"]) for r in rows if r["src"] == "1a"} == {3, 4}
