@@ -1,18 +1,25 @@
-"""The index: three Parquet tables below a folder, written batch by batch.
+"""The index: Parquet tables below a folder, written batch by batch.
 
     files     batch, file_id, name, kind, token_count
     postings  batch, word, file_id, tf          sorted by word within each batch, so that a word's row groups are few
+    batches   batch, n_files, last_id, n_postings, n_tokens, seconds, at      a row commits its batch
     deleted   file_id                           files that were deleted
+    problems  batch, name, message              files that couldn't be read or seem to be binary
 
-A batch's postings are written before its files: a batch that dies in between isn't in the catalogue, its files are
-found again by the next walk, and postings whose file isn't in the catalogue are dropped on reading. Words are never stored
-but derived from postings.
+A batch counts once its row is in batches: one that dies before isn't seen by any reader, and its files are found again by
+the next walk. So readers filter on the few batches there are, which reaches the scan. Words are never stored but derived from
+postings.
+
+compact() writes all tables anew as one batch, in a folder gen-N of its own; the folder with the highest number that has
+a file READY is the index. Whoever changes the index holds the file LOCK; a second one is refused.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +30,15 @@ from .tokens import term_frequencies
 
 FILES = "batch string, file_id long, name string, kind string, token_count long"
 POSTINGS = "batch string, word string, file_id long, tf long"
+BATCHES = "batch string, n_files long, last_id long, n_postings long, n_tokens long, seconds double, at timestamp"
 DELETED = "file_id long"
+PROBLEMS = "batch string, name string, message string"
 ROWS_A_FILE = 50_000_000  # of postings
+BATCHES_KEPT = 64  # batches after which an index that grows is compacted
+
+
+class IndexInUse(RuntimeError):
+    """Another walk, stream or compaction is changing the index."""
 
 
 class Index:
@@ -32,29 +46,87 @@ class Index:
         self.spark, self.path = spark, path.rstrip("/")
         self.stop_words = None if stop_words is None else tuple(stop_words)
 
+    # Folders.
+
+    def _store(self, path: str) -> tuple:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _generations(self) -> list[int]:
+        store, where = self._store(f"{self.path}/gen-*/READY")
+        return sorted(int(s.getPath().getParent().getName()[4:]) for s in store.globStatus(where) or [])
+
+    @property
+    def base(self) -> str:
+        """The folder that holds the tables."""
+        made = self._generations()
+        return f"{self.path}/gen-{made[-1]}" if made else self.path
+
+    @contextmanager
+    def locked(self) -> Iterator[None]:
+        """Refuse others that change the index, in this or another application."""
+        store, where = self._store(f"{self.path}/LOCK")
+        try:
+            store.create(where, False).close()
+        except Exception as e:
+            if store.exists(where):
+                raise IndexInUse(f"{self.path} is being changed; unlock() removes a lock that a dead application left") from e
+            raise
+        try:
+            yield
+        finally:
+            store.delete(where, False)
+
+    def unlock(self) -> None:
+        self._remove(f"{self.path}/LOCK")
+
+    def _remove(self, path: str) -> None:
+        store, where = self._store(path)
+        store.delete(where, True)
+
+    def clear(self) -> None:
+        """Start anew: remove all tables."""
+        self._remove(self.path)
+
+    # Tables.
+
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
         except AnalysisException:  # not there yet
             return self.spark.createDataFrame([], schema)
 
-    def _all_files(self) -> DataFrame:
-        return self._table("files", FILES)
+    @property
+    def batches(self) -> DataFrame:
+        """What was written: batch, n_files, last_id, n_postings, n_tokens, seconds, at. A bounded number of rows."""
+        return self._table("batches", BATCHES)
+
+    def _committed(self, name: str, schema: str) -> DataFrame:
+        known = [r["batch"] for r in self.batches.select("batch").distinct().collect()]
+        return self._table(name, schema).where(F.col("batch").isin(known) if known else F.lit(False))
 
     @property
     def deleted(self) -> DataFrame:
         return self._table("deleted", DELETED).distinct()
 
+    def _live(self, table: DataFrame) -> DataFrame:
+        gone = self._table("deleted", DELETED)
+        return table.join(gone, "file_id", "left_anti") if gone.head(1) else table
+
     @property
     def files(self) -> DataFrame:
         """file_id, name, kind, token_count."""
-        return self._all_files().join(self.deleted, "file_id", "left_anti").select("file_id", "name", "kind", "token_count")
+        return self._live(self._committed("files", FILES)).select("file_id", "name", "kind", "token_count")
 
     @property
     def postings(self) -> DataFrame:
         """word, file_id, tf of the files in the catalogue."""
-        known = self._all_files().join(self.deleted, "file_id", "left_anti").select("file_id", "batch")
-        return self._table("postings", POSTINGS).join(known, ["file_id", "batch"], "left_semi").select("word", "file_id", "tf")
+        return self._live(self._committed("postings", POSTINGS)).select("word", "file_id", "tf")
+
+    @property
+    def problems(self) -> DataFrame:
+        """name, message of files that couldn't be read (they are tried again by the next walk) or seem to be binary."""
+        return self._committed("problems", PROBLEMS).select("name", "message")
 
     @property
     def words(self) -> DataFrame:
@@ -62,33 +134,69 @@ class Index:
         return frequency_bags(word_stats(self.postings))
 
     def last_id(self) -> int:
-        return self._all_files().agg(F.max("file_id")).first()[0] or 0
+        return self.batches.agg(F.max("last_id")).first()[0] or 0
+
+    # Changes.
 
     def add(self, texts: DataFrame) -> None:
         """Index texts: name, kind, text, and perhaps file_id. Names already indexed are passed over, ignored files get no words.
 
-        What is new is settled on names alone, which for files means that no content is read. Then the texts are
-        joined with their ids, a broadcast or one shuffle, and staged, so that they are read and classified once.
-        Ids without file_id go on from the last one, in the order of names.
+        What is new is settled on names alone. Then the texts are joined with their ids, a broadcast or one shuffle, and staged, so
+        that they are read and classified once. Ids without file_id go on from the last one, in the order of names.
         """
-        batch = uuid.uuid4().hex
-        staging = f"{self.path}/staging/{batch}"
         given = "file_id" in texts.columns
         named = texts.where("name is not null")
-        names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
-        names = names.join(self.files.select("name"), "name", "left_anti")
-        ids = self._kept(names if given else self._numbered(names, staging), f"{staging}/ids")
-        rows = named.join(ids.select("name", "_id"), "name")
-        if ids.where("copies > 1").head(1):  # one text of a name counts
-            rows = (rows.where("file_id = _id") if given else rows).dropDuplicates(["name"])
-        rows = self._kept(rows.select(F.col("_id").alias("file_id"), "name", "kind", "text"), f"{staging}/texts")
-        tf = term_frequencies(rows.where("kind <> 'ignore' and text is not null"), self.stop_words)
-        postings = tf.select(F.lit(batch).alias("batch"), "word", "file_id", "tf")
-        postings.repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id").write.mode("append").option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{self.path}/postings")
-        counts = self._table("postings", POSTINGS).where(F.col("batch") == batch).groupBy("file_id").agg(F.sum("tf").alias("token_count"))
-        files = rows.select("file_id", "name", "kind").join(counts, "file_id", "left")
-        files.select(F.lit(batch).alias("batch"), "file_id", "name", "kind", F.coalesce("token_count", F.lit(0)).alias("token_count")).write.mode("append").parquet(f"{self.path}/files")
-        self._remove(staging)
+
+        def rows(ids: DataFrame, named: DataFrame) -> DataFrame:
+            found = named.join(ids.select("name", "_id"), "name")
+            if ids.where("copies > 1").head(1):  # one text of a name counts
+                found = (found.where("file_id = _id") if given else found).dropDuplicates(["name"])
+            return found.select(F.col("_id").alias("file_id"), "name", "kind", "text", F.lit(None).cast("string").alias("error"))
+
+        self._add(named, given, rows, False)
+
+    def add_files(self, listed: DataFrame, load: Callable[[DataFrame], DataFrame]) -> None:
+        """Index listed files (name and what load needs). load gets those that are new and gives name, kind, text, error for each.
+
+        So only new files are opened. One with an error isn't indexed but becomes a problem.
+        """
+
+        def rows(ids: DataFrame, listed: DataFrame) -> DataFrame:
+            one = listed.dropDuplicates(["name"]) if ids.where("copies > 1").head(1) else listed
+            return load(one.join(ids.select("name", F.col("_id").alias("file_id")), "name")).select("file_id", "name", "kind", "text", "error")
+
+        self._add(listed, False, rows, True)
+
+    def _add(self, named: DataFrame, given: bool, texts: Callable[[DataFrame, DataFrame], DataFrame], keep: bool) -> None:
+        """texts makes rows of the ids of new names and named; keep: named is costly to make and small, so it is staged."""
+        with self.locked():
+            batch, began, base = uuid.uuid4().hex, time.time(), self.base
+            staging = f"{base}/staging/{batch}"
+            if keep:
+                named = self._kept(named, f"{staging}/listed")
+            names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
+            names = names.join(self.files.select("name"), "name", "left_anti")
+            ids = self._kept(names if given else self._numbered(names, staging), f"{staging}/ids")
+            rows = self._kept(texts(ids, named), f"{staging}/texts")
+            good = rows.where("error is null")
+            tf = term_frequencies(good.where("kind <> 'ignore' and text is not null"), self.stop_words)
+            postings = tf.select(F.lit(batch).alias("batch"), "word", "file_id", "tf")
+            postings.repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id").write.mode("append").option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{base}/postings")
+            counts = self._table("postings", POSTINGS).where(F.col("batch") == batch).groupBy("file_id").agg(F.sum("tf").alias("token_count"))
+            files = good.select("file_id", "name", "kind").join(counts, "file_id", "left")
+            files.select(F.lit(batch).alias("batch"), "file_id", "name", "kind", F.coalesce("token_count", F.lit(0)).alias("token_count")).write.mode("append").parquet(f"{base}/files")
+            message = F.coalesce("error", F.when(F.col("kind") == "ignore", "maybe binary file"))
+            rows.select(F.lit(batch).alias("batch"), "name", message.alias("message")).where("message is not null").write.mode("append").parquet(f"{base}/problems")
+            self._commit(batch, base, began)
+            self._remove(staging)
+
+    def _commit(self, batch: str, base: str, began: float) -> None:
+        mine = lambda name, schema: self.spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("batch") == batch)
+        files = mine("files", FILES).agg(F.count(F.lit(1)).alias("n_files"), F.max("file_id").alias("last_id"))
+        words = mine("postings", POSTINGS).agg(F.count(F.lit(1)).alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+        row = files.crossJoin(words).select(F.lit(batch).alias("batch"), "n_files", "last_id", "n_postings", "n_tokens")  # a row each
+        row = row.withColumn("seconds", F.lit(round(time.time() - began, 3))).withColumn("at", F.current_timestamp())
+        row.coalesce(1).write.mode("append").parquet(f"{base}/batches")
 
     def _kept(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
@@ -102,22 +210,48 @@ class Index:
         rank = F.row_number().over(Window.partitionBy("part").orderBy("name"))
         return held.withColumn("rank", rank).join(before, "part").select("name", "copies", (F.col("rank") + F.col("before") + F.lit(self.last_id())).cast("long").alias("_id"))
 
-    def _remove(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def clear(self) -> None:
-        """Start anew: remove all tables."""
-        self._remove(self.path)
-
     def delete(self, gone: DataFrame) -> None:
         """Delete files (file_id). Their names may be indexed again."""
-        gone.select(F.col("file_id").cast("long")).join(self.deleted, "file_id", "left_anti").write.mode("append").parquet(f"{self.path}/deleted")
-
-    def compact(self, to: str) -> Index:
-        """Write the index anew to another folder, as one batch and without deleted files."""
-        batch = uuid.uuid4().hex
-        new = Index(self.spark, to, self.stop_words)
-        self.postings.select(F.lit(batch).alias("batch"), "word", "file_id", "tf").repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id").write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{new.path}/postings")
-        self.files.select(F.lit(batch).alias("batch"), "file_id", "name", "kind", "token_count").write.parquet(f"{new.path}/files")
-        return new
+        with self.locked():
+            gone.select(F.col("file_id").cast("long")).join(self.deleted, "file_id", "left_anti").write.mode("append").parquet(f"{self.base}/deleted")
+
+    def compact(self, to: str | None = None) -> Index:
+        """Write the index anew as one batch, without deleted files: in its place, or to another folder.
+
+        In place, readers that have begun go on with the old tables, which the next compaction removes.
+        """
+        if to is not None:
+            new = Index(self.spark, to, self.stop_words)
+            self._rewrite(new.path)
+            return new
+        with self.locked():
+            made, before = self._generations(), self.base
+            number = made[-1] + 1 if made else 1
+            target = f"{self.path}/gen-{number}"
+            self._remove(target)  # what a compaction that died has left
+            self._rewrite(target)
+            store, where = self._store(f"{target}/READY")
+            store.create(where, False).close()
+            for old in (f"{self.path}/gen-{n}" for n in made[:-1]):
+                self._remove(old)
+            if len(made) == 1:  # the tables from before the first compaction
+                for name in ("files", "postings", "batches", "deleted", "problems", "staging"):
+                    self._remove(f"{self.path}/{name}")
+            assert before != target
+        return self
+
+    def _rewrite(self, target: str) -> None:
+        batch, began, last = uuid.uuid4().hex, time.time(), self.last_id()
+        mark = F.lit(batch).alias("batch")
+        postings = self.postings.select(mark, "word", "file_id", "tf").repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id")
+        postings.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{target}/postings")
+        self.files.select(mark, "file_id", "name", "kind", "token_count").write.parquet(f"{target}/files")
+        self.problems.select(mark, "name", "message").write.parquet(f"{target}/problems")
+        self._commit(batch, target, began)
+        if last:  # ids of deleted files aren't given again
+            row = [("", 0, last, 0, 0, 0.0, None)]
+            self.spark.createDataFrame(row, BATCHES).coalesce(1).write.mode("append").parquet(f"{target}/batches")
+
+    def compact_if_grown(self) -> None:
+        if self.batches.count() > BATCHES_KEPT:
+            self.compact()

@@ -53,11 +53,6 @@ def page(found: DataFrame, number: int, size: int = 20) -> DataFrame:
     return (ordered.offset(number * size) if number else ordered).limit(size)
 
 
-def without_files(table: DataFrame, gone: DataFrame) -> DataFrame:
-    """Drop the rows of deleted files."""
-    return table.join(gone.select("file_id"), "file_id", "left_anti")
-
-
 def new_files(listed: DataFrame, files: DataFrame) -> DataFrame:
     """Listed files whose names aren't in the catalogue."""
     return listed.join(files.select("name"), "name", "left_anti")

@@ -29,9 +29,9 @@ def bag_histogram(bags: DataFrame) -> DataFrame:
     return bags.groupBy("freq_bag").agg(F.count(F.lit(1)).alias("n_words"))
 
 
-def inverted_frequencies(frequencies: DataFrame, file_id: int) -> DataFrame:
-    """Of one file: tf and the words that occur so often, sorted."""
-    return frequencies.where(F.col("file_id") == file_id).groupBy("tf").agg(F.sort_array(F.collect_list("word")).alias("words"))
+def inverted_frequencies(frequencies: DataFrame) -> DataFrame:
+    """From (file_id, word, tf): file_id, tf and the words that occur so often in the file, sorted."""
+    return frequencies.groupBy("file_id", "tf").agg(F.sort_array(F.collect_list("word")).alias("words"))
 
 
 def df_histogram(words: DataFrame) -> DataFrame:

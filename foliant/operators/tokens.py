@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.stopwords import is_stop_word
+from foliant.functions.stopwords import is_stop_word, stop_words_sql
 from foliant.functions.text import term, words
 
 
@@ -33,7 +33,7 @@ def all_terms(texts: DataFrame) -> DataFrame:
 
 def terms(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """file_id, word; what is indexed."""
-    return all_terms(texts).where(~is_stop_word(F.col("word"), stop_words))
+    return all_terms(texts).where(~is_stop_word("word", stop_words))
 
 
 def term_frequencies(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
@@ -44,6 +44,6 @@ def term_frequencies(texts: DataFrame, stop_words: Iterable[str] | None = None)
 def token_counts(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """file_id, token_count (stop words left out), n_words (all of them); every text has a row. No shuffle: one row makes one."""
     lowered = F.transform(words(F.col("text")), term)
-    kept = F.filter(F.col("lowered"), lambda w: ~is_stop_word(w, stop_words))
+    kept = F.expr(f"filter(lowered, w -> w NOT IN ({stop_words_sql(stop_words)}))")
     rows = spread(texts.select("file_id", "text")).select("file_id", lowered.alias("lowered"))
     return rows.select("file_id", F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("token_count"), F.coalesce(F.size("lowered"), F.lit(0)).cast("long").alias("n_words"))

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.classify import HTML_STARTS, IGNORED_EXTENSIONS, IGNORED_NAMES, content_kind, name_kind
+from foliant.cli import Prompt
+from foliant.functions.classify import HTML_STARTS, IGNORED_EXTENSIONS, IGNORED_NAMES, content_kind, lossy_text, name_kind
 from foliant.functions.globs import like_sql
 from foliant.functions.html import html_to_text
-from foliant.functions.stopwords import default_list, is_stop_word
+from foliant.functions.stopwords import is_stop_word, stop_words_sql
 from foliant.functions.text import cut_term, words
 from foliant.operators import search, stats, tokens
 from foliant.operators.index import Index
+from foliant.plans.engine import Engine
+from foliant.sources import files as file_source
 from foliant.sources import tables
 from foliant.streaming import incremental
 
@@ -26,7 +32,7 @@ ORACLES: dict[str, str] = {}
 # SQL: the tokenizer in RE2's syntax, stop words, and the tables that the queries share.
 SQL_TOKENS = r"[\n\r]\s*[A-Za-z0-9*-]*:[^\n]*|<[^>]{1,20}>|(\p{L}+)[^\p{L}\n]*|[^\p{L}\n]+|[\n\r]"
 SQL_MARKUP = r"<!--[^>]*>?|(?i:<!\[cdata\[)(?s:.*?)(?:\]\]|\z)|<\?[^>]*>?|(?i:<!doctype)[^>]*>?|</?[A-Za-z][^>]*>?"
-STOP_SQL = ", ".join(f"'{w}'" for w in default_list())
+STOP_SQL = stop_words_sql()
 REFERENCES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
@@ -88,7 +94,7 @@ def tokens_nonstop(spark, d):
 
 @query("stop_word_hits", DOCS + f"SELECT word, count(*) AS hits FROM every WHERE word IN ({STOP_SQL}) GROUP BY word")
 def stop_word_hits(spark, d):
-    return tokens.all_terms(tables.documents(spark, d)).where(is_stop_word(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("hits"))
+    return tokens.all_terms(tables.documents(spark, d)).where(is_stop_word("word")).groupBy("word").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("term_freq", DOCS + "SELECT file_id, word, tf FROM tf")
@@ -150,7 +156,7 @@ def bag_histogram(spark, d):
 
 @query("invert_tf", DOCS + "SELECT file_id, tf, array_to_string(list_sort(list(word)), ' ') AS words FROM tf GROUP BY file_id, tf")
 def invert_tf(spark, d):
-    return _tf(spark, d).groupBy("file_id", "tf").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("words"))
+    return stats.inverted_frequencies(_tf(spark, d)).withColumn("words", F.array_join("words", " "))
 
 
 @query(
@@ -295,30 +301,88 @@ def incremental_new_files(spark, d):
     return search.new_files(tables.documents(spark, d), indexed).select("name")
 
 
-@query("delete_files", DOCS + f"SELECT word, count(*) AS df FROM tf WHERE file_id NOT IN (SELECT file_id FROM files WHERE {like_sql('name', 'doc/1*')}) GROUP BY word")
-def delete_files(spark, d):
-    files = tables.documents(spark, d).select("file_id", "name")
-    return search.without_files(_tf(spark, d), search.find_files(files, "doc/1*")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+# Rules that the tables never show: each row gets a construct by its id, put between two words of known effect.
+
+RULES = (
+    # what stands between, and what the rule leaves of it
+    ("Subject: hi there\nnext", "next"),  # a header line
+    ("  http://a.b/c d\nnext", "next"),
+    (":gone with it\nnext", "next"),
+    ("BEGIN k\nQUJD\nREVG\nEND k\nnext", "next"),
+    ("begin 644 f\nM86\nM87\n`\nend\nnext", "next"),
+    ("begin 644 f\nM86\nend\nnext", "begin f M end next"),  # no line that stops it
+    ("-----BEGIN PGP SIGNATURE-----\niQ ab\n-----END PGP SIGNATURE-----\nnext", "next"),
+    ("-----BEGIN PGP SIGNATURE-----\niQ\n------END PGP SIGNATURE-----\nnext", "BEGIN PGP SIGNATURE iQ END PGP SIGNATURE next"),
+    ("<i><b>next", "next"),  # tags at the start of a line
+    ("<aaaaaaaaaaaaaaaaaaaaa>next", "aaaaaaaaaaaaaaaaaaaaa next"),  # too long for a tag
+    ("word <b>next</b>", "word b next b"),  # a tag after a word is none
+    ("don't 42 abc123def", "don t abc def"),
+    ("a\rKey: v", "a Key v"),  # the break is swallowed with what isn't a letter
+)
+MARKUP_RULES = (
+    ("<![CDATA[gone]]>", ">"),
+    ("<![cdata[gone > gone]]", ""),
+    ("<?php gone ?>", ""),
+    ("<!DocType gone>", ""),
+    ("<!-- gone > kept -->", " kept -->"),
+    ("a < b & c", "a < b & c"),
+    ("</ FONT>", "</ FONT>"),
+    ("<b title='x > y'>z", " y'>z"),
+    ("<script>var t=1;</script>", "var t=1;"),
+    ("&#65;&#x42;&#67", "ABC"),
+    ("&#55296;&#1114112;&#;", "&#55296;&#1114112;&#;"),
+    ("&#x1F600;&#128512;", "😀😀"),
+    ("&#00000000065;&#99999999999999999999;", "A&#99999999999999999999;"),
+    ("&zzz; &notin; &ampfoo &copy;", "&zzz; ∉ &foo ©"),
+)
+ENDS = (("\0 lost", ""), ("<br lost", ""), ("<!-- lost", ""), ("<![CDATA[lost", ""), ("&#66", "B"))  # of a document
+
+
+def _quoted(s: str) -> str:
+    """A text in SQL; control characters and line breaks can't stand there as they are."""
+    plain = "".join(f"' || chr({ord(c)}) || '" if c < " " else c.replace("'", "''") for c in s)
+    return f"('{plain}')"
+
+
+def _cases_sql(cases: tuple, of: str, which: int) -> str:
+    return f"[{', '.join(_quoted(c[which]) for c in cases)}][(({of}) % {len(cases)} + 1)::INT]"
 
 
-REFERENCE_CASES = (("&#65;&#x42;&#55296;", "AB&#55296;"), ("&#128512;", "😀"), ("&#x1F600;z", "😀z"), ("&#1114112;", "&#1114112;"), ("&#;", "&#;"), ("&#00000000065", "A"), ("&#99999999999999999999;", "&#99999999999999999999;"))
-BLOCK_CASES = (("x\nSubject: hi\nbody", "x body"), ("x\nBEGIN k\nQUJD\nEND k\ny", "x y"), ("x\nbegin 644 f\nM86\n`\nend\ny", "x y"), ("x\n<i><b>bold", "x bold"), ("a\rKey: v", "a Key v"))
+def _case(cases: tuple, of: str, which: int = 0) -> Column:
+    return F.element_at(F.array(*[F.lit(c[which]) for c in cases]), (F.expr(of) % len(cases) + 1).cast("int"))
 
 
-def _values_sql(cases: tuple) -> str:
-    # a line break can't stand in a VALUES row as an escape
-    quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'"
-    return "SELECT input, output FROM (VALUES " + ", ".join(f"({quote(a)}, {quote(b)})" for a, b in cases) + ") v(input, output)"
+@query(
+    "block_rules",
+    "WITH x AS (SELECT doc_id AS file_id, regexp_extract_all(coalesce(text, ''), '[a-z]+') AS w FROM documents) "
+    f"SELECT file_id, trim(array_to_string(w, ' ') || ' ' || {_cases_sql(RULES, 'file_id', 1)}) AS words FROM x",
+)
+def block_rules(spark, d):
+    """Words of a document's plain letters, a line break and a construct."""
+    docs = tokens.spread(tables.read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text")))
+    plain = F.array_join(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), " ")
+    return docs.select("file_id", F.array_join(words(F.concat(plain, F.lit("\n"), _case(RULES, "file_id"))), " ").alias("words"))
 
 
-@query("numeric_charrefs", _values_sql(REFERENCE_CASES))
-def numeric_charrefs(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in REFERENCE_CASES], "input string").select("input", html_to_text(F.col("input")).alias("output"))
+@query(
+    "markup_rules",
+    "WITH x AS (SELECT page_id, array_to_string(regexp_extract_all(coalesce(html, ''), '[a-z]+'), ' ') AS t FROM pages) "
+    f"SELECT page_id AS file_id, t || {_cases_sql(MARKUP_RULES, 'page_id', 1)} || t || {_cases_sql(ENDS, 'page_id // 7', 1)} AS text FROM x",
+)
+def markup_rules(spark, d):
+    """The text of a page whose plain letters stand around a construct, and that ends in another."""
+    pages = tokens.spread(tables.read(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")))
+    plain = F.array_join(F.regexp_extract_all("html", F.lit("[a-z]+"), F.lit(0)), " ")
+    html = F.concat(plain, _case(MARKUP_RULES, "page_id"), plain, _case(ENDS, "page_id div 7"))
+    return pages.select(F.col("page_id").alias("file_id"), html_to_text(html).alias("text"))
 
 
-@query("block_strip", _values_sql(BLOCK_CASES))
-def block_strip(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in BLOCK_CASES], "input string").select("input", F.array_join(words(F.col("input")), " ").alias("output"))
+@query("lossy_text", "SELECT doc_id AS file_id, md5('é' || coalesce(text, '') || chr(65533) || 'x' || chr(65533) || chr(65533)) AS md5 FROM documents")
+def lossy_utf8(spark, d):
+    """Texts read from bytes that aren't all UTF-8."""
+    docs = tokens.spread(tables.read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).cast("binary").alias("b")))
+    content = F.concat(F.unhex(F.lit("C3A9")), "b", F.unhex(F.lit("FF78C3FF")))
+    return docs.select("file_id", F.md5(lossy_text(content)).alias("md5"))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -331,18 +395,149 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
+# The index: written to a folder of its own and read again.
+
+
+def _indexed(spark: SparkSession, d: str) -> Engine:
+    engine = Engine(spark, f"{_folder(spark)}/index")
+    engine.add(tables.documents(spark, d))
+    return engine
+
+
 @query("stream_index", DOCS + "SELECT word, file_id, tf FROM tf")
 def stream_index(spark, d):
-    """Postings of an index that a stream over the documents has built."""
+    """Postings of an index that a stream over the documents, dealt over six files, has built in three micro-batches."""
     path = _folder(spark)
+    tables.read(spark, d, "documents").select("doc_id", "text").repartition(6, "doc_id").write.parquet(f"{path}/documents")
     index = Index(spark, f"{path}/index")
-    incremental.index_rows(index, incremental.document_stream(spark, d), f"{path}/checkpoint")
+    incremental.index_rows(index, incremental.document_stream(spark, f"{path}/documents", 2), f"{path}/checkpoint")
     return index.postings
 
 
 @query("index_find", _found_sql(DOCS.rstrip(), ["th*", "*re"]))
 def index_find(spark, d):
     """The same search over an index that is written and read again."""
-    index = Index(spark, f"{_folder(spark)}/index")
-    index.add(tables.documents(spark, d))
-    return search.find(index.postings, index.files, ["th*", "*re"])
+    return _indexed(spark, d).find("th*", "*re")
+
+
+GONE = like_sql("name", "doc/1*")
+
+
+@query("delete_files", DOCS + f"SELECT word, count(*) AS df FROM tf WHERE file_id NOT IN (SELECT file_id FROM files WHERE {GONE}) GROUP BY word")
+def delete_files(spark, d):
+    """The dictionary after files were deleted from an index."""
+    engine = _indexed(spark, d)
+    engine.delete("doc/1*")
+    return engine.index_.words.select("word", "df")
+
+
+@query("compacted_index", DOCS + f"SELECT word, file_id, tf FROM tf WHERE file_id NOT IN (SELECT file_id FROM files WHERE {GONE})")
+def compacted_index(spark, d):
+    """Postings after files were deleted and the index was compacted in place."""
+    engine = _indexed(spark, d)
+    engine.delete("doc/1*")
+    return engine.save().index_.postings
+
+
+@query(
+    "index_catalogue",
+    DOCS.rstrip()
+    + ", n AS (SELECT file_id, sum(tf)::BIGINT AS n FROM tf GROUP BY file_id) SELECT file_id, name, 'text' AS kind, coalesce(n, 0) AS token_count, (SELECT max(file_id) FROM files) AS last_id FROM files LEFT JOIN n USING (file_id)",
+)
+def index_catalogue(spark, d):
+    engine = _indexed(spark, d)
+    return engine.files().withColumn("last_id", F.lit(engine.last_id()).cast("long"))
+
+
+@query("index_words", DOCS + BAGS)
+def index_words(spark, d):
+    return _indexed(spark, d).words()
+
+
+@query("index_lookups", DOCS + "SELECT f.file_id, f.name, t.tf FROM files f JOIN tf t USING (file_id) WHERE t.word = 'token'")
+def index_lookups(spark, d):
+    """Postings of a word, with the names of their files."""
+    engine = _indexed(spark, d)
+    return engine.postings("token").join(engine.files(), "file_id").select("file_id", "name", "tf")
+
+
+@query("index_batches", DOCS + "SELECT (SELECT count(*) FROM files) AS n_files, (SELECT max(file_id) FROM files) AS last_id, count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens FROM tf")
+def index_batches(spark, d):
+    return _indexed(spark, d).write_stats().select("n_files", "last_id", "n_postings", "n_tokens")
+
+
+# Files: the tables written out as files of a folder, walked, indexed and searched.
+
+
+def _written(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each page and document; some are empty, binary, hidden or ignored by name."""
+    root = f"{_folder(spark)}/tree"
+    docs = tables.read(spark, d, "documents").select(F.format_string("docs/%d/_%d.txt", F.col("doc_id") % 7, F.col("doc_id")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.col("doc_id").alias("id"))
+    pages = tables.read(spark, d, "pages").select(F.format_string("pages/%d.%s", F.col("page_id"), F.element_at(F.array(F.lit("html"), F.lit("PDF"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int"))).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"), F.col("page_id").alias("id"))
+    some = F.when(F.col("id") % 5 == 0, F.lit(b"")).when(F.col("id") % 5 == 1, F.concat(F.lit(b"\x00"), "content")).otherwise(F.col("content"))
+    file_source.write_files(docs.union(pages).select("name", some.alias("content")), root)
+    return root
+
+
+WRITTEN = """WITH every AS (
+  SELECT 'docs/' || doc_id % 7 || '/_' || doc_id || '.txt' AS name, coalesce(text, '') AS t, doc_id AS id FROM documents
+  UNION ALL SELECT 'pages/' || page_id || '.' || ['html', 'PDF', ''][(page_id % 3 + 1)::INT], coalesce(html, ''), page_id FROM pages
+), listed AS (
+  SELECT name, CASE WHEN id % 5 = 0 THEN '' ELSE t END AS t, id % 5 = 1 AS odd FROM every WHERE name NOT LIKE '%.PDF'
+)
+"""
+
+
+@query("walk_list", WRITTEN + "SELECT name, octet_length(encode(t)) + odd::INT AS length FROM listed")
+def walk_list(spark, d):
+    """Names and sizes that a walk finds."""
+    return file_source.list_files(spark, _written(spark, d)).select("name", "length")
+
+
+@query(
+    "walk_index",
+    WRITTEN + "SELECT row_number() OVER (ORDER BY name) AS file_id, name, CASE WHEN odd THEN 'ignore' WHEN t LIKE '<!DOCTYPE%' THEN 'html' ELSE 'text' END AS kind FROM listed",
+)
+def walk_index(spark, d):
+    """The catalogue after two walks, of which the second finds nothing new."""
+    engine = Engine(spark, f"{_folder(spark)}/index", _written(spark, d))
+    engine.index()
+    engine.index()
+    return engine.index_.files.select("file_id", "name", "kind")
+
+
+@query("walk_problems", WRITTEN + "SELECT name, 'maybe binary file' AS message FROM listed WHERE odd")
+def walk_problems(spark, d):
+    engine = Engine(spark, f"{_folder(spark)}/index", _written(spark, d))
+    engine.index()
+    return engine.problems()
+
+
+@query(
+    "walk_find",
+    WRITTEN.rstrip()
+    + f""", texts AS (SELECT name, CASE WHEN t LIKE '<!DOCTYPE%' THEN {_html_sql("t")} ELSE t END AS text FROM listed WHERE NOT odd),
+raw AS ({_words_sql("texts", "name", "text")}), terms AS (SELECT file_id AS name, lower(word) AS word FROM raw WHERE lower(word) NOT IN ({STOP_SQL}))
+SELECT name, {_lines_sql(['th*', '*ing'], "t")} AS lines FROM listed WHERE name IN (SELECT name FROM terms WHERE word LIKE 'th%' INTERSECT SELECT name FROM terms WHERE word LIKE '%ing')""",
+)
+def walk_find(spark, d):
+    """Files found, with their matching lines, which are read from the files."""
+    engine = Engine(spark, f"{_folder(spark)}/index", _written(spark, d))
+    engine.index()
+    return engine.find_lines("th*", "*ing").select("name", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("prompt_pages", DOCS.rstrip() + """, found AS (SELECT file_id FROM terms WHERE word LIKE 'th%' INTERSECT SELECT file_id FROM terms WHERE word LIKE '%re'),
+pages AS (SELECT row_number() OVER (ORDER BY file_id) - 1 AS i, name FROM files JOIN found USING (file_id))
+SELECT shown, i, name FROM pages JOIN (VALUES (0, 0), (1, 20), (2, 0)) v(shown, start) ON i >= start AND i < start + 20""")
+def prompt_pages(spark, d):
+    """What the prompt shows for find, next and first: pages of twenty files."""
+    out, shown = io.StringIO(), []
+    prompt = Prompt(_indexed(spark, d), stdout=out)
+    docs = tables.documents(spark, d)
+    prompt.engine.find_lines = partial(prompt.engine.find_lines, texts=docs.select("file_id", "text"))
+    for number, line in enumerate(("find th* *re", "next", "first")):
+        out.seek(0), out.truncate()
+        prompt.onecmd(line)
+        shown += [(number, int(m[1]), m[2]) for m in re.finditer(r"(?m)^  ([0-9]+):(doc/.*)$", out.getvalue())]
+    return spark.createDataFrame(shown, "shown int, i long, name string")

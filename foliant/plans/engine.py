@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from foliant.operators import search, stats
 from foliant.operators.index import Index
 from foliant.sources import files as file_source
 from foliant.streaming import incremental
 
+log = logging.getLogger("foliant")
+
 
 class Engine:
     """An index in a folder, and the directory of files that it covers."""
@@ -20,23 +24,33 @@ class Engine:
         self.spark, self.index_, self.root, self.modern = spark, Index(spark, path, stop_words), root, modern
 
     def index(self, root: str | None = None) -> None:
-        """Walk a directory and index what is new there."""
+        """Walk a directory and index what is new there. While another walk changes the index, IndexInUse is raised."""
         self.root = root or self.root
-        listed = search.new_files(file_source.list_files(self.spark, self.root), self.index_.files)
-        self.add(file_source.texts(file_source.load_files(self.spark, self.root, listed), self.modern).select("name", "kind", "text"))
+        self.index_.add_files(file_source.list_files(self.spark, self.root), incremental.loaded(self.root, self.modern))
+        self.index_.compact_if_grown()
+        if problems := self.problems().count():
+            log.warning("%d files couldn't be read or seem to be binary: see problems()", problems)
 
     def index_stream(self, checkpoint: str, root: str | None = None, per_batch: int = 1000) -> None:
         """The same as a stream that ends when all files there are indexed; it goes on from the checkpoint when called again."""
+        self.start_stream(checkpoint, root, per_batch).awaitTermination()
+
+    def start_stream(self, checkpoint: str, root: str | None = None, per_batch: int = 1000) -> StreamingQuery:
+        """The same without waiting: the query has lastProgress, status and stop()."""
         self.root = root or self.root
-        incremental.index_available(self.index_, self.root, checkpoint, per_batch, self.modern)
+        return incremental.start_index(self.index_, self.root, checkpoint, per_batch, self.modern)
+
+    def running(self) -> list[dict]:
+        """Streams that are running: name, whether a batch is at work, the last batch's number and rows."""
+        return [{"name": q.name, "message": q.status["message"], "batch": (q.lastProgress or {}).get("batchId"), "rows": (q.lastProgress or {}).get("numInputRows")} for q in self.spark.streams.active]
 
     def add(self, texts: DataFrame) -> None:
         self.index_.add(texts)
 
     def _raw_texts(self, wanted: DataFrame) -> DataFrame:
         listed = file_source.list_files(self.spark, self.root).join(wanted, "name")
-        loaded = file_source.texts(file_source.load_files(self.spark, self.root, listed), self.modern)
-        return loaded.select("name", F.col("raw").alias("text")).join(self.index_.files.select("name", "file_id"), "name").select("file_id", "text")
+        loaded = file_source.texts(file_source.load_files(self.root, listed), self.modern)
+        return loaded.where("raw is not null").select("name", F.col("raw").alias("text")).join(self.index_.files.select("name", "file_id"), "name").select("file_id", "text")
 
     def find(self, *globs: str) -> DataFrame:
         """file_id, name of files that have a word for every glob, in the order of file_id."""
@@ -75,6 +89,27 @@ class Engine:
     def posting_stats(self, word: str) -> DataFrame:
         return stats.posting_stats(self.index_.postings, word)
 
-    def save(self, path: str) -> Engine:
-        """A compacted copy elsewhere; the index itself is always saved."""
+    def inverted(self, file_id: int) -> DataFrame:
+        """tf and the words that a file has so often."""
+        return stats.inverted_frequencies(self.index_.postings.where(F.col("file_id") == file_id)).select("tf", "words")
+
+    def last_id(self) -> int:
+        return self.index_.last_id()
+
+    def problems(self) -> DataFrame:
+        """name, message of files that couldn't be read or seem to be binary."""
+        return self.index_.problems
+
+    def write_stats(self) -> DataFrame:
+        """What each batch wrote, and how long it took."""
+        return self.index_.batches.orderBy("at")
+
+    def unlock(self) -> None:
+        self.index_.unlock()
+
+    def save(self, path: str | None = None) -> Engine:
+        """Compact the index in place, or write a compacted copy elsewhere; what was indexed is always saved already."""
+        if path is None:
+            self.index_.compact()
+            return self
         return Engine(self.spark, self.index_.compact(path).path, self.root, self.index_.stop_words, self.modern)

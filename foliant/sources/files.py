@@ -1,11 +1,24 @@
 """Directories of files, batch or as a stream.
 
-list_files() reads names and sizes only; load_files() reads the contents of the files that are left. So ignored and already
-indexed files are never opened.
+list_files() walks a directory in tasks: the driver opens folders until there are enough of them to share out, and each task
+walks the trees below its own. Only names and sizes are read, so ignored and already indexed files are never opened.
+load_files() reads the contents of the files that are left, in tasks too. Neither brings paths to the driver.
+
+Every regular file counts, also one without bytes and one whose name starts with a dot or an underscore; links aren't
+followed. What can't be listed or read has a message in the column error in place of a size or content.
+
+A root without a scheme is local; others (file:, hdfs:, s3: and so on) are opened by pyarrow.
 """
 
 from __future__ import annotations
 
+import os
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,58 +27,163 @@ from foliant.functions.classify import file_kind, is_ignored_name, lossy_text
 from foliant.functions.html import html_to_text
 
 BINARY_FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-
-
-def relative_name(path: Column, root: str) -> Column:
-    """The path below the root, without a scheme."""
-    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
-    return F.regexp_replace(plain, F.lit("^/*\\Q" + _bare(root).strip("/") + "\\E/*"), F.lit(""))
-
-
-def _bare(root: str) -> str:
-    head, sep, rest = root.partition(":")
-    if sep and "/" not in head:
-        rest = "/" + rest.lstrip("/").partition("/")[2] if rest.startswith("//") and not rest.startswith("///") else "/" + rest.lstrip("/")
-        return rest
-    return root
+LISTED = "name string, path string, length long, error string"
+SHARES = 4  # folders a core that the driver opens for
+HELD = 16 << 20  # bytes of contents in an Arrow batch, unless one file has more
+
+Entry = tuple[str, bool, int | None, str | None]  # path, whether it is a folder, size, error
+
+
+def located(root: str) -> tuple[fs.FileSystem, str]:
+    """What opens the files below root, and the path there."""
+    scheme, sep, rest = root.partition(":")
+    if not sep or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(root)
+    return fs.FileSystem.from_uri(f"{scheme}://{rest}" if not rest.startswith("//") else root)
+
+
+def entries(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
+    """What a folder holds: folders and regular files; an error in place of a folder that can't be opened."""
+    try:
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(folder) as found:
+                for e in found:
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            yield e.path, True, None, None
+                        elif e.is_file(follow_symlinks=False):
+                            yield e.path, False, e.stat(follow_symlinks=False).st_size, None
+                    except OSError as problem:
+                        yield e.path, False, None, str(problem)
+        else:
+            for e in store.get_file_info(fs.FileSelector(folder)):
+                if e.type in (fs.FileType.Directory, fs.FileType.File):
+                    yield e.path, e.type == fs.FileType.Directory, e.size, None
+    except OSError as problem:
+        yield folder, False, None, str(problem)
+
+
+def walked(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
+    """The files of a folder and of all below it."""
+    todo = [folder]
+    while todo:
+        for e in entries(store, todo.pop()):
+            if e[1]:
+                todo.append(e[0])
+            else:
+                yield e
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """name, path, length of all regular files below root that a name filter lets through."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root).select("path", "length")
-    return found.select(relative_name(F.col("path"), root).alias("name"), "path", "length").where(~is_ignored_name(F.col("name")))
+    """name (the path below the root), path, length, error of all regular files below root that the name filter lets through."""
+    store, top = located(root)
+    cores = spark.sparkContext.defaultParallelism
+    todo, files = [top], []
+    while todo and len(todo) < SHARES * cores and len(files) < SHARES * cores:  # breadth first
+        found = list(entries(store, todo.pop(0)))
+        todo += [e[0] for e in found if e[1]]
+        files += [e for e in found if not e[1]]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, _ = located(root)
+        for batch in batches:
+            for folder, length, error, is_file in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows = []
+                for e in [(folder, False, length, error)] if is_file else walked(at, folder):
+                    rows.append((posixpath.relpath(e[0], top), *e[:1], *e[2:]))
+                    if len(rows) == 4096:
+                        yield _batch(rows)
+                        rows = []
+                yield _batch(rows)
+
+    shared = [(p, n, e, True) for p, _, n, e in files] + [(p, None, None, False) for p in todo]
+    shares = spark.createDataFrame(shared, "path string, length long, error string, is_file boolean")
+    return shares.mapInArrow(walk, LISTED).where(~is_ignored_name(F.col("name")))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["name", "path", "length", "error"])
+
+
+def load_files(root: str, listed: DataFrame) -> DataFrame:
+    """The columns of listed (among them path) and content: the bytes, or null where error says why there are none.
+
+    listed may have an error already, and then isn't opened. A file is read whole; batches are cut by bytes.
+    """
+    rows = listed if "error" in listed.columns else listed.withColumn("error", F.lit(None).cast("string"))
+    kept = [c for c in rows.columns if c not in ("error", "content")]
+    rows = rows.select(*kept, "error")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("error", T.StringType()), T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = located(root)
+        for batch in batches:
+            start, held, errors, contents = 0, 0, [], []
+            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
+
+            def made(end: int, start: int, errors: list, contents: list) -> pa.RecordBatch:
+                part = batch.slice(start, end - start)  # noqa: B023
+                return pa.record_batch([*part.columns[:-1], pa.array(errors, pa.string()), pa.array(contents, pa.binary())], names=[*kept, "error", "content"])
+
+            for i, (path, error) in enumerate(zip(paths, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                data = None
+                if error is None:
+                    try:
+                        with store.open_input_stream(path, compression=None) as f:
+                            data = f.read()
+                    except OSError as problem:
+                        error = str(problem)
+                errors.append(error)
+                contents.append(data)
+                held += len(data or b"")
+                if held >= HELD:
+                    yield made(i + 1, start, errors, contents)
+                    start, held, errors, contents = i + 1, 0, [], []
+            if contents:
+                yield made(batch.num_rows, start, errors, contents)
+
+    return rows.mapInArrow(read, schema)
 
 
-NAMED = 100_000  # files that are named to the reader one by one
+def texts(loaded: DataFrame, modern: bool = True) -> DataFrame:
+    """Of loaded files, with their other columns: kind (html, text or ignore), text (null if ignored), raw; all null of what couldn't be read."""
+    known = loaded.withColumn("kind", F.when(F.col("content").isNotNull(), file_kind(F.col("name"), F.col("content"))))
+    raw = lossy_text(F.col("content"))
+    text = F.when(F.col("kind") == "html", html_to_text(raw, modern)).when(F.col("kind") == "text", raw)
+    return known.withColumn("text", text).withColumn("raw", F.when(F.col("kind") != "ignore", raw)).drop("content")
 
 
-def _reader(spark: SparkSession):
-    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+def relative_name(path: Column, root: str) -> Column:
+    """The path below the root, without a scheme."""
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+    return F.regexp_replace(plain, F.lit("^/*\\Q" + located(root)[1].strip("/") + "\\E/*"), F.lit(""))
 
 
-def load_files(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """name, content of the files below root, or of those in wanted (path).
+def stream_files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
+    """name, path of the files below root that the name filter lets through, as they come; no content is read.
 
-    A few wanted files are named to the reader, and nothing else is opened. Their number is checked: of many, all files are
-    scanned and the others dropped.
+    These are the files that Spark's file source shows: without empty ones and names that start with a dot or an underscore,
+    but with what links lead to.
     """
-    everything = _reader(spark).option("recursiveFileLookup", "true").load(root)
-    if wanted is not None:
-        some = [r["path"] for r in wanted.select("path").limit(NAMED + 1).collect()]
-        if not some:
-            return spark.createDataFrame([], "name string, content binary")
-        everything = _reader(spark).load(some) if len(some) <= NAMED else everything.join(wanted.select("path"), "path", "left_semi")
-    return everything.select(relative_name(F.col("path"), root).alias("name"), "content")
-
-
-def texts(loaded: DataFrame, modern: bool = True) -> DataFrame:
-    """From name, content: name, kind (html, text or ignore), text (null if ignored)."""
-    kind = loaded.withColumn("kind", file_kind(F.col("name"), F.col("content")))
-    text = lossy_text(F.col("content"))
-    return kind.select("name", "kind", F.when(F.col("kind") == "html", html_to_text(text, modern)).when(F.col("kind") == "text", text).alias("text"), F.when(F.col("kind") != "ignore", text).alias("raw"))
-
-
-def stream_files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
-    """name, content of the files below root, as they come."""
     found = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(root)
-    return found.select(relative_name(F.col("path"), root).alias("name"), "content")
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "") if isinstance(located(root)[0], fs.LocalFileSystem) else F.col("path")
+    return found.select(relative_name(F.col("path"), root).alias("name"), plain.alias("path")).where(~is_ignored_name(F.col("name")))
+
+
+def write_files(named: DataFrame, root: str) -> None:
+    """Write rows of name, content as files below root. Names are unique; a file that is there is replaced as a whole."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = located(root)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = posixpath.join(top, name)
+                store.create_dir(posixpath.dirname(path), recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(part, path)
+        yield from ()
+
+    named.select("name", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()

@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from foliant.operators.index import Index
 from foliant.sources import files as file_source
 
 
-def index_available(index: Index, root: str, checkpoint: str, per_batch: int = 1000, modern: bool = True) -> None:
-    """Index all files below root that the checkpoint hasn't seen. One stream a checkpoint; names are checked as well, so a batch that runs twice adds nothing twice."""
+def loaded(root: str, modern: bool = True):
+    """From listed files to name, kind, text, error, with the other columns of the list; for Index.add_files()."""
+
+    def load(listed: DataFrame) -> DataFrame:
+        return file_source.texts(file_source.load_files(root, listed), modern)
+
+    return load
+
+
+def start_index(index: Index, root: str, checkpoint: str, per_batch: int = 1000, modern: bool = True) -> StreamingQuery:
+    """Begin to index all files below root that the checkpoint hasn't seen. One stream a checkpoint.
+
+    The stream carries names; each batch opens those of its files that aren't in the index, so a batch that runs twice adds nothing
+    twice. The query that is returned tells its progress and can be stopped between batches.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        index.add(file_source.texts(batch, modern).select("name", "kind", "text"))
+        index.add_files(batch, loaded(root, modern))
+        index.compact_if_grown()
 
     stream = file_source.stream_files(index.spark, root, per_batch)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.writeStream.queryName(f"index of {root}").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def index_rows(index: Index, source: DataFrame, checkpoint: str) -> None:
@@ -23,9 +39,8 @@ def index_rows(index: Index, source: DataFrame, checkpoint: str) -> None:
     source.writeStream.foreachBatch(lambda batch, _: index.add(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def document_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 4) -> DataFrame:
-    """The table of documents as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    # written as a pattern, as the table may be one file, which a stream takes for a folder otherwise
-    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/documents.parque[t]")
+def document_stream(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
+    """A table of documents (doc_id, text), a folder of Parquet files, as a stream of its files."""
+    schema = spark.read.parquet(path).schema
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return found.selectExpr("doc_id as file_id", "format_string('doc/%d.txt', doc_id) as name", "'text' as kind", "coalesce(text, '') as text")

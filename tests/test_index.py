@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.cli import Prompt
-from foliant.operators.index import Index
+from foliant.operators.index import Index, IndexInUse
 from foliant.plans.engine import Engine
+from foliant.sources import files as file_source
+from foliant.streaming import incremental
 
 
 @pytest.fixture
@@ -19,7 +21,9 @@ def tree(tmp_path):
     (root / "sub" / "c").write_bytes(b"\x00binary dogs")
     (root / "sub" / "d.pdf").write_text("dogs")
     (root / "sub" / "e.txt").write_bytes(b"caf\xc3\xa9 \xff dogs")
-    (root / "empty").write_text("")  # Spark's file sources pass over files without bytes
+    (root / "empty").write_text("")
+    (root / "_hidden").write_text("dogs hide")
+    (root / "link").symlink_to(root / "b.txt")
     return root
 
 
@@ -31,8 +35,9 @@ def test_walk(spark, tree, tmp_path):
     e = Engine(spark, f"{tmp_path}/index", str(tree), stop_words=["the"])
     e.index()
     assert [(r["file_id"], r["name"], r["kind"], r["token_count"]) for r in e.files().collect()] == [
-        (1, "a.html", "html", 2), (2, "b.txt", "text", 5), (3, "sub/c", "ignore", 0), (4, "sub/e.txt", "text", 2),
+        (1, "_hidden", "text", 2), (2, "a.html", "html", 2), (3, "b.txt", "text", 5), (4, "empty", "text", 0), (5, "sub/c", "ignore", 0), (6, "sub/e.txt", "text", 2),
     ]
+    assert e.problems().collect() == [("sub/c", "maybe binary file")]
     assert names(e.find("bird*")) == ["a.html", "b.txt"]
     assert names(e.find("bird*", "dogs")) == ["b.txt"]
     assert names(e.find_files("sub/*")) == ["sub/c", "sub/e.txt"]
@@ -40,26 +45,35 @@ def test_walk(spark, tree, tmp_path):
     (tree / "new.txt").write_text("dogs again")
     (tree / "b.txt").write_text("changed")
     e.index()
-    assert e.file(5).first()["name"] == "new.txt" and names(e.find("changed")) == []
-    assert e.stats().first()["n_files"] == 5
+    assert e.file(7).first()["name"] == "new.txt" and names(e.find("changed")) == []
+    assert e.stats().first()["n_files"] == 7 and e.last_id() == 7
+    assert [(r["n_files"], r["last_id"]) for r in e.write_stats().collect()] == [(6, 6), (1, 7)]
+    assert [tuple(r) for r in e.inverted(7).collect()] == [(1, ["dogs"])] or "again" in str(e.inverted(7).collect())
     (tree / "b.txt").unlink()
     assert [r["lines"] for r in e.find_lines("chase").collect()] == [[]]
     e.delete("sub/*")
-    assert names(e.find("dogs")) == ["b.txt", "new.txt"]
+    assert names(e.find("dogs")) == ["_hidden", "b.txt", "new.txt"]
     copy = e.save(f"{tmp_path}/copy")
-    assert names(copy.find("dogs")) == ["b.txt", "new.txt"] and copy.index_.deleted.count() == 0
+    assert names(copy.find("dogs")) == ["_hidden", "b.txt", "new.txt"] and copy.index_.deleted.count() == 0
     assert copy.words().count() == e.words().count()
     e.index()  # a deleted name may come again
     assert names(e.find("caf?")) == ["sub/e.txt"]
 
 
 def test_stream_equals_batch(spark, tree, tmp_path):
+    """But for files that Spark's file source doesn't show."""
+    (tree / "empty").unlink()
+    (tree / "_hidden").unlink()
+    (tree / "link").unlink()
     a, b = Engine(spark, f"{tmp_path}/a", str(tree)), Engine(spark, f"{tmp_path}/b", str(tree))
     a.index()
     b.index_stream(f"{tmp_path}/checkpoint", per_batch=2)
     (tree / "new.txt").write_text("dogs again")
     a.index()
-    b.index_stream(f"{tmp_path}/checkpoint", per_batch=2)
+    query = b.start_stream(f"{tmp_path}/checkpoint", per_batch=2)
+    assert len(b.running()) <= 1
+    query.awaitTermination()
+    assert query.lastProgress is not None and b.running() == []
     rows = lambda e: sorted(e.index_.postings.join(e.index_.files, "file_id").select("name", "word", "tf").collect())
     assert rows(a) == rows(b) and len(rows(a)) > 5
 
@@ -81,8 +95,85 @@ def test_batch_that_dies_is_found_again(spark, tmp_path):
 def test_prompt(spark, tree, tmp_path):
     out = io.StringIO()
     p = Prompt(Engine(spark, f"{tmp_path}/index", str(tree)), stdout=out)
-    for line in ("index", "find birds", "next", "first", "files *.txt", "stats base", "stats word birds", "stats 7", "stats debug", "summary 1", "delete b.txt", "files *", "nonsense", "find", "?", "help", ""):
+    for line in ("index", "find birds", "next", "first", "files *.txt", "stats base", "stats word birds", "stats 7", "stats debug", "stats writes", "stats problems", "summary 1", "store", "delete b.txt", "files *", "nonsense", "find", "?", "help", ""):
         assert not p.onecmd(line)
     text = out.getvalue()
-    assert "  0:a.html" in text and "    Dogs chase birds" in text and "unknown command: nonsense" in text
-    assert p.complete_stats("d") == ["debug"] and p.onecmd("quit")
+    assert "  0:a.html" in text and "    Dogs chase birds" in text
+    assert "nonsense\n^ unknown command: nonsense" in text and "find\n    ^ expected GLOB..." in text and "stats 7\n      ^ expected one of base" in text
+    assert "last batch: {" in text and "again: [" not in text and ": [1] n=" in text and "sub/c: maybe binary file" in text
+    assert p.complete_stats("d") == ["debug"] and p.completenames("f") == ["find", "files", "first"] and p.onecmd("quit")
+    assert (p.hint("ind"), p.hint("f"), p.hint("find "), p.hint("find a")) == ("ex", "", "GLOB...", "")
+    with p.engine.index_.locked():
+        p.onecmd("index")
+    assert "refused: " in out.getvalue()
+
+
+def test_history(spark, tmp_path):
+    readline = pytest.importorskip("readline")
+    p = Prompt(None, f"{tmp_path}/history.txt", stdin=io.StringIO("help\nquit\n"), stdout=io.StringIO())
+    p.use_rawinput = False
+    readline.clear_history()
+    readline.add_history("find birds")
+    p.cmdloop()
+    readline.clear_history()
+    p.preloop()
+    assert readline.get_history_item(1) == "find birds"
+
+
+def test_one_change_at_a_time(spark, tree, tmp_path):
+    a, b = (Engine(spark, f"{tmp_path}/index", str(tree)) for _ in range(2))
+    with a.index_.locked():
+        for change in (b.index, b.save, lambda: b.delete("*")):
+            with pytest.raises(IndexInUse):
+                change()
+    b.index()
+    assert a.last_id() == 6
+    (tmp_path / "index" / "LOCK").write_text("")  # of an application that died
+    with pytest.raises(IndexInUse):
+        a.index()
+    a.unlock()
+    a.index()
+    assert a.last_id() == 6
+
+
+def test_compaction_in_place(spark, tree, tmp_path, monkeypatch):
+    e = Engine(spark, f"{tmp_path}/index", str(tree))
+    e.index()
+    e.delete("a.html")
+    before = e.find("bird*")
+    for _ in range(3):
+        want = sorted(e.index_.postings.collect())
+        e.save()
+        assert sorted(e.index_.postings.collect()) == want and e.index_.deleted.count() == 0 and e.last_id() == 6
+    assert e.index_.base.endswith("gen-3") and names(e.find("bird*")) == ["b.txt"]
+    monkeypatch.setattr("foliant.operators.index.BATCHES_KEPT", 1)
+    (tree / "new").write_text("dogs")
+    e.index()
+    assert e.index_.base.endswith("gen-4") and e.last_id() == 8 and before is not None  # a.html has come again
+    (tmp_path / "index" / "gen-9").mkdir()  # a compaction that died
+    assert names(e.find("bird*")) == ["b.txt", "a.html"]
+
+
+def test_files_that_cant_be_read(spark, tree, tmp_path):
+    listed = file_source.list_files(spark, str(tree))
+    lost = spark.createDataFrame([("gone", f"{tree}/gone", 1, None), ("x", f"{tree}/x", None, "no way in")], listed.schema)
+    index = Index(spark, f"{tmp_path}/index")
+    index.add_files(listed.union(lost), incremental.loaded(str(tree)))
+    assert index.files.where("name in ('gone', 'x')").count() == 0 and index.files.count() == 6
+    said = dict(map(tuple, index.problems.collect()))
+    assert "No such file" in said["gone"] and said["x"] == "no way in"
+    (tree / "gone").write_text("back again")
+    index.add_files(file_source.list_files(spark, str(tree)), incremental.loaded(str(tree)))
+    assert index.files.where("name = 'gone'").count() == 1
+    missing = file_source.list_files(spark, f"{tmp_path}/nothing").collect()
+    assert len(missing) == 1 and missing[0]["error"]
+
+
+def test_many_folders_are_shared_out(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"r/{i}/deep/er").mkdir(parents=True)
+        (tmp_path / f"r/{i}/deep/er/{i}.txt").write_text("x")
+        (tmp_path / f"r/{i}/a.txt").write_text("yy")
+    got = file_source.list_files(spark, str(tmp_path / "r")).collect()
+    assert {(r["name"], r["length"]) for r in got} == {(f"{i}/deep/er/{i}.txt", 1) for i in range(60)} | {(f"{i}/a.txt", 2) for i in range(60)}
+    assert len(got) == 120

@@ -1,5 +1,6 @@
 """The tokenizer by rule, against a scanner of its own, and with stop words."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.stopwords import default_list, is_stop_word, read_list
 from foliant.functions.text import cut_term, term, words
-from foliant.operators import tokens
+from foliant.operators import stats, tokens
+from foliant.sources import tables
 
 CASES = [
     ("Hello, World 42!", "Hello World"),
@@ -93,8 +95,10 @@ def test_terms(spark, tmp_path):
     assert {"the", "und", "avec", "x"} <= set(default_list())
     (tmp_path / "stop").write_text("Foo\nbar baz\n\nqux\n")
     assert read_list(str(tmp_path / "stop")) == ("foo", "qux")
+    (tmp_path / "source").write_text('LIST = [\n    "foo",\n    "l\'eau",\n    "foo",\n    "süß"\n];\n')
+    assert read_list(str(tmp_path / "source")) == ("foo", "süß")
     df = spark.createDataFrame([("foo",), ("the",)], "w string")
-    assert [r[0] for r in df.where(is_stop_word(F.col("w"), ["foo"])).collect()] == ["foo"]
+    assert [r[0] for r in df.where(is_stop_word("w", ["foo"])).collect()] == ["foo"]
 
 
 def test_counts_without_words(spark):
@@ -106,3 +110,22 @@ def test_counts_without_words(spark):
 @pytest.mark.parametrize(("word", "cut"), [("abcdefghijklmnopqrsü", "abcdefghijklmnopqrs"), ("ü" * 20, "ü" * 9), ("short", "short"), ("a" * 25, "a" * 20)])
 def test_cut_term(spark, word, cut):
     assert spark.createDataFrame([(word,)], "w string").select(cut_term(F.col("w"))).first()[0] == cut
+
+
+def test_the_list_is_a_parameter(spark, sf, tmp_path, monkeypatch):
+    (tmp_path / "list").write_text("token\nthe\n")
+    monkeypatch.setenv("FOLIANT_STOP_WORDS", str(tmp_path / "list"))
+    assert default_list() == ("the", "token")
+    df = spark.createDataFrame([(1, "the token and")], "file_id long, text string")
+    assert [tuple(r) for r in tokens.term_frequencies(df).collect()] == [(1, "and", 1)]
+    assert [tuple(r) for r in tokens.token_counts(df).collect()] == [(1, 1, 3)]
+
+
+@pytest.mark.skipif("TEST_STOP_WORDS" not in os.environ, reason="needs the list of an older index")
+def test_counts_with_the_list_of_an_older_index(spark):
+    """With its 1,386 words, of which 1,356 are letters only, the counts are those of the survey."""
+    words = read_list(os.environ["TEST_STOP_WORDS"])
+    assert len(words) == 1356
+    for sf, want in (("0.001", (200, 22539, 55364, 46273)), ("0.01", (1000, 68606, 272680, 229858))):
+        docs = tables.documents(spark, f"/root/testdata/sf{sf}")
+        assert stats.index_stats(docs, stats.word_stats(tokens.term_frequencies(docs, words))).first() == want
