@@ -33,9 +33,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if n is not None and n < cores else df
 
 
-def text_of(col: str = "text") -> Column:
+def text_of(col: str | Column = "text") -> Column:
     """The whole text, a null counting as empty."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,136 +1,172 @@
 """Exact duplicates through an extendible-hash index kept on shared files. DataFrame operations only.
 
-Every distinct normalised text is one entry of the index, keyed by a 64-bit hash. A directory maps the
-leading bits of a key to a bucket; it starts with one slot and doubles whenever an overfull bucket already
-uses all of its bits, so buckets are ranges of keys. Owner tasks each hold a range of buckets, sort their
-entries and chain those whose keys collide; entries differ in their bytes because they were grouped by
-them. Copies never meet in one task: a map-side aggregate leaves one row per text and input split.
+A text's key is a 64-bit hash of its normalised form. The directory leads from the leading bits of a key to a bucket: it doubles
+as long as a bucket holds more keys than its capacity, and only overfull buckets split, so buckets are ranges of keys of
+different depths. Bits are counted in rounds, each of them deeper and only over the keys of buckets that are still overfull; a
+bucket that holds one key alone doesn't split, so there is always an end, and no depth is too deep.
+
+1. Rows are reduced to (doc_id, key, digest), and keys counted. The directory is made from the keys.
+2. A key that occurs once needs no comparison. Rows of the others are led through the directory to the task that owns their
+   bucket, which compares their whole texts byte by byte. Copies are combined before they are sent, so a group of any
+   size is one row a split. Different texts of one key are chained: each is an entry with a place in the chain.
+3. The index is written in ranges of buckets, an owner task each: bucket, key, chain, keep_id, group_size, and the text of
+   entries that are chained.
+4. Each row looks its entry up by slot, bucket and key; where an entry is chained, by comparing bytes once more.
+
+Keys with more than one 65,536th of all rows are looked up in a broadcast table, which has at most 65,536 rows therefore; the
+rows of all others are spread by key. A bucket holds CAPACITY keys or, in tables of more than 2**32 keys, a 65,536th of
+them, so that the directory stays small enough to be broadcast.
 
 Defined results: a null text counts as empty; a null doc_id ranks after all others and, if a group has no
 doc_id at all, every row of it is kept; rows that repeat both doc_id and text are one document and share
-its verdict; an empty table gives an empty result; other columns of the input are never read.
+its verdict; a very long text is compared as a whole; an empty table gives an empty result; other columns may have any name
+and are never read.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, staged, table, text_of, workspace
 
-CAPACITY = 1 << 16  # entries a bucket may hold before it is split
-MAX_DEPTH = 16  # the directory has at most 2**16 slots
+CAPACITY = 1 << 16  # keys a bucket may hold before it is split
+PARTS = 1 << 16  # of all rows or keys: what is larger is treated apart
+STEP = 8  # bits by which a round goes deeper
+
+Key = Callable[[Column], Column]
 
 
-def normalised(text: str = "text") -> Column:
+def normalised(text: str | Column = "text") -> Column:
     """Runs of white space become one space. Single spaces don't match, which spares most replacements."""
     return F.regexp_replace(text_of(text), f"[{SPACE}]{{2,}}|[\t-\r]", " ")
 
 
-def double_directory(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
-    """Split overfull buckets of a directory over 2**d cells of keys (counts: entries by cell).
+def prefix(key: Column | str, depth: int) -> Column:
+    """The leading bits of a key, as a number."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
 
-    Returns the bucket of each cell and, by bucket, its local depth and number of entries. A bucket that
-    is one cell can't be split further and stays overfull.
+def directory(keys: DataFrame, n_keys: int, path: str, capacity: int = CAPACITY) -> list[tuple[int, DataFrame]]:
+    """From distinct keys: levels of the directory, each its depth and a table of slot, bucket, local_depth, n_keys.
+
+    A slot of a level leads to a bucket or, where bucket is null, to the next level. A bucket's name is the least key that it may
+    hold, in hexadecimal digits, so names sort as ranges do.
     """
-    depth = int(len(counts)).bit_length() - 1
-    before = np.concatenate([[0], np.cumsum(counts)])
-    slots = np.zeros(1, np.int64)
-    local, first, made = {0: 0}, {0: 0}, 1
-    global_depth = 0
-
-    def held(b: int) -> int:
-        width = 1 << (depth - local[b])
-        return int(before[first[b] + width] - before[first[b]])
-
-    todo = [0]
-    while todo:
-        b = todo.pop()
-        if held(b) <= capacity or local[b] == depth:
-            continue
-        if local[b] == global_depth:
-            slots, global_depth = np.repeat(slots, 2), global_depth + 1
-        new, made = made, made + 1
-        local[b] += 1
-        local[new] = local[b]
-        first[new] = first[b] + (1 << (depth - local[b]))
-        start, width = first[new] >> (depth - global_depth), 1 << (global_depth - local[b])
-        slots[start : start + width] = new
-        todo += [b, new]
-    order = {b: i for i, b in enumerate(sorted(first, key=first.get))}  # buckets are numbered by key range
-    cells = np.repeat([order[b] for b in slots], 1 << (depth - global_depth))
-    return cells, {order[b]: (local[b], held(b)) for b in local}
-
-
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm")).withColumn("key", F.xxhash64("norm"))
-
-
-def build_index(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the index of a table's texts below path: entries by bucket and key, and the directory.
-
-    Columns: bucket, key, chain (place among entries of the same key), text_sha256, n_bytes, keep_id,
-    group_size.
+    capacity = max(capacity, n_keys // PARTS)
+    before, depth = -1, (n_keys // capacity).bit_length() + 1  # 2**18 slots at most, as n_keys // capacity is 2**16 at most
+    levels, open_ = [], keys.select("key")
+    while True:
+        cells = open_.groupBy(prefix("key", depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        # every cell as part of the buckets it would be in after each doubling
+        doubled = cells.withColumn("d", F.explode(F.sequence(F.lit(before + 1), F.lit(depth)))).withColumn("at", F.expr(f"shiftrightunsigned(slot, {depth} - d)"))
+        held = doubled.groupBy("d", "at").agg(F.sum("n").alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        fits = held.where((F.col("held") <= capacity) | (F.col("lo") == F.col("hi"))).select("d", "at", "held")
+        ends = doubled.select("slot", "d", "at").join(fits, ["d", "at"]).groupBy("slot").agg(F.min(F.struct("d", "at", "held")).alias("end"))
+        name = F.lpad(F.hex(F.expr("shiftleft(end.at, 64 - end.d)")), 16, "0")
+        level = staged(
+            cells.select("slot").join(ends, "slot", "left").select("slot", F.when(F.col("end").isNotNull(), name).alias("bucket"), F.col("end.d").alias("local_depth"), F.col("end.held").alias("n_keys")),
+            f"{path}/directory-{depth}",
+        )
+        levels.append((depth, level))
+        overfull = level.where("bucket is null").select("slot")
+        if not overfull.head(1):
+            return levels
+        open_ = staged(open_.withColumn("slot", prefix("key", depth)).join(overfull, "slot", "left_semi").select("key"), f"{path}/overfull-{depth}")
+        before, depth = depth, min(64, depth + STEP)
+
+
+def led(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Rows with a column key, and their bucket by the directory."""
+    for i, (depth, level) in enumerate(levels):
+        slots = F.broadcast(level.select(F.col("slot").alias(f"_slot{i}"), F.col("bucket").alias(f"_bucket{i}")))  # bounded, see directory()
+        rows = rows.withColumn("_at", prefix("key", depth)).join(slots, F.col("_at") == F.col(f"_slot{i}"), "left").drop("_at", f"_slot{i}")
+    found = [f"_bucket{i}" for i in range(len(levels))]
+    return rows.withColumn("bucket", F.coalesce(*found)).drop(*found)
+
+
+def looked_up(rows: DataFrame, entries: DataFrame, n_rows: int) -> DataFrame:
+    """Rows (bucket, key and others) with the other columns of their entry (bucket, key, n and others), or nulls; n: how many rows it has.
+
+    Entries of many rows are broadcast, at most PARTS of them; the others are joined by bucket and key, and rows that have found
+    theirs already are dealt out evenly meanwhile.
     """
-    spark = docs.sparkSession
-    entries = staged(
-        keyed(docs, doc_id, text)
-        .groupBy("key", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), "keep_id", "group_size"),
-        f"{path}/entries",
-    )
-    wanted = max(1, entries.count() // capacity)
-    depth = min(MAX_DEPTH, wanted.bit_length() + 3)
-    cell = F.shiftrightunsigned("key", 64 - depth).cast("int")
-    counts = np.zeros(1 << depth, np.int64)  # at most 2**MAX_DEPTH rows come to the driver
-    for r in entries.groupBy(cell.alias("cell")).count().collect():
-        counts[r["cell"]] = r["count"]
-    cells, buckets = double_directory(counts, capacity)
-    slots = spark.createDataFrame(
-        [(i, int(b), buckets[int(b)][0], buckets[int(b)][1]) for i, b in enumerate(cells)],
-        "cell int, bucket int, local_depth int, n_entries long",
-    )
-    slots.coalesce(1).write.parquet(f"{path}/directory")
-    owners = min(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chain = Window.partitionBy("bucket", "key").orderBy("n_bytes", "text_sha256")
-    return staged(
-        entries.withColumn("cell", cell)
-        .join(F.broadcast(slots.select("cell", "bucket")), "cell")  # bounded: 2**MAX_DEPTH rows
-        .repartitionByRange(owners, "bucket", "key")
-        .select("bucket", "key", (F.row_number().over(chain) - 1).alias("chain"), "text_sha256", "n_bytes", "keep_id", "group_size"),
-        f"{path}/index",
-    )
-
-
-def _looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Join rows that have _key and _sha with the index; only texts that occur again need to be found."""
-    again = index.where("group_size > 1").select(
-        F.col("key").alias("_key"), F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size")
-    )
-    return rows.join(again, ["_key", "_sha"], "left")
-
-
-def exact_groups(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    more = [c for c in entries.columns if c not in ("bucket", "key")]
+    large = F.col("n") > F.lit(n_rows // PARTS)
+    hot = F.broadcast(entries.where(large).select(F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.struct(*more).alias("_hot")))
+    cold = entries.where(~large).select(F.lit(False).alias("_found"), F.col("bucket").alias("_probe"), F.col("key").alias("_number"), F.struct(*more).alias("_cold"))
+    met = rows.join(hot, (rows["bucket"] == F.col("_b")) & (rows["key"] == F.col("_k")), "left").drop("_b", "_k").withColumn("_found", F.col("_hot").isNotNull())
+    met = met.withColumn("_probe", F.when(F.col("_found"), F.lit("")).otherwise(F.col("bucket"))).withColumn("_number", F.when(F.col("_found"), F.xxhash64("doc_id")).otherwise(F.col("key")))
+    both = met.join(cold, ["_found", "_probe", "_number"], "left").withColumn("_entry", F.coalesce("_hot", "_cold"))
+    return both.select(*rows.columns, *[F.col(f"_entry.{c}").alias(c) for c in more])
+
+
+class ExactIndex:
+    """The index of a table's texts below a folder."""
+
+    def __init__(self, docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", key: Key = F.xxhash64):
+        self.path, self.key = path, key
+        self.texts = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm")).withColumn("key", key(F.col("norm")))
+        self.rows = staged(self.texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), f"{path}/rows")
+        keys = staged(self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), f"{path}/keys")
+        counts = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.n_keys, self.n_rows = counts
+        self.levels = directory(keys, self.n_keys, path, capacity)
+        self.entries = self._built(led(keys, self.levels))
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        again = keys.where("n > 1").select("bucket", "key", "n")
+        # owners compare the texts of keys that occur again; copies are combined before they are sent
+        met = looked_up(led(self.texts, self.levels), again, self.n_rows).where("n is not null")
+        compared = staged(met.groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), f"{self.path}/compared")
+        chains = compared.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("length"))
+        collided = chains.where("length > 1").select("bucket", "key")
+        if collided.head(1):  # chained by their bytes; with 64 bits this hardly ever happens
+            chained = compared.join(collided, ["bucket", "key"], "left_semi").select("*", F.expr("row_number() over (partition by bucket, key order by norm) - 1").alias("chain"))
+            single = compared.join(collided, ["bucket", "key"], "left_anti").select("*", F.lit(0).alias("chain"))
+            compared = single.withColumn("norm", F.lit(None).cast("string")).union(chained)
+        else:
+            compared = compared.withColumn("norm", F.lit(None).cast("string")).withColumn("chain", F.lit(0))
+        self.chained = bool(collided.head(1))
+        repeated = compared.select("bucket", "key", "chain", "keep_id", "group_size", F.col("norm").alias("text"))
+        alone = keys.where("n = 1").select("bucket", "key", F.lit(0).alias("chain"), F.col("least").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("text"))
+        return staged(repeated.union(alone).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"), f"{self.path}/index")
+
+    def verdicts(self, rows: DataFrame, text: str | None = None) -> DataFrame:
+        """Rows (doc_id, key and others) with keep_id and group_size. text: a column that has the normalised text; without one it is read again if entries are chained."""
+        entries = self.entries.where("group_size > 1 or text is not null")
+        plain = entries.where("text is null").select("bucket", "key", F.col("group_size").alias("n"), "keep_id", "group_size")
+        found = looked_up(led(rows, self.levels), plain, self.n_rows).drop("n")
+        if self.chained:  # bytes decide among the entries of a chain
+            chained = entries.where("text is not null").select(F.col("bucket").alias("_cb"), F.col("key").alias("_ck"), F.col("text").alias("_text"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
+            found = found.join(chained, (found["bucket"] == F.col("_cb")) & (found["key"] == F.col("_ck")) & (found[text] == F.col("_text")), "left")
+            found = found.withColumn("keep_id", F.coalesce("keep_id", "_keep")).withColumn("group_size", F.coalesce("group_size", "_size")).drop("_cb", "_ck", "_text", "_keep", "_size")
+        size = F.coalesce("group_size", F.lit(1)).cast("long")
+        return found.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", size)
+
+
+def build_index(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", key: Key = F.xxhash64) -> DataFrame:
+    """Write the index below path. Columns: bucket, key, chain, keep_id, group_size, text (of chained entries)."""
+    return ExactIndex(docs, path, capacity, doc_id, text, key).entries
+
+
+def exact_groups(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", key: Key = F.xxhash64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(docs, path or workspace(docs.sparkSession, "exact"), capacity, doc_id, text)
-    rows = keyed(docs, doc_id, text).select("doc_id", F.col("key").alias("_key"), F.sha2("norm", 256).alias("_sha"))
-    keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    return _looked_up(rows, index).select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
-
-
-def drop_exact_copies(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    index = ExactIndex(docs, path or workspace(docs.sparkSession, "exact"), capacity, doc_id, text, key)
+    rows = index.texts.withColumn("text_sha256", F.sha2("norm", 256)) if index.chained else index.rows
+    return index.verdicts(rows, "norm").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_exact_copies(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, key: Key = F.xxhash64) -> DataFrame:
     """The documents that stay, with all their columns."""
-    index = build_index(docs, path or workspace(docs.sparkSession, "exact"), capacity)
-    rows = docs.withColumn("_key", F.xxhash64(normalised())).withColumn("_sha", F.sha2(normalised(), 256))
-    return _looked_up(rows, index).where(F.col("_size").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))).select(docs.columns)
+    index = ExactIndex(docs, path or workspace(docs.sparkSession, "exact"), capacity, key=key)
+    norm = normalised(F.col("row.text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), key(norm).alias("key"), *([norm.alias("norm")] if index.chained else []))
+    kept = index.verdicts(rows, "norm").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 #: Awkward rows: nulls, empties, ties, repeated rows, very long texts, and other columns with names that operators use.
 TEXTS = [
@@ -24,6 +25,20 @@ def awkward(spark):
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
+#: Names that operators use for columns of their own.
+INNER = (
+    "_key _sha _size _keep _src _doc _position _gone _last _salt _n _at _b _k _hot _cold _found _probe _number _entry bucket key chain keep_id group_size n norm row rep comp hub "
+    "component_id kept n_shingles f1 f2 sketch keys band src size words block at due positions target source_size ramp label held_out score predicted media feature spans start id"
+).split()
+
+
+@pytest.fixture(scope="session")
+def clashing(awkward):
+    """Awkward rows with a column of each such name."""
+    plain = awkward.select("doc_id", "text", "source", "lang", "n_chars")
+    return plain.select("*", *[F.lit(f"mine {n}").alias(n) for n in INNER])
+
+
 @pytest.fixture(scope="session")
 def empty(awkward):
     return awkward.where("false")

@@ -3,8 +3,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import exact_dedup
+from foliant.llm.common import workspace
 
 
 def brute(rows):
@@ -38,23 +41,73 @@ def test_real(spark, sf):
     assert sorted((tuple(r) for r in got), key=repr) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_directory():
-    counts = np.array([5, 0, 9, 1, 0, 0, 0, 1])
-    cells, buckets = exact_dedup.double_directory(counts, 6)
-    assert cells.tolist() == [0, 0, 1, 2, 3, 3, 3, 3]
-    assert buckets == {0: (2, 5), 1: (3, 9), 2: (3, 1), 3: (1, 1)}  # one cell stays overfull
-    assert exact_dedup.double_directory(counts, 100)[0].tolist() == [0] * 8
+def test_clashing_names(awkward, clashing):
+    """Columns whose names the operator uses inside keep their values."""
+    kept = exact_dedup.drop_exact_copies(clashing)
+    assert kept.columns == clashing.columns
+    want = {r["doc_id"]: tuple(r) for r in clashing.collect()}
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 5, 6, 8, 9, 10] and all(tuple(r) == want[r["doc_id"]] for r in got)
+
+
+def unsigned(key):
+    return key & 0xFFFFFFFFFFFFFFFF
+
+
+def test_directory(spark, tmp_path):
+    """Buckets against a plain extendible hash of the same keys."""
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 100, 1 << 10)
-    cells, buckets = exact_dedup.double_directory(counts, 500)
-    for b, (depth, held) in buckets.items():
-        assert held == counts[cells == b].sum() <= 500 and (cells == b).sum() == 1 << (10 - depth)
-    assert (np.diff(cells) >= 0).all()
+    keys = [int(k) for k in rng.integers(-(2**63), 2**63, 900)] + [5 + (i << 4) for i in range(40)]  # 40 that differ late only
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+
+    def plain(some, depth, low, capacity):
+        if len(some) <= capacity or len(set(some)) == 1:
+            return {low: (depth, sorted(some))} if some else {}
+        bit = 63 - depth
+        halves = [[k for k in some if unsigned(k) >> bit & 1 == x] for x in (0, 1)]
+        return plain(halves[0], depth + 1, low, capacity) | plain(halves[1], depth + 1, low | 1 << bit, capacity)
+
+    for capacity in (1, 7, 64, 10**6):
+        levels = exact_dedup.directory(df, len(keys), f"file://{tmp_path}/{capacity}", capacity)
+        want = plain(keys, 0, 0, capacity)
+        got, depths = {}, {}
+        for r in exact_dedup.led(df, levels).collect():
+            got.setdefault(int(r["bucket"], 16), []).append(r["key"])
+        for _, level in levels:
+            depths |= {int(r["bucket"], 16): (r["local_depth"], r["n_keys"]) for r in level.where("bucket is not null").collect()}
+        assert {b: sorted(ks) for b, ks in got.items()} == {b: ks for b, (_, ks) in want.items()}
+        assert depths == {b: (d, len(ks)) for b, (d, ks) in want.items()}
+        assert len(levels) > 1 if capacity < 40 else len(levels) == 1 or capacity == 64
 
 
 def test_index_has_ranges_of_keys(spark, awkward, tmp_path):
     index = exact_dedup.build_index(awkward, f"file://{tmp_path}/i", capacity=2)
     spans = index.groupBy("bucket").agg({"key": "count"}).collect()
     assert len(spans) > 1 and index.where("chain > 0").count() == 0
-    rows = sorted(index.select("bucket", "key").collect(), key=lambda r: r["key"] & 0xFFFFFFFFFFFFFFFF)
+    rows = sorted(index.select("bucket", "key").collect(), key=lambda r: unsigned(r["key"]))
     assert [r["bucket"] for r in rows] == sorted(r["bucket"] for r in rows)
+
+
+@pytest.mark.parametrize("key", [lambda c: F.lit(7).cast("long"), lambda c: F.length(c).cast("long"), lambda c: F.shiftleft(F.length(c).cast("long") % 3, 60)])
+def test_bytes_decide_where_keys_collide(awkward, clashing, tmp_path, key):
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    for capacity in (1, 100):
+        got = exact_dedup.exact_groups(awkward, capacity=capacity, key=key).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    index = exact_dedup.build_index(awkward, f"file://{tmp_path}/i", key=key)
+    assert index.where("chain > 0").count() > 0 and index.groupBy("bucket", "key", "chain").count().where("count > 1").count() == 0
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(clashing, key=key).collect()) == [1, 2, 3, 5, 6, 8, 9, 10]
+
+
+def test_the_result_comes_through_the_buckets(awkward):
+    """Rows that the directory leads elsewhere find nothing."""
+    index = exact_dedup.ExactIndex(awkward, workspace(awkward.sparkSession, "test"))
+    right = index.verdicts(index.rows).where("group_size > 1").count()
+    index.levels = [(d, level.withColumn("bucket", F.lit("elsewhere"))) for d, level in index.levels]
+    assert right == sum(r[2] > 1 for r in brute([(r["doc_id"], r["text"]) for r in awkward.collect()])) > 0
+    assert index.verdicts(index.rows).where("group_size > 1").count() == 0
+
+
+def test_no_python_worker(spark, sf):
+    plan = exact_dedup.exact_groups(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
