@@ -82,6 +82,13 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def read_part(uri: str, at: int, size: int) -> bytes:
+    """Some bytes of a file, from a place on."""
+    store, path = filesystem(uri)
+    with store.open_input_file(path) as f:
+        return f.read_at(size, at)
+
+
 _caches: list = []
 
 

@@ -1,15 +1,15 @@
 r"""Media columns: lossless WAV in a binary column, short-time Fourier transforms, spectral-peak pair fingerprints.
 
-to_media() stores bytes as mono 8-bit samples of a WAV file, one a row, in a binary column. fingerprints() reads such
-a column with the wave module and transforms overlapping frames. In each frame the strongest bin of each band is a
+to_media() makes bytes mono 8-bit samples of a WAV file, one a row, in a binary column; stored() writes such a table to the shared
+folder and reads it again, so that all that follows comes from stored bytes. fingerprints() reads the column with the wave module and transforms overlapping frames. In each frame the strongest bin of each band is a
 peak if no frame within REACH has a stronger one in that band. Each peak is paired with the FAN peaks that
 follow it within a target zone; a pair's code packs both frequencies and their distance, its time is the anchor's
 frame. Both are stored as arrays ordered by time, so that fingerprints are matched by code and aligned by time.
 Samples of silence (128) are added until the last frame ends with the audio, so that every sample is in a frame.
 
-Audio is transformed in blocks of frames, so memory doesn't grow with its length beyond a few numbers a frame.
+Audio is transformed in blocks of frames, so beside a text itself memory grows by a few numbers a frame only.
 
-Defined results: a null text counts as empty; a payload is padded with bytes 0 to a positive multiple of 64, so
+Defined results: a null text counts as empty; a very long text is one file, up to the 2 GB that a value of a column may have; a payload is padded with bytes 0 to a positive multiple of 64, so
 an empty text has 64 of them; repeated rows and equal texts give equal values; a null doc_id is passed on; an empty table
 gives an empty result; other columns are never read.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, table, text_of
+from .common import slices, spread, staged, table, text_of, workspace
 
 RATE = 8000
 UNIT = 64  # payloads are padded to multiples of it
@@ -115,6 +115,11 @@ def to_media(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+def stored(media: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the media to a folder of the shared one and read them back."""
+    return staged(media, f"{path or workspace(media.sparkSession, 'media')}/media")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "media"):
         payloads, shas, tails, sizes, digests, features, times, codes = [], [], [], [], [], [], [], []
@@ -148,4 +153,4 @@ def fingerprints(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(to_media(table(spark, sf_dir, "documents")))
+    return fingerprints(stored(to_media(table(spark, sf_dir, "documents"))))

@@ -12,7 +12,8 @@ a source with a third of all rows is spread over many tasks.
 
 Defined results: a null text has size 0; null sources form one source, the last; rows that share doc_id,
 source and size are one unit and are taken alike; a null doc_id comes first in its source; with no words at all
-every target is 0. Other columns are carried by mix() and never read.
+every target is 0; very long texts are one unit as any other; an empty table gives an empty result. Other columns are carried
+by mix(), whatever their names, and never read.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 RAMPS = (-0.5, 0.0, 0.5)  # heavy sources fade, light ones grow
 
 
-def n_words(text: str = "text") -> Column:
+def n_words(text: str | Column = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
-def source_key(source: str = "source") -> Column:
+def source_key(source: str | Column = "source") -> Column:
     """Sorts by code point with null last."""
-    return F.coalesce(F.concat(F.lit("1"), F.col(source).cast("string")), F.lit("2"))
+    return F.coalesce(F.concat(F.lit("1"), (F.col(source) if isinstance(source, str) else source).cast("string")), F.lit("2"))
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS, ramps: tuple = RAMPS) -> DataFrame:
@@ -84,14 +85,13 @@ def position(demand: Column) -> Column:
 
 
 def mix(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, sorted by training position."""
-    made = plan(docs, path or workspace(docs.sparkSession, "mix"), **how).select(
-        F.col("doc_id").alias("_doc"), F.col("src").alias("_src"), F.col("size").alias("_size"), "positions"
-    )
-    rows = docs.withColumn("_src", source_key()).withColumn("_size", n_words())
-    match = rows["doc_id"].eqNullSafe(made["_doc"]) & (rows["_src"] == made["_src"]) & (rows["_size"] == made["_size"])
-    mine = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.join(made, match).select(*mine, F.explode("positions").alias("_position"), "_doc").sort("_position", "_doc").select(*mine)
+    """The mix itself: each document as often as it is taken, sorted by training position. Columns may have any name."""
+    made = plan(docs, path or workspace(docs.sparkSession, "mix"), **how).where(F.size("positions") > 0)
+    made = made.select(F.col("doc_id").alias("doc"), F.col("src").alias("of"), F.col("size").alias("has"), "positions")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), source_key(F.col("row.source")).alias("src"), n_words(F.col("row.text")).alias("size"))
+    match = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("src") == F.col("of")) & (F.col("size") == F.col("has"))
+    return rows.join(made, match).select("row", "doc", F.explode("positions").alias("position")).sort("position", "doc").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 A file has one frequency table, shared by all its blocks. A block is coded on its own by LANES interleaved coders that
 advance together, one token each a step, with 64-bit states that shed and take 32-bit words. Every CHECK steps the
-states and the place in the words are kept as a checkpoint, so that parts of a block can be decoded in parallel;
-each block ends with a checksum of its bytes.
+states and the place in the words are kept as a checkpoint, so that the parts of a block between checkpoints are decoded side by
+side; each block ends with a checksum of its bytes. Blocks need the file's head and nothing else.
+
+Defined results: no tokens make a file without blocks; a document without an id has the id 0 and the mark has_id 0; a document isn't
+cut, so a very long one is a block of its own; what is damaged raises a ValueError.
 
     file     MAGIC, size of the table part (u32), number of blocks (u32), table part (zlib: symbols u32*, frequencies u32*),
              then for each block its size (u32), the block, and its crc32 (u32)
@@ -25,7 +28,7 @@ TOTAL = 1 << BITS
 LOW = 1 << 31  # states lie in [LOW, LOW << 32)
 LANES = 1024
 CHECK = 128  # steps between checkpoints
-BLOCK = 1 << 18  # tokens after which a block ends with the document at hand
+BLOCK = 1 << 18  # tokens of a block
 U = np.uint64
 
 
@@ -88,24 +91,32 @@ class Coder:
         return before[list(marks)], np.array([states[i] for i in marks], U).reshape(-1, LANES), words
 
     def decode(self, n: int, places: np.ndarray, states: np.ndarray, words: np.ndarray, part: int | None = None) -> np.ndarray:
-        """The tokens; with part, only those from that checkpoint to the next."""
+        """The tokens; with part, only those from that checkpoint to the next. All parts advance together, a step at a time."""
         if self.slots is None:
             self.slots = np.repeat(np.arange(len(self.f), dtype=np.int32), self.f.astype(np.int64))
         steps = -(-n // LANES)
-        first, last = (0, steps) if part is None else (part * CHECK, min(steps, (part + 1) * CHECK))
-        if first >= last:
+        chosen = np.arange(len(places)) if part is None else np.arange(part, min(part + 1, len(places)))
+        chosen = chosen[chosen * CHECK < steps]
+        if not len(chosen):
             return np.empty(0, np.uint32)
-        x, at = states[part or 0].astype(U), int(places[part or 0])
-        out = np.empty((last - first, LANES), np.int32)
-        for i in range(last - first):
-            slot = x & U(TOTAL - 1)
+        x, at = states[chosen].astype(U), places[chosen].astype(np.int64)
+        length = np.minimum(CHECK, steps - chosen * CHECK)  # only the last part may be shorter
+        out = np.empty((len(chosen), int(length[0]), LANES), np.int32)
+        for i in range(int(length[0])):
+            k = len(chosen) if i < length[-1] else len(chosen) - 1
+            now = x[:k]
+            slot = now & U(TOTAL - 1)
             s = self.slots[slot]
-            out[i] = s
-            x = self.f[s] * (x >> U(BITS)) + slot - self.c[s]
-            under = np.flatnonzero(x < U(LOW))
-            x[under] = (x[under] << U(32)) | words[at : at + len(under)]
-            at += len(under)
-        return self.symbols[out.ravel()[: min(n, last * LANES) - first * LANES]]
+            out[:k, i] = s
+            now = self.f[s] * (now >> U(BITS)) + slot - self.c[s]
+            under = now < U(LOW)
+            if under.any():
+                upto = np.cumsum(under, 1)
+                now[under] = (now[under] << U(32)) | words[(at[:k, None] + upto - 1)[under]]
+                at[:k] += upto[:, -1]
+            x[:k] = now
+        flat = out.reshape(-1)[: int(length.sum()) * LANES]
+        return self.symbols[flat[: n - int(chosen[0]) * CHECK * LANES]]
 
 
 def pack_block(coder: Coder, tokens: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -128,8 +139,8 @@ def unpack_block(coder: Coder, data: bytes, part: int | None = None) -> tuple[li
     return [i if h else None for i, h in zip(ids.tolist(), has.tolist(), strict=True)], lengths, tokens
 
 
-def pack_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """A file of documents in the given order."""
+def pack_file(docs: list[tuple[int | None, np.ndarray]], most: int = BLOCK) -> bytes:
+    """A file of documents in the given order; a block ends with the document that brings it to so many tokens."""
     lengths = [len(t) for _, t in docs]
     tokens = np.concatenate([t for _, t in docs]) if docs else np.empty(0, np.int64)
     coder = Coder.of(tokens) if len(tokens) else Coder(np.zeros(1, np.int64), np.array([TOTAL]))
@@ -137,7 +148,7 @@ def pack_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     blocks, start, first, at = [], 0, 0, 0
     for i, n in enumerate(lengths):
         at += n
-        if at - start >= BLOCK or i == len(lengths) - 1:
+        if at - start >= most or i == len(lengths) - 1:
             blocks.append(pack_block(coder, tokens[start:at], [d for d, _ in docs[first : i + 1]], lengths[first : i + 1]))
             start, first = at, i + 1
     parts = [MAGIC, struct.pack("<II", len(table), len(blocks)), table]
@@ -146,17 +157,40 @@ def pack_file(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     return b"".join(parts)
 
 
-def unpack_file(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """doc_ids, lengths and tokens of each block."""
+def layout(data: bytes) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Of a file: the bytes of its head, and of each block its place, its bytes with size and checksum, tokens and documents."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     size, blocks = struct.unpack_from("<II", data, 8)
-    table = np.frombuffer(zlib.decompress(data[16 : 16 + size]), "<u4")
-    coder, at = Coder(table[: len(table) // 2], table[len(table) // 2 :].astype(np.int64)), 16 + size
+    at, out = 16 + size, []
     for _ in range(blocks):
         (n,) = struct.unpack_from("<I", data, at)
-        block = data[at + 4 : at + 4 + n]
-        if zlib.crc32(block) != struct.unpack_from("<I", data, at + 4 + n)[0]:
-            raise ValueError("a block is damaged")
-        yield unpack_block(coder, block)
-        at += 8 + n
+        tokens, docs = struct.unpack_from("<II", data, at + 4)
+        out.append((at, n + 8, tokens, docs))
+        at += n + 8
+    return 16 + size, out
+
+
+def head(data: bytes) -> Coder:
+    """The coder of a file, from its head."""
+    if data[:8] != MAGIC:
+        raise ValueError("not a token file")
+    (size,) = struct.unpack_from("<I", data, 8)
+    table = np.frombuffer(zlib.decompress(data[16 : 16 + size]), "<u4")
+    return Coder(table[: len(table) // 2], table[len(table) // 2 :].astype(np.int64))
+
+
+def checked(data: bytes) -> bytes:
+    """A block without its size and checksum."""
+    (n,) = struct.unpack_from("<I", data)
+    block = data[4 : 4 + n]
+    if zlib.crc32(block) != struct.unpack_from("<I", data, 4 + n)[0]:
+        raise ValueError("a block is damaged")
+    return block
+
+
+def unpack_file(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """doc_ids, lengths and tokens of each block."""
+    coder = head(data)
+    for at, size, _, _ in layout(data)[1]:
+        yield unpack_block(coder, checked(data[at : at + size]))

@@ -1,14 +1,14 @@
 """Token ids of all documents in files of the shared folder, ordered by doc_id, and their readers.
 
 Documents are range-partitioned and sorted by doc_id, encoded, and written by each task to files of its own, in
-the format of rans.py; a file ends after FILE tokens. Names carry the attempt that wrote them, and the list of files is a
-table that Spark commits, so files of lost or repeated attempts are never read. Reading deals the files out, decodes
-block by block and adds up the tokens of the files before.
+the format of rans.py; a file ends after FILE tokens. Names carry the attempt that wrote them, and the list of their blocks is a
+table that Spark commits, so files of lost or repeated attempts are never read. Reading deals out blocks: a task reads a file's
+head and the bytes of its own blocks, and decodes them by themselves.
 
 No token goes across white space, so words are encoded once by the tokenizer and kept in a bounded cache.
 
 Defined results: a null text counts as empty and has the end id only; null doc_ids come last; rows that share a doc_id
-follow one another in the order of a hash of their texts; an empty table gives no files and an empty result; other columns
+follow one another in the order of a hash of their texts; a very long text is a block of its own; an empty table gives no files and an empty result; other columns
 are never read.
 """
 
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import only, read_file, slices, splits, staged, table, text_of, workspace, write_file
+from .common import only, read_part, slices, splits, staged, table, text_of, workspace, write_file
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to each document
 FILE = 1 << 23  # tokens after which a task starts another file
+BLOCK = rans.BLOCK
 
 
 class Words:
@@ -158,7 +159,7 @@ def words(path: str) -> Words:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> DataFrame:
-    """Write all documents' ids below path; the list of files: part, place, file, n_docs, n_tokens, n_bytes."""
+    """Write all documents' ids below path; the list of blocks: part, nr, file, head, at, n_bytes, n_docs, n_tokens, before (tokens of its part)."""
     spark = docs.sparkSession
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
@@ -166,16 +167,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> D
         part, coder = TaskContext.get().partitionId(), words(vocabulary)
         only(coder)
         held: list[tuple[int | None, np.ndarray]] = []
-        n = place = 0
+        n = place = nr = before = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, n, place
-            data = rans.pack_file(held)
+            nonlocal held, n, place, nr, before
+            data = rans.pack_file(held, BLOCK)
             name = f"{path}/tokens/{part:06d}-{place:04d}-{uuid.uuid4().hex}.rans"
             write_file(name, data)
-            row = {"part": part, "place": place, "file": name, "n_docs": len(held), "n_tokens": n, "n_bytes": len(data)}
+            head, blocks = rans.layout(data)
+            rows = []
+            for at, size, tokens, documents in blocks:
+                rows.append({"part": part, "nr": nr, "file": name, "head": head, "at": at, "n_bytes": size, "n_docs": documents, "n_tokens": tokens, "before": before})
+                nr, before = nr + 1, before + tokens
             held, n, place = [], 0, place + 1
-            return pa.RecordBatch.from_pylist([row], schema=FILES)
+            return pa.RecordBatch.from_pylist(rows, schema=LISTED)
 
         for batch in slices(batches, rows=10000, size=16 << 20):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1)), strict=True):
@@ -190,32 +195,38 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> D
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), splits(rows) or 0)
     order = F.col("doc_id").asc_nulls_last()
     sorted_rows = rows.repartitionByRange(parts, order).sortWithinPartitions(order, F.xxhash64("text"))
-    return staged(sorted_rows.mapInArrow(run, "part int, place int, file string, n_docs long, n_tokens long, n_bytes long"), f"{path}/files")
+    return staged(sorted_rows.mapInArrow(run, "part int, nr long, file string, head long, at long, n_bytes long, n_docs long, n_tokens long, before long"), f"{path}/blocks")
 
 
-FILES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
+LISTED = pa.schema(
+    [("part", pa.int32()), ("nr", pa.int64()), ("file", pa.string()), ("head", pa.int64()), ("at", pa.int64()), ("n_bytes", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64())]
+)
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
-    """From the list of files: doc_id, start, n_tokens, ids_crc32, all decoded from the files."""
-    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    placed = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), F.row_number().over(Window.orderBy("part", "place")).alias("nr"))
-    width = files.sparkSession.sparkContext.defaultParallelism
-    width = max(width, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def read_tokens(blocks: DataFrame) -> DataFrame:
+    """From the list of blocks: doc_id, start, n_tokens, ids_crc32, all decoded from the files."""
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a writing task
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    placed = blocks.join(parts, "part").select("file", "head", "at", "n_bytes", (F.col("base") + F.col("before")).alias("start"))
+    spark = blocks.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = coder = None
         for batch in batches:
-            for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for doc_ids, lengths, tokens in rans.unpack_file(read_file(file)):
-                    data = memoryview(tokens.astype("<u4").tobytes())
-                    ends = np.cumsum(lengths, dtype=np.int64)
-                    starts = ends - lengths
-                    sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts + base, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], schema=READ)
-                    base += int(ends[-1]) if len(ends) else 0
-
-    return placed.repartition(width, "nr").select("file", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for file, head, at, size, start in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if file != name:
+                    name, coder = file, rans.head(read_part(file, 0, head))
+                doc_ids, lengths, tokens = rans.unpack_block(coder, rans.checked(read_part(file, at, size)))
+                data = memoryview(tokens.astype("<u4").tobytes())
+                ends = np.cumsum(lengths, dtype=np.int64)
+                starts = ends - lengths
+                sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], schema=READ)
+
+    dealt = placed.repartition(width, "start").sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """WARC files compressed record by record with a Zstandard dictionary, and their reader.
 
-Each task writes files of its own: it gathers records up to FILE bytes, trains a dictionary on records spread evenly over them,
-puts it in a leading skippable frame (magic number 0x184D2A5D) and compresses every record as a frame by itself, so that a
-record can be read at its place with the dictionary alone. With too few records to train on there is no
-such frame. The list of files is a table that Spark commits; files of lost attempts are never read.
+Each task writes files of its own: it gathers records up to FILE bytes, builds a dictionary from pieces spread evenly over all of
+them, puts it, compressed itself, in a leading skippable frame (magic number 0x184D2A5D) and compresses every record as a
+frame by itself, so that a record can be read at its place with the dictionary alone. The dictionary's size is a share of the
+file's, so that it pays at every size; where there is too little to train on, the pieces themselves are the dictionary. Every file
+begins with such a frame. The list of files is a table that Spark commits; files of lost attempts are never read.
 
 Records with equal payloads of at least LEAST bytes are written once: the one with the largest page_id is the
 response, the others are revisit records that refer to it. Groups of copies are found by a map-side aggregate and the
 lookup is salted, so a group may hold any part of the rows.
 
 Defined results: a null html counts as empty, a null url as an empty one; rows that repeat both the page_id and the payload of a
-response are responses too; a null page_id revisits the largest other one, and if a group has none all are responses;
+response are responses too; a very long html is one record, held whole in memory while it is written; a null page_id revisits the largest other one, and if a group has none all are responses;
 an empty table gives no files and an empty result; other columns are never read.
 """
 
@@ -34,8 +35,10 @@ from .common import read_file, slices, spread, staged, table, text_of, workspace
 LEAST = 1000  # bytes of a payload that may be revisited
 SALTS = 16
 FILE = 32 << 20  # bytes of records after which a task starts another file
-DICTIONARY = 64 << 10
-SAMPLE = 2 << 20  # bytes of records that a dictionary is trained on, at most
+DICTIONARY, LEAST_DICTIONARY = 64 << 10, 256  # bytes
+SHARE = 64  # records have so many times the bytes of their dictionary
+PIECE = 8 << 10  # bytes that are trained on together
+SAMPLE = 2 << 20  # bytes of pieces that a dictionary is trained on, at most
 LEVEL = 3
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,34 +62,46 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def trained(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    step = max(1, sum(map(len, records)) // SAMPLE)
-    samples = records[::step]
-    if len(samples) < 16 or sum(map(len, samples)) < 4 * DICTIONARY:
-        return None
+def pieces(records: list[bytes]) -> list[bytes]:
+    """Parts of at most PIECE bytes, spread evenly over all records, of SAMPLE bytes together at most."""
+    parts = [r[i : i + PIECE] for r in records for i in range(0, len(r), PIECE)]
+    return parts[:: max(1, -(-sum(map(len, parts)) // SAMPLE))]
+
+
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Built from the records of a file."""
+    parts = pieces(records)
+    size = min(DICTIONARY, max(LEAST_DICTIONARY, sum(map(len, records)) // SHARE))
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples)
-    except zstandard.ZstdError:  # records too much alike
-        return None
+        return zstandard.train_dictionary(size, parts)
+    except zstandard.ZstdError:  # too few records, or too much alike: what they have is taken as it is
+        some = b"".join(p[: max(64, size // max(1, len(parts)))] for p in parts[:: max(1, len(parts) * 64 // size)])
+        return zstandard.ZstdCompressionDict(some[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def pack(records: list[bytes]) -> bytes:
     """A file of records."""
-    made, parts = trained(records), []
-    if made:
-        raw = made.as_bytes()
-        parts.append(struct.pack("<II", MAGIC, len(raw)) + raw)
+    made = dictionary(records)
+    raw = zstandard.ZstdCompressor(level=19, write_checksum=True).compress(made.as_bytes())
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=True)
-    return b"".join(parts + [press.compress(r) for r in records])
+    return b"".join([struct.pack("<II", MAGIC, len(raw)), raw, *(press.compress(r) for r in records)])
+
+
+def leading(data: bytes) -> tuple[zstandard.ZstdCompressionDict | None, int]:
+    """The dictionary in the leading frame, compressed or as it is, and where the records begin."""
+    if len(data) < 8 or struct.unpack_from("<I", data)[0] != MAGIC:
+        return None, 0
+    (n,) = struct.unpack_from("<I", data, 4)
+    raw = data[8 : 8 + n]
+    if raw[:4] == zstandard.FRAME_HEADER:
+        raw = zstandard.ZstdDecompressor().decompress(raw)
+    return zstandard.ZstdCompressionDict(raw), 8 + n
 
 
 def unpack(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and the block of each record."""
-    made = None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == MAGIC:
-        (n,) = struct.unpack_from("<I", data, 4)
-        made, data = zstandard.ZstdCompressionDict(data[8 : 8 + n]), data[8 + n :]
-    source = zstandard.ZstdDecompressor(dict_data=made).stream_reader(io.BytesIO(data), read_across_frames=True)
+    made, start = leading(data)
+    source = zstandard.ZstdDecompressor(dict_data=made).stream_reader(io.BytesIO(memoryview(data)[start:]), read_across_frames=True)
     with io.BufferedReader(source, 1 << 20) as f:
         while line := f.readline():
             if not line.startswith(b"WARC/"):

@@ -1,4 +1,6 @@
 import hashlib
+import io
+import wave
 import zlib
 
 import numpy as np
@@ -6,11 +8,17 @@ import numpy as np
 from foliant.llm import media
 
 
-def test_query(spark, sf, awkward, empty):
+def test_query(spark, sf, awkward, empty, tmp_path):
+    seen_paths = []
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for table in (docs, awkward):
         seen = {}
-        got = media.fingerprints(media.to_media(table)).collect()
+        kept = media.stored(media.to_media(table), f"file://{tmp_path}/{len(seen_paths)}")
+        seen_paths.append(kept)
+        for r in spark.read.parquet(f"file://{tmp_path}/{len(seen_paths) - 1}/media").collect():  # a WAV file each
+            with wave.open(io.BytesIO(r["media"])) as f:
+                assert f.getsampwidth() == f.getnchannels() == 1 and f.getnframes() % 64 == 0
+        got = media.fingerprints(kept).collect()
         want = []
         for r in table.collect():
             data = (r["text"] or "").encode()
@@ -21,7 +29,7 @@ def test_query(spark, sf, awkward, empty):
             assert seen.setdefault(r["payload_sha256"], (r["feature"], r["media_sha256"], r["peak_codes"])) == (r["feature"], r["media_sha256"], r["peak_codes"])
             assert len(r["peak_times"]) == len(r["peak_codes"]) and r["peak_times"] == sorted(r["peak_times"])
             assert r["media_bytes"] == r["payload_bytes"] + 44
-    assert media.fingerprints(media.to_media(empty)).count() == 0
+    assert media.fingerprints(media.stored(media.to_media(empty))).count() == 0
 
 
 def test_round_trip():

@@ -74,3 +74,11 @@ def test_a_source_may_be_taken_more_than_twice(spark):
     for r in rows:
         assert abs(taken[r["src"]] - r["target"]) <= 5
     assert {len(r["positions"]) for r in rows if r["src"] == "1a"} == {3, 4}
+
+
+def test_clashing_names(clashing):
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns
+    want = {(r["doc_id"], r["text"]): tuple(r) for r in clashing.collect()}
+    got = mixed.collect()
+    assert got and all(tuple(r) == want[r["doc_id"], r["text"]] for r in got)

@@ -140,3 +140,9 @@ def test_another_threshold(spark, sf, monkeypatch, stars):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df, percent=80).collect() if r["n_shingles"]} == want
     if stars:
         assert {r["doc_id"] for r in near_dedup.drop_near_copies(df, percent=80).collect()} == {i for i, _ in rows if want.get(i, i) == i}
+
+
+def test_clashing_names(clashing):
+    kept = near_dedup.drop_near_copies(clashing)
+    assert kept.columns == clashing.columns
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, 6, 8, 9, 10, None}

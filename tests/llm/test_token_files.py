@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliant.llm import rans, token_files
@@ -60,11 +61,14 @@ def test_query(spark, sf, awkward, empty, tmp_path):
 def test_several_files_a_task(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).coalesce(1)
     monkeypatch.setattr(token_files, "FILE", 2000)
-    monkeypatch.setattr(rans, "BLOCK", 700)
+    monkeypatch.setattr(token_files, "BLOCK", 700)
     files = token_files.write_tokens(docs, workspace(spark, "test"))
     assert read_file(files.first()["file"])[:8] == rans.MAGIC
     got = token_files.read_tokens(files).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert files.select("file").distinct().count() > 3 and files.count() > files.select("file").distinct().count()
+    some = files.where("nr % 3 = 1")  # any blocks can be read without the others
+    assert token_files.read_tokens(some.withColumn("before", F.col("before"))).count() == some.agg(F.sum("n_docs")).first()[0]
 
 
 def test_words_as_the_library():

@@ -41,7 +41,7 @@ def test_dictionary_stands_in_front(spark):
     data = warc.pack(records)
     magic, size = struct.unpack_from("<II", data)
     assert magic == warc.MAGIC and len(data) < len(warc.pack(records[:1])) * len(records)
-    made = zstandard.ZstdCompressionDict(data[8 : 8 + size])
+    made = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
     one = zstandard.ZstdDecompressor(dict_data=made).decompressobj()
     assert one.decompress(data[8 + size :]) == records[0] and one.unused_data  # each record is a frame of its own
     assert [h["warc-record-id"] for h, _ in warc.unpack(data)] == [f"<urn:page:{i}>" for i in range(3000)]
@@ -60,3 +60,28 @@ def test_several_files_a_task(spark, sf, monkeypatch):
     files = warc.write_warc(pages, workspace(spark, "test"))
     assert files.count() > 4 and all(len(read_file(r["file"])) == r["n_bytes"] for r in files.collect())
     assert warc.read_warc(files).count() == pages.count()
+
+
+def test_every_archive_has_a_dictionary_that_pays(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    files = warc.write_warc(pages, workspace(spark, "test")).collect()
+    plain = zstandard.ZstdCompressor(level=warc.LEVEL, write_checksum=True)
+    for r in files:
+        data = read_file(r["file"])
+        made, start = warc.leading(data)
+        assert struct.unpack_from("<I", data)[0] == warc.MAGIC and len(made.as_bytes()) <= warc.DICTIONARY and start > 8
+        whole = zstandard.ZstdDecompressor(dict_data=made).stream_reader(data[start:], read_across_frames=True).read()
+        records = [b"WARC/1.1" + x for x in whole.split(b"WARC/1.1")[1:]]
+        assert len(records) == r["n_records"] and len(data) < sum(len(plain.compress(x)) for x in records)
+    for records in ([b"x"], [b"x" * 10_000_000], [bytes([i]) * 3000 for i in range(200)], [warc.record(1, "u", b"", None, False)]):
+        data = warc.pack(records)
+        made, start = warc.leading(data)
+        assert made is not None
+        got = zstandard.ZstdDecompressor(dict_data=made).stream_reader(data[start:], read_across_frames=True).read()
+        assert got == b"".join(records)
+
+
+def test_long_pages_and_nulls(spark):
+    pages = [(i, None if i % 2 else f"http://h/{i}", f"<p>{i}</p>" * (300_000 if i == 3 else i)) for i in range(6)] + [(9, "u", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.read_warc(warc.write_warc(df, workspace(spark, "test"))).collect()), key=repr) == brute(pages)
