@@ -2,26 +2,35 @@ r"""Personal data: fixed patterns, and further spans found by weak supervision.
 
 Four kinds (email, ip, card, phone) are found by pattern alone. Further candidates (national ids, bank
 accounts, dates of birth, local phone numbers, disguised addresses, names) get votes from four labelers: a strict
-regex, a gazetteer, the words before, and the words that speak against. The votes and a coarse shape of every
-candidate in the corpus are counted by value, at most a few thousand different ones; expectation-maximisation
-over these counts estimates how reliable each labeler is, and its posteriors train a logistic regression over
-votes, kind and shape, which decides about each candidate.
+regex, a gazetteer, the words before, and the words that speak against. Candidates inside a base span are known to be
+personal data; they are counted as labelled ones and never reported themselves.
 
-Patterns run in time linear in the text, also over long runs of digits or address characters.
+The votes of all candidates in the corpus are counted by kind and value, a few thousand different ones at most;
+expectation-maximisation over these counts estimates how reliable each labeler is for each kind, the labelled ones being
+fixed. Its posteriors are the labels on which the final span classifier is trained: a logistic regression over votes, kind, the
+candidate's characters and length and the words around it, hashed to 2**BITS features. It is trained on at most `sample`
+candidates, those with the smallest hash, and decides about every candidate.
 
-Defined results: a null text counts as empty and has no spans; repeated rows are handled alike; a null doc_id is
-passed on; an empty table gives an empty result; other columns are never read. With no candidates anywhere the
-labelers keep their prior reliabilities.
+Patterns run in time linear in the text, also over long runs of digits or address characters, and have no upper bounds of their own;
+context is WINDOW characters.
+
+Defined results: a null text counts as empty and has no spans; very long texts are searched whole; repeated rows are handled
+alike; a null doc_id is passed on; an empty table gives an empty result; other columns are never read. With no candidates
+anywhere the labelers keep their prior reliabilities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,28 +87,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # Candidates. Each kind has a loose pattern and its labelers' knowledge.
 ID, IBAN, BIRTH, LOCAL_PHONE, DISGUISED, NAME = "national_id", "iban", "birth_date", "local_phone", "hidden_email", "person"
+MORE = (ID, IBAN, BIRTH, LOCAL_PHONE, DISGUISED, NAME)
 LOOSE = {
     ID: re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     IBAN: re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     BIRTH: re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|[./-][0-9])"),
     LOCAL_PHONE: re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
-    DISGUISED: re.compile(r"\b[A-Za-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63})+"),
-    NAME: re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Señor|Señora)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?|(?<=[Nn]ame: )[A-Z][a-z]{1,30} [A-Z][a-z]{1,30}"),
 }
+AT = re.compile(r" ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++)++")
+WORD = r"\p{Lu}[\p{L}\p{M}'’-]*+"
+PERSON = regex.compile(rf"(?<![\p{{L}}])(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Señor|Señora)\.? {WORD}(?: {WORD})*+|(?<=[Nn]ame: ){WORD}(?: {WORD})++)")
 HAS_DIGIT_PAIR = re.compile(r"[0-9][0-9]")
 TITLES = ("Mr", "Ms", "Dr", "Herr", "Frau", "Mme", "Señor", "ame: ")
 CONTEXT = {
     ID: ("ssn", "social security", "national id", "tax id"),
     IBAN: ("iban", "account", "konto", "compte", "cuenta", "bank"),
     BIRTH: ("born", "birth", "dob", "geboren", "geburt", "né", "naissance", "nacid", "nacimiento"),
-    LOCAL_PHONE: ("phone", "call", "tel", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono"),
+    LOCAL_PHONE: ("phone", "call", "tel", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono", "+"),
     DISGUISED: ("mail", "contact", "write", "reach"),
     NAME: ("name", "contact", "from", "dear", "signed", "regards", "patient", "customer"),
 }
 AGAINST = ("version", "isbn", "part no", "serial", "order", "released", "page", "chapter", "error", "ticket", "$", "€", "#")
-GIVEN = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna peter hans jürgen marie pierre jean luis carlos maria carmen jose".split())
-COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+# Given names common in English, German, French and Spanish.
+GIVEN = frozenset(
+    """adam alan albert alejandro alex alexander alice amy ana andrea andreas andrew angela anna anne antoine antonio arthur barbara benjamin bernard
+    bernd brian camille carlos carmen caroline catherine charles charlotte chloé christian christine christopher claire claudia claudine cristina dagmar daniel david
+    deborah diego dieter dietmar dolores donald dorothy edward elena elizabeth emily emma enrique eric ernst eva felix fernando francisco françois françoise frank fritz
+    gabriel georg george gérard gisela guillaume günter hannah hans harald heike heinrich helen helga henri hugo ingrid isabel jack jacques james jan
+    javier jean jennifer jessica joan johann john jonas jorge josé jose joseph juan jürgen julia karen karin karl katharina kevin klaus laura lena léa linda
+    lisa louis luc lucas lucía luis lukas manuel manon marc margaret maria maría marie mario mark markus marta martin mary matthew max mercedes michael michel
+    miguel monika nancy nathalie nicolas nicole olivier otto pablo pascal patricia paul paula pedro peter petra philippe pierre pilar rafael ramón raúl renate
+    richard robert rosa ruth sabine samuel sandra sarah sergio simon sofía sophie stefan stephen susan susanne sylvie teresa theo thomas ursula uwe véronique
+    walter werner wilhelm william wolfgang yves""".split()
+)
+# Lengths of account numbers by country, of the IBAN registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
+    "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25,
+    "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+ENDINGS = frozenset("com org net edu gov info io de at ch fr be es it nl pt uk eu".split())
 N_LABELERS = 4
+WINDOW = 40  # characters before a candidate that its context is
+YEARS = (1900, 2099)
+BITS = 16
+SAMPLE = 20_000  # candidates that the classifier is trained on, at most
 
 
 def _strict(kind: str, s: str) -> int:
@@ -113,7 +145,7 @@ def _strict(kind: str, s: str) -> int:
     if kind == BIRTH:
         parts = [int(x) for x in re.split("[./-]", s)]
         y, m, d = parts if len(s) == 10 and s[4] == "-" else parts[::-1]
-        return 1 if 1900 <= y <= 2025 and 1 <= min(m, d) and m <= 31 and d <= 31 and min(m, d) <= 12 else -1
+        return 1 if YEARS[0] <= y <= YEARS[1] and 1 <= min(m, d) and max(m, d) <= 31 and min(m, d) <= 12 else -1
     if kind == LOCAL_PHONE:
         return 1 if s.lstrip("(")[0] not in "01" else -1
     return 0
@@ -121,35 +153,68 @@ def _strict(kind: str, s: str) -> int:
 
 def _gazetteer(kind: str, s: str) -> int:
     if kind == NAME:
-        return 1 if any(w.lower() in GIVEN for w in s.split()) else 0
+        return 1 if any(w.lower() in GIVEN for w in re.split("[ -]", s)) else 0
     if kind == IBAN:
-        return 1 if s[:2] in COUNTRIES else -1
+        return 1 if IBAN_LENGTHS.get(s[:2]) == len(s.replace(" ", "")) else -1
     if kind == DISGUISED:
-        return 1 if re.search(r"(?:com|org|net|edu|de|fr|es|io)$", s) else 0
+        return 1 if re.split(r"[ \])]", s)[-1].lower() in ENDINGS else 0
     return 0
 
 
-def candidates(text: str) -> list[dict]:
-    """Candidate spans with their labelers' votes and shape."""
-    kinds = [k for k in (ID, IBAN, BIRTH, LOCAL_PHONE)] if HAS_DIGIT_PAIR.search(text) else []
+def _matches(text: str) -> Iterator[tuple[str, int, int]]:
+    if HAS_DIGIT_PAIR.search(text):
+        for kind, pattern in LOOSE.items():
+            yield from ((kind, *m.span()) for m in pattern.finditer(text))
     if ("(" in text or "[" in text) and "at" in text:
-        kinds.append(DISGUISED)
+        end = 0
+        for m in AT.finditer(text):
+            start = m.start()
+            while start > end and text[start - 1] in HIDDEN:
+                start -= 1
+            if start < m.start():
+                end = m.end()
+                yield DISGUISED, start, end
     if any(t in text for t in TITLES):
-        kinds.append(NAME)
+        yield from ((NAME, *m.span()) for m in PERSON.finditer(text))
+
+
+HIDDEN = LOCAL - frozenset("%+")
+
+
+def _form(s: str) -> str:
+    """The kinds of characters, runs of letters taken together."""
+    return re.sub("a{2,}", "a", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s))
+
+
+def _features(kind: str, votes: str, s: str, before: str, after: str) -> list[int]:
+    """Hashed features: kind, votes, characters and length, words around."""
+    words = before.split()[-2:]
+    said = [f"kind={kind}", f"form={kind}:{_form(s)}", f"long={kind}:{min(9, len(s) // 4)}", *(f"v{i}{v}" for i, v in enumerate(votes)), *(f"kv{kind}{i}{v}" for i, v in enumerate(votes))]
+    said += [f"last={kind}:{words[-1]}" if words else "last=", f"then={kind}:{(after.split() or [''])[0]}", *(f"near={w}" for w in words)]
+    return [xxhash.xxh32_intdigest(x) & ((1 << BITS) - 1) for x in said]
+
+
+def candidates(text: str, base: list[tuple[int, int, int]] = ()) -> list[dict]:
+    """Candidate spans with their labelers' votes and features; state 1: inside a base span, -1: overlapping one, 0: clear."""
     out = []
-    for kind in kinds:
-        for m in LOOSE[kind].finditer(text):
-            before = text[max(0, m.start() - 40) : m.start()].lower()
-            votes = (_strict(kind, m[0]), _gazetteer(kind, m[0]), 1 if any(w in before for w in CONTEXT[kind]) else 0, -1 if any(w in before for w in AGAINST) else 0)
-            out.append({"start": m.start(), "end": m.end(), "kind": kind, "votes": "".join("-0+"[v + 1] for v in votes), "shape": str(min(3, (m.end() - m.start()) // 8))})
+    spans = sorted((a, b) for a, _, b in base)
+    starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    for kind, a, b in _matches(text):
+        s, before = text[a:b], text[max(0, a - WINDOW) : a].lower()
+        votes = (_strict(kind, s), _gazetteer(kind, s), 1 if any(w in before for w in CONTEXT[kind]) else 0, -1 if any(w in before for w in AGAINST) else 0)
+        said = "".join("-0+"[v + 1] for v in votes)
+        i, j = bisect_right(starts, a), bisect_left(starts, b)
+        state = 1 if i and reach[i - 1] >= b else -1 if j and reach[j - 1] > a else 0
+        out.append({"start": a, "end": b, "kind": kind, "votes": said, "state": state, "features": _features(kind, said, s, before, text[b : b + WINDOW].lower())})
     return out
 
 
-FOUND = pa.schema(
-    [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])))]
-    + [("candidates", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("shape", pa.string())])))]
+CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("state", pa.int32()), ("features", pa.list_(pa.int32()))])
+FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("starts", pa.list_(pa.int32())), ("candidates", pa.list_(CANDIDATE))])
+FOUND_DDL = (
+    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, starts array<int>, "
+    "candidates array<struct<start: int, end: int, kind: string, votes: string, state: int, features: array<int>>>"
 )
-FOUND_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start: int, kind: int, end: int>>, candidates array<struct<start: int, end: int, kind: string, votes: string, shape: string>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,75 +222,98 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             base = base_spans(text)
-            row = {"doc_id": doc_id, "base": [{"start": a, "kind": k, "end": b} for a, k, b in base], "candidates": candidates(text)}
+            said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
+            row = {"doc_id": doc_id, "base": said, "starts": [a for a, _, _ in base], "candidates": candidates(text, base)}
             rows.append(row | {f"n_{k}": sum(x[1] == i for x in base) for i, k in enumerate(KINDS)})
         yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
 
 
-class SpanModel:
-    """Labeler reliabilities by expectation-maximisation and the span classifier trained on its posteriors."""
+class Labelers:
+    """Reliabilities by kind, and the posterior of each kind and votes, by expectation-maximisation."""
 
-    def __init__(self, counts: list[tuple[str, str, str, int]], rounds: int = 50):
-        """counts: (kind, votes, shape, how often), each different triple once."""
-        n = np.array([c[3] for c in counts], float)
-        votes = np.array([["-0+".index(v) for v in c[1]] for c in counts], np.int64).reshape(-1, N_LABELERS)
+    def __init__(self, counts: list[tuple[str, str, bool, int]], rounds: int = 50):
+        """counts: (kind, votes, whether labelled as real, how often), each different triple once."""
         # p(vote | span is real or not), with a prior worth 20 candidates that trusts each labeler a little
         prior = 20 * np.stack([np.tile([0.30, 0.50, 0.20], (N_LABELERS, 1)), np.tile([0.05, 0.40, 0.55], (N_LABELERS, 1))])
-        self.reliability, share = prior / prior.sum(-1, keepdims=True), 0.3
-        post = np.zeros(len(n))
-        for _ in range(rounds):
-            log = [np.log(p) + sum(np.log(self.reliability[z, i, votes[:, i]]) for i in range(N_LABELERS)) for z, p in ((0, 1 - share), (1, share))]
-            post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-            for z, q in ((0, 1 - post), (1, post)):
-                seen = np.array([[(n * q)[votes[:, i] == v].sum() for v in range(3)] for i in range(N_LABELERS)]) + prior[z]
-                self.reliability[z] = seen / seen.sum(-1, keepdims=True)
-            share = ((n * post).sum() + 3) / (n.sum() + 10)
-        self.weights: dict[str, float] = {}
-        self.bias = -1.0
-        self._train(counts, n, post)
+        self.reliability, self.share, self.posterior = {}, {}, {}
+        for kind in MORE:
+            mine = [c for c in counts if c[0] == kind]
+            n = np.array([c[3] for c in mine], float)
+            votes = np.array([["-0+".index(v) for v in c[1]] for c in mine], np.int64).reshape(-1, N_LABELERS)
+            known = np.array([c[2] for c in mine], bool)
+            held, share = prior / prior.sum(-1, keepdims=True), 0.3
+            for _ in range(rounds):
+                post = np.where(known, 1.0, self._real(held, share, votes))
+                for z, q in ((0, 1 - post), (1, post)):
+                    seen = np.array([[(n * q)[votes[:, i] == v].sum() for v in range(3)] for i in range(N_LABELERS)]) + prior[z]
+                    held[z] = seen / seen.sum(-1, keepdims=True)
+                share = ((n * post).sum() + 3) / (n.sum() + 10)
+            self.reliability[kind], self.share[kind] = held, share
+            for c, p in zip(mine, self._real(held, share, votes).tolist(), strict=True):
+                self.posterior[c[0], c[1]] = p
 
     @staticmethod
-    def _features(kind: str, votes: str, shape: str) -> list[str]:
-        return [f"kind={kind}", f"shape={kind}{shape}", *(f"v{i}{v}" for i, v in enumerate(votes))]
-
-    def _train(self, counts: list, n: np.ndarray, post: np.ndarray, rounds: int = 300) -> None:
-        names = sorted({f for c in counts for f in self._features(*c[:3])})
-        at = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(counts), len(names)))
-        for i, c in enumerate(counts):
-            x[i, [at[f] for f in self._features(*c[:3])]] = 1
-        w, b, share = np.zeros(len(names)), self.bias, n / max(1.0, n.sum())
-        for _ in range(rounds):
-            off = (1 / (1 + np.exp(-(x @ w + b))) - post) * share
-            w -= 2.0 * (x.T @ off + 1e-4 * w)
-            b -= 2.0 * off.sum()
-        self.weights, self.bias = dict(zip(names, w.tolist(), strict=True)), float(b)
-
-    def probability(self, kind: str, votes: str, shape: str) -> float:
-        z = self.bias + sum(self.weights.get(f, 0.0) for f in self._features(kind, votes, shape))
-        return 1 / (1 + float(np.exp(-z)))
-
-
-def find_personal_data(docs: DataFrame, path: str | None = None, threshold: float = 0.6) -> DataFrame:
+    def _real(held: np.ndarray, share: float, votes: np.ndarray) -> np.ndarray:
+        log = [np.log(p) + sum(np.log(held[z, i, votes[:, i]]) for i in range(N_LABELERS)) for z, p in ((0, 1 - share), (1, share))]
+        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+
+
+class SpanClassifier:
+    """Logistic regression over hashed features, by adaptive gradient steps."""
+
+    def __init__(self, examples: list[tuple[list[int], float]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-3):
+        self.w, self.bias = np.zeros(1 << BITS), 0.0
+        seen, bias_seen = np.full(1 << BITS, 1e-8), 1e-8
+        order = np.random.default_rng(10)
+        for _ in range(epochs):
+            for i in order.permutation(len(examples)).tolist():
+                at, y = examples[i]
+                at = np.array(sorted(set(at)))
+                off = 1 / (1 + np.exp(-np.clip(self.w[at].sum() + self.bias, -35, 35))) - y
+                g = off + l2 * self.w[at]
+                seen[at] += g * g
+                self.w[at] -= rate * g / np.sqrt(seen[at])
+                bias_seen += off * off
+                self.bias -= rate * off / np.sqrt(bias_seen)
+
+    def probabilities(self, features: list[list[int]]) -> np.ndarray:
+        if not features:
+            return np.empty(0)
+        sizes = [len(set(f)) for f in features]
+        flat = np.fromiter((x for f in features for x in set(f)), np.int64, sum(sizes))
+        z = np.add.reduceat(self.w[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]])) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def fitted(found: DataFrame, sample: int = SAMPLE) -> SpanClassifier:
+    """From the rows of _find: reliabilities of the labelers over all candidates, and the classifier trained on their posteriors."""
+    each = found.select("doc_id", F.explode("candidates").alias("c")).where("c.state >= 0")
+    counts = each.groupBy("c.kind", "c.votes", (F.col("c.state") == 1).alias("known")).count().sort("kind", "votes", "known")
+    labelers = Labelers([tuple(r) for r in counts.collect()])  # at most kinds * 3**labelers * 2 rows
+    order = F.xxhash64("doc_id", "c.start", "c.kind")
+    some = each.select(order.alias("h"), "doc_id", "c.kind", "c.votes", "c.state", "c.features").orderBy("h", "doc_id", "kind", "votes", "features").limit(sample).collect()
+    return SpanClassifier([(r["features"], 1.0 if r["state"] == 1 else labelers.posterior[r["kind"], r["votes"]]) for r in some])
+
+
+def find_personal_data(docs: DataFrame, path: str | None = None, threshold: float = 0.6, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; spans also holds what the classifier accepts."""
     spark = docs.sparkSession
     found = staged(spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(_find, FOUND_DDL), f"{path or workspace(spark, 'pii')}/found")
-    seen = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.shape").count().sort("kind", "votes", "shape")
-    model = SpanModel([tuple(r) for r in seen.collect()])  # at most kinds * 3**labelers * shapes rows
+    model = fitted(found, sample)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                base = [f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in r["base"]]
-                more = [
-                    (c["start"], len(KINDS), f"{c['kind']}:{c['start']}:{c['end']}")
-                    for c in r["candidates"]
-                    if model.probability(c["kind"], c["votes"], c["shape"]) >= threshold and not any(c["start"] < x["end"] and x["start"] < c["end"] for x in r["base"])
-                ]
-                every = sorted([(x["start"], x["kind"], s) for x, s in zip(r["base"], base, strict=True)] + more)
-                rows.append({k: r[k] for k in ("doc_id", *(f"n_{k}" for k in KINDS))} | {"base_sha256": hashlib.sha256(",".join(base).encode()).hexdigest(), "spans": ",".join(x[2] for x in every)})
-            yield pa.RecordBatch.from_pylist(rows, schema=RESULT)
+            base, starts, lists = (batch.column(i).to_pylist() for i in (5, 6, 7))
+            likely = iter(model.probabilities([c["features"] for found in lists for c in found]).tolist())
+            spans = []
+            for said, at, found in zip(base, starts, lists, strict=True):
+                more = [(c["start"], len(KINDS), f"{c['kind']}:{c['start']}:{c['end']}") for c in found if next(likely) >= threshold and c["state"] == 0]
+                if more:
+                    every = [(a, [*KINDS].index(x.partition(":")[0]), x) for a, x in zip(at, said.split(","), strict=True)] if said else []
+                    said = ",".join(x[2] for x in sorted(every + more))
+                spans.append(said)
+            digests = [hashlib.sha256(x.encode()).hexdigest() for x in base]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digests, pa.string()), pa.array(spans, pa.string())], schema=RESULT)
 
     return found.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
