@@ -17,6 +17,7 @@ QUERIES = {
     "op10_personal_data": pii.query,
 }
 ORACLES = {
+    "op1_near_dedup": near_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc_archive": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,

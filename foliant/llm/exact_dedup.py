@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged, table, text_of, workspace
+from .common import SPACE, spread_join, staged, table, text_of, workspace
 
 CAPACITY = 1 << 16  # keys a bucket may hold before it is split
 PARTS = 1 << 16  # of all rows or keys: what is larger is treated apart
@@ -88,20 +88,8 @@ def led(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, entries: DataFrame, n_rows: int) -> DataFrame:
-    """Rows (bucket, key and others) with the other columns of their entry (bucket, key, n and others), or nulls; n: how many rows it has.
-
-    Entries of many rows are broadcast, at most PARTS of them; the others are joined by bucket and key, and rows that have found
-    theirs already are dealt out evenly meanwhile. That join is a sort-merge join at every size: a broadcast of a table that grows with
-    the data would only be another plan for small ones.
-    """
-    more = [c for c in entries.columns if c not in ("bucket", "key")]
-    large = F.col("n") > F.lit(n_rows // PARTS)
-    hot = F.broadcast(entries.where(large).select(F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.struct(*more).alias("_hot")))
-    cold = entries.where(~large).select(F.lit(False).alias("_found"), F.col("bucket").alias("_probe"), F.col("key").alias("_number"), F.struct(*more).alias("_cold")).hint("merge")
-    met = rows.join(hot, (rows["bucket"] == F.col("_b")) & (rows["key"] == F.col("_k")), "left").drop("_b", "_k").withColumn("_found", F.col("_hot").isNotNull())
-    met = met.withColumn("_probe", F.when(F.col("_found"), F.lit("")).otherwise(F.col("bucket"))).withColumn("_number", F.when(F.col("_found"), F.xxhash64("doc_id")).otherwise(F.col("key")))
-    both = met.join(cold, ["_found", "_probe", "_number"], "left").withColumn("_entry", F.coalesce("_hot", "_cold"))
-    return both.select(*rows.columns, *[F.col(f"_entry.{c}").alias(c) for c in more])
+    """Rows (bucket, key and others) with the other columns of their entry (bucket, key, n and others), or nulls; n: how many rows it has."""
+    return spread_join(rows, entries, ["bucket", "key"], "n", n_rows // PARTS, "doc_id")  # so at most PARTS entries are broadcast
 
 
 class ExactIndex:

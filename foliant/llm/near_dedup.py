@@ -10,18 +10,22 @@ anywhere. Equal registers are likely for similar sets, and sketches of parts mer
 2. Bands of registers are hashed: classes that share a band are candidates. Within a band's bucket they aren't paired with
    each other, but with one hub. A pair's similarity is then estimated by maximum likelihood from the counts of
    registers that are smaller, equal and larger, given both sizes; what is far below the threshold goes.
-3. Remaining pairs are verified on the full sets, which are computed from the whole texts again; members meet their
-   hub in groups that are salted by size.
+3. Remaining pairs are verified on the full sets. Those of the classes that share a band with another are computed from the whole
+   texts once and written; members meet their hub in groups that are salted by size.
 4. Verified links give components. Members of a bucket that aren't in one component with all others meet a new hub,
-   and at last each other: buckets are cut into blocks, and a task compares two blocks at a time and returns the links only.
+   and at last each other: buckets are cut into blocks by bytes, and a task compares two blocks at a time and returns the links only.
    So every two members of a bucket are compared or already connected, and no link that a shared band shows is lost.
 
-The threshold is a parameter, in per cent, and moves the size filters and the cut-offs of the estimates. A pair at similarity 0.85
-shares none of the 25 bands of 5 registers with probability 4e-7, one at 0.8 with 5e-5.
+Buckets, hubs and classes of many rows are looked up in broadcast tables of a bounded number of rows (spread_join), so that none
+of them needs to be in one task.
+
+The threshold is a parameter, in per cent, and moves the size filters and the cut-offs of the estimates; it is 80 unless another is
+asked for. A pair at similarity 0.85 shares none of the 25 bands of 5 registers with probability 4e-7, one at 0.8 with 5e-5.
 
 Defined results: a null text, or one without words, has the empty set and is linked with nothing; fewer words than five are one shingle;
-rows that share a doc_id are one document, and their links are pooled; rows without doc_id are linked with nothing, are kept
-and have no component_id; an empty table gives an empty result; other columns are never read.
+very long texts are sets of all their shingles; rows that share a doc_id are one document, and their links are pooled; rows without
+doc_id are linked with nothing, are kept and have no component_id; an empty table gives an empty result; other columns are
+never read, and may have any name.
 """
 
 from __future__ import annotations
@@ -34,11 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, slices, spread, staged, table, text_of, workspace
+from .common import only, slices, spread, spread_join, staged, table, text_of, workspace
 from .components import components
 
 WORDS = 5  # a shingle
-SIMILAR, OF = 85, 100  # linked if OF * intersection >= percent * union; SIMILAR unless another percent is asked for
+SIMILAR, OF = 80, 100  # linked if OF * intersection >= percent * union; SIMILAR unless another percent is asked for
+ASKED = 85  # of the registered query
 M = 128  # registers, a power of 2
 B = 1.001
 TOP = 65535  # largest exponent
@@ -46,7 +51,9 @@ RATE = 20.0
 BANDS, ROWS = 25, 5
 STARS = 3  # hubs a bucket has before the rest meets each other
 GROUP = 512  # members that meet a copy of their hub
-PART = 256  # members of a block
+PART = 1024  # members of a block
+PART_BYTES = 16 << 20  # of their sets
+SHARE = 4096  # keys with more than one such part of all classes are looked up apart
 
 U = np.uint64
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
@@ -191,25 +198,16 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each role of a document: hub, salt, leads, doc, items."""
+    """rep and items of documents: doc, text, f1."""
     only(KNOWN)
-    for batch in slices(batches, rows=256, size=2 << 20):
-        rows = []
-        for doc, text, f1, roles in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+    for batch in slices(batches, rows=1024, size=4 << 20):
+        reps, sets = [], []
+        for doc, text, f1 in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             items = shingles(text)
             if print_of(items)[0] == f1:  # of rows that share a doc_id, the one that is meant
-                data = items.tobytes()
-                rows += [(r["hub"], r["salt"], r["hub"] != doc, doc, data) for r in roles]
-            if len(rows) >= 256:
-                yield _role_batch(rows)
-                rows = []
-        if rows:
-            yield _role_batch(rows)
-
-
-def _role_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hub", "salt", "follows", "doc", "items"])
+                reps.append(doc)
+                sets.append(items.tobytes())
+        yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["rep", "items"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -228,49 +226,27 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, path: str, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked. docs: doc_id, text."""
+def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, path: str, percent: int, limit: int) -> DataFrame:
+    """The pairs (a, b) that are linked: a is a hub, which may have any number of pairs."""
     ends = reps.select("rep", "sketch", "n")
-    left = ends.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
+    pairs = staged(pairs, f"{path}/pairs")
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    left = hubs.join(ends.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
     right = ends.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    sized = pairs.join(left, "a").join(right, "b").where(OF * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sized = spread_join(pairs.join(right, "b"), left, ["a"], "members", limit, "b").where(OF * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     close = staged(sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(lambda batches: _close(batches, percent), "a long, b long"), f"{path}/close")
-    sizes = close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    members = close.join(sizes, "a").select(F.col("b").alias("doc"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"))
-    hubs = sizes.select(F.col("a").alias("doc"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    roles = members.union(hubs).groupBy("doc").agg(F.collect_list(F.struct("hub", "salt")).alias("roles"))  # at most BANDS a member and bucket round
-    wanted = roles.join(reps.select(F.col("rep").alias("doc"), "f1"), "doc")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("doc", "text", "f1", "roles")
-    rows = texts.mapInArrow(_sets, "hub long, salt int, follows boolean, doc long, items binary")
+    sizes = close.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / GROUP).cast("int"))
+    members = spread_join(close, sizes, ["a"], "members", limit, "b")
+    members = members.select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), F.lit(True).alias("follows"))
+    heads = sizes.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("follows"))
+    roles = members.union(heads).groupBy("rep").agg(F.collect_list(F.struct("hub", "salt", "follows")).alias("roles"))  # BANDS of a member, a group each of a hub
+    rows = sets.join(roles, "rep").select("rep", "items", F.explode("roles").alias("role")).select("role.hub", "role.salt", "role.follows", F.col("rep").alias("doc"), "items")
     met = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "follows")
     return staged(met.mapInArrow(lambda batches: _verify(batches, percent), "a long, b long"), f"{path}/links")
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each place of a document in a block pair: key, i, j, own, band, doc, comp, items."""
-    only(KNOWN)
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    for batch in slices(batches, rows=256, size=2 << 20):
-        rows = []
-        for doc, text, f1, comp, roles in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            items = shingles(text)
-            if print_of(items)[0] == f1:
-                data = items.tobytes()
-                for r in roles:
-                    for other in range(r["parts"]):
-                        rows.append((r["key"], min(r["own"], other), max(r["own"], other), r["own"], r["band"], doc, comp, data))
-                        if len(rows) == 256:
-                            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=BLOCK_NAMES)
-                            rows = []
-        if rows:
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=BLOCK_NAMES)
-
-
-BLOCK_NAMES = ["key", "i", "j", "own", "band", "doc", "comp", "items"]
-
-
 def _links_within(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Links in one block pair of a bucket, from (own, band, doc, comp, items), without those that components already know.
+    """Links in one block pair of a bucket, from (own, band, doc, comp, sketch, items), without those that components already know.
 
     A pair that shares several bands is looked at in the bucket of the first one only.
     """
@@ -283,9 +259,9 @@ def _links_within(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
             c = root[c]
         return c
 
-    items = [r[4] for r in rows]
+    items = [r[5] for r in rows]
     sizes = np.array([len(x) for x in items], np.int64)
-    sketches = np.stack([registers(x) for x in items])
+    sketches = np.stack([r[4] for r in rows])
     own, mixed_blocks = np.array([r[0] for r in rows]), len({r[0] for r in rows}) > 1
     for k in range(len(rows) - 1):
         least, most = np.minimum(sizes[k], sizes[k + 1 :]), np.maximum(sizes[k], sizes[k + 1 :])
@@ -314,42 +290,50 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for key, i, j, *rest, items in zip(*(batch.column(n).to_pylist() for n in range(8)), strict=True):
-            if (key, i, j) != at:
+        for key, i, j, *rest, sketch, items in zip(*(batch.column(n) for n in range(9)), strict=True):
+            place = key.as_py(), i.as_py(), j.as_py()
+            if place != at:
                 yield links()
-                at, held = (key, i, j), []
-            held.append((*rest, np.frombuffer(items, U)))
+                at, held = place, []
+            # copied, as a batch is given back
+            held.append((*(x.as_py() for x in rest), np.frombuffer(sketch.as_py(), np.uint16), np.frombuffer(items.as_py(), U)))
     yield links()
 
 
-def met_in_blocks(opened: DataFrame, reps: DataFrame, docs: DataFrame, path: str, percent: int) -> DataFrame:
+def met_in_blocks(opened: DataFrame, reps: DataFrame, sets: DataFrame, path: str, percent: int, limit: int) -> DataFrame:
     """Links between the members of open buckets. Buckets are cut into blocks, and each task holds two of them at a time."""
-    sizes = opened.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    opened = opened.select("key", "band", "rep", "comp")
+    sized = opened.join(reps.select("rep", "n"), "rep")
+    sizes = sized.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
+    parts = F.greatest(F.ceil(F.col("members") / PART), F.ceil(F.col("all") * 8 / PART_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("own")
-    placed = opened.join(sizes, "key").groupBy("rep", "comp").agg(F.collect_list(F.struct("key", "band", "parts", own)).alias("roles"))  # BANDS roles at most
-    wanted = placed.join(reps.select("rep", "f1"), "rep")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "f1", "comp", "roles")
-    rows = texts.mapInArrow(_block_rows, "key long, i int, j int, own int, band int, doc long, comp long, items binary")
+    placed = spread_join(opened, sizes.select("key", "members", parts.alias("parts")), ["key"], "members", limit, "rep")
+    placed = placed.groupBy("rep", "comp").agg(F.collect_list(F.struct("key", "band", "parts", own)).alias("roles"))  # BANDS roles at most
+    rows = sets.join(placed, "rep").join(reps.select("rep", "sketch"), "rep").select("rep", "comp", "sketch", "items", F.explode("roles").alias("r"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("r.parts") - 1)).alias("other"))
+    rows = rows.select("r.key", F.least("r.own", "other").alias("i"), F.greatest("r.own", "other").alias("j"), "r.own", "r.band", F.col("rep").alias("doc"), "comp", "sketch", "items")
     met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return staged(met.mapInArrow(lambda batches: _meet(batches, percent), "a long, b long"), f"{path}/links")
 
 
-def _opened(members: DataFrame) -> DataFrame:
+def _opened(members: DataFrame, limit: int) -> DataFrame:
     """The members of buckets that hold more than one component, with their hub."""
     first = F.min(F.struct("rep", "comp")).alias("first")
-    hubs = members.groupBy("key").agg(first, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    return members.join(hubs.select("key", F.col("first.rep").alias("hub"), F.col("first.comp").alias("hub_comp")), "key")
+    hubs = members.groupBy("key").agg(first, F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y")
+    hubs = hubs.select("key", "held", F.col("first.rep").alias("hub"), F.col("first.comp").alias("hub_comp"))
+    return spread_join(members, hubs, ["key"], "held", limit, "rep").where("hub is not null")
 
 
 def near_groups(docs: DataFrame, path: str | None = None, percent: int = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Sets are linked from this similarity on."""
     spark = docs.sparkSession
     path = path or workspace(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = staged(spread(docs).mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, sketch binary, keys array<long>"), f"{path}/rows")
     full = rows.where("n > 0 and doc_id is not null")
     first = full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "sketch", "keys")).alias("one"), F.count(F.lit(1)).alias("size"))
     reps = staged(first.select(F.col("one.doc_id").alias("rep"), "n", "f1", "f2", "size", F.col("one.sketch").alias("sketch"), F.col("one.keys").alias("keys")), f"{path}/reps")
+    limit = max(64, reps.count() // SHARE)  # each class is in BANDS buckets, so at most BANDS * SHARE keys have more classes
 
     # rows that share a doc_id but not their texts
     classes = reps.select("n", "f1", "f2", "rep")
@@ -358,36 +342,65 @@ def near_groups(docs: DataFrame, path: str | None = None, percent: int = SIMILAR
     links = staged(pooled, f"{path}/pooled")
 
     members = reps.select("rep", F.posexplode("keys").alias("band", "key")).withColumn("comp", F.col("rep"))
+    opened = staged(_opened(members, limit), f"{path}/opened")
+    wanted = opened.select("rep").distinct().join(reps.select("rep", "f1"), "rep")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text", "f1")
+    sets = staged(texts.mapInArrow(_sets, "rep long, items binary"), f"{path}/sets")
     for step in range(STARS + 1):
         here = f"{path}/{step}"
-        opened = _opened(members)
         if step < STARS:  # every member meets its bucket's hub, unless both are connected
             pairs = opened.where("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-            links = links.union(verified(pairs, reps, docs, here, percent))
+            links = links.union(verified(pairs, reps, sets, here, percent, limit))
         else:
-            links = links.union(met_in_blocks(opened, reps, docs, here, percent))
+            links = links.union(met_in_blocks(opened, reps, sets, here, percent, limit))
         stars = components(links, f"{here}/components")
+        if step == STARS:
+            break
         # the hub has met all others of its bucket; those that are still open go on without it
         rest = opened.where("rep <> hub").select("key", "band", "rep")
         named = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp_"))
         members = rest.join(named, "rep", "left").select("rep", "band", "key", F.coalesce("comp_", "rep").alias("comp"))
-        if step < STARS:
-            members = staged(members, f"{here}/members")
-            if not _opened(members).head(1):
-                break
+        opened = staged(_opened(members, limit), f"{here}/opened")
+        if not opened.head(1):
+            break
     named = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp_"))
     comps = reps.join(named, "rep", "left").select("n", "f1", "f2", "size", "rep", F.coalesce("comp_", "rep").alias("component"))
-    comps = comps.where("size > 1 or component <> rep").select("n", "f1", "f2", "component")
-    out = rows.select("doc_id", "n", "f1", "f2").join(comps, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    comps = comps.where("size > 1 or component <> rep").select("n", "f1", "f2", "size", "component")
+    one = rows.select("doc_id", "n", "f1", "f2")
+    plain = "n > 0 and doc_id is not null"
+    some = spread_join(one.where(plain), comps, ["n", "f1", "f2"], "size", limit, "doc_id").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    out = some.union(one.where(f"not ({plain})").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, path: str | None = None, percent: int = SIMILAR) -> DataFrame:
     """The documents that stay, one of each group, with all their columns."""
-    gone = near_groups(docs, path, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = near_groups(docs, path, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_of_a_group")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_of_a_group"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), percent=SIMILAR)
+    return near_groups(table(spark, sf_dir, "documents"), percent=ASKED)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT doc_id, md5(unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * common >= 85 * (s.n + t.n - common)
+), either AS (
+  SELECT x, y FROM links UNION SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id AS node, doc_id AS start FROM documents UNION SELECT y, start FROM reached JOIN either ON x = node
+), least AS (
+  SELECT node, min(start) AS component_id FROM reached GROUP BY node
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d JOIN least ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""

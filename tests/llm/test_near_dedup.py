@@ -17,7 +17,7 @@ def sets(rows):
     return out
 
 
-def brute(rows):
+def brute(rows, percent=85):
     made = sets(rows)
     root = {}
 
@@ -29,7 +29,7 @@ def brute(rows):
 
     for i, a in made:
         for j, b in made:
-            if None not in (i, j) and i < j and a and 100 * len(a & b) >= 85 * len(a | b):
+            if None not in (i, j) and i < j and a and 100 * len(a & b) >= percent * len(a | b):
                 x, y = top(i), top(j)
                 root[max(x, y)] = min(x, y)
     return sorted(((i, len(s), None if i is None else top(i), i is None or top(i) == i) for i, s in made), key=repr)
@@ -37,7 +37,7 @@ def brute(rows):
 
 def check(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, near_dedup.near_groups(df).collect()), key=repr) == brute(rows)
+    assert sorted(map(tuple, near_dedup.near_groups(df, percent=85).collect()), key=repr) == brute(rows)
 
 
 def near_rows(n=120, words=60, most=9):

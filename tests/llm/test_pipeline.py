@@ -22,7 +22,7 @@ def test_stages(spark, sf):
     one = stages["exact_dedup"](spark, good, sf).cache()
     assert {i for i, _ in rows(one)} == {r[0] for r in exact_brute(rows(good)) if r[3]} and one.columns == docs.columns
     near = stages["near_dedup"](spark, one, sf).cache()
-    assert {i for i, _ in rows(near)} == {r[0] for r in near_brute(rows(one)) if r[3]} and near.columns == docs.columns
+    assert {i for i, _ in rows(near)} == {r[0] for r in near_brute(rows(one), 80) if r[3]} and near.columns == docs.columns
     mix = stages["source_mixing"](spark, near, sf).cache()
     assert mix.columns == docs.columns and set(rows(mix)) <= set(rows(near))
     last = stages["sentencepiece"](spark, mix, sf)
