@@ -9,9 +9,9 @@ The tokens that end at a position are matched by rolling hashes of its substring
 are numpy arrays over all words that a batch of texts has for the first time. No piece of the vocabulary has a mark
 of a space (U+2581) after another character, so words don't influence each other and are kept in a bounded
 cache. Runs of spaces have pieces of equal rank and very long words would widen the arrays: the former go through
-the merges themselves, the latter through a table of their own.
+the merges themselves, the latter through a table of their own, filled from the matches of an automaton.
 
-Defined results: a null text counts as empty and has the end id only; repeated rows are handled alike; a null doc_id
+Defined results: a very long text or word is encoded as a whole; a null text counts as empty and has the end id only; repeated rows are handled alike; a null doc_id
 is passed on; an empty table gives an empty result; other columns are never read.
 """
 
@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -105,6 +106,8 @@ class Pieces:
         self.matches = Table(np.array([self.hash(self.text[i]) for i in whole], np.uint64), np.array(whole, np.int32), 18)
         self.lengths = sorted({len(self.text[i]) for i in whole})
         joined = [(self.id[p[:k]], self.id[p[k:]], i) for p, i in self.id.items() if SPACE * 2 not in p for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
+        self.joined = [(a << 32 | b, c) for a, b, c in joined]
+        self.automaton, self.fitting = None, {}
         self.pairs = Table(np.array([a << 32 | b for a, b, _ in joined], np.uint64), np.array([c for _, _, c in joined], np.int32), 20)
         self.whole = {self.text[i]: i for i in whole}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -238,22 +241,56 @@ class Pieces:
                 at += int(self.length[i])
         return out
 
+    def _fits(self, l: int, r: int) -> bool:
+        """compatible() of two tokens, remembered."""
+        if (found := self.fitting.get(l << 32 | r)) is None:
+            if len(self.fitting) >= self.LIMIT:
+                self.fitting.clear()
+            found = self.fitting[l << 32 | r] = self._part(l, r)
+        return found
+
+    def _part(self, l: int, r: int) -> bool:
+        limit = int(NEVER)
+        while True:
+            over = self.over.get(l << 32 | r)
+            if over is not None and over < limit:
+                return False
+            whole_l, whole_r = self.atoms[l], self.atoms[r]
+            if whole_l and whole_r:
+                return True
+            if not whole_l and (l > r or whole_r):
+                limit, l = l, self.rights[l]
+            else:
+                limit, r = r + 1, self.lefts[r]
+
     def long_ids(self, word: str) -> list[int]:
-        """The same table for one word of any length."""
-        last = [-1] * (len(word) + 1)
-        for i in range(1, len(word) + 1):
-            last[i] = self.unknown
-            for k in range(min(i, self.longest), 0, -1):
-                token = self.whole.get(word[i - k : i])
-                if token is not None and (k == i or self.compatible(np.array([last[i - k]], np.int32), np.array([token], np.int32))[0]):
-                    last[i] = token
-                    break
+        """The same table for one word of any length, by the matches of an automaton: at each place the longest first."""
+        if self.automaton is None:
+            self._prepare()
+        last = [self.unknown] * (len(word) + 1)
+        done, length = 0, self.sizes
+        for end, token in self.automaton.iter(word):
+            if end < done:
+                continue  # this place has its token
+            start = end + 1 - length[token]
+            if start == 0 or self._fits(last[start], token):
+                last[end + 1] = token
+                done = end + 1
         ids, at = [], len(word)
         while at:
             ids.append(last[at])
-            at -= int(self.length[last[at]])
+            at -= length[last[at]]
         return self._filled(word, ids[::-1])
 
+    def _prepare(self) -> None:
+        """What long words need: an automaton of the tokens, and plain lists."""
+        self.automaton = ahocorasick.Automaton()
+        for text, token in self.whole.items():
+            self.automaton.add_word(text, token)
+        self.automaton.make_automaton()
+        self.over = dict(self.joined)
+        self.lefts, self.rights, self.atoms, self.sizes = self.left.tolist(), self.right.tolist(), self.atom.tolist(), self.length.tolist()
+
     def split(self, text: str) -> list[str]:
         """Words, each with the space marks before it, and line breaks, which no piece has."""
         if not text:

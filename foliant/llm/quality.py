@@ -7,11 +7,11 @@ a word, and its score the logistic function of a sparse dot product.
 
 The model is fitted on at most `sample` labelled rows, those with the smallest hash of doc_id among rows that aren't
 held out; texts are turned to features on the executors, so that the driver gets sparse vectors of a bounded number
-of documents. Scoring reads every row and whole texts.
+of documents, each of at most MOST features, its most frequent ones. Scoring reads every row and whole texts, many at a time.
 
 Defined results: a null or empty text has no features and gets the score of the bias; a null doc_id is passed on and
 never trained on (its held_out is null); rows without a label, or with a null one, are not trained on; of several labels
-of a doc_id the largest counts; with no labels at all every score is 0.5; repeated rows are scored alike; an empty
+of a doc_id the largest counts; a very long text is scored as a whole; with no labels at all every score is 0.5; repeated rows are scored alike; an empty
 table gives an empty result; other columns are never read.
 """
 
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,8 @@ from .common import only, slices, spread, table, text_of
 
 BITS = 20
 SAMPLE = 5000  # labelled rows to fit on, at most
+MOST = 10_000  # features of such a row, at most
+HELD = 4 << 20  # characters that are scored together
 THRESHOLD = 0.3
 EPOCHS = 4
 SCALE = 8.0
@@ -64,29 +68,34 @@ KNOWN = Hashes()
 SAME = np.uint64(0x2545F4914F6CDD1D)
 
 
-def grams(text: str) -> tuple[np.ndarray, int]:
-    """A feature number for each n-gram of the text, repeats included, and the number of words."""
-    words = text.encode().split()
-    if not words:
-        return np.empty(0, np.int64), 0
-    both = np.fromiter(map(KNOWN.__getitem__, words), np.dtype((np.uint64, 2)), len(words))
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feature number for each n-gram of some texts, repeats included; which text has it; and how many words each text has."""
+    words = [t.encode().split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n = int(sizes.sum())
+    both = np.fromiter(map(KNOWN.__getitem__, chain.from_iterable(words)), np.dtype((np.uint64, 2)), n).reshape(n, 2)
     word, form = both[:, 0], both[:, 1].copy()
-    form[1:][word[1:] == word[:-1]] = SAME
-    mixed = np.concatenate([word * SEEDS[0], form * SEEDS[1], (word[:-1] * SEEDS[2] ^ word[1:]) * SEEDS[3], (form[:-1] * SEEDS[3] ^ form[1:]) * SEEDS[2]])
+    first = np.zeros(n + 1, bool)
+    first[np.concatenate([[0], np.cumsum(sizes)])] = True
+    joins = ~first[1:n]  # places where a word and the next are in one text
+    form[1:][(word[1:] == word[:-1]) & joins] = SAME
+    at = np.flatnonzero(joins)
+    mixed = np.concatenate([word * SEEDS[0], form * SEEDS[1], (word[at] * SEEDS[2] ^ word[at + 1]) * SEEDS[3], (form[at] * SEEDS[3] ^ form[at + 1]) * SEEDS[2]])
     mixed ^= mixed >> np.uint64(29)
     mixed *= MIX
-    return (mixed >> np.uint64(64 - BITS)).astype(np.int64), len(words)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([text, text, text[at], text[at]]), sizes
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The sparse vector: feature numbers, ascending, and SCALE times their frequency a word."""
-    at, n = grams(text)
+    at, _, n = grams_of([text])
     at, counts = np.unique(at, return_counts=True)
-    return at.astype(np.int32), (counts * (SCALE / max(1, n))).astype(np.float32)
+    return at.astype(np.int32), (counts * (SCALE / max(1, int(n[0])))).astype(np.float32)
 
 
-def logistic(z: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+def logistic(z):
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
 class FTRL:
@@ -117,10 +126,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def strongest(at: np.ndarray, x: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many features of a vector, the largest ones, in ascending order: what is sent to the driver is bounded."""
+    if len(at) <= most:
+        return at, x
+    keep = np.sort(np.lexsort((at, -x))[:most])
+    return at[keep], x[keep]
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only(KNOWN)
     for batch in slices(batches):
-        made = [features(t) for t in batch.column(1).to_pylist()]
+        made = [strongest(*features(t)) for t in batch.column(1).to_pylist()]
         yield pa.record_batch(
             [batch.column(0), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary()), batch.column(2)], names=["doc_id", "at", "x", "label"]
         )
@@ -130,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """The weights; the last one is the bias. labels: doc_id, quality."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound of the sample
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
     got = rows.select("doc_id", "text", "label").mapInArrow(_vectors, "doc_id long, at binary, x binary, label int").toArrow()
     data = sorted(set(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True)))
     examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), y) for _, a, x, y in data]
@@ -141,10 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     return model.dense()
 
 
-def score(text: str, weights: np.ndarray) -> float:
-    """The same as the dot product with features(): each n-gram adds its weight once."""
-    at, n = grams(text)
-    return logistic(float(weights[at].sum(dtype=np.float64)) * SCALE / max(1, n) + float(weights[-1]))
+def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """The logistic function of the dot products with features(), for many texts at once: each n-gram adds its weight once."""
+    at, text, words = grams_of(texts)
+    sums = np.bincount(text, weights[at].astype(np.float64), len(texts))
+    return logistic(sums * SCALE / np.maximum(1, words) + float(weights[-1]))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,7 +172,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(KNOWN)
         for batch in slices(batches):
-            yield pa.record_batch([batch.column(0), pa.array([score(t, sent.value) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), sent.value), pa.float64())], names=["doc_id", "score"])
 
     rows = spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -165,11 +183,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
     @F.pandas_udf("double")
-    def scores(texts):
+    def scored(texts: pd.Series) -> pd.Series:
         only(KNOWN)
-        return texts.map(lambda t: score(t, sent.value)).astype("float64")
-
-    return spread(docs).where(scores(text_of()) >= threshold)
+        found, start, held = [], 0, 0
+        values = texts.tolist()
+        for i, t in enumerate(values):  # some millions of characters at a time
+            held += len(t)
+            if held >= HELD or i == len(values) - 1:
+                found.append(scores(values[start : i + 1], sent.value))
+                start, held = i + 1, 0
+        return pd.Series(np.concatenate(found) if found else np.empty(0))
+
+    return spread(docs).where(scored(text_of()) >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

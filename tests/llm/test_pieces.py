@@ -38,6 +38,24 @@ def test_long_words_and_runs(model):
     assert ids(model, texts) == library(model, texts)
 
 
+def test_very_long_words_take_seconds(model):
+    import time
+
+    rng = random.Random(7)
+    texts = ["a" * 300_000, "".join(rng.choice("etaoinshrdlu") for _ in range(300_000)), "".join(rng.choice("日本語é🙂x") for _ in range(100_000)), "=-" * 100_000]
+    began = time.perf_counter()
+    got = ids(model, texts)
+    assert time.perf_counter() - began < 30
+    assert got == library(model, texts)
+
+
+def test_long_words_fuzzed(model):
+    rng = random.Random(9)
+    pool = [p.strip("▁") for p in list(model.text.values())[::37]] + list("abcdefghij,.-é日")
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(20, 60))) for _ in range(1500)]
+    assert ids(model, texts) == library(model, texts)
+
+
 def test_cache_is_bounded(model):
     old, model.LIMIT = model.LIMIT, 50
     try:

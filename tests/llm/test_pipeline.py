@@ -1,6 +1,7 @@
 import corpus_pipeline
 from foliant.llm import near_dedup, quality
 from foliant.llm.catalog import ORACLES, QUERIES
+from foliant.llm.common import staged
 
 import duckdb
 import os
@@ -18,7 +19,7 @@ def test_stages(spark, sf):
     weights = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
     assert good.columns == docs.columns
-    assert {i for i, _ in rows(good)} == {i for i, t in rows(docs) if quality.score(t, weights) >= quality.THRESHOLD}
+    assert {i for i, _ in rows(good)} == {i for i, t in rows(docs) if quality.scores([t or ""], weights)[0] >= quality.THRESHOLD}
     one = stages["exact_dedup"](spark, good, sf).cache()
     assert {i for i, _ in rows(one)} == {r[0] for r in exact_brute(rows(good)) if r[3]} and one.columns == docs.columns
     near = stages["near_dedup"](spark, one, sf).cache()
@@ -30,6 +31,31 @@ def test_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == mix.count()
 
 
+@pytest.mark.parametrize("rows", ["awkward", "clashing", "empty"])
+def test_stages_on_awkward_rows(spark, sf, rows, request, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names and no rows at all."""
+    docs = start = request.getfixturevalue(rows)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+        docs = staged(quality.keep_good(docs, spark.read.parquet(f"{sf}/labels.parquet"), 0.0) if name == "quality" else stage(spark, docs, sf), f"file://{tmp_path}/{i}")
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        if name == "sentencepiece":
+            assert len(ids) == size
+            break
+        size = len(ids)
+        assert docs.columns == start.columns and {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()} <= before
+        if rows == "empty":
+            assert not ids
+        elif name == "quality":
+            assert size == start.count()
+        elif name == "exact_dedup":
+            assert sorted(ids) == [1, 2, 3, 5, 6, 8, 9, 10]
+        elif name == "near_dedup":
+            assert sorted(ids) == [1, 3, 5, 6, 8, 9, 10]
+        elif name == "source_mixing":
+            assert set(ids) <= {1, 6, 8, 9, 10} and len(ids) >= 4  # without words there is nothing to take
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()

@@ -54,3 +54,65 @@ def test_sample_is_bounded(spark, tables):
 
 def test_shapes():
     assert [quality.shape(w.encode()) for w in ("word", "Word,", "WORD!!", "a", "A", "x9***", "|", "éÉ")] == [b"a", b"T,", b"A!!", b"a", b"T", b"a9***", b"-|", b"x"]
+
+
+def plain_features(text):
+    """n-grams one by one, hashed with whole numbers."""
+    import re
+
+    import xxhash
+
+    full = (1 << 64) - 1
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    h = [xxhash.xxh64_intdigest(w) for w in words]
+    form = [int(quality.SAME) if i and words[i] == words[i - 1] else xxhash.xxh64_intdigest(quality.shape(w), seed=7) for i, w in enumerate(words)]
+    a, b, c, d = map(int, quality.SEEDS)
+    raw = [x * a & full for x in h] + [x * b & full for x in form]
+    raw += [((x * c & full) ^ y) * d & full for x, y in zip(h, h[1:])] + [((x * d & full) ^ y) * c & full for x, y in zip(form, form[1:])]
+    out = {}
+    for x in raw:
+        x = (x ^ x >> 29) * int(quality.MIX) & full
+        out[x >> 64 - quality.BITS] = out.get(x >> 64 - quality.BITS, 0) + 1
+    return {k: n * quality.SCALE / max(1, len(words)) for k, n in out.items()}
+
+
+def test_features_and_scores_against_plain_ones(spark, tables):
+    rng = np.random.default_rng(4)
+    texts = [r["text"] or "" for r in tables[0].collect()][:60] + ["", " ", "x", "x x x", "a\u00a0b c", "naïve 日本 日本", "w " * 30_000]
+    weights = rng.normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    got = quality.scores(texts, weights)
+    for t, score in zip(texts, got):
+        want = plain_features(t)
+        at, x = quality.features(t)
+        assert at.tolist() == sorted(want) and x.tolist() == pytest.approx([want[k] for k in at.tolist()])
+        z = sum(v * float(weights[k]) for k, v in want.items()) + float(weights[-1])
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    assert quality.scores(texts[:1], weights)[0] == pytest.approx(got[0])
+
+
+def test_ftrl_against_a_plain_one():
+    rng = np.random.default_rng(6)
+    size, alpha, beta, l1, l2 = 64, 0.5, 1.0, 0.05, 0.5
+    model, z, n = quality.FTRL(size, alpha, beta, l1, l2), {}, {}
+    for _ in range(300):
+        at = np.sort(rng.choice(size, rng.integers(0, 9), replace=False)).astype(np.int32)
+        x, y = rng.random(len(at)).astype(np.float32), int(rng.random() < 0.4)
+        model.learn(at, x, y)
+        pairs = [*zip(at.tolist(), x.tolist()), (size, 1.0)]
+        w = {}
+        for k, _ in pairs:
+            zk, nk = z.get(k, 0.0), n.get(k, 0.0)
+            w[k] = 0.0 if abs(zk) <= l1 else -(zk - np.sign(zk) * l1) / ((beta + nk**0.5) / alpha + l2)
+        p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in pairs)))
+        for k, v in pairs:
+            g = (p - y) * v
+            z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha * w[k]
+            n[k] = n.get(k, 0.0) + g * g
+    want = [0.0 if abs(z.get(k, 0.0)) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + n[k] ** 0.5) / alpha + l2) for k in range(size + 1)]
+    assert model.dense().tolist() == pytest.approx(want, abs=1e-4)
+
+
+def test_what_reaches_the_driver_is_bounded():
+    at, x = np.arange(50, dtype=np.int32), np.linspace(0, 1, 50).astype(np.float32)
+    got = quality.strongest(at, x, 8)
+    assert got[0].tolist() == list(range(42, 50)) and (got[1] == x[42:]).all() and quality.strongest(at, x)[0] is at
