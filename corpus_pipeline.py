@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage before kept, and returns a DataFrame; all but
 the last return the columns of documents. run() writes what each stage returns to the shared folder and reads it again.
+
+Defined results: a null or empty text counts as empty, is scored as any other and, having no words, is never taken by the mix; rows
+without doc_id are scored, are no near copies of anything, and are taken as units of their own; very long texts go whole through
+each stage; repeated rows are scored alike and stay or go together; columns of any other names are carried up to the mix; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, which share four fifths of their five-word shingles."""
     return near_dedup.drop_near_copies(docs)
 
 
