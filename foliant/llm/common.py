@@ -62,19 +62,19 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, entries: DataFrame, on: list[str], size: str, limit: int, by: str) -> DataFrame:
+def spread_join(rows: DataFrame, entries: DataFrame, on: list[str], size: str, limit: int, by: list[str]) -> DataFrame:
     """rows with the other columns of their entry, or nulls. entries: one row a key (on), and in the column size how many rows have it.
 
     Entries of more than `limit` rows are broadcast; callers see to it that there are few, as their rows are so many. The others
     meet their rows, at most `limit` of a key, in a sort-merge join at every size; rows that have found theirs are dealt out by a
-    hash of the column `by` meanwhile, in place of the last column of the key, which is a long. So no key's rows need to be in one task.
+    hash of the columns `by` meanwhile, in place of the last column of the key, which is a long. So no key's rows need to be in one task.
     """
     more = [c for c in entries.columns if c not in on]
     large = F.col(size) > F.lit(limit)
     hot = entries.where(large).select(*[F.col(c).alias(f"_h_{c}") for c in on], F.struct(*more).alias("_hot"))
     cold = entries.where(~large).select(*[F.col(c).alias(f"_c_{c}") for c in on], F.struct(*more).alias("_cold"))
     met = rows.join(F.broadcast(hot), reduce(and_, [F.col(c) == F.col(f"_h_{c}") for c in on]), "left")
-    met = met.withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.xxhash64(by)).otherwise(F.col(on[-1])))
+    met = met.withColumn("_deal", F.when(F.col("_hot").isNotNull(), F.xxhash64(*by)).otherwise(F.col(on[-1])))
     same = reduce(and_, [F.col(c) == F.col(f"_c_{c}") for c in on[:-1]], F.col("_deal") == F.col(f"_c_{on[-1]}"))
     met = met.join(cold.hint("merge"), same & F.col("_hot").isNull(), "left")
     met = met.withColumn("_entry", F.coalesce("_hot", "_cold"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import spread_join, staged
 
 PARTS = 4096
+LEAST = 64
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -32,14 +33,15 @@ def components(links: DataFrame, path: str) -> DataFrame:
     for i in count(1):
         if not before[0]:
             break
-        limit = before[0] // PARTS  # nodes with more links than that are few
+        limit = max(LEAST, before[0] // PARTS)  # nodes with more links than that are few
         # large star: the larger neighbours of each node are linked to its smallest neighbour (or itself)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), least, ["u"], "n", limit, "v").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = spread_join(both.where("v > u"), least, ["u"], "n", limit, ["u", "v"]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = staged(large.distinct(), f"{path}/{i}-large")
         # small star: each node and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
-        met = spread_join(large, least, ["hi"], "n", limit, "lo")
+        met = spread_join(large, least, ["hi"], "n", limit, ["hi", "lo"])
         small = met.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         edges = staged(small, f"{path}/{i}")
         after = _sum(edges)

@@ -13,8 +13,8 @@ bucket that holds one key alone doesn't split, so there is always an end, and no
    entries that are chained.
 4. Each row looks its entry up by slot, bucket and key; where an entry is chained, by comparing bytes once more.
 
-Keys with more than one 65,536th of all rows are looked up in a broadcast table, which has at most 65,536 rows therefore; the
-rows of all others are spread by key. A bucket holds CAPACITY keys or, in tables of more than 2**32 keys, a 65,536th of
+Keys with more than one 65,536th of all rows, and more than 64, are looked up in a broadcast table, which has fewer than 65,536 rows
+therefore; the rows of all others are spread by key. A bucket holds CAPACITY keys or, in tables of more than 2**32 keys, a 65,536th of
 them, so that the directory stays small enough to be broadcast.
 
 Defined results: a null text counts as empty; a null doc_id ranks after all others and, if a group has no
@@ -34,6 +34,7 @@ from .common import SPACE, spread_join, staged, table, text_of, workspace
 
 CAPACITY = 1 << 16  # keys a bucket may hold before it is split
 PARTS = 1 << 16  # of all rows or keys: what is larger is treated apart
+LEAST = 64  # rows of a key that is, in small tables
 STEP = 8  # bits by which a round goes deeper
 
 Key = Callable[[Column], Column]
@@ -89,7 +90,7 @@ def led(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
 
 def looked_up(rows: DataFrame, entries: DataFrame, n_rows: int) -> DataFrame:
     """Rows (bucket, key and others) with the other columns of their entry (bucket, key, n and others), or nulls; n: how many rows it has."""
-    return spread_join(rows, entries, ["bucket", "key"], "n", n_rows // PARTS, "doc_id")  # so at most PARTS entries are broadcast
+    return spread_join(rows, entries, ["bucket", "key"], "n", max(LEAST, n_rows // PARTS), ["doc_id"])  # so fewer than PARTS entries are broadcast
 
 
 class ExactIndex:

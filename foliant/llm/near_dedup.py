@@ -51,7 +51,7 @@ RATE = 20.0
 BANDS, ROWS = 25, 5
 STARS = 3  # hubs a bucket has before the rest meets each other
 GROUP = 512  # members that meet a copy of their hub
-PART = 1024  # members of a block
+PART = 512  # members of a block
 PART_BYTES = 16 << 20  # of their sets
 SHARE = 4096  # keys with more than one such part of all classes are looked up apart
 
@@ -233,10 +233,10 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, path: str, perc
     hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
     left = hubs.join(ends.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
     right = ends.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    sized = spread_join(pairs.join(right, "b"), left, ["a"], "members", limit, "b").where(OF * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sized = spread_join(pairs.join(right, "b"), left, ["a"], "members", limit, ["a", "b"]).where(OF * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     close = staged(sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(lambda batches: _close(batches, percent), "a long, b long"), f"{path}/close")
     sizes = close.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / GROUP).cast("int"))
-    members = spread_join(close, sizes, ["a"], "members", limit, "b")
+    members = spread_join(close, sizes, ["a"], "members", limit, ["a", "b"])
     members = members.select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"), F.lit(True).alias("follows"))
     heads = sizes.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("follows"))
     roles = members.union(heads).groupBy("rep").agg(F.collect_list(F.struct("hub", "salt", "follows")).alias("roles"))  # BANDS of a member, a group each of a hub
@@ -307,7 +307,7 @@ def met_in_blocks(opened: DataFrame, reps: DataFrame, sets: DataFrame, path: str
     sizes = sized.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
     parts = F.greatest(F.ceil(F.col("members") / PART), F.ceil(F.col("all") * 8 / PART_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("own")
-    placed = spread_join(opened, sizes.select("key", "members", parts.alias("parts")), ["key"], "members", limit, "rep")
+    placed = spread_join(opened, sizes.select("key", "members", parts.alias("parts")), ["key"], "members", limit, ["key", "rep"])
     placed = placed.groupBy("rep", "comp").agg(F.collect_list(F.struct("key", "band", "parts", own)).alias("roles"))  # BANDS roles at most
     rows = sets.join(placed, "rep").join(reps.select("rep", "sketch"), "rep").select("rep", "comp", "sketch", "items", F.explode("roles").alias("r"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("r.parts") - 1)).alias("other"))
@@ -321,7 +321,7 @@ def _opened(members: DataFrame, limit: int) -> DataFrame:
     first = F.min(F.struct("rep", "comp")).alias("first")
     hubs = members.groupBy("key").agg(first, F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y")
     hubs = hubs.select("key", "held", F.col("first.rep").alias("hub"), F.col("first.comp").alias("hub_comp"))
-    return spread_join(members, hubs, ["key"], "held", limit, "rep").where("hub is not null")
+    return spread_join(members, hubs, ["key"], "held", limit, ["key", "rep"]).where("hub is not null")
 
 
 def near_groups(docs: DataFrame, path: str | None = None, percent: int = SIMILAR) -> DataFrame:
@@ -354,6 +354,7 @@ def near_groups(docs: DataFrame, path: str | None = None, percent: int = SIMILAR
         else:
             links = links.union(met_in_blocks(opened, reps, sets, here, percent, limit))
         stars = components(links, f"{here}/components")
+        links = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))  # which say the same
         if step == STARS:
             break
         # the hub has met all others of its bucket; those that are still open go on without it
@@ -368,7 +369,7 @@ def near_groups(docs: DataFrame, path: str | None = None, percent: int = SIMILAR
     comps = comps.where("size > 1 or component <> rep").select("n", "f1", "f2", "size", "component")
     one = rows.select("doc_id", "n", "f1", "f2")
     plain = "n > 0 and doc_id is not null"
-    some = spread_join(one.where(plain), comps, ["n", "f1", "f2"], "size", limit, "doc_id").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    some = spread_join(one.where(plain), comps, ["n", "f1", "f2"], "size", limit, ["doc_id"]).select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     out = some.union(one.where(f"not ({plain})").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
