@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .stats import frequency_bags, word_stats
-from .tokens import term_frequencies
+from .tokens import spread, term_frequencies
 
 FILES = "batch string, file_id long, name string, kind string, token_count long"
 POSTINGS = "batch string, word string, file_id long, tf long"
@@ -179,7 +179,8 @@ class Index:
             ids = self._kept(names if given else self._numbered(names, staging), f"{staging}/ids")
             rows = self._kept(texts(ids, named), f"{staging}/texts")
             good = rows.where("error is null")
-            tf = term_frequencies(good.where("kind <> 'ignore' and text is not null"), self.stop_words)
+            read = good.where("kind <> 'ignore' and text is not null").select("file_id", "text")
+            tf = term_frequencies(spread(read), self.stop_words)  # the range sort reads its input twice: words are to be counted before
             postings = tf.select(F.lit(batch).alias("batch"), "word", "file_id", "tf")
             postings.repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id").write.mode("append").option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{base}/postings")
             counts = self._table("postings", POSTINGS).where(F.col("batch") == batch).groupBy("file_id").agg(F.sum("tf").alias("token_count"))

@@ -20,8 +20,8 @@ def total_words(postings: DataFrame) -> DataFrame:
 
 def frequency_bags(words: DataFrame) -> DataFrame:
     """word, count, df and freq_bag: the class of a word's share of all occurrences; 0 if there are none. The total is one row."""
-    total = words.agg(F.sum("count").alias("_total"))
-    bag = F.when(F.col("_total") == 0, 0).otherwise(F.least(F.lit(BAGS - 1), F.expr(f"count * {BAGS * SHARE} div _total")))
+    total = words.agg(F.sum("count").alias("_total"), F.sum("df").alias("_postings"))  # of both columns, so that both sides read one shuffle
+    bag = F.when((F.col("_total") == 0) | (F.col("_postings") == 0), 0).otherwise(F.least(F.lit(BAGS - 1), F.expr(f"count * {BAGS * SHARE} div _total")))
     return words.crossJoin(F.broadcast(total)).select("word", "count", "df", bag.cast("int").alias("freq_bag"))
 
 

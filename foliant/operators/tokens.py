@@ -4,46 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.stopwords import is_stop_word, stop_words_sql
+from foliant.functions.stopwords import stop_words_sql
 from foliant.functions.text import term, words
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, by: str | None = None) -> DataFrame:
     """Tokenizing is costly and a small file is one split: deal the rows of such a scan over all cores. Larger scans and tables that
-    are shuffled anyway stay as they are."""
+    are shuffled anyway stay as they are. Dealt by a hash of `by`, rows need no further shuffle to be grouped or joined by it."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores, *([by] if by else [])) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def _texts(texts: DataFrame) -> DataFrame:
+    return spread(texts.select("file_id", "text"), "file_id")
 
 
 def raw_words(texts: DataFrame) -> DataFrame:
     """From (file_id, text): file_id, word; every word as it is written."""
-    return spread(texts.select("file_id", "text")).select("file_id", F.explode(words(F.col("text"))).alias("word"))
+    return _texts(texts).select("file_id", F.explode(words(F.col("text"))).alias("word"))
 
 
 def all_terms(texts: DataFrame) -> DataFrame:
     """file_id, word; every word in lower case, stop words included."""
-    return raw_words(texts).select("file_id", term(F.col("word")).alias("word"))
+    return _texts(texts).select("file_id", F.explode(F.transform(words(F.col("text")), term)).alias("word"))
+
+
+def _kept(stop_words: Iterable[str] | None) -> Column:
+    """Of the array column lowered, what isn't a stop word."""
+    return F.expr(f"filter(lowered, w -> w NOT IN ({stop_words_sql(stop_words)}))")
 
 
 def terms(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
-    """file_id, word; what is indexed."""
-    return all_terms(texts).where(~is_stop_word("word", stop_words))
+    """file_id, word; what is indexed. Stop words, a third of all words, leave the array before a row is made of each word."""
+    lowered = F.transform(words(F.col("text")), term)
+    return _texts(texts).select("file_id", lowered.alias("lowered")).select("file_id", F.explode(_kept(stop_words)).alias("word"))
 
 
 def term_frequencies(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
-    """file_id, word, tf. Words are counted within each split before anything is shuffled."""
+    """file_id, word, tf. Words are counted within each split; only tables that spread() leaves alone are shuffled, after that."""
     return terms(texts, stop_words).groupBy("file_id", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def token_counts(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """file_id, token_count (stop words left out), n_words (all of them); every text has a row. No shuffle: one row makes one."""
     lowered = F.transform(words(F.col("text")), term)
-    kept = F.expr(f"filter(lowered, w -> w NOT IN ({stop_words_sql(stop_words)}))")
-    rows = spread(texts.select("file_id", "text")).select("file_id", lowered.alias("lowered"))
-    return rows.select("file_id", F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("token_count"), F.coalesce(F.size("lowered"), F.lit(0)).cast("long").alias("n_words"))
+    rows = _texts(texts).select("file_id", lowered.alias("lowered"))
+    return rows.select("file_id", F.coalesce(F.size(_kept(stop_words)), F.lit(0)).cast("long").alias("token_count"), F.coalesce(F.size("lowered"), F.lit(0)).cast("long").alias("n_words"))

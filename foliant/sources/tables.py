@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.html import html_to_text
+from foliant.operators.tokens import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str, modern: bool = True) -> DataFrame:
-    p = read(spark, sf_dir, "pages")
+    p = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")  # before markup is read, not after
     return p.select(F.col("page_id").alias("file_id"), F.col("url").alias("name"), F.lit("html").alias("kind"), html_to_text(F.coalesce("html", F.lit("")), modern).alias("text"))
 
 
