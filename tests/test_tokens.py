@@ -129,3 +129,12 @@ def test_counts_with_the_list_of_an_older_index(spark):
     for sf, want in (("0.001", (200, 22539, 55364, 46273)), ("0.01", (1000, 68606, 272680, 229858))):
         docs = tables.documents(spark, f"/root/testdata/sf{sf}")
         assert stats.index_stats(docs, stats.word_stats(tokens.term_frequencies(docs, words))).first() == want
+
+
+def test_a_small_scan_is_shuffled_once(spark, tmp_path):
+    spark.createDataFrame([(1, "the red house, the house"), (2, "a red tree"), (2, "red"), (None, "red")], "file_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    counts = tokens.term_frequencies(spark.read.parquet(f"{tmp_path}/t"), ["the", "a"])
+    assert sorted(map(str, counts.collect())) == sorted(
+        ["Row(file_id=1, word='red', tf=1)", "Row(file_id=1, word='house', tf=2)", "Row(file_id=2, word='red', tf=2)", "Row(file_id=2, word='tree', tf=1)", "Row(file_id=None, word='red', tf=1)"]
+    )
+    assert counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
