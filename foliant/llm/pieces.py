@@ -8,7 +8,7 @@ from left to right, trying the tokens that end at each position, and the ids are
 The tokens that end at a position are matched by rolling hashes of its substrings, for many words at once: tables
 are numpy arrays over all words that a batch of texts has for the first time. No piece of the vocabulary has a mark
 of a space (U+2581) after another character, so words don't influence each other and are kept in a bounded
-cache. Runs of spaces have pieces of equal rank and very long words would widen the arrays: the former go through
+cache (word_ids.py), from which Arrow and numpy put texts together. Runs of spaces have pieces of equal rank and very long words would widen the arrays: the former go through
 the merges themselves, the latter through a table of their own, filled from the matches of an automaton.
 
 Defined results: a very long text or word is encoded as a whole; a null text counts as empty and has the end id only; repeated rows are handled alike; a null doc_id
@@ -26,16 +26,20 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only, slices, spread, table, text_of
+from .word_ids import WordIds
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CUT = "\ud800"  # can't be part of a text
+CUT_BYTES = CUT.encode("utf-8", "surrogatepass")
+RUN = re.compile(f"{SPACE}+")
 WIDE = 48  # characters of words that share arrays
 NEVER = np.int32(1 << 30)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -69,12 +73,14 @@ class Table:
         return got
 
 
-class Pieces:
+class Pieces(WordIds):
     """A vocabulary with the tables that encoding needs. Ids grow as ranks fall."""
 
-    LIMIT = 500_000  # words in the cache
+    LIMIT = 500_000
+    EMPTY = b""
 
     def __init__(self, path: str):
+        super().__init__()
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.vocab_size()
         self.end, self.unknown = self.sp.eos_id(), n
@@ -106,13 +112,12 @@ class Pieces:
         self.matches = Table(np.array([self.hash(self.text[i]) for i in whole], np.uint64), np.array(whole, np.int32), 18)
         self.lengths = sorted({len(self.text[i]) for i in whole})
         joined = [(self.id[p[:k]], self.id[p[k:]], i) for p, i in self.id.items() if SPACE * 2 not in p for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
-        self.joined = [(a << 32 | b, c) for a, b, c in joined]
+        self.merges = [(a << 32 | b, c) for a, b, c in joined]
         self.automaton, self.fitting = None, {}
         self.pairs = Table(np.array([a << 32 | b for a, b, _ in joined], np.uint64), np.array([c for _, _, c in joined], np.int32), 20)
         self.whole = {self.text[i]: i for i in whole}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.digits = [str(i) for i in range(n)]
-        self.numbers = list(range(n))
+        self.digits = pa.array([str(i) for i in range(n)], pa.large_string())
+        self.numbers = np.array(list(range(n)), object)  # shared by all lists of ids
 
     @staticmethod
     def hash(text: str) -> int:
@@ -174,17 +179,8 @@ class Pieces:
             l, r = np.where(first, self.right[l], l), np.where(first, r, self.left[r])
         return ok
 
-    def table_ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of at most WIDE characters, each with a space mark at its start at most."""
-        out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(order), 1 << 14):
-            some = order[a : a + (1 << 14)]
-            for i, ids in zip(some, self._table([words[i] for i in some]), strict=True):
-                out[i] = ids
-        return out
-
-    def _table(self, words: list[str]) -> list[list[int]]:
+    def table_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of at most WIDE characters, each with a space mark at its start at most, and how many each has. Characters without a token are `unknown`."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         width, n = int(size.max()), len(words)
         code = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(n, width).T
@@ -218,16 +214,7 @@ class Pieces:
         who = np.concatenate([s[0] for s in steps])
         got = np.concatenate([s[1] for s in steps])
         back = np.lexsort((-np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps]), who))
-        got, ends = got[back].tolist(), np.cumsum(np.bincount(who, minlength=n)).tolist()
-        numbers, out, start = self.numbers, [], 0
-        for w, end in zip(words, ends, strict=True):
-            ids = got[start:end]
-            start = end
-            if self.unknown in ids:
-                out.append(self._filled(w, ids))
-            else:
-                out.append([numbers[i] for i in ids])
-        return out
+        return got[back], np.bincount(who, minlength=n)
 
     def _filled(self, word: str, ids: list[int]) -> list[int]:
         """Bytes in place of characters without a token."""
@@ -288,48 +275,53 @@ class Pieces:
         for text, token in self.whole.items():
             self.automaton.add_word(text, token)
         self.automaton.make_automaton()
-        self.over = dict(self.joined)
+        self.over = dict(self.merges)
         self.lefts, self.rights, self.atoms, self.sizes = self.left.tolist(), self.right.tolist(), self.atom.tolist(), self.length.tolist()
 
-    def split(self, text: str) -> list[str]:
-        """Words, each with the space marks before it, and line breaks, which no piece has."""
+    @property
+    def known(self) -> dict[bytes, int]:
+        """The words in the cache."""
+        return self.number
+
+    def split(self, texts: list[str]) -> pa.Array:
+        """Lists of words in UTF-8, each with the space marks before it, and of line breaks, which no piece has; some are empty."""
+        return pc.split_pattern(pa.array(map(self._marked, texts), pa.large_binary()), pattern=CUT_BYTES)
+
+    def _marked(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
         text = SPACE + text.replace(" ", SPACE)
-        if SPACE * 2 in text:
-            return re.findall(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+", text)
-        return [w for w in text.replace(SPACE, CUT + SPACE).replace("\n", f"{CUT}\n{CUT}").split(CUT) if w]
-
-    def learn(self, words: set[str]) -> None:
-        """Put words into the cache."""
-        words = [w for w in words if w not in self.known]
-        if len(self.known) + len(words) > self.LIMIT:
-            self.known.clear()
-        short = [w for w in words if len(w) <= WIDE and SPACE * 2 not in w]
-        for w, ids in zip(short, self.table_ids(short), strict=True):
-            self.known[w] = tuple(ids), " ".join([self.digits[i] for i in ids])
+        text = RUN.sub(rf"{CUT}\g<0>", text) if SPACE * 2 in text else text.replace(SPACE, CUT + SPACE)
+        return text.replace("\n", f"{CUT}\n{CUT}").encode("utf-8", "surrogatepass")
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, rest = [], []
         for w in words:
-            if w not in self.known:
-                ids = self.merged(w) if SPACE * 2 in w else self.long_ids(w)
-                self.known[w] = tuple(ids), " ".join(map(str, ids))
+            word = w.decode()
+            (plain if len(word) <= WIDE and SPACE * 2 not in word else rest).append((word, w))
+        plain.sort(key=lambda x: len(x[0]))  # words of one length fill an array best
+        for a in range(0, len(plain), 1 << 14):
+            some = plain[a : a + (1 << 14)]
+            flat, sizes = self.table_ids([word for word, _ in some])
+            ends = np.cumsum(sizes)
+            bad = np.zeros(len(some), bool)
+            bad[np.searchsorted(ends, np.flatnonzero(flat == self.unknown), "right")] = True
+            for i in np.flatnonzero(bad).tolist():
+                self._put_one(some[i][1], self._filled(some[i][0], flat[ends[i] - sizes[i] : ends[i]].tolist()))
+            self.put([w for (_, w), b in zip(some, bad.tolist(), strict=True) if not b], flat[~np.repeat(bad, sizes)], sizes[~bad])
+        for word, w in rest:
+            self._put_one(w, self.merged(word) if SPACE * 2 in word else self.long_ids(word))
+
+    def _put_one(self, word: bytes, ids: list[int]) -> None:
+        self.put([word], np.array(ids, np.uint32), np.array([len(ids)]))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Ids with the end id, and the same in decimal joined by spaces."""
-        parts = [self.split(t) for t in texts]
-        fresh: set[str] = set()
-        known = self.known
-        for p in parts:
-            fresh.update(w for w in p if w not in known)
-        if len(known) + len(fresh) > self.LIMIT:
-            fresh = set(chain.from_iterable(parts))  # all of them, as the cache starts anew
-            known.clear()
-        if fresh:
-            self.learn(fresh)
-        for p in parts:
-            got = [known[w] for w in p]
-            ids = list(chain.from_iterable([g[0] for g in got]))
-            ids.append(self.end)
-            yield ids, " ".join([g[1] for g in got] + [self.digits[self.end]])
+        flat, cuts = self.joined(self.split(texts))
+        flat, cuts = np.insert(flat, cuts[1:], self.end), [c + i for i, c in enumerate(cuts)]
+        said = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), self.digits.take(pa.array(flat))), pa.scalar(" ", pa.large_string()))
+        for a, b, s in zip(cuts[:-1], cuts[1:], said.to_pylist(), strict=True):
+            yield self.numbers[flat[a:b]].tolist(), s
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -351,8 +343,8 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        only(p.known)
-        for batch in slices(batches, rows=1024, size=2 << 20):
+        only(p)
+        for batch in slices(batches):
             n, ids_sha, text_sha = [], [], []
             for ids, said in p.encode(batch.column(1).to_pylist()):
                 n.append(len(ids))
@@ -369,8 +361,8 @@ def token_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        only(p.known)
-        for batch in slices(batches, rows=1024, size=2 << 20):
+        only(p)
+        for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array([ids for ids, _ in p.encode(batch.column(1).to_pylist())], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")

@@ -18,7 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import only, read_part, slices, splits, staged, table, text_of, workspace, write_file
+from .word_ids import WordIds
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to each document
@@ -37,10 +38,10 @@ FILE = 1 << 23  # tokens after which a task starts another file
 BLOCK = rans.BLOCK
 
 
-class Words:
+class Words(WordIds):
     """Ids of words, and those of texts put together from them."""
 
-    LIMIT = 1_400_000  # words in the cache
+    LIMIT = 1_400_000
     JOINED = 1000
     SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: some words start with one
 
@@ -52,37 +53,7 @@ class Words:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a run of letters or signs
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.start, self.size = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.uses = np.zeros(1 << 16, np.int64)  # since the cache was last full
-        self.used = 0
-        self._put([""], np.empty(0, np.uint32), np.zeros(1, np.int64))  # before leading and after trailing white space
-
-    def make_room(self) -> None:
-        """Keep the words that were used most, half of what fits at most."""
-        n, least = len(self.number), 2
-        while (self.uses[1:n] >= least).sum() > self.LIMIT // 2:
-            least *= 2
-        keep = np.flatnonzero(self.uses[1:n] >= least) + 1
-        names, size, start, ids = list(self.number), self.size[keep], self.start[keep], self.ids
-        self.clear()
-        flat = ids[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-        self._put([names[i] for i in keep.tolist()], flat, size)
-
-    def _put(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.number)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(words) > len(self.size):
-            self.size, self.start, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start, self.uses))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(words)] = sizes
-        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        super().__init__()
 
     def runs(self, word: str) -> int:
         """1: letters only, 2: letters and then signs, 0: anything else."""
@@ -110,43 +81,20 @@ class Words:
                 if (got := self._several(some, runs)) is None:
                     forms[0].extend(some)
                 else:
-                    self._put(some, *got)
+                    self.put(some, *got)
         if forms[0]:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(forms[0], add_special_tokens=False)]
-            self._put(forms[0], np.array(list(chain.from_iterable(got)), np.uint32), np.array(list(map(len, got)), np.int64))
+            self.put(forms[0], np.array(list(chain.from_iterable(got)), np.uint32), np.array(list(map(len, got)), np.int64))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id. Arrow splits the texts and numbers their different words."""
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        ends = lists.offsets.to_numpy()
-        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        at = coded.indices.to_numpy()
-        counts = np.bincount(at, minlength=len(coded.dictionary))
-        numbers = self._numbers(coded.dictionary.to_pylist(), counts)[at]
-        size = self.size[numbers]
-        after = np.cumsum(size)
-        flat = self.ids[np.repeat(self.start[numbers] - after + size, size) + np.arange(int(after[-1]) if len(after) else 0)]
-        cuts = np.concatenate([[0], after])[ends - ends[0]].tolist()
+        flat, cuts = self.joined(pc.ascii_split_whitespace(texts.cast(pa.large_string())))  # an empty word before leading and after trailing white space
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             out = np.empty(b - a + 1, np.uint32)
             out[:-1] = flat[a:b]
             out[-1] = END
             yield out
 
-    def _numbers(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Numbers of different words, which occur so often."""
-        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        fresh = [words[i] for i in np.flatnonzero(at < 0).tolist()]
-        if fresh and len(self.number) + len(fresh) > self.LIMIT:
-            self.make_room()  # which numbers the words anew
-            self.learn([w for w in words if w not in self.number])
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        elif fresh:
-            self.learn(fresh)
-            at[at < 0] = [self.number[w] for w in fresh]
-        self.uses[at] += counts
-        return at
-
 
 _loaded: dict[str, Words] = {}
 
