@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -110,16 +111,28 @@ def read_part(uri: str, at: int, size: int) -> bytes:
         return f.read_at(size, at)
 
 
-_caches: list = []
+_caches: list = []  # the one in use stands last
 
 
 def only(cache) -> None:
-    """Empty the other caches of this process: operators take turns in a Python worker, and each may fill its own."""
-    for c in _caches:
-        if c is not cache:
-            c.clear()
-    if not any(c is cache for c in _caches):
-        _caches.append(cache)
+    """Empty the other caches of this process: operators take turns in a Python worker, and each may fill its own.
+
+    To be called from functions of a module, not from nested ones: those get a copy of the cache with each task.
+    """
+    if _caches and _caches[-1] is cache:
+        return
+    others = [c for c in _caches if c is not cache]
+    for c in others:
+        c.clear()
+    _caches[:] = [*others, cache]
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that was freed to the system; allocators keep it otherwise, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

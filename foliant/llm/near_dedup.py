@@ -53,6 +53,7 @@ STARS = 3  # hubs a bucket has before the rest meets each other
 GROUP = 512  # members that meet a copy of their hub
 PART = 512  # members of a block
 PART_BYTES = 16 << 20  # of their sets
+HELD = 2 << 20  # bytes of text whose sets are computed together
 SHARE = 4096  # keys with more than one such part of all classes are looked up apart
 
 U = np.uint64
@@ -70,7 +71,7 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Hashes(dict):
-    LIMIT = 200_000  # words in the cache
+    LIMIT = 100_000  # words in the cache
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -166,7 +167,7 @@ def print_of(items: np.ndarray) -> tuple[int, int]:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only(KNOWN)
-    for batch in slices(batches):
+    for batch in slices(batches, size=HELD):
         n, one, two, sketches, keys = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             items = shingles(text)
@@ -200,7 +201,7 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rep and items of documents: doc, text, f1."""
     only(KNOWN)
-    for batch in slices(batches, rows=1024, size=4 << 20):
+    for batch in slices(batches, rows=1024, size=HELD):
         reps, sets = [], []
         for doc, text, f1 in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             items = shingles(text)

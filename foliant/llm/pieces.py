@@ -41,6 +41,7 @@ CUT = "\ud800"  # can't be part of a text
 CUT_BYTES = CUT.encode("utf-8", "surrogatepass")
 RUN = re.compile(f"{SPACE}+")
 WIDE = 48  # characters of words that share arrays
+HELD = 1 << 20  # bytes of text that are encoded together
 NEVER = np.int32(1 << 30)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -76,7 +77,7 @@ class Table:
 class Pieces(WordIds):
     """A vocabulary with the tables that encoding needs. Ids grow as ranks fall."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
     EMPTY = b""
 
     def __init__(self, path: str):
@@ -113,12 +114,16 @@ class Pieces(WordIds):
         self.lengths = sorted({len(self.text[i]) for i in whole})
         joined = [(self.id[p[:k]], self.id[p[k:]], i) for p, i in self.id.items() if SPACE * 2 not in p for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
         self.merges = [(a << 32 | b, c) for a, b, c in joined]
-        self.automaton, self.fitting = None, {}
+        self.automaton = None
         self.pairs = Table(np.array([a << 32 | b for a, b, _ in joined], np.uint64), np.array([c for _, _, c in joined], np.int32), 20)
         self.whole = {self.text[i]: i for i in whole}
         self.digits = pa.array([str(i) for i in range(n)], pa.large_string())
         self.numbers = np.array(list(range(n)), object)  # shared by all lists of ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.fitting: dict[int, bool] = {}
+
     @staticmethod
     def hash(text: str) -> int:
         h = 0
@@ -344,7 +349,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         only(p)
-        for batch in slices(batches):
+        for batch in slices(batches, size=HELD):
             n, ids_sha, text_sha = [], [], []
             for ids, said in p.encode(batch.column(1).to_pylist()):
                 n.append(len(ids))
@@ -362,7 +367,7 @@ def token_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         only(p)
-        for batch in slices(batches):
+        for batch in slices(batches, size=HELD):
             yield pa.record_batch([batch.column(0), pa.array([ids for ids, _ in p.encode(batch.column(1).to_pylist())], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")

@@ -22,18 +22,17 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, slices, spread, table, text_of
+from .common import give_back, only, slices, spread, table, text_of
 
 BITS = 20
 SAMPLE = 5000  # labelled rows to fit on, at most
 MOST = 10_000  # features of such a row, at most
-HELD = 4 << 20  # characters that are scored together
+HELD = 1 << 19  # bytes of text that are scored together; n-grams take some 60 times as much
 THRESHOLD = 0.3
 EPOCHS = 4
 SCALE = 8.0
@@ -55,7 +54,7 @@ def shape(word: bytes) -> bytes:
 class Hashes(dict):
     """Word to the hashes of itself and its shape, kept for the words seen last."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= self.LIMIT:
@@ -136,7 +135,7 @@ def strongest(at: np.ndarray, x: np.ndarray, most: int = MOST) -> tuple[np.ndarr
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only(KNOWN)
-    for batch in slices(batches):
+    for batch in slices(batches, size=HELD):
         made = [strongest(*features(t)) for t in batch.column(1).to_pylist()]
         yield pa.record_batch(
             [batch.column(0), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary()), batch.column(2)], names=["doc_id", "at", "x", "label"]
@@ -160,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """The logistic function of the dot products with features(), for many texts at once: each n-gram adds its weight once."""
+    only(KNOWN)
     at, text, words = grams_of(texts)
     sums = np.bincount(text, weights[at].astype(np.float64), len(texts))
     return logistic(sums * SCALE / np.maximum(1, words) + float(weights[-1]))
@@ -170,8 +170,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only(KNOWN)
-        for batch in slices(batches):
+        for batch in slices(batches, size=HELD):
             yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), sent.value), pa.float64())], names=["doc_id", "score"])
 
     rows = spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(run, "doc_id long, score double")
@@ -182,17 +181,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The documents that the classifier doesn't reject, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        only(KNOWN)
-        found, start, held = [], 0, 0
-        values = texts.tolist()
-        for i, t in enumerate(values):  # some millions of characters at a time
-            held += len(t)
-            if held >= HELD or i == len(values) - 1:
-                found.append(scores(values[start : i + 1], sent.value))
-                start, held = i + 1, 0
-        return pd.Series(np.concatenate(found) if found else np.empty(0))
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = slices(iter([pa.record_batch([texts], names=["text"])]), size=HELD)
+            yield pa.array(np.concatenate([np.empty(0), *(scores(part.column(0).to_pylist(), sent.value) for part in parts)]), pa.float64())
+        give_back()
 
     return spread(docs).where(scored(text_of()) >= threshold)
 

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from foliant.llm import quality
+from foliant.llm import near_dedup, pieces, quality
+from foliant.llm.common import only
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +118,52 @@ def test_what_reaches_the_driver_is_bounded():
     at, x = np.arange(50, dtype=np.int32), np.linspace(0, 1, 50).astype(np.float32)
     got = quality.strongest(at, x, 8)
     assert got[0].tolist() == list(range(42, 50)) and (got[1] == x[42:]).all() and quality.strongest(at, x)[0] is at
+
+
+def in_workers(spark, look):
+    """What look() gives in the Python workers."""
+
+    def run(batches):
+        list(batches)
+        yield pa.record_batch([pa.array([look()])], names=["got"])
+
+    return [r["got"] for r in spark.range(0, 4, 1, 4).mapInArrow(run, "got long").collect()]
+
+
+@pytest.fixture
+def fresh(spark):
+    """Python workers that have run nothing yet."""
+    env = spark.sparkContext.environment
+    env["FOLIANT_TEST_WORKERS"] = str(id(env))
+    yield spark
+    del env["FOLIANT_TEST_WORKERS"]
+
+
+def test_scoring_leaves_no_second_cache(fresh, tables):
+    docs, _ = tables
+    quality.scored(docs, np.zeros((1 << quality.BITS) + 1, np.float32)).collect()
+    assert any(in_workers(fresh, lambda: len(quality.KNOWN)))
+
+    def left():
+        only(near_dedup.KNOWN)
+        return len(quality.KNOWN)
+
+    assert not any(in_workers(fresh, left))
+
+
+def test_memory_of_workers(fresh, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "fit", lambda *_: np.zeros((1 << quality.BITS) + 1, np.float32))
+    path = f"file://{tmp_path}/docs"
+    fresh.range(0, 8000, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 300), i -> substr(md5(concat(id, '-', i)), 1, 7))) as text").write.parquet(path)
+    docs = fresh.read.parquet(path).coalesce(1)
+
+    def most():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) >> 10 for line in f if line.startswith("VmHWM"))
+
+    before = min(in_workers(fresh, most))
+    assert quality.keep_good(docs.repartition(1), None).count() == 8000
+    after = max(in_workers(fresh, most))
+    pieces.encoded(docs.repartition(1)).collect()
+    last = max(in_workers(fresh, most))
+    assert after - before < 120 and last - before < 300  # MB; a scored batch and what both stages keep
