@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, near_dedup, pieces, pii, quality, secrets, token_files, warc
+from . import balls, exact_dedup, media, mixing, near_dedup, pieces, pii, quality, secrets, token_files, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_quality_classifier": quality.query,
     "op10_personal_data": pii.query,
+    "op12_centroid_clusters": balls.query,
 }
 ORACLES = {
     "op1_near_dedup": near_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc_archive": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op12_centroid_clusters": balls.ORACLE,
 }

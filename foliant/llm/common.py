@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -63,6 +64,13 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    store, where = filesystem(path)
+    with contextlib.suppress(FileNotFoundError):
+        store.delete_dir(where)
+
+
 def spread_join(rows: DataFrame, entries: DataFrame, on: list[str], size: str, limit: int, by: list[str]) -> DataFrame:
     """rows with the other columns of their entry, or nulls. entries: one row a key (on), and in the column size how many rows have it.
 
