@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balls, exact_dedup, media, mixing, near_dedup, pieces, pii, quality, secrets, token_files, warc
+from . import balls, exact_dedup, media, mixing, near_dedup, passages, pieces, pii, quality, secrets, token_files, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_quality_classifier": quality.query,
     "op10_personal_data": pii.query,
+    "op11_substring_dedup": passages.query,
     "op12_centroid_clusters": balls.query,
 }
 ORACLES = {
@@ -22,5 +23,6 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc_archive": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op11_substring_dedup": passages.ORACLE,
     "op12_centroid_clusters": balls.ORACLE,
 }
