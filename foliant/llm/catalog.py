@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balls, exact_dedup, media, mixing, near_dedup, passages, pieces, pii, quality, secrets, token_files, warc
+from . import balls, exact_dedup, media, mixing, near_dedup, passages, pieces, pii, prefix_trie, quality, secrets, token_files, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_personal_data": pii.query,
     "op11_substring_dedup": passages.query,
     "op12_centroid_clusters": balls.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 ORACLES = {
     "op1_near_dedup": near_dedup.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_source_mixing": mixing.ORACLE,
     "op11_substring_dedup": passages.ORACLE,
     "op12_centroid_clusters": balls.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
