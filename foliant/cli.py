@@ -120,7 +120,7 @@ class Prompt(cmd.Cmd):
     def do_find(self, args: list) -> None:
         if not args:
             raise Wrong(len(self.line), "expected GLOB...")
-        self.pager = self.engine.pager(self.engine.find_lines(*(a for _, a in args)))
+        self.pager = self.engine.find_pages(*(a for _, a in args))
         self._show(self.pager.first())
 
     def do_first(self, args: list) -> None:

@@ -1,17 +1,21 @@
-"""The index: Parquet tables below a folder, written batch by batch.
+"""The index: runs of Parquet tables below a folder, and manifests that say which runs there are.
 
-    files     batch, file_id, name, kind, token_count
-    postings  batch, word, file_id, tf          sorted by word within each batch, so that a word's row groups are few
-    batches   batch, n_files, last_id, n_postings, n_tokens, seconds, at      a row commits its batch
-    deleted   file_id                           files that were deleted
-    problems  batch, name, message              files that couldn't be read or seem to be binary
+A run is what one change has written, in a folder of its own:
 
-A batch counts once its row is in batches: one that dies before isn't seen by any reader, and its files are found again by
-the next walk. So readers filter on the few batches there are, which reaches the scan. Words are never stored but derived from
-postings.
+    files     seq, file_id, name, kind, token_count, error, terms     in the order of file_id; terms is what the file gave to the index
+    postings  seq, word, block, count, df, ids, tfs                   sorted by word; a row has the files of one block of ids
+    deleted   seq, file_id                                            files that are gone from runs of smaller seq
+    names     block, bits                                             a Bloom filter of names
+    grams     gram, word                                              pieces of the run's words, sorted; runs that merges wrote have them
 
-compact() writes all tables anew as one batch, in a folder gen-N of its own; the folder with the highest number that has
-a file READY is the index. Whoever changes the index holds the file LOCK; a second one is refused.
+The columns word, count and df of postings are the dictionary, in part: readers add up the rows of all runs and read nothing of the
+lists beside them. A run of deletions has rows with negative numbers, taken from the terms of what is deleted. Files that couldn't be
+read have an error and no kind.
+
+Runs have levels. A change writes a run of level 0; FAN runs of a level are merged into one of the next, so a posting is written again at
+most once a level, a logarithm of the number of changes. Every change makes a version (see versions): a manifest with all runs,
+the last id, and counters. A Snapshot reads one version. Runs that no version names any more stay for RETENTION seconds, so that
+readers which have begun can end; what writers that died have left goes then, too.
 """
 
 from __future__ import annotations
@@ -20,129 +24,219 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
+from functools import cached_property
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stats import frequency_bags, word_stats
-from .tokens import spread, term_frequencies
-
-FILES = "batch string, file_id long, name string, kind string, token_count long"
-POSTINGS = "batch string, word string, file_id long, tf long"
-BATCHES = "batch string, n_files long, last_id long, n_postings long, n_tokens long, seconds double, at timestamp"
-DELETED = "file_id long"
-PROBLEMS = "batch string, name string, message string"
-ROWS_A_FILE = 50_000_000  # of postings
-BATCHES_KEPT = 64  # batches after which an index that grows is compacted
+from . import lookup, members
+from .stats import frequency_bags
+from .tokens import term_array
+from .versions import Conflict, IndexInUse, Lease, Leases, Numbered, Store
+
+__all__ = ["Conflict", "Index", "IndexInUse", "Snapshot"]
+
+FILES = "seq long, file_id long, name string, kind string, token_count long, error string, terms array<string>"
+POSTINGS = "seq long, word string, block long, count long, df long, ids array<long>, tfs array<long>"
+DELETED = "seq long, file_id long"
+BATCHES = "batch string, level int, n_files long, last_id long, n_postings long, n_tokens long, seconds double, at timestamp"
+BLOCK = 1 << 16  # ids of a row of postings
+FAN = 8  # runs of a level that are merged
+ROW_GROUP = 16 << 20  # bytes; so small that a word's row groups are few
+ROWS_A_FILE = 1_000_000  # of postings, each with up to BLOCK files
+TERM = 60.0  # seconds of a lease that isn't renewed
+RETENTION = 7 * 24 * 3600.0  # seconds that runs stay which no version names any more
+TRIES = 8  # times that a change is made anew because another version came first
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a manifest says of a run. seq is the version that it came with; batches is how many changes it holds."""
+
+    id: str
+    level: int
+    seq: int
+    n_files: int = 0
+    last_id: int = 0
+    n_postings: int = 0
+    n_tokens: int = 0
+    n_deleted: int = 0
+    filters: int = 0  # blocks of its Bloom filter
+    grams: bool = False
+    batches: int = 1
+    seconds: float = 0.0
+    at: float = 0.0
+
+
+class Snapshot:
+    """An index as one version has it."""
+
+    def __init__(self, spark: SparkSession, path: str, version: int, manifest: dict | None):
+        self.spark, self.path, self.version = spark, path, version
+        manifest = manifest or {"runs": [], "retired": [], "last_id": 0, "written": 0, "rewritten": 0}
+        self.retired = manifest["retired"]  # ids of runs of earlier versions, and since when they aren't named
+        self.runs = [Run(**r) for r in manifest["runs"]]
+        self.last_id, self.written, self.rewritten = manifest["last_id"], manifest["written"], manifest["rewritten"]
+
+    def table(self, name: str, schema: str, runs: list[Run]) -> DataFrame:
+        """One table of some runs."""
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/runs/{r.id}/{name}" for r in runs])
 
+    @property
+    def _with_files(self) -> list[Run]:
+        return [r for r in self.runs if r.n_files]
 
-class IndexInUse(RuntimeError):
-    """Another walk, stream or compaction is changing the index."""
+    @cached_property
+    def deleted(self) -> DataFrame:
+        """seq, file_id of deletions, as far as they still matter."""
+        return self.table("deleted", DELETED, [r for r in self.runs if r.n_deleted])
 
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows (seq, file_id) without those of files that were deleted after they were written."""
+        if not any(r.n_deleted for r in self.runs):
+            return rows
+        gone = self.deleted.groupBy(F.col("file_id").alias("_gone")).agg(F.max("seq").alias("_until"))
+        return rows.join(gone, (rows["file_id"] == gone["_gone"]) & (rows["seq"] < gone["_until"]), "left_anti")
 
-class Index:
-    def __init__(self, spark: SparkSession, path: str, stop_words: Iterable[str] | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.stop_words = None if stop_words is None else tuple(stop_words)
+    def rows(self, runs: list[Run] | None = None) -> DataFrame:
+        """All of files, with errors and terms."""
+        return self.live(self.table("files", FILES, self._with_files if runs is None else runs))
 
-    # Folders.
+    @property
+    def files(self) -> DataFrame:
+        """file_id, name, kind, token_count."""
+        return self.rows().where("error is null").select("file_id", "name", "kind", "token_count")
 
-    def _store(self, path: str) -> tuple:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+    @property
+    def problems(self) -> DataFrame:
+        """name, message of files that couldn't be read (they are tried again by the next walk) or seem to be binary."""
+        message = F.coalesce("error", F.when(F.col("kind") == "ignore", "maybe binary file"))
+        return self.rows().select("name", message.alias("message")).where("message is not null")
 
-    def _generations(self) -> list[int]:
-        store, where = self._store(f"{self.path}/gen-*/READY")
-        return sorted(int(s.getPath().getParent().getName()[4:]) for s in store.globStatus(where) or [])
+    def dictionary_rows(self, runs: list[Run] | None = None) -> DataFrame:
+        """word, count, df in parts. Nothing of the lists is read."""
+        return self.table("postings", POSTINGS, [r for r in (self.runs if runs is None else runs) if r.n_files or r.n_deleted]).select("word", "count", "df")
 
     @property
-    def base(self) -> str:
-        """The folder that holds the tables."""
-        made = self._generations()
-        return f"{self.path}/gen-{made[-1]}" if made else self.path
-
-    @contextmanager
-    def locked(self) -> Iterator[None]:
-        """Refuse others that change the index, in this or another application."""
-        store, where = self._store(f"{self.path}/LOCK")
-        try:
-            store.create(where, False).close()
-        except Exception as e:
-            if store.exists(where):
-                raise IndexInUse(f"{self.path} is being changed; unlock() removes a lock that a dead application left") from e
-            raise
-        try:
-            yield
-        finally:
-            store.delete(where, False)
+    def dictionary(self) -> DataFrame:
+        """word, count, df."""
+        return self.dictionary_rows().groupBy("word").agg(F.sum("count").alias("count"), F.sum("df").alias("df")).where("df > 0")
 
-    def unlock(self) -> None:
-        self._remove(f"{self.path}/LOCK")
+    @property
+    def words(self) -> DataFrame:
+        """word, count, df, freq_bag."""
+        return frequency_bags(self.dictionary)
 
-    def _remove(self, path: str) -> None:
-        store, where = self._store(path)
-        store.delete(where, True)
+    def entries(self, runs: list[Run] | None = None) -> DataFrame:
+        """seq, word, file_id, tf."""
+        lists = self.table("postings", POSTINGS, self._with_files if runs is None else runs)
+        return self.live(lists.select("seq", "word", F.explode(F.arrays_zip("ids", "tfs")).alias("e")).select("seq", "word", F.col("e.ids").alias("file_id"), F.col("e.tfs").alias("tf")))
 
-    def clear(self) -> None:
-        """Start anew: remove all tables."""
-        self._remove(self.path)
+    @property
+    def postings(self) -> DataFrame:
+        """word, file_id, tf of the files in the catalogue."""
+        return self.entries().select("word", "file_id", "tf")
 
-    # Tables.
+    def postings_of(self, globs: list[str]) -> DataFrame:
+        """Postings of words that any glob matches. Words of globs without a fixed beginning are looked up first."""
+        return self.postings.where(lookup.words_filter(self, globs))
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
-        except AnalysisException:  # not there yet
-            return self.spark.createDataFrame([], schema)
+    def terms_of(self, files: DataFrame | int) -> DataFrame:
+        """file_id, word, tf of one file or of some (file_id): forward, from terms, so no postings are read."""
+        rows = self.rows().where("error is null")
+        rows = rows.where(F.col("file_id") == files) if isinstance(files, int) else rows.join(files.select("file_id"), "file_id", "left_semi")
+        return rows.select("file_id", F.explode("terms").alias("word")).groupBy("file_id", "word").agg(F.count(F.lit(1)).alias("tf"))
 
     @property
     def batches(self) -> DataFrame:
-        """What was written: batch, n_files, last_id, n_postings, n_tokens, seconds, at. A bounded number of rows."""
-        return self._table("batches", BATCHES)
+        """What was written: batch, level, n_files, last_id, n_postings, n_tokens, seconds, at; as many rows as there are runs with files."""
+        rows = [(r.id, r.level, r.n_files, r.last_id, r.n_postings, r.n_tokens, r.seconds, datetime.fromtimestamp(r.at, UTC)) for r in self._with_files]
+        return self.spark.createDataFrame(rows, BATCHES)
 
-    def _committed(self, name: str, schema: str) -> DataFrame:
-        known = [r["batch"] for r in self.batches.select("batch").distinct().collect()]
-        return self._table(name, schema).where(F.col("batch").isin(known) if known else F.lit(False))
 
-    @property
-    def deleted(self) -> DataFrame:
-        return self._table("deleted", DELETED).distinct()
-
-    def _live(self, table: DataFrame) -> DataFrame:
-        gone = self._table("deleted", DELETED)
-        return table.join(gone, "file_id", "left_anti") if gone.head(1) else table
+class Index:
+    """An index in a folder. Its tables are those of the last version; snapshot() holds one."""
 
-    @property
-    def files(self) -> DataFrame:
-        """file_id, name, kind, token_count."""
-        return self._live(self._committed("files", FILES)).select("file_id", "name", "kind", "token_count")
+    def __init__(self, spark: SparkSession, path: str, stop_words: Iterable[str] | None = None, fan: int = FAN, term: float = TERM, patience: float = 0.0):
+        """fan: runs that are merged; term: seconds of a lease; patience: how long a change waits for another one."""
+        self.spark, self.path, self.fan, self.patience = spark, path.rstrip("/"), fan, patience
+        self.stop_words = None if stop_words is None else tuple(stop_words)
+        self.store = Store(spark, self.path)
+        self.versions = Numbered(self.store, "versions", "v")
+        self.leases = Leases(self.store, term)
+
+    # What there is.
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The last version, or an earlier one, as long as it is kept."""
+        if version is None:
+            return Snapshot(self.spark, self.path, *self.versions.last())
+        manifest = self.versions.read(version)
+        if manifest is None:
+            raise KeyError(f"version {version} of {self.path} isn't kept")
+        return Snapshot(self.spark, self.path, version, manifest)
+
+    def __getattr__(self, name: str):
+        if name in ("files", "postings", "words", "dictionary", "problems", "batches", "deleted", "entries", "postings_of", "terms_of"):
+            return getattr(self.snapshot(), name)
+        raise AttributeError(name)
 
-    @property
-    def postings(self) -> DataFrame:
-        """word, file_id, tf of the files in the catalogue."""
-        return self._live(self._committed("postings", POSTINGS)).select("word", "file_id", "tf")
+    def last_id(self) -> int:
+        return self.snapshot().last_id
 
-    @property
-    def problems(self) -> DataFrame:
-        """name, message of files that couldn't be read (they are tried again by the next walk) or seem to be binary."""
-        return self._committed("problems", PROBLEMS).select("name", "message")
+    # Changes.
 
-    @property
-    def words(self) -> DataFrame:
-        """word, count, df, freq_bag."""
-        return frequency_bags(word_stats(self.postings))
+    @contextmanager
+    def locked(self) -> Iterator[Lease]:
+        """Refuse others that change the index, in this or another application, until the block ends."""
+        with self.leases.claim(self.patience).kept() as lease:
+            yield lease
 
-    def last_id(self) -> int:
-        return self.batches.agg(F.max("last_id")).first()[0] or 0
+    def unlock(self) -> None:
+        """End a lease now that would end by itself, as its holder has died."""
+        self.leases.end()
 
-    # Changes.
+    def clear(self) -> None:
+        """Start anew: remove all there is."""
+        self.store.remove()
+
+    def _change(self, make: Callable[[Snapshot, str], tuple[list[Run], set[str], int] | None]) -> Snapshot:
+        """Make the next version. make gets the last one and a new run's id, writes the run, and gives the runs to add (seq is the
+        next version), the ids of those that go, and the last id; or None if nothing changes. It is called again if another version came first."""
+        with self.locked() as lease:
+            for _ in range(TRIES):
+                before = self.snapshot()
+                made = make(before, uuid.uuid4().hex)
+                if made is None:
+                    return before
+                new, gone, last_id = made
+                rows = sum(r.n_postings for r in new)
+                merged = rows if gone else 0
+                now = time.time()
+                manifest = {
+                    "retired": [[i, at] for i, at in before.retired if at >= now - RETENTION] + [[i, now] for i in sorted(gone)],
+                    "runs": [asdict(r) for r in [*(r for r in before.runs if r.id not in gone), *new]],
+                    "last_id": max(last_id, before.last_id),
+                    "written": before.written + rows - merged,
+                    "rewritten": before.rewritten + merged,
+                    "lease": lease.number,
+                    "at": now,
+                }
+                if not lease.held():
+                    raise IndexInUse(f"{self.path} was taken over by another change; this one isn't made")
+                if self.versions.put(before.version + 1, manifest):
+                    return Snapshot(self.spark, self.path, before.version + 1, manifest)
+            raise Conflict(f"{self.path} changes too often")
 
     def add(self, texts: DataFrame) -> None:
         """Index texts: name, kind, text, and perhaps file_id. Names already indexed are passed over, ignored files get no words.
 
-        What is new is settled on names alone. Then the texts are joined with their ids, a broadcast or one shuffle, and staged, so
-        that they are read and classified once. Ids without file_id go on from the last one, in the order of names.
+        What is new is settled on names alone. Then the texts are joined with their ids. Ids without file_id go on from the last one, in
+        the order of names.
         """
         given = "file_id" in texts.columns
         named = texts.where("name is not null")
@@ -151,7 +245,7 @@ class Index:
             found = named.join(ids.select("name", "_id"), "name")
             if ids.where("copies > 1").head(1):  # one text of a name counts
                 found = (found.where("file_id = _id") if given else found).dropDuplicates(["name"])
-            return found.select(F.col("_id").alias("file_id"), "name", "kind", "text", F.lit(None).cast("string").alias("error"))
+            return found.select(F.col("_id").alias("file_id"), "name", "kind", "text", F.lit(None).cast("string").alias("error")).repartitionByRange("file_id")
 
         self._add(named, given, rows, False)
 
@@ -163,96 +257,163 @@ class Index:
 
         def rows(ids: DataFrame, listed: DataFrame) -> DataFrame:
             one = listed.dropDuplicates(["name"]) if ids.where("copies > 1").head(1) else listed
-            return load(one.join(ids.select("name", F.col("_id").alias("file_id")), "name")).select("file_id", "name", "kind", "text", "error")
+            found = one.join(ids.select("name", F.col("_id").alias("file_id")), "name").repartitionByRange("file_id")
+            return load(found).select("file_id", "name", "kind", "text", "error")
 
         self._add(listed, False, rows, True)
 
     def _add(self, named: DataFrame, given: bool, texts: Callable[[DataFrame, DataFrame], DataFrame], keep: bool) -> None:
         """texts makes rows of the ids of new names and named; keep: named is costly to make and small, so it is staged."""
-        with self.locked():
-            batch, began, base = uuid.uuid4().hex, time.time(), self.base
-            staging = f"{base}/staging/{batch}"
-            if keep:
-                named = self._kept(named, f"{staging}/listed")
+        staging = f"staging/{uuid.uuid4().hex}"
+        if keep:
+            named = self._kept(named, f"{self.path}/{staging}/listed")
+
+        def make(before: Snapshot, run: str) -> tuple | None:
+            began, here, seq = time.time(), f"{self.path}/{staging}/{run}", before.version + 1
             names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
-            names = names.join(self.files.select("name"), "name", "left_anti")
-            ids = self._kept(names if given else self._numbered(names, staging), f"{staging}/ids")
-            rows = self._kept(texts(ids, named), f"{staging}/texts")
-            good = rows.where("error is null")
-            read = good.where("kind <> 'ignore' and text is not null").select("file_id", "text")
-            tf = term_frequencies(spread(read), self.stop_words)  # the range sort reads its input twice: words are to be counted before
-            postings = tf.select(F.lit(batch).alias("batch"), "word", "file_id", "tf")
-            postings.repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id").write.mode("append").option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{base}/postings")
-            counts = self._table("postings", POSTINGS).where(F.col("batch") == batch).groupBy("file_id").agg(F.sum("tf").alias("token_count"))
-            files = good.select("file_id", "name", "kind").join(counts, "file_id", "left")
-            files.select(F.lit(batch).alias("batch"), "file_id", "name", "kind", F.coalesce("token_count", F.lit(0)).alias("token_count")).write.mode("append").parquet(f"{base}/files")
-            message = F.coalesce("error", F.when(F.col("kind") == "ignore", "maybe binary file"))
-            rows.select(F.lit(batch).alias("batch"), "name", message.alias("message")).where("message is not null").write.mode("append").parquet(f"{base}/problems")
-            self._commit(batch, base, began)
-            self._remove(staging)
-
-    def _commit(self, batch: str, base: str, began: float) -> None:
-        mine = lambda name, schema: self.spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("batch") == batch)
-        files = mine("files", FILES).agg(F.count(F.lit(1)).alias("n_files"), F.max("file_id").alias("last_id"))
-        words = mine("postings", POSTINGS).agg(F.count(F.lit(1)).alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-        row = files.crossJoin(words).select(F.lit(batch).alias("batch"), "n_files", "last_id", "n_postings", "n_tokens")  # a row each
-        row = row.withColumn("seconds", F.lit(round(time.time() - began, 3))).withColumn("at", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{base}/batches")
+            names = members.unknown(before, names, here)
+            ids = self._kept(names if given else self._numbered(names, before.last_id, here), f"{here}/ids")
+            n_names, last = ids.agg(F.count(F.lit(1)), F.max("_id")).first()
+            if not n_names:
+                return None
+            read = F.when(F.col("kind").isNotNull() & (F.col("kind") != "ignore"), F.col("text"))
+            rows = texts(ids, named).select("file_id", "name", "kind", "error", term_array(read, self.stop_words).alias("terms"))
+            rows = rows.select(F.lit(seq).cast("long").alias("seq"), "file_id", "name", "kind", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("token_count"), "error", "terms")
+            seen = Observation()
+            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"))
+            self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
+            counts = self._write_postings(self._exploded(run), seq, f"{run}/postings")
+            blocks = members.write_filter(ids.select("name"), n_names, f"{self.path}/runs/{run}/names")
+            got = seen.get
+            made = Run(run, 0, seq, n_files=got["n_files"], last_id=got["last_id"] or 0, filters=blocks, seconds=round(time.time() - began, 3), at=time.time(), **counts)
+            return [made], set(), last or 0
+
+        self._change(make)
+        self.store.remove(staging)
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        df.write.option("parquet.block.size", ROW_GROUP).option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{self.path}/runs/{path}")
+
+    def _exploded(self, run: str) -> DataFrame:
+        """word, file_id of a run that is being written: one row an occurrence."""
+        files = self.spark.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null")
+        return files.select("file_id", F.explode("terms").alias("word"))
+
+    def _write_postings(self, occurrences: DataFrame, seq: int, path: str) -> dict[str, int]:
+        """From (word, file_id): one shuffle, by ranges of word and block of ids, in which occurrences are counted and lists made."""
+        ranged = occurrences.select("word", (F.shiftright("file_id", 16)).alias("block"), "file_id").repartitionByRange("word", "block")
+        counted = ranged.groupBy("word", "block", "file_id").agg(F.count(F.lit(1)).alias("tf"))
+        held = counted.groupBy("word", "block").agg(F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("file_id", "tf"))).alias("held"))
+        return self._write_lists(held, seq, path)
+
+    def _write_lists(self, held: DataFrame, seq: int, path: str) -> dict[str, int]:
+        """Rows word, block, count, df, held (file_id, tf), dealt by ranges of word; what was written is counted meanwhile."""
+        lists = held.select(F.lit(seq).cast("long").alias("seq"), "word", "block", "count", "df", F.col("held.file_id").alias("ids"), F.col("held.tf").alias("tfs"))
+        seen = Observation()
+        entries = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+        lists = lists.observe(seen, F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_postings"), F.coalesce(F.sum(entries), F.lit(0)).alias("n_tokens"))
+        self._write(lists.sortWithinPartitions("word", "block"), path)
+        got = seen.get
+        return {"n_postings": int(got["n_postings"]), "n_tokens": int(got["n_tokens"])}
 
     def _kept(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _numbered(self, names: DataFrame, staging: str) -> DataFrame:
+    def _numbered(self, names: DataFrame, last_id: int, staging: str) -> DataFrame:
         """names with _id: their place in a range sort, from the number of names in the ranges before."""
         held = self._kept(names.repartitionByRange("name").withColumn("part", F.spark_partition_id()), f"{staging}/names")
         ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
         before = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
         rank = F.row_number().over(Window.partitionBy("part").orderBy("name"))
-        return held.withColumn("rank", rank).join(before, "part").select("name", "copies", (F.col("rank") + F.col("before") + F.lit(self.last_id())).cast("long").alias("_id"))
+        return held.withColumn("rank", rank).join(before, "part").select("name", "copies", (F.col("rank") + F.col("before") + F.lit(last_id)).cast("long").alias("_id"))
 
     def delete(self, gone: DataFrame) -> None:
-        """Delete files (file_id). Their names may be indexed again."""
-        with self.locked():
-            gone.select(F.col("file_id").cast("long")).join(self.deleted, "file_id", "left_anti").write.mode("append").parquet(f"{self.base}/deleted")
-
-    def compact(self, to: str | None = None) -> Index:
-        """Write the index anew as one batch, without deleted files: in its place, or to another folder.
-
-        In place, readers that have begun go on with the old tables, which the next compaction removes.
-        """
-        if to is not None:
-            new = Index(self.spark, to, self.stop_words)
-            self._rewrite(new.path)
-            return new
-        with self.locked():
-            made, before = self._generations(), self.base
-            number = made[-1] + 1 if made else 1
-            target = f"{self.path}/gen-{number}"
-            self._remove(target)  # what a compaction that died has left
-            self._rewrite(target)
-            store, where = self._store(f"{target}/READY")
-            store.create(where, False).close()
-            for old in (f"{self.path}/gen-{n}" for n in made[:-1]):
-                self._remove(old)
-            if len(made) == 1:  # the tables from before the first compaction
-                for name in ("files", "postings", "batches", "deleted", "problems", "staging"):
-                    self._remove(f"{self.path}/{name}")
-            assert before != target
-        return self
-
-    def _rewrite(self, target: str) -> None:
-        batch, began, last = uuid.uuid4().hex, time.time(), self.last_id()
-        mark = F.lit(batch).alias("batch")
-        postings = self.postings.select(mark, "word", "file_id", "tf").repartitionByRange("word", "file_id").sortWithinPartitions("word", "file_id")
-        postings.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{target}/postings")
-        self.files.select(mark, "file_id", "name", "kind", "token_count").write.parquet(f"{target}/files")
-        self.problems.select(mark, "name", "message").write.parquet(f"{target}/problems")
-        self._commit(batch, target, began)
-        if last:  # ids of deleted files aren't given again
-            row = [("", 0, last, 0, 0, 0.0, None)]
-            self.spark.createDataFrame(row, BATCHES).coalesce(1).write.mode("append").parquet(f"{target}/batches")
+        """Delete files (file_id). Their names may be indexed again. What their terms added to the dictionary is taken off in a run of its own."""
+
+        def make(before: Snapshot, run: str) -> tuple | None:
+            began, seq = time.time(), before.version + 1
+            ids = gone.select(F.col("file_id").cast("long").alias("file_id")).join(before.files.select("file_id"), "file_id", "left_semi").distinct()
+            self._write(ids.select(F.lit(seq).cast("long").alias("seq"), "file_id"), f"{run}/deleted")
+            ids = self.spark.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").select("file_id")
+            n = ids.count()
+            if not n:
+                return None
+            less = before.terms_of(ids).groupBy("word").agg((-F.sum("tf")).alias("count"), (-F.count(F.lit(1))).alias("df"))
+            none = F.array().cast("array<long>")
+            rows = less.select(F.lit(seq).cast("long").alias("seq"), "word", F.lit(None).cast("long").alias("block"), "count", "df", none.alias("ids"), none.alias("tfs"))
+            self._write(rows.repartitionByRange("word").sortWithinPartitions("word"), f"{run}/postings")
+            return [Run(run, 0, seq, n_deleted=n, seconds=round(time.time() - began, 3), at=time.time())], set(), 0
+
+        self._change(make)
+
+    # Merging.
 
     def compact_if_grown(self) -> None:
-        if self.batches.count() > BATCHES_KEPT:
-            self.compact()
+        """Merge the runs of each level that has FAN of them; the merged run is of the next level."""
+        while True:
+            levels: dict[int, list[Run]] = {}
+            for r in self.snapshot().runs:
+                levels.setdefault(r.level, []).append(r)
+            full = [level for level, runs in sorted(levels.items()) if len(runs) >= self.fan]
+            if not full:
+                return
+            self._change(lambda before, run, level=full[0]: self._merge(before, [r for r in before.runs if r.level == level], run, level + 1))
+            self.vacuum()
+
+    def compact(self, to: str | None = None) -> Index:
+        """Merge all runs into one, without deleted files: in place, or in another folder."""
+        if to is None:
+            self._change(lambda before, run: self._merge(before, before.runs, run, max((r.level for r in before.runs), default=0) + 1) if before.runs else None)
+            self.vacuum()
+            return self
+        new = Index(self.spark, to, self.stop_words, self.fan, self.leases.term)
+        from_ = self.snapshot()
+        new._change(lambda before, run: (*new._merge(from_, from_.runs, run, 1, before.version + 1)[:2], from_.last_id))
+        return new
+
+    def _merge(self, before: Snapshot, runs: list[Run], run: str, level: int, seq: int | None = None) -> tuple[list[Run], set[str], int]:
+        """Write runs as one. Counts of the dictionary are added up as they are, unless all runs are merged: then those of files that are gone go."""
+        began, seq = time.time(), seq or before.version + 1
+        whole = len(runs) == len(before.runs)
+        with_files = [r for r in runs if r.n_files]
+        files = before.rows(with_files).withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("file_id")
+        seen = Observation()  # after the shuffle, as ranges are found by reading what comes before twice
+        observed = files.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"))
+        self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
+        entries = before.entries(with_files).select("word", F.shiftright("file_id", 16).alias("block"), (F.col("tf") if whole else F.lit(0).cast("long")).alias("count"), F.lit(int(whole)).cast("long").alias("df"), F.struct("file_id", "tf").alias("e"))
+        if not whole:
+            counts = before.table("postings", POSTINGS, [r for r in runs if r.n_files or r.n_deleted]).select("word", "block", "count", "df", F.lit(None).cast("struct<file_id: bigint, tf: bigint>").alias("e"))
+            entries = entries.union(counts)
+        ranged = entries.repartitionByRange("word", "block")
+        held = ranged.groupBy("word", "block").agg(F.sum("count").alias("count"), F.sum("df").alias("df"), F.sort_array(F.collect_list("e")).alias("held")).where("count <> 0 or df <> 0 or size(held) > 0")
+        counts = self._write_lists(held, seq, f"{run}/postings")
+        n_deleted = 0
+        if not whole:
+            gone = before.table("deleted", DELETED, [r for r in runs if r.n_deleted])
+            met = before.table("files", FILES, with_files).select(F.col("file_id").alias("_met"), F.col("seq").alias("_of"))
+            left = gone.join(met, (gone["file_id"] == met["_met"]) & (met["_of"] < gone["seq"]), "left_anti")  # what it deletes is in other runs
+            self._write(left, f"{run}/deleted")
+            n_deleted = self.spark.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").count()
+        got = seen.get
+        lookup.write_grams(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/runs/{run}/postings"), f"{self.path}/runs/{run}/grams", ROW_GROUP)
+        names = self.spark.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null").select("name")
+        blocks = members.write_filter(names, got["n_files"], f"{self.path}/runs/{run}/names")
+        batches = sum(r.batches for r in runs)
+        last = max((r.last_id for r in with_files), default=0)
+        made = Run(run, level, seq, n_files=got["n_files"], last_id=last, n_deleted=n_deleted, filters=blocks, grams=True, batches=batches, seconds=round(time.time() - began, 3), at=time.time(), **counts)
+        return [made], {r.id for r in runs}, before.last_id
+
+    def vacuum(self, retention: float = RETENTION) -> None:
+        """Remove versions but the last that are older than so many seconds, and runs and staged tables that no version has named for as long."""
+        old, last = time.time() - retention, self.snapshot()
+        for number in self.versions.numbers():
+            manifest = self.versions.read(number)
+            if number >= last.version or (manifest and manifest["at"] >= old):
+                break  # later ones aren't older
+            self.store.remove(self.versions.name(number))
+        keep = {r.id for r in last.runs} | {i for i, at in last.retired if at >= old}
+        for folder, named in (("runs", keep), ("staging", set())):
+            for name in self.store.names(folder):
+                if name not in named and self.store.changed(f"{folder}/{name}") <= old:
+                    self.store.remove(f"{folder}/{name}")

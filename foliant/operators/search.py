@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,30 +56,51 @@ def page(found: DataFrame, number: int, size: int = 20) -> DataFrame:
     return (ordered.offset(number * size) if number else ordered).limit(size)
 
 
+def page_after(found: DataFrame, last: int | None, size: int = 20) -> DataFrame:
+    """The page of results that follows a file_id: a filter and a bounded top-k, whatever came before it. found is read in the order of file_id."""
+    rest = found if last is None else found.where(F.col("file_id") > F.lit(last))
+    return rest.orderBy("file_id").limit(size)
+
+
 def new_files(listed: DataFrame, files: DataFrame) -> DataFrame:
     """Listed files whose names aren't in the catalogue."""
     return listed.join(files.select("name"), "name", "left_anti")
 
 
 class Pager:
-    """The cursor of a prompt over results: each page is a query of its own, nothing else is kept on the driver."""
+    """The cursor of a prompt over results, which are kept as a table, so that a page neither searches again nor counts from the start.
+
+    show gets the rows of a page (file_id, name; at most size) and gives what is to be shown of them, such as their lines; so
+    nothing is opened for results that nobody has asked for. Without a folder to keep results in, each page asks found anew.
+    """
 
-    def __init__(self, found: DataFrame, size: int = 20):
-        self.found, self.size, self.at, self.total = found, size, 0, None
+    def __init__(self, found: DataFrame, size: int = 20, folder: str | None = None, show: Callable[[DataFrame], DataFrame] | None = None):
+        self.size, self.at, self.last, self.total, self.show = size, 0, None, None, show
+        if folder:
+            where = f"{folder}/{uuid.uuid4().hex}"
+            found.repartitionByRange("file_id").sortWithinPartitions("file_id").write.parquet(where)
+            found = found.sparkSession.read.schema(found.schema).parquet(where)
+        self.found = found
 
-    def _show(self) -> list:
+    def _next(self) -> list:
         if self.total is None:
             self.total = self.found.count()
-        rows = page(self.found, self.at, self.size).collect()
+        some = page_after(self.found, self.last, self.size)
+        rows = some.collect()
+        if rows:
+            self.last = rows[-1]["file_id"]
         self.at += 1
+        if self.show and rows:
+            some = some.sparkSession.createDataFrame(rows, some.schema)  # size rows at most
+            rows = self.show(some).orderBy("file_id").collect()
         return rows
 
     def first(self) -> list:
-        self.at = 0
-        return self._show()
+        self.at, self.last = 0, None
+        return self._next()
 
     def next(self) -> list:
-        return self._show()
+        return self._next()
 
     @property
     def has_more(self) -> bool:

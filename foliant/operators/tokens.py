@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.stopwords import stop_words_sql
+from foliant.functions.stopwords import default_list, stop_words_sql, usable
 from foliant.functions.text import term, words
 
 
@@ -40,6 +40,13 @@ def _kept(stop_words: Iterable[str] | None) -> Column:
     return F.expr(f"filter(lowered, w -> w NOT IN ({stop_words_sql(stop_words)}))")
 
 
+def term_array(text: Column, stop_words: Iterable[str] | None = None) -> Column:
+    """What is indexed of a text, in order; null of a null."""
+    listed = default_list() if stop_words is None else usable(stop_words)
+    lowered = F.transform(words(text), term)
+    return F.filter(lowered, lambda w: ~w.isin(*listed)) if listed else lowered
+
+
 def terms(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """file_id, word; what is indexed. Stop words, a third of all words, leave the array before a row is made of each word."""
     lowered = F.transform(words(F.col("text")), term)

@@ -32,7 +32,7 @@ ORACLES: dict[str, str] = {}
 # SQL: the tokenizer in RE2's syntax, stop words, and the tables that the queries share.
 SQL_TOKENS = r"[\n\r]\s*[A-Za-z0-9*-]*:[^\n]*|<[^>]{1,20}>|(\p{L}+)[^\p{L}\n]*|[^\p{L}\n]+|[\n\r]"
 SQL_MARKUP = r"<!--[^>]*>?|(?i:<!\[cdata\[)(?s:.*?)(?:\]\]|\z)|<\?[^>]*>?|(?i:<!doctype)[^>]*>?|</?[A-Za-z][^>]*>?"
-STOP_SQL = stop_words_sql()
+STOP_SQL = "<stop words>"  # the list is read when SQL is asked for, not when this module is imported
 REFERENCES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
@@ -65,6 +65,12 @@ TALKS = _with("conversations", "(conv_id * 1048576 + turn)", "text", "'conversat
 ITEMS = _with("benchmark", "item_id", "text", "'benchmark/' || item_id || '.txt'")
 
 
+def oracles() -> dict[str, str]:
+    """The SQL of each query that has any."""
+    listed = stop_words_sql()
+    return {name: sql.replace(STOP_SQL, listed) for name, sql in ORACLES.items()}
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f
@@ -466,6 +472,35 @@ def index_batches(spark, d):
     return _indexed(spark, d).write_stats().select("n_files", "last_id", "n_postings", "n_tokens")
 
 
+@query("dictionary_batches", DOCS.rstrip() + f""", left_ AS (SELECT * FROM tf WHERE file_id NOT IN (SELECT file_id FROM files WHERE {GONE})),
+words_ AS (SELECT word, sum(tf)::BIGINT AS count, count(*) AS df FROM left_ GROUP BY word)
+SELECT word, count, df, least(255, (count * 5120) // (SELECT sum(count) FROM words_))::INT AS freq_bag FROM words_""")
+def dictionary_batches(spark, d):
+    """The dictionary of six batches with a deletion between them; runs are merged by threes, so by tiers. Only dictionary columns are read."""
+    docs = tables.documents(spark, d)
+    index = Index(spark, f"{_folder(spark)}/index", fan=3)
+    for i in range(6):
+        index.add(docs.where(F.pmod("file_id", F.lit(6)) == i))
+        if i == 3:
+            index.delete(search.find_files(index.files, "doc/1*"))
+        index.compact_if_grown()
+    index.delete(search.find_files(index.files, "doc/1*"))
+    return index.words
+
+
+@query("lookup_find", _found_sql(DOCS.rstrip(), ["*ation", "?e*"]))
+def lookup_find(spark, d):
+    """Words without a fixed beginning, looked up by their pieces in an index that was merged."""
+    return _indexed(spark, d).save().find("*ation", "?e*")
+
+
+@query("file_terms", DOCS + "SELECT file_id, word, tf FROM tf")
+def file_terms(spark, d):
+    """What each file gave to the index, from the catalogue: forward, without postings."""
+    now = _indexed(spark, d).index_.snapshot()
+    return now.terms_of(now.files)
+
+
 # Files: the tables written out as files of a folder, walked, indexed and searched.
 
 
@@ -527,6 +562,33 @@ def walk_find(spark, d):
     return engine.find_lines("th*", "*ing").select("name", F.array_join("lines", "\n").alias("lines"))
 
 
+@query("stream_walk", WRITTEN + "SELECT name, CASE WHEN odd THEN 'ignore' WHEN t LIKE '<!DOCTYPE%' THEN 'html' ELSE 'text' END AS kind FROM listed")
+def stream_walk(spark, d):
+    """The catalogue that a stream makes of the same folder, in micro-batches; a second one finds nothing new."""
+    path = _folder(spark)
+    engine = Engine(spark, f"{path}/index", _written(spark, d))
+    for _ in range(2):
+        engine.index_stream(f"{path}/checkpoint", per_batch=max(100, tables.read(spark, d, "documents").count() // 4))
+    return engine.index_.files.select("name", "kind")
+
+
+@query(
+    "page_lines",
+    WRITTEN.rstrip()
+    + f""", numbered AS (SELECT row_number() OVER (ORDER BY name) AS file_id, * FROM listed),
+texts AS (SELECT file_id, CASE WHEN t LIKE '<!DOCTYPE%' THEN {_html_sql("t")} ELSE t END AS text FROM numbered WHERE NOT odd),
+raw AS ({_words_sql("texts", "file_id", "text")}), terms AS (SELECT file_id, lower(word) AS word FROM raw WHERE lower(word) NOT IN ({STOP_SQL})),
+found AS (SELECT file_id FROM terms WHERE word LIKE 'th%' INTERSECT SELECT file_id FROM terms WHERE word LIKE '%re')
+SELECT file_id, name, {_lines_sql(['th*', '*re'], "t")} AS lines FROM numbered WHERE file_id IN (SELECT file_id FROM found WHERE file_id > 30 ORDER BY file_id LIMIT 20)""",
+)
+def page_lines(spark, d):
+    """A page of results after a file's id, with lines: twenty files are opened, whatever was found."""
+    engine = Engine(spark, f"{_folder(spark)}/index", _written(spark, d))
+    engine.index()
+    some = search.page_after(engine.find("th*", "*re"), 30)
+    return engine.with_lines(some, "th*", "*re").select("file_id", "name", F.array_join("lines", "\n").alias("lines"))
+
+
 @query("prompt_pages", DOCS.rstrip() + """, found AS (SELECT file_id FROM terms WHERE word LIKE 'th%' INTERSECT SELECT file_id FROM terms WHERE word LIKE '%re'),
 pages AS (SELECT row_number() OVER (ORDER BY file_id) - 1 AS i, name FROM files JOIN found USING (file_id))
 SELECT shown, i, name FROM pages JOIN (VALUES (0, 0), (1, 20), (2, 0)) v(shown, start) ON i >= start AND i < start + 20""")
@@ -535,7 +597,7 @@ def prompt_pages(spark, d):
     out, shown = io.StringIO(), []
     prompt = Prompt(_indexed(spark, d), stdout=out)
     docs = tables.documents(spark, d)
-    prompt.engine.find_lines = partial(prompt.engine.find_lines, texts=docs.select("file_id", "text"))
+    prompt.engine.find_pages = partial(prompt.engine.find_pages, texts=docs.select("file_id", "text"))
     for number, line in enumerate(("find th* *re", "next", "first")):
         out.seek(0), out.truncate()
         prompt.onecmd(line)

@@ -20,8 +20,9 @@ log = logging.getLogger("foliant")
 class Engine:
     """An index in a folder, and the directory of files that it covers."""
 
-    def __init__(self, spark: SparkSession, path: str, root: str | None = None, stop_words: Iterable[str] | None = None, modern: bool = True):
-        self.spark, self.index_, self.root, self.modern = spark, Index(spark, path, stop_words), root, modern
+    def __init__(self, spark: SparkSession, path: str, root: str | None = None, stop_words: Iterable[str] | None = None, modern: bool = True, **options: float):
+        """options: fan, term, patience of an Index."""
+        self.spark, self.index_, self.root, self.modern = spark, Index(spark, path, stop_words, **options), root, modern
 
     def index(self, root: str | None = None) -> None:
         """Walk a directory and index what is new there. While another walk changes the index, IndexInUse is raised."""
@@ -47,20 +48,34 @@ class Engine:
     def add(self, texts: DataFrame) -> None:
         self.index_.add(texts)
 
-    def _raw_texts(self, wanted: DataFrame) -> DataFrame:
-        listed = file_source.list_files(self.spark, self.root).join(wanted, "name")
-        loaded = file_source.texts(file_source.load_files(self.root, listed), self.modern)
-        return loaded.where("raw is not null").select("name", F.col("raw").alias("text")).join(self.index_.files.select("name", "file_id"), "name").select("file_id", "text")
-
     def find(self, *globs: str) -> DataFrame:
         """file_id, name of files that have a word for every glob, in the order of file_id."""
-        return search.find(self.index_.postings, self.index_.files, list(globs)).orderBy("file_id")
+        now = self.index_.snapshot()
+        return search.find(now.postings_of(list(globs)), now.files, list(globs)).orderBy("file_id")
+
+    def with_lines(self, found: DataFrame, *globs: str) -> DataFrame:
+        """found (file_id, name) with lines, which are read from these files: no others are opened or listed."""
+        at = found.select("file_id", "name", file_source.path_of(F.col("name"), self.root).alias("path"))
+        loaded = file_source.texts(file_source.load_files(self.root, at), self.modern)
+        return loaded.select("file_id", "name", search.matched_lines(F.col("raw"), list(globs)).alias("lines"))
 
     def find_lines(self, *globs: str, texts: DataFrame | None = None) -> DataFrame:
-        """The same with lines; texts (file_id, text) are read from the files anew if they aren't given."""
-        found = search.find(self.index_.postings, self.index_.files, list(globs))
-        raw = self._raw_texts(found.select("name")) if texts is None else texts
-        return search.find_with_lines(self.index_.postings, self.index_.files, raw, list(globs)).orderBy("file_id")
+        """The same as find() with lines; texts (file_id, text) are read from the files anew if they aren't given."""
+        if texts is None:
+            return self.with_lines(self.find(*globs), *globs).orderBy("file_id")
+        now = self.index_.snapshot()
+        return search.find_with_lines(now.postings_of(list(globs)), now.files, texts, list(globs)).orderBy("file_id")
+
+    def find_pages(self, *globs: str, size: int = 20, texts: DataFrame | None = None) -> search.Pager:
+        """Pages of what find() finds, with lines. Results are kept in the index's folder, and only a page's files are opened."""
+
+        def lines(some: DataFrame) -> DataFrame:
+            if texts is None:
+                return self.with_lines(some, *globs)
+            rows = some.join(texts.select("file_id", "text"), "file_id", "left")
+            return rows.select("file_id", "name", search.matched_lines(F.col("text"), list(globs)).alias("lines"))
+
+        return search.Pager(self.find(*globs), size, f"{self.index_.path}/staging/results", lines)
 
     def find_files(self, glob: str) -> DataFrame:
         return search.find_files(self.index_.files, glob).orderBy("file_id")
@@ -84,14 +99,19 @@ class Engine:
         self.index_.delete(search.find_files(self.index_.files, glob))
 
     def stats(self) -> DataFrame:
-        return stats.index_stats(self.index_.files, stats.word_stats(self.index_.postings))
+        now = self.index_.snapshot()
+        return stats.index_stats(now.files, now.dictionary)
 
     def posting_stats(self, word: str) -> DataFrame:
         return stats.posting_stats(self.index_.postings, word)
 
+    def terms(self, file_id: int) -> DataFrame:
+        """word, tf of a file, from what it gave to the index: one row of the catalogue is read, and no postings."""
+        return self.index_.terms_of(file_id).select("word", "tf")
+
     def inverted(self, file_id: int) -> DataFrame:
         """tf and the words that a file has so often."""
-        return stats.inverted_frequencies(self.index_.postings.where(F.col("file_id") == file_id)).select("tf", "words")
+        return stats.inverted_frequencies(self.index_.terms_of(file_id)).select("tf", "words")
 
     def last_id(self) -> int:
         return self.index_.last_id()

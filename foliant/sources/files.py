@@ -1,8 +1,8 @@
-"""Directories of files, batch or as a stream.
+"""Directories of files.
 
 list_files() walks a directory in tasks: the driver opens folders until there are enough of them to share out, and each task
-walks the trees below its own. Only names and sizes are read, so ignored and already indexed files are never opened.
-load_files() reads the contents of the files that are left, in tasks too. Neither brings paths to the driver.
+walks the trees below its own; a folder with many entries is shared out in slices. Only names and sizes are read, so ignored and already
+indexed files are never opened. load_files() reads the contents of the files that are left, in tasks too.
 
 Every regular file counts, also one without bytes and one whose name starts with a dot or an underscore; links aren't
 followed. What can't be listed or read has a message in the column error in place of a size or content.
@@ -15,7 +15,9 @@ from __future__ import annotations
 import os
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,9 +28,9 @@ from pyspark.sql import types as T
 from foliant.functions.classify import file_kind, is_ignored_name, lossy_text
 from foliant.functions.html import html_to_text
 
-BINARY_FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 LISTED = "name string, path string, length long, error string"
 SHARES = 4  # folders a core that the driver opens for
+BRIEF = 1000  # entries of a folder that the driver reads
 HELD = 16 << 20  # bytes of contents in an Arrow batch, unless one file has more
 
 Entry = tuple[str, bool, int | None, str | None]  # path, whether it is a folder, size, error
@@ -42,12 +44,15 @@ def located(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{scheme}://{rest}" if not rest.startswith("//") else root)
 
 
-def entries(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
-    """What a folder holds: folders and regular files; an error in place of a folder that can't be opened."""
+def entries(store: fs.FileSystem, folder: str, part: int = 0, parts: int = 1) -> Iterator[Entry]:
+    """What a folder holds, or one of so many slices of it: folders and regular files; an error in place of a folder that can't be opened."""
+    mine = (lambda name: zlib.crc32(os.fsencode(name)) % parts == part) if parts > 1 else (lambda name: True)
     try:
         if isinstance(store, fs.LocalFileSystem):
             with os.scandir(folder) as found:
                 for e in found:
+                    if not mine(e.name):
+                        continue
                     try:
                         if e.is_dir(follow_symlinks=False):
                             yield e.path, True, None, None
@@ -56,49 +61,67 @@ def entries(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
                     except OSError as problem:
                         yield e.path, False, None, str(problem)
         else:
-            for e in store.get_file_info(fs.FileSelector(folder)):
-                if e.type in (fs.FileType.Directory, fs.FileType.File):
+            for e in store.get_file_info(fs.FileSelector(folder)):  # pyarrow has no way to read a listing in parts
+                if e.type in (fs.FileType.Directory, fs.FileType.File) and mine(e.base_name):
                     yield e.path, e.type == fs.FileType.Directory, e.size, None
     except OSError as problem:
-        yield folder, False, None, str(problem)
+        if part == 0:
+            yield folder, False, None, str(problem)
 
 
-def walked(store: fs.FileSystem, folder: str) -> Iterator[Entry]:
-    """The files of a folder and of all below it."""
-    todo = [folder]
+def walked(store: fs.FileSystem, folder: str, part: int = 0, parts: int = 1) -> Iterator[Entry]:
+    """The files of a folder and of all below it; or of a slice of its entries and of all below them."""
+    todo = [(folder, part, parts)]
     while todo:
-        for e in entries(store, todo.pop()):
+        for e in entries(store, *todo.pop()):
             if e[1]:
-                todo.append(e[0])
+                todo.append((e[0], 0, 1))
             else:
                 yield e
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """name (the path below the root), path, length, error of all regular files below root that the name filter lets through."""
+    """name (the path below the root), path, length, error of all regular files below root that the name filter lets through.
+
+    A folder in which the driver has seen BRIEF entries isn't read on: tasks get it in slices by a hash of names, and each reads the
+    folder but looks only at the files, and walks only the folders, of its own slice. So the driver never holds more than BRIEF
+    entries of each of the few folders that it opens.
+    """
     store, top = located(root)
     cores = spark.sparkContext.defaultParallelism
-    todo, files = [top], []
-    while todo and len(todo) < SHARES * cores and len(files) < SHARES * cores:  # breadth first
-        found = list(entries(store, todo.pop(0)))
-        todo += [e[0] for e in found if e[1]]
-        files += [e for e in found if not e[1]]
+    shares = SHARES * cores
+    todo, items = [top], []  # items: path, length, error, is_file, slice, slices
+    opened = 0
+    while todo and len(todo) + len(items) < shares and opened < shares:  # breadth first
+        folder = todo.pop(0)
+        opened += 1
+        found = list(islice(entries(store, folder), BRIEF))
+        if len(found) < BRIEF:
+            todo += [e[0] for e in found if e[1]]
+            items += [(e[0], e[2], e[3], True, 0, 1) for e in found if not e[1]]
+        else:
+            items += [(folder, None, None, False, i, 2 * cores) for i in range(2 * cores)]
+    items += [(p, None, None, False, 0, 1) for p in todo]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, _ = located(root)
         for batch in batches:
-            for folder, length, error, is_file in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for path, length, error, is_file, part, parts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 rows = []
-                for e in [(folder, False, length, error)] if is_file else walked(at, folder):
+                for e in [(path, False, length, error)] if is_file else walked(at, path, part, parts):
                     rows.append((posixpath.relpath(e[0], top), *e[:1], *e[2:]))
                     if len(rows) == 4096:
                         yield _batch(rows)
                         rows = []
                 yield _batch(rows)
 
-    shared = [(p, n, e, True) for p, _, n, e in files] + [(p, None, None, False) for p in todo]
-    shares = spark.createDataFrame(shared, "path string, length long, error string, is_file boolean")
-    return shares.mapInArrow(walk, LISTED).where(~is_ignored_name(F.col("name")))
+    dealt = spark.createDataFrame(items, "path string, length long, error string, is_file boolean, part int, parts int")
+    return dealt.repartition(max(1, min(len(items), shares))).mapInArrow(walk, LISTED).where(~is_ignored_name(F.col("name")))
+
+
+def path_of(name: Column, root: str) -> Column:
+    """Where a file of this name (its path below the root) is."""
+    return F.concat(F.lit(located(root)[1].rstrip("/") + "/"), name)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,23 +177,6 @@ def texts(loaded: DataFrame, modern: bool = True) -> DataFrame:
     return known.withColumn("text", text).withColumn("raw", F.when(F.col("kind") != "ignore", raw)).drop("content")
 
 
-def relative_name(path: Column, root: str) -> Column:
-    """The path below the root, without a scheme."""
-    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
-    return F.regexp_replace(plain, F.lit("^/*\\Q" + located(root)[1].strip("/") + "\\E/*"), F.lit(""))
-
-
-def stream_files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
-    """name, path of the files below root that the name filter lets through, as they come; no content is read.
-
-    These are the files that Spark's file source shows: without empty ones and names that start with a dot or an underscore,
-    but with what links lead to.
-    """
-    found = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(root)
-    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "") if isinstance(located(root)[0], fs.LocalFileSystem) else F.col("path")
-    return found.select(relative_name(F.col("path"), root).alias("name"), plain.alias("path")).where(~is_ignored_name(F.col("name")))
-
-
 def write_files(named: DataFrame, root: str) -> None:
     """Write rows of name, content as files below root. Names are unique; a file that is there is replaced as a whole."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foliant.operators import search
 from foliant.operators.index import Index
 from foliant.sources import files as file_source
 
@@ -19,8 +20,20 @@ def loaded(root: str, modern: bool = True):
     return load
 
 
+def queued(index: Index, root: str, checkpoint: str, per_batch: int) -> DataFrame:
+    """What a walk finds and the index doesn't have, written beside the checkpoint in files of per_batch names, as a stream of these files.
+
+    The walk is that of a batch, in tasks, so both find the same files; the queue limits what a micro-batch opens. Names that an
+    earlier walk queued and no batch has taken yet may be queued twice, and are indexed once.
+    """
+    where = f"{checkpoint}/queue"
+    found = search.new_files(file_source.list_files(index.spark, root), index.files)
+    found.repartitionByRange("name").sortWithinPartitions("name").write.mode("append").option("maxRecordsPerFile", per_batch).parquet(where)
+    return index.spark.readStream.schema(file_source.LISTED).option("maxFilesPerTrigger", 1).parquet(where)
+
+
 def start_index(index: Index, root: str, checkpoint: str, per_batch: int = 1000, modern: bool = True) -> StreamingQuery:
-    """Begin to index all files below root that the checkpoint hasn't seen. One stream a checkpoint.
+    """Begin to index all files below root that the index doesn't have. One stream a checkpoint.
 
     The stream carries names; each batch opens those of its files that aren't in the index, so a batch that runs twice adds nothing
     twice. The query that is returned tells its progress and can be stopped between batches.
@@ -30,8 +43,8 @@ def start_index(index: Index, root: str, checkpoint: str, per_batch: int = 1000,
         index.add_files(batch, loaded(root, modern))
         index.compact_if_grown()
 
-    stream = file_source.stream_files(index.spark, root, per_batch)
-    return stream.writeStream.queryName(f"index of {root}").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = queued(index, root, checkpoint, per_batch)
+    return stream.writeStream.queryName(f"index of {root}").foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/progress").trigger(availableNow=True).start()
 
 
 def index_rows(index: Index, source: DataFrame, checkpoint: str) -> None:

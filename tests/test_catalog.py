@@ -25,7 +25,7 @@ def plain(rows):
 def test_oracle(spark, sf, name):
     got = catalog.QUERIES[name](spark, sf)
     columns = sorted(got.columns)
-    want = connect(sf).sql(catalog.ORACLES[name])
+    want = connect(sf).sql(catalog.oracles()[name])
     assert columns == sorted(want.columns)
     assert plain(got.select(columns).collect()) == plain(want.select(*columns).fetchall())
 

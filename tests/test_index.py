@@ -1,12 +1,13 @@
 """The index on disk: walks, streams, deletion, recovery, compaction, and the prompt."""
 
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.cli import Prompt
-from foliant.operators.index import Index, IndexInUse
+from foliant.operators.index import POSTINGS, Index, IndexInUse
 from foliant.plans.engine import Engine
 from foliant.sources import files as file_source
 from foliant.streaming import incremental
@@ -61,28 +62,30 @@ def test_walk(spark, tree, tmp_path):
 
 
 def test_stream_equals_batch(spark, tree, tmp_path):
-    """But for files that Spark's file source doesn't show."""
-    (tree / "empty").unlink()
-    (tree / "_hidden").unlink()
-    (tree / "link").unlink()
+    """Empty, hidden and linked files included; and going on from a checkpoint adds nothing."""
     a, b = Engine(spark, f"{tmp_path}/a", str(tree)), Engine(spark, f"{tmp_path}/b", str(tree))
     a.index()
     b.index_stream(f"{tmp_path}/checkpoint", per_batch=2)
+    assert b.write_stats().where("n_files > 2").count() == 0
     (tree / "new.txt").write_text("dogs again")
     a.index()
     query = b.start_stream(f"{tmp_path}/checkpoint", per_batch=2)
     assert len(b.running()) <= 1
     query.awaitTermination()
     assert query.lastProgress is not None and b.running() == []
+    version = b.index_.snapshot().version
+    b.index_stream(f"{tmp_path}/checkpoint", per_batch=2)
+    assert b.index_.snapshot().version == version
     rows = lambda e: sorted(e.index_.postings.join(e.index_.files, "file_id").select("name", "word", "tf").collect())
-    assert rows(a) == rows(b) and len(rows(a)) > 5
+    files = lambda e: sorted(e.index_.files.select("name", "kind", "token_count").collect())
+    assert rows(a) == rows(b) and len(rows(a)) > 5 and files(a) == files(b) and len(files(a)) == 7
 
 
 def test_batch_that_dies_is_found_again(spark, tmp_path):
     index = Index(spark, f"{tmp_path}/index")
     texts = spark.createDataFrame([(7, "x", "text", "tree house"), (8, None, "text", "lost"), (9, "y", "ignore", None)], "file_id long, name string, kind string, text string")
-    lost = spark.createDataFrame([("gone", "tree", 7, 1)], "batch string, word string, file_id long, tf long")
-    lost.write.parquet(f"{tmp_path}/index/postings")
+    lost = spark.createDataFrame([(1, "tree", 0, 1, 1, [7], [1])], POSTINGS)
+    lost.write.parquet(f"{tmp_path}/index/runs/dead/postings")
     assert index.postings.count() == 0
     index.add(texts)
     assert sorted(index.postings.collect()) == [("house", 7, 1), ("tree", 7, 1)] and index.files.count() == 2
@@ -90,6 +93,8 @@ def test_batch_that_dies_is_found_again(spark, tmp_path):
     assert index.postings.count() == 2
     index.add(texts.where("false"))
     assert index.words.select(F.sum("count")).first()[0] == 2
+    index.vacuum(0)
+    assert not (tmp_path / "index/runs/dead").exists() and index.postings.count() == 2
 
 
 def test_prompt(spark, tree, tmp_path):
@@ -128,29 +133,30 @@ def test_one_change_at_a_time(spark, tree, tmp_path):
                 change()
     b.index()
     assert a.last_id() == 6
-    (tmp_path / "index" / "LOCK").write_text("")  # of an application that died
+    a.index_.leases.claim()  # of an application that died
     with pytest.raises(IndexInUse):
-        a.index()
+        a.delete("nothing")
     a.unlock()
     a.index()
     assert a.last_id() == 6
 
 
-def test_compaction_in_place(spark, tree, tmp_path, monkeypatch):
+def test_compaction_in_place(spark, tree, tmp_path):
     e = Engine(spark, f"{tmp_path}/index", str(tree))
     e.index()
     e.delete("a.html")
-    before = e.find("bird*")
-    for _ in range(3):
+    before = e.index_.snapshot()
+    for i in range(3):
         want = sorted(e.index_.postings.collect())
         e.save()
         assert sorted(e.index_.postings.collect()) == want and e.index_.deleted.count() == 0 and e.last_id() == 6
-    assert e.index_.base.endswith("gen-3") and names(e.find("bird*")) == ["b.txt"]
-    monkeypatch.setattr("foliant.operators.index.BATCHES_KEPT", 1)
+        assert len(e.index_.snapshot().runs) == 1 and e.index_.snapshot().version == 3 + i
+    assert names(e.find("bird*")) == ["b.txt"]
+    assert sorted(before.postings.collect()) == want and sorted(before.words.select("word").collect()) == sorted({(r["word"],) for r in want})
     (tree / "new").write_text("dogs")
     e.index()
-    assert e.index_.base.endswith("gen-4") and e.last_id() == 8 and before is not None  # a.html has come again
-    (tmp_path / "index" / "gen-9").mkdir()  # a compaction that died
+    assert len(e.index_.snapshot().runs) == 2 and e.last_id() == 8  # a.html has come again
+    (tmp_path / "index" / "runs" / "dead").mkdir()  # a compaction that died
     assert names(e.find("bird*")) == ["b.txt", "a.html"]
 
 
@@ -177,3 +183,42 @@ def test_many_folders_are_shared_out(spark, tmp_path):
     got = file_source.list_files(spark, str(tmp_path / "r")).collect()
     assert {(r["name"], r["length"]) for r in got} == {(f"{i}/deep/er/{i}.txt", 1) for i in range(60)} | {(f"{i}/a.txt", 2) for i in range(60)}
     assert len(got) == 120
+
+
+def test_flat_folder_is_shared_out(spark, tmp_path, monkeypatch):
+    """Of a folder with 200,000 files the driver reads a few; tasks have slices of it."""
+    flat = tmp_path / "flat"
+    (flat / "sub").mkdir(parents=True)
+    (flat / "sub" / "one").write_text("x")
+    for i in range(200_000):
+        os.close(os.open(f"{flat}/{i}", os.O_CREAT | os.O_WRONLY))
+    seen = []
+    made = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, *a, **k: (seen.append(len(rows)), made(self, rows, *a, **k))[1])
+    listed = file_source.list_files(spark, str(flat))
+    got = listed.groupBy(F.spark_partition_id()).count().collect()
+    assert seen and max(seen) <= 2 * spark.sparkContext.defaultParallelism + 1
+    assert len(got) >= spark.sparkContext.defaultParallelism and sum(r[1] for r in got) == 200_001
+    assert max(r[1] for r in got) < 100_000
+    assert listed.where("name = 'sub/one'").count() == 1 and listed.select("name").distinct().count() == 200_001
+
+
+def test_pages_open_their_files_only(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    for i in range(50):
+        (root / f"{i:02}.txt").write_text(f"dogs number {i}\nother line")
+    e = Engine(spark, f"{tmp_path}/index", str(root), stop_words=[])
+    e.index()
+    pager, shown = e.find_pages("dog*", "*mber"), []
+    show = pager.show
+    pager.show = lambda some: (shown.append(some.count()), show(some))[1]
+    for i in range(20, 50):
+        (root / f"{i:02}.txt").unlink()  # of later pages
+    first = pager.first()
+    assert [r["name"] for r in first] == [f"{i:02}.txt" for i in range(20)] and all(r["lines"] == [f"dogs number {i}"] for i, r in enumerate(first))
+    e.delete("*")  # results stay as they were found
+    assert [r["name"] for r in pager.next()] == [f"{i:02}.txt" for i in range(20, 40)] and pager.has_more
+    assert len(pager.next()) == 10 and not pager.has_more and shown == [20, 20, 10]
+    assert pager.first() == first
+    assert e.find_pages("nothing").first() == []
