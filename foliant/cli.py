@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from foliant.functions.stopwords import read_list
 from foliant.operators.index import IndexInUse
 from foliant.plans.engine import Engine
+from foliant.streaming.control import MESSAGES
 
 try:
     import readline
@@ -33,6 +34,7 @@ COMMANDS = {
     "summary": ("NUMBER", "accepted, does nothing"),
     "stats": ("base|debug|word WORD|writes|problems", "sizes and what runs; the dictionary; one word; batches; files passed over"),
     "store": ("[PATH]", "compact the index, or save a compacted copy"),
+    "control": ("pause|resume|save|quit", "a message to streams that index, read between their batches"),
     "unlock": ("", "remove the lock that a dead application left"),
     "help": ("", "this text"),
     "quit": ("", "leave"),
@@ -155,6 +157,8 @@ class Prompt(cmd.Cmd):
             self.say(self.engine.stats().first().asDict())
             for stream in self.engine.running():
                 self.say(f"  running: {stream}")
+            for step in list(self.engine.index_.steps)[-8:]:
+                self.say(f"  done here: {step}")
             last = self.engine.write_stats().where("n_files > 0").orderBy("at", ascending=False).first()
             self.say(f"  last batch: {last.asDict() if last else None}")
         elif what == "debug":
@@ -171,6 +175,12 @@ class Prompt(cmd.Cmd):
         self.engine.save(self._one(args, "PATH") if args else None)
         self.say("stored")
 
+    def do_control(self, args: list) -> None:
+        message = self._one(args, "|".join(MESSAGES))
+        if message not in MESSAGES:
+            raise Wrong(args[0][0], "expected one of " + ", ".join(MESSAGES))
+        self.say(f"message {self.engine.control(message)}")
+
     def do_unlock(self, args: list) -> None:
         self._none(args)
         self.engine.unlock()
@@ -195,6 +205,16 @@ class Prompt(cmd.Cmd):
     def complete_stats(self, text: str, *_: object) -> list[str]:
         return [w for w in STATS if w.startswith(text)]
 
+    def complete_control(self, text: str, *_: object) -> list[str]:
+        return [w for w in MESSAGES if w.startswith(text)]
+
+    def completedefault(self, text: str, line: str, *_: object) -> list[str]:
+        """Nothing to complete: show what may follow instead."""
+        if what := self.hint(line):
+            self.stdout.write(f"\n{what}\n{self.prompt}{line}")
+            self.stdout.flush()
+        return []
+
     def hint(self, line: str) -> str:
         """What may follow a line: the rest of a command that is the only one to begin so, or its arguments."""
         found = arguments(line)

@@ -20,8 +20,10 @@ readers which have begun can end; what writers that died have left goes then, to
 
 from __future__ import annotations
 
+import logging
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
@@ -36,6 +38,7 @@ from .stats import frequency_bags
 from .tokens import term_array
 from .versions import Conflict, IndexInUse, Lease, Leases, Numbered, Store
 
+log = logging.getLogger("foliant")
 __all__ = ["Conflict", "Index", "IndexInUse", "Snapshot"]
 
 FILES = "seq long, file_id long, name string, kind string, token_count long, error string, terms array<string>"
@@ -48,6 +51,7 @@ ROW_GROUP = 16 << 20  # bytes; so small that a word's row groups are few
 ROWS_A_FILE = 1_000_000  # of postings, each with up to BLOCK files
 TERM = 60.0  # seconds of a lease that isn't renewed
 RETENTION = 7 * 24 * 3600.0  # seconds that runs stay which no version names any more
+STEPS = 100  # that are remembered
 TRIES = 8  # times that a change is made anew because another version came first
 
 
@@ -168,6 +172,7 @@ class Index:
         self.store = Store(spark, self.path)
         self.versions = Numbered(self.store, "versions", "v")
         self.leases = Leases(self.store, term)
+        self.steps: deque[dict] = deque(maxlen=STEPS)  # what the changes made here have done: step, seconds, figures
 
     # What there is.
 
@@ -266,14 +271,17 @@ class Index:
         """texts makes rows of the ids of new names and named; keep: named is costly to make and small, so it is staged."""
         staging = f"staging/{uuid.uuid4().hex}"
         if keep:
-            named = self._kept(named, f"{self.path}/{staging}/listed")
+            with self._step("list"):
+                named = self._kept(named, f"{self.path}/{staging}/listed")
 
         def make(before: Snapshot, run: str) -> tuple | None:
             began, here, seq = time.time(), f"{self.path}/{staging}/{run}", before.version + 1
             names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
-            names = members.unknown(before, names, here)
-            ids = self._kept(names if given else self._numbered(names, before.last_id, here), f"{here}/ids")
-            n_names, last = ids.agg(F.count(F.lit(1)), F.max("_id")).first()
+            with self._step("new names") as step:
+                names = members.unknown(before, names, here)
+                ids = self._kept(names if given else self._numbered(names, before.last_id, here), f"{here}/ids")
+                n_names, last = ids.agg(F.count(F.lit(1)), F.max("_id")).first()
+                step["names"] = n_names
             if not n_names:
                 return None
             read = F.when(F.col("kind").isNotNull() & (F.col("kind") != "ignore"), F.col("text"))
@@ -281,16 +289,30 @@ class Index:
             rows = rows.select(F.lit(seq).cast("long").alias("seq"), "file_id", "name", "kind", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("token_count"), "error", "terms")
             seen = Observation()
             observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"))
-            self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
-            counts = self._write_postings(self._exploded(run), seq, f"{run}/postings")
-            blocks = members.write_filter(ids.select("name"), n_names, f"{self.path}/runs/{run}/names")
-            got = seen.get
+            with self._step("load and tokenize") as step:
+                self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
+                got = seen.get
+                step["files"] = got["n_files"]
+            with self._step("postings") as step:
+                counts = self._write_postings(self._exploded(run), seq, f"{run}/postings")
+                step |= counts
+            with self._step("filter of names"):
+                blocks = members.write_filter(ids.select("name"), n_names, f"{self.path}/runs/{run}/names")
             made = Run(run, 0, seq, n_files=got["n_files"], last_id=got["last_id"] or 0, filters=blocks, seconds=round(time.time() - began, 3), at=time.time(), **counts)
             return [made], set(), last or 0
 
         self._change(make)
         self.store.remove(staging)
 
+    @contextmanager
+    def _step(self, name: str, **figures: int) -> Iterator[dict]:
+        """Remember and log how long a step took; the block may add figures."""
+        step, began = {"step": name, "at": time.time(), **figures}, time.time()
+        self.steps.append(step)
+        yield step
+        step["seconds"] = round(time.time() - began, 3)
+        log.info("%s: %s", self.path, step)
+
     def _write(self, df: DataFrame, path: str) -> None:
         df.write.option("parquet.block.size", ROW_GROUP).option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{self.path}/runs/{path}")
 
@@ -358,7 +380,8 @@ class Index:
             full = [level for level, runs in sorted(levels.items()) if len(runs) >= self.fan]
             if not full:
                 return
-            self._change(lambda before, run, level=full[0]: self._merge(before, [r for r in before.runs if r.level == level], run, level + 1))
+            with self._step("merge", level=full[0]):
+                self._change(lambda before, run, level=full[0]: self._merge(before, [r for r in before.runs if r.level == level], run, level + 1))
             self.vacuum()
 
     def compact(self, to: str | None = None) -> Index:

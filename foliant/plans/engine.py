@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from foliant.operators import search, stats
 from foliant.operators.index import Index
 from foliant.sources import files as file_source
 from foliant.streaming import incremental
+from foliant.streaming.control import Control, Progress
 
 log = logging.getLogger("foliant")
 
@@ -32,18 +34,34 @@ class Engine:
         if problems := self.problems().count():
             log.warning("%d files couldn't be read or seem to be binary: see problems()", problems)
 
-    def index_stream(self, checkpoint: str, root: str | None = None, per_batch: int = 1000) -> None:
-        """The same as a stream that ends when all files there are indexed; it goes on from the checkpoint when called again."""
-        self.start_stream(checkpoint, root, per_batch).awaitTermination()
+    def index_stream(self, checkpoint: str, root: str | None = None, per_batch: int = 1000) -> bool:
+        """The same as a stream that ends when all files there are indexed; it goes on from the checkpoint when called again. False if it was told to quit."""
+        return incremental.finished(self.start_stream(checkpoint, root, per_batch))
 
     def start_stream(self, checkpoint: str, root: str | None = None, per_batch: int = 1000) -> StreamingQuery:
         """The same without waiting: the query has lastProgress, status and stop()."""
         self.root = root or self.root
+        self.progress  # noqa: B018, from the first batch on
         return incremental.start_index(self.index_, self.root, checkpoint, per_batch, self.modern)
 
     def running(self) -> list[dict]:
-        """Streams that are running: name, whether a batch is at work, the last batch's number and rows."""
-        return [{"name": q.name, "message": q.status["message"], "batch": (q.lastProgress or {}).get("batchId"), "rows": (q.lastProgress or {}).get("numInputRows")} for q in self.spark.streams.active]
+        """Streams that are running: name, what they do now, and the last batch's figures, as a listener has them."""
+        return [{"name": q.name, "message": q.status["message"], **(self.progress.of(q.name)[-1:] or [{}])[0]} for q in self.spark.streams.active]
+
+    @cached_property
+    def progress(self) -> Progress:
+        """Figures of the session's streams from now on."""
+        listener = Progress()
+        self.spark.streams.addListener(listener)
+        return listener
+
+    def control(self, message: str) -> int:
+        """Tell those who index into this index, in any application: pause, resume, save or quit; the message's number."""
+        return Control(self.index_).send(message)
+
+    def answered(self, number: int) -> dict | None:
+        """What became of a message; None until it is read, between two batches."""
+        return Control(self.index_).answer(number)
 
     def add(self, texts: DataFrame) -> None:
         self.index_.add(texts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foliant.operators import search
 from foliant.operators.index import Index
 from foliant.sources import files as file_source
+from foliant.streaming.control import Control, Stopped
 
 
 def loaded(root: str, modern: bool = True):
@@ -36,10 +38,13 @@ def start_index(index: Index, root: str, checkpoint: str, per_batch: int = 1000,
     """Begin to index all files below root that the index doesn't have. One stream a checkpoint.
 
     The stream carries names; each batch opens those of its files that aren't in the index, so a batch that runs twice adds nothing
-    twice. The query that is returned tells its progress and can be stopped between batches.
+    twice. The query that is returned tells its progress; messages (see control) hold it or end it between batches.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    control = Control(index)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        control.between(number)
         index.add_files(batch, loaded(root, modern))
         index.compact_if_grown()
 
@@ -47,6 +52,17 @@ def start_index(index: Index, root: str, checkpoint: str, per_batch: int = 1000,
     return stream.writeStream.queryName(f"index of {root}").foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/progress").trigger(availableNow=True).start()
 
 
+def finished(query: StreamingQuery) -> bool:
+    """Wait for a stream's end: whether it did all there was, and wasn't told to quit before."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if Stopped.__name__ not in str(e):
+            raise
+        return False
+    return True
+
+
 def index_rows(index: Index, source: DataFrame, checkpoint: str) -> None:
     """The same for a stream of rows that act as files: file_id, name, kind, text."""
     source.writeStream.foreachBatch(lambda batch, _: index.add(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,6 +2,7 @@
 
 import io
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from foliant.operators.index import POSTINGS, Index, IndexInUse
 from foliant.plans.engine import Engine
 from foliant.sources import files as file_source
 from foliant.streaming import incremental
+from foliant.streaming.control import Control
 
 
 @pytest.fixture
@@ -81,6 +83,33 @@ def test_stream_equals_batch(spark, tree, tmp_path):
     assert rows(a) == rows(b) and len(rows(a)) > 5 and files(a) == files(b) and len(files(a)) == 7
 
 
+def test_messages_between_batches(spark, tree, tmp_path):
+    """A stream is held, goes on, merges, quits after some batches, and goes on from there to what one go gives."""
+    one, e = Engine(spark, f"{tmp_path}/one", str(tree)), Engine(spark, f"{tmp_path}/index", str(tree))
+    one.index()
+    first = e.control("pause")
+    query = e.start_stream(f"{tmp_path}/checkpoint", per_batch=1)
+    while e.answered(first) is None:
+        time.sleep(0.1)
+    time.sleep(1)
+    assert query.isActive and e.index_.snapshot().version == 0 and e.answered(first)["batch"] == 0
+    on, save = e.control("resume"), e.control("save")
+    while e.index_.snapshot().version < 2:
+        time.sleep(0.05)
+    assert e.answered(on)["batch"] == 0
+    stop = e.control("quit")
+    assert not incremental.finished(query)
+    assert e.answered(stop)["message"] == "quit" and e.answered(save) is not None and Control(e.index_).open() == []
+    n = e.index_.files.count()
+    assert 0 < n < 6
+    assert e.progress.of(query.name) and e.progress.of(query.name)[0]["rows"] == 1
+    assert e.index_stream(f"{tmp_path}/checkpoint", per_batch=1)
+    files = lambda x: sorted(x.index_.files.select("name", "kind", "token_count").collect())
+    assert files(e) == files(one) and sorted(e.words().collect()) == sorted(one.words().collect())
+    with pytest.raises(ValueError):
+        e.control("dance")
+
+
 def test_batch_that_dies_is_found_again(spark, tmp_path):
     index = Index(spark, f"{tmp_path}/index")
     texts = spark.createDataFrame([(7, "x", "text", "tree house"), (8, None, "text", "lost"), (9, "y", "ignore", None)], "file_id long, name string, kind string, text string")
@@ -110,7 +139,12 @@ def test_prompt(spark, tree, tmp_path):
     assert (p.hint("ind"), p.hint("f"), p.hint("find "), p.hint("find a")) == ("ex", "", "GLOB...", "")
     with p.engine.index_.locked():
         p.onecmd("index")
-    assert "refused: " in out.getvalue()
+    assert "refused: " in out.getvalue() and "done here: {'step': 'load and tokenize'" in text and "'files': 6" in text
+    p.onecmd("control nothing")
+    p.onecmd("control pause")
+    p.completedefault("", "find ")
+    assert "control nothing\n        ^ expected one of pause" in out.getvalue() and "message 1\n" in out.getvalue() and out.getvalue().endswith("\nGLOB...\n> find ")
+    assert p.complete_control("re") == ["resume"]
 
 
 def test_history(spark, tmp_path):
