@@ -6,13 +6,17 @@ regex, a gazetteer, the words before, and the words that speak against. Candidat
 personal data; they are counted as labelled ones and never reported themselves.
 
 The votes of all candidates in the corpus are counted by kind and value, a few thousand different ones at most;
-expectation-maximisation over these counts estimates how reliable each labeler is for each kind, the labelled ones being
-fixed. Its posteriors are the labels on which the final span classifier is trained: a logistic regression over votes, kind, the
-candidate's characters and length and the words around it, hashed to 2**BITS features. It is trained on at most `sample`
-candidates, those with the smallest hash, and decides about every candidate.
+expectation-maximisation over these counts estimates how reliable each labeler is for each kind. Two groups have fixed labels:
+candidates inside base spans are real, and those that some labeler is against and none is for are not. Real ones together weigh no
+more than the other candidates and the prior, and the share of real ones is estimated without them: they were chosen for being
+real, so they say nothing about the rest. The posteriors are the labels on which the final span classifier is trained: a
+logistic regression over votes, kind, the candidate's characters and length and the words around it, hashed to 2**BITS
+features. It is trained on at most `sample` candidates, those with the smallest hash, each also shown with other votes and the posterior of
+those, and on the votes that labelers can give each kind alone; so votes that the corpus doesn't show, or shows in real ones only,
+still count as the labelers' reliabilities say. It decides about every candidate.
 
 Patterns run in time linear in the text, also over long runs of digits or address characters, and have no upper bounds of their own;
-context is WINDOW characters.
+context is `window` characters, and dates of birth are in `years`.
 
 Defined results: a null text counts as empty and has no spans; very long texts are searched whole; repeated rows are handled
 alike; a null doc_id is passed on; an empty table gives an empty result; other columns are never read. With no candidates
@@ -25,7 +29,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +135,11 @@ N_LABELERS = 4
 WINDOW = 40  # characters before a candidate that its context is
 YEARS = (1900, 2099)
 BITS = 16
-SAMPLE = 20_000  # candidates that the classifier is trained on, at most
+OTHERS = 2  # examples with other votes that a candidate gives
+SAMPLE = 8_000  # candidates that the classifier is trained on, at most
 
 
-def _strict(kind: str, s: str) -> int:
+def _strict(kind: str, s: str, years: tuple[int, int] = YEARS) -> int:
     """1 or -1: the strict form holds or fails; 0: it says nothing."""
     if kind == ID:
         a, b, c = re.split("[- ]", s)
@@ -145,7 +150,7 @@ def _strict(kind: str, s: str) -> int:
     if kind == BIRTH:
         parts = [int(x) for x in re.split("[./-]", s)]
         y, m, d = parts if len(s) == 10 and s[4] == "-" else parts[::-1]
-        return 1 if YEARS[0] <= y <= YEARS[1] and 1 <= min(m, d) and max(m, d) <= 31 and min(m, d) <= 12 else -1
+        return 1 if years[0] <= y <= years[1] and 1 <= min(m, d) and max(m, d) <= 31 and min(m, d) <= 12 else -1
     if kind == LOCAL_PHONE:
         return 1 if s.lstrip("(")[0] not in "01" else -1
     return 0
@@ -186,26 +191,33 @@ def _form(s: str) -> str:
     return re.sub("a{2,}", "a", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s))
 
 
+def _said(kind: str, votes: str) -> list[str]:
+    return [f"kind={kind}", *(f"v{i}{v}" for i, v in enumerate(votes)), *(f"kv{kind}{i}{v}" for i, v in enumerate(votes))]
+
+
+def _hashed(said: list[str]) -> list[int]:
+    return [xxhash.xxh32_intdigest(x) & ((1 << BITS) - 1) for x in said]
+
+
 def _features(kind: str, votes: str, s: str, before: str, after: str) -> list[int]:
     """Hashed features: kind, votes, characters and length, words around."""
     words = before.split()[-2:]
-    said = [f"kind={kind}", f"form={kind}:{_form(s)}", f"long={kind}:{min(9, len(s) // 4)}", *(f"v{i}{v}" for i, v in enumerate(votes)), *(f"kv{kind}{i}{v}" for i, v in enumerate(votes))]
-    said += [f"last={kind}:{words[-1]}" if words else "last=", f"then={kind}:{(after.split() or [''])[0]}", *(f"near={w}" for w in words)]
-    return [xxhash.xxh32_intdigest(x) & ((1 << BITS) - 1) for x in said]
+    around = [f"last={kind}:{words[-1]}" if words else "last=", f"then={kind}:{(after.split() or [''])[0]}", *(f"near={w}" for w in words)]
+    return _hashed([*_said(kind, votes), f"form={kind}:{_form(s)}", f"long={kind}:{min(9, len(s) // 4)}", *around])
 
 
-def candidates(text: str, base: list[tuple[int, int, int]] = ()) -> list[dict]:
+def candidates(text: str, base: list[tuple[int, int, int]] = (), window: int = WINDOW, years: tuple[int, int] = YEARS) -> list[dict]:
     """Candidate spans with their labelers' votes and features; state 1: inside a base span, -1: overlapping one, 0: clear."""
     out = []
     spans = sorted((a, b) for a, _, b in base)
     starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
     for kind, a, b in _matches(text):
-        s, before = text[a:b], text[max(0, a - WINDOW) : a].lower()
-        votes = (_strict(kind, s), _gazetteer(kind, s), 1 if any(w in before for w in CONTEXT[kind]) else 0, -1 if any(w in before for w in AGAINST) else 0)
+        s, before = text[a:b], text[max(0, a - window) : a].lower()
+        votes = (_strict(kind, s, years), _gazetteer(kind, s), 1 if any(w in before for w in CONTEXT[kind]) else 0, -1 if any(w in before for w in AGAINST) else 0)
         said = "".join("-0+"[v + 1] for v in votes)
         i, j = bisect_right(starts, a), bisect_left(starts, b)
         state = 1 if i and reach[i - 1] >= b else -1 if j and reach[j - 1] > a else 0
-        out.append({"start": a, "end": b, "kind": kind, "votes": said, "state": state, "features": _features(kind, said, s, before, text[b : b + WINDOW].lower())})
+        out.append({"start": a, "end": b, "kind": kind, "votes": said, "state": state, "features": _features(kind, said, s, before, text[b : b + window].lower())})
     return out
 
 
@@ -217,40 +229,53 @@ FOUND_DDL = (
 )
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], window: int = WINDOW, years: tuple[int, int] = YEARS) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             base = base_spans(text)
             said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
-            row = {"doc_id": doc_id, "base": said, "starts": [a for a, _, _ in base], "candidates": candidates(text, base)}
+            row = {"doc_id": doc_id, "base": said, "starts": [a for a, _, _ in base], "candidates": candidates(text, base, window, years)}
             rows.append(row | {f"n_{k}": sum(x[1] == i for x in base) for i, k in enumerate(KINDS)})
         yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
 
 
+def possible_votes(kind: str) -> list[str]:
+    """All votes that labelers can give a candidate of this kind."""
+    strict = "-+" if kind in LOOSE else "0"
+    gazetteer = "-+" if kind == IBAN else "0+" if kind in (NAME, DISGUISED) else "0"
+    return ["".join(v) for v in product(strict, gazetteer, "0+", "-0")]
+
+
 class Labelers:
     """Reliabilities by kind, and the posterior of each kind and votes, by expectation-maximisation."""
 
+    PRIOR = 20  # candidates that it is worth
+
     def __init__(self, counts: list[tuple[str, str, bool, int]], rounds: int = 50):
         """counts: (kind, votes, whether labelled as real, how often), each different triple once."""
-        # p(vote | span is real or not), with a prior worth 20 candidates that trusts each labeler a little
-        prior = 20 * np.stack([np.tile([0.30, 0.50, 0.20], (N_LABELERS, 1)), np.tile([0.05, 0.40, 0.55], (N_LABELERS, 1))])
+        # p(vote | span is real or not), with a prior that trusts each labeler a little
+        prior = self.PRIOR * np.stack([np.tile([0.30, 0.50, 0.20], (N_LABELERS, 1)), np.tile([0.05, 0.40, 0.55], (N_LABELERS, 1))])
         self.reliability, self.share, self.posterior = {}, {}, {}
         for kind in MORE:
             mine = [c for c in counts if c[0] == kind]
             n = np.array([c[3] for c in mine], float)
             votes = np.array([["-0+".index(v) for v in c[1]] for c in mine], np.int64).reshape(-1, N_LABELERS)
             known = np.array([c[2] for c in mine], bool)
+            against = np.array(["-" in c[1] and "+" not in c[1] for c in mine], bool) & ~known
+            weight = np.where(known, n * min(1.0, (n[~known].sum() + self.PRIOR) / max(1.0, n[known].sum())), n)
             held, share = prior / prior.sum(-1, keepdims=True), 0.3
             for _ in range(rounds):
-                post = np.where(known, 1.0, self._real(held, share, votes))
+                post = np.where(known, 1.0, np.where(against, 0.0, self._real(held, share, votes)))
                 for z, q in ((0, 1 - post), (1, post)):
-                    seen = np.array([[(n * q)[votes[:, i] == v].sum() for v in range(3)] for i in range(N_LABELERS)]) + prior[z]
+                    seen = np.array([[(weight * q)[votes[:, i] == v].sum() for v in range(3)] for i in range(N_LABELERS)]) + prior[z]
                     held[z] = seen / seen.sum(-1, keepdims=True)
-                share = ((n * post).sum() + 3) / (n.sum() + 10)
+                share = ((n * post)[~known].sum() + 3) / (n[~known].sum() + 10)
             self.reliability[kind], self.share[kind] = held, share
-            for c, p in zip(mine, self._real(held, share, votes).tolist(), strict=True):
-                self.posterior[c[0], c[1]] = p
+            every = sorted({*possible_votes(kind), *(c[1] for c in mine)})
+            coded = np.array([["-0+".index(v) for v in x] for x in every], np.int64)
+            for x, p in zip(every, self._real(held, share, coded).tolist(), strict=True):
+                self.posterior[kind, x] = p
 
     @staticmethod
     def _real(held: np.ndarray, share: float, votes: np.ndarray) -> np.ndarray:
@@ -292,13 +317,27 @@ def fitted(found: DataFrame, sample: int = SAMPLE) -> SpanClassifier:
     labelers = Labelers([tuple(r) for r in counts.collect()])  # at most kinds * 3**labelers * 2 rows
     order = F.xxhash64("doc_id", "c.start", "c.kind")
     some = each.select(order.alias("h"), "doc_id", "c.kind", "c.votes", "c.state", "c.features").orderBy("h", "doc_id", "kind", "votes", "features").limit(sample).collect()
-    return SpanClassifier([(r["features"], 1.0 if r["state"] == 1 else labelers.posterior[r["kind"], r["votes"]]) for r in some])
+    return SpanClassifier(examples_of([(r["kind"], r["votes"], r["state"] == 1, r["features"]) for r in some], labelers))
+
+
+def examples_of(rows: list[tuple[str, str, bool, list[int]]], labelers: Labelers) -> list[tuple[list[int], float]]:
+    """What the classifier learns of candidates (kind, votes, whether known as real, features): each as it is, and OTHERS times with other
+    votes and the posterior of these, so that what stands around real ones doesn't replace votes; and each kind's possible votes alone."""
+    out = []
+    for kind, votes, known, features in rows:
+        out.append((features, 1.0 if known else labelers.posterior[kind, votes]))
+        every = possible_votes(kind)
+        for i in range(OTHERS):
+            other = every[xxhash.xxh32_intdigest(f"{features} {i}") % len(every)]
+            said = _hashed(_said(kind, other))
+            out.append(([*said, *features[len(said) :]], labelers.posterior[kind, other]))
+    return [*out, *((_hashed(_said(kind, votes)), p) for (kind, votes), p in sorted(labelers.posterior.items()))] if rows else []
 
 
-def find_personal_data(docs: DataFrame, path: str | None = None, threshold: float = 0.6, sample: int = SAMPLE) -> DataFrame:
+def find_personal_data(docs: DataFrame, path: str | None = None, threshold: float = 0.6, sample: int = SAMPLE, window: int = WINDOW, years: tuple[int, int] = YEARS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; spans also holds what the classifier accepts."""
     spark = docs.sparkSession
-    found = staged(spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(_find, FOUND_DDL), f"{path or workspace(spark, 'pii')}/found")
+    found = staged(spread(docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))).mapInArrow(lambda batches: _find(batches, window, years), FOUND_DDL), f"{path or workspace(spark, 'pii')}/found")
     model = fitted(found, sample)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
