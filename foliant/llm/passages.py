@@ -43,7 +43,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)  # of which every difference modulo 13 is one
 ANCHOR = WINDOW - PERIOD + 1
 CHUNK = 16 << 20  # bytes of text
 PART = 4 << 20  # of which words are split at a time
-HELD = 2 << 20  # entries of a bucket, about
+HELD = 1 << 18  # entries of a bucket, about
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd
@@ -235,7 +235,7 @@ def asked(sent: DataFrame, listed: DataFrame, width: int, later: bool, path: str
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "part", "nr")
     bits = dealt.mapInArrow(lambda batches: _met(batches, width, later), BITS)
     by_chunk = bits.groupBy("part", "nr").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers"))  # one a bucket: bits of the chunk's own hashes
-    return staged(listed.join(by_chunk, ["part", "nr"], "left"), path)
+    return staged(listed.join(by_chunk.hint("merge"), ["part", "nr"], "left"), path)  # answers grow with the input: never broadcast
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Chunk, list[list[tuple[int, bytes]]]]]:
