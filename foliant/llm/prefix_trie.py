@@ -30,7 +30,7 @@ from .common import spread_join, staged, table, workspace
 
 FAMILY = 100  # conversations whose first one gives the others their beginning
 HEADS = 6  # more than the turns that are taken from it
-LOCAL = 4096  # turns of a bucket that a task finishes
+LOCAL = 512  # turns of a bucket that a task finishes
 RANGE = 4096  # ids
 SHARE = 4096  # keys with more than one such part of all rows are looked up apart
 EMPTY = hashlib.sha256().hexdigest()
