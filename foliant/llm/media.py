@@ -3,8 +3,8 @@ r"""Media columns: lossless WAV in a binary column, short-time Fourier transform
 to_media() makes bytes mono 8-bit samples of a WAV file, one a row, in a binary column; stored() writes such a table to the shared
 folder and reads it again, so that all that follows comes from stored bytes. fingerprints() reads the column with the wave module and transforms overlapping frames. In each frame the strongest bin of each band is a
 peak if no frame within REACH has a stronger one in that band. Each peak is paired with the FAN peaks that
-follow it within a target zone; a pair's code packs both frequencies and their distance, its time is the anchor's
-frame. Both are stored as arrays ordered by time, so that fingerprints are matched by code and aligned by time.
+follow it within a target zone; peaks that all stand in one frame, as those of short texts do, are paired with each other. A pair's
+code packs both frequencies and their distance, its time is the anchor's frame. Both are stored as arrays ordered by time, so that fingerprints are matched by code and aligned by time.
 Samples of silence (128) are added until the last frame ends with the audio, so that every sample is in a frame.
 
 Audio is transformed in blocks of frames, so beside a text itself memory grows by a few numbers a frame only.
@@ -83,6 +83,8 @@ def pairs(frames: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Times and codes of the pairs: 8 bits of either bin and 6 of the distance in frames."""
     times, codes = [], []
     after = np.searchsorted(frames, frames, side="right")  # the first peak beyond those of its own frame
+    if len(frames) and frames[0] == frames[-1]:  # there is no other frame
+        after = np.arange(1, len(frames) + 1)
     for k in range(FAN):
         a = np.flatnonzero(after + k < len(frames))
         b = after[a] + k
