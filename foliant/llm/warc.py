@@ -7,8 +7,8 @@ file's, so that it pays at every size; where there is too little to train on, th
 begins with such a frame. The list of files is a table that Spark commits; files of lost attempts are never read.
 
 Records with equal payloads of at least LEAST bytes are written once: the one with the largest page_id is the
-response, the others are revisit records that refer to it. Groups of copies are found by a map-side aggregate and the
-lookup is salted, so a group may hold any part of the rows.
+response, the others are revisit records that refer to it. Groups of copies are found by a map-side aggregate; large ones are
+looked up in a broadcast table of a bounded number of rows (spread_join), so a group may hold any part of the rows.
 
 Defined results: a null html counts as empty, a null url as an empty one; rows that repeat both the page_id and the payload of a
 response are responses too; a very long html is one record, held whole in memory while it is written; a null page_id revisits the largest other one, and if a group has none all are responses;
@@ -30,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_file, slices, spread, staged, table, text_of, workspace, write_file
+from .common import read_file, slices, spread, spread_join, staged, table, text_of, workspace, write_file
 
 LEAST = 1000  # bytes of a payload that may be revisited
-SALTS = 16
+SHARED, LEAST_SHARED = 4096, 64  # groups of more than such a part of all rows, and that many, are looked up apart
 FILE = 32 << 20  # bytes of records after which a task starts another file
 DICTIONARY, LEAST_DICTIONARY = 64 << 10, 256  # bytes
 SHARE = 64  # records have so many times the bytes of their dictionary
@@ -137,12 +137,12 @@ def revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), text_of("url").alias("url"), text_of("html").alias("html"))
     rows = rows.withColumn("_sha", F.when(F.octet_length("html") >= LEAST, F.sha2("html", 256)))
     groups = rows.where("_sha is not null").groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _last is not null")
-    groups = groups.select("_sha", "_last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
+    groups = groups.withColumn("_key", F.xxhash64("_sha"))
     # short pages match nothing: they take part with a random key, or all would go to one task as nulls
-    salted = salted.withColumn("_sha", F.coalesce("_sha", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
-    return salted.join(groups, ["_sha", "_salt"], "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    rows = rows.withColumn("_sha", F.coalesce("_sha", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))).withColumn("_key", F.xxhash64("_sha"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
+    met = spread_join(rows, groups, ["_sha", "_key"], "_n", max(LEAST_SHARED, pages.count() // SHARED), ["page_id"])
+    return met.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str) -> DataFrame:
