@@ -6,8 +6,8 @@ runs of one word show. All n-grams are hashed to 2**BITS features; a document is
 a word, and its score the logistic function of a sparse dot product.
 
 The model is fitted on at most `sample` labelled rows, those with the smallest hash of doc_id among rows that aren't
-held out; texts are turned to features on the executors, so that the driver gets sparse vectors of a bounded number
-of documents, each of at most MOST features, its most frequent ones. Scoring reads every row and whole texts, many at a time.
+held out, and on fewer if their vectors together have more than BYTES bytes; texts are turned to features on the executors, so
+that the driver gets whole sparse vectors of a bounded number of documents and bytes. Scoring reads every row and whole texts, many at a time.
 
 Defined results: a null or empty text has no features and gets the score of the bias; a null doc_id is passed on and
 never trained on (its held_out is null); rows without a label, or with a null one, are not trained on; of several labels
@@ -24,14 +24,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, only, slices, spread, table, text_of
 
 BITS = 20
 SAMPLE = 5000  # labelled rows to fit on, at most
-MOST = 10_000  # features of such a row, at most
+BYTES = 64 << 20  # of their vectors, at most: with longer texts, fewer rows
 HELD = 1 << 19  # bytes of text that are scored together; n-grams take some 60 times as much
 THRESHOLD = 0.3
 EPOCHS = 4
@@ -125,29 +125,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def strongest(at: np.ndarray, x: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many features of a vector, the largest ones, in ascending order: what is sent to the driver is bounded."""
-    if len(at) <= most:
-        return at, x
-    keep = np.sort(np.lexsort((at, -x))[:most])
-    return at[keep], x[keep]
-
-
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only(KNOWN)
     for batch in slices(batches, size=HELD):
-        made = [strongest(*features(t)) for t in batch.column(1).to_pylist()]
+        made = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.record_batch(
             [batch.column(0), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary()), batch.column(2)], names=["doc_id", "at", "x", "label"]
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The weights; the last one is the bias. labels: doc_id, quality."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = BYTES) -> np.ndarray:
+    """The weights; the last one is the bias. labels: doc_id, quality. Of labelled rows, those with the smallest hashes are learnt from: at
+    most `sample` of them, and no more than have vectors of `held` bytes together. Each is learnt with all its features."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented bound of the sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    got = rows.select("doc_id", "text", "label").mapInArrow(_vectors, "doc_id long, at binary, x binary, label int").toArrow()
+    vectors = rows.select("doc_id", "text", "label").mapInArrow(_vectors, "doc_id long, at binary, x binary, label int")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample
+    vectors = vectors.withColumn("upto", F.sum(F.octet_length("at") + F.octet_length("x")).over(upto)).where(F.col("upto") <= held)
+    got = vectors.toArrow()
     data = sorted(set(zip(*(got.column(i).to_pylist() for i in range(4)), strict=True)))
     examples = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), y) for _, a, x, y in data]
     model, order = FTRL(), np.random.default_rng(9)

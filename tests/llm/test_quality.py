@@ -114,10 +114,21 @@ def test_ftrl_against_a_plain_one():
     assert model.dense().tolist() == pytest.approx(want, abs=1e-4)
 
 
-def test_what_reaches_the_driver_is_bounded():
-    at, x = np.arange(50, dtype=np.int32), np.linspace(0, 1, 50).astype(np.float32)
-    got = quality.strongest(at, x, 8)
-    assert got[0].tolist() == list(range(42, 50)) and (got[1] == x[42:]).all() and quality.strongest(at, x)[0] is at
+def test_what_reaches_the_driver_is_bounded(spark, monkeypatch):
+    """By rows and bytes: of a long text, all features are learnt, or the row isn't."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50 + 5000 * (i == 7)))) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    learnt = []
+    monkeypatch.setattr(quality.FTRL, "learn", lambda self, at, x, y: learnt.append((tuple(at.tolist()), float(x.sum()), y)))
+    quality.fit(docs, labels)
+    want = {(tuple(at.tolist()), float(x.sum()), r["doc_id"] % 2) for r in docs.where(~quality.held_out()).collect() for at, x in [quality.features(r["text"])]}
+    assert set(learnt) == want and len(learnt) == quality.EPOCHS * len(want)
+    learnt.clear()
+    quality.fit(docs, labels, held=10_000)
+    assert set(learnt) < want and 8 * sum(len(at) for at, *_ in set(learnt)) <= 10_000 and len(learnt) > 0
+    learnt.clear()
+    quality.fit(docs, labels, sample=5)
+    assert len(set(learnt)) == 5
 
 
 def in_workers(spark, look):
