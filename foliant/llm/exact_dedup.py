@@ -6,11 +6,11 @@ different depths. Bits are counted in rounds, each of them deeper and only over
 bucket that holds one key alone doesn't split, so there is always an end, and no depth is too deep.
 
 1. Rows are reduced to (doc_id, key, digest), and keys counted. The directory is made from the keys.
-2. A key that occurs once needs no comparison. Rows of the others are led through the directory to the task that owns their
-   bucket, which compares their whole texts byte by byte. Copies are combined before they are sent, so a group of any
-   size is one row a split. Different texts of one key are chained: each is an entry with a place in the chain.
-3. The index is written in ranges of buckets, an owner task each: bucket, key, chain, keep_id, group_size, and the text of
-   entries that are chained.
+2. A key that occurs once needs no comparison. Rows of the others are led through the directory to their bucket, and those of
+   equal bytes are combined where they are and then by a hash of the bytes, so a group of any size becomes one row. These rows go
+   to the tasks that own their buckets, a range of buckets each and each bucket in one task, which compare the bytes of all
+   texts of a key: different ones are chained, each an entry with a place in the chain.
+3. The index is written in ranges of buckets: bucket, key, chain, keep_id, group_size, and the text of entries that are chained.
 4. Each row looks its entry up by slot, bucket and key; where an entry is chained, by comparing bytes once more.
 
 Keys with more than one 65,536th of all rows, and more than 64, are looked up in a broadcast table, which has fewer than 65,536 rows
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, spread_join, staged, table, text_of, workspace
 
-CAPACITY = 1 << 16  # keys a bucket may hold before it is split
+CAPACITY = 256  # keys a bucket may hold before it is split
 PARTS = 1 << 16  # of all rows or keys: what is larger is treated apart
 LEAST = 64  # rows of a key that is, in small tables
 STEP = 8  # bits by which a round goes deeper
@@ -82,7 +82,8 @@ def directory(keys: DataFrame, n_keys: int, path: str, capacity: int = CAPACITY)
 def led(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     """Rows with a column key, and their bucket by the directory."""
     for i, (depth, level) in enumerate(levels):
-        slots = F.broadcast(level.select(F.col("slot").alias(f"_slot{i}"), F.col("bucket").alias(f"_bucket{i}")))  # bounded, see directory()
+        slots = level.select(F.col("slot").alias(f"_slot{i}"), F.col("bucket").alias(f"_bucket{i}"))
+        slots = slots if i else F.broadcast(slots)  # 2**18 rows at most; of deeper levels Spark sees the size
         rows = rows.withColumn("_at", prefix("key", depth)).join(slots, F.col("_at") == F.col(f"_slot{i}"), "left").drop("_at", f"_slot{i}")
     found = [f"_bucket{i}" for i in range(len(levels))]
     return rows.withColumn("bucket", F.coalesce(*found)).drop(*found)
@@ -106,23 +107,22 @@ class ExactIndex:
         self.levels = directory(keys, self.n_keys, path, capacity)
         self.entries = self._built(led(keys, self.levels))
 
-    def _built(self, keys: DataFrame) -> DataFrame:
+    def owned(self, keys: DataFrame) -> DataFrame:
+        """Different texts of keys that occur again, in the tasks that own their buckets: bucket, key, norm, keep_id, group_size, chain, length (of the chain)."""
         again = keys.where("n > 1").select("bucket", "key", "n")
-        # owners compare the texts of keys that occur again; copies are combined before they are sent
         met = looked_up(led(self.texts, self.levels), again, self.n_rows).where("n is not null")
-        compared = staged(met.groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), f"{self.path}/compared")
-        chains = compared.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("length"))
-        collided = chains.where("length > 1").select("bucket", "key")
-        if collided.head(1):  # chained by their bytes; with 64 bits this hardly ever happens
-            chained = compared.join(collided, ["bucket", "key"], "left_semi").select("*", F.expr("row_number() over (partition by bucket, key order by norm) - 1").alias("chain"))
-            single = compared.join(collided, ["bucket", "key"], "left_anti").select("*", F.lit(0).alias("chain"))
-            compared = single.withColumn("norm", F.lit(None).cast("string")).union(chained)
-        else:
-            compared = compared.withColumn("norm", F.lit(None).cast("string")).withColumn("chain", F.lit(0))
-        self.chained = bool(collided.head(1))
-        repeated = compared.select("bucket", "key", "chain", "keep_id", "group_size", F.col("norm").alias("text"))
+        combined = staged(met.groupBy("bucket", "key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), f"{self.path}/combined")
+        dealt = combined.repartitionByRange("bucket").sortWithinPartitions("bucket", "key", "norm")  # a bucket isn't cut
+        chain, length = (F.expr(f"{f} over (partition by bucket, key{order})") for f, order in (("row_number()", " order by norm"), ("count(*)", "")))
+        return dealt.withColumn("chain", chain - 1).withColumn("length", length)
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        text = F.when(F.col("length") > 1, F.col("norm"))  # with 64 bits this hardly ever happens
+        repeated = self.owned(keys).select("bucket", "key", "chain", "keep_id", "group_size", text.alias("text"))
         alone = keys.where("n = 1").select("bucket", "key", F.lit(0).alias("chain"), F.col("least").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("text"))
-        return staged(repeated.union(alone).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"), f"{self.path}/index")
+        built = staged(repeated.union(alone).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"), f"{self.path}/index")
+        self.chained = bool(built.where("text is not null").head(1))
+        return built
 
     def verdicts(self, rows: DataFrame, text: str | None = None) -> DataFrame:
         """Rows (doc_id, key and others) with keep_id and group_size. text: a column that has the normalised text; without one it is read again if entries are chained."""

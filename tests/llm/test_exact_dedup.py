@@ -31,6 +31,19 @@ def test_awkward_rows(awkward):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 5, 6, 8, 9, 10]
 
 
+def test_a_bucket_is_in_one_task(spark, sf, tmp_path):
+    """While texts of a key are compared; and the registered capacity makes several buckets of a table of this size."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.union(docs.limit(60)).union(docs.where("doc_id % 3 = 0"))
+    for capacity in (4, 64):
+        index = exact_dedup.ExactIndex(more, f"file://{tmp_path}/{capacity}", capacity, key=lambda t: F.xxhash64(t) - F.xxhash64(t) % 5)
+        keys = exact_dedup.led(spark.read.parquet(f"{index.path}/keys"), index.levels)
+        tasks = index.owned(keys).withColumn("task", F.spark_partition_id()).groupBy("bucket").agg(F.count_distinct("task").alias("n"), F.count(F.lit(1)).alias("rows"))
+        got = tasks.collect()
+        assert len(got) > 2 and all(r["n"] == 1 for r in got) and sum(r["rows"] for r in got) > 50
+    assert exact_dedup.CAPACITY < 1000
+
+
 def test_empty(empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
 
