@@ -162,8 +162,8 @@ class Prompt(cmd.Cmd):
             last = self.engine.write_stats().where("n_files > 0").orderBy("at", ascending=False).first()
             self.say(f"  last batch: {last.asDict() if last else None}")
         elif what == "debug":
-            for i, row in enumerate(self.engine.words().toLocalIterator(), 1):
-                self.say(f"{row['word']}: [{i}] n={row['count']} df={row['df']}")
+            for row in self.engine.word_ids().orderBy("word").toLocalIterator():
+                self.say(f"{row['word']}: [{row['word_id']}] n={row['count']} df={row['df']}")
         elif what == "writes":
             for row in self.engine.write_stats().collect():  # as many as there are batches
                 self.say(row.asDict())

@@ -3,13 +3,13 @@
 A run is what one change has written, in a folder of its own:
 
     files     seq, file_id, name, kind, token_count, error, terms     in the order of file_id; terms is what the file gave to the index
-    postings  seq, word, block, count, df, ids, tfs                   sorted by word; a row has the files of one block of ids
+    postings  seq, since, word, block, count, df, ids, tfs            sorted by word; a row has the files of one block of ids
     deleted   seq, file_id                                            files that are gone from runs of smaller seq
     names     block, bits                                             a Bloom filter of names
     grams     gram, word                                              pieces of the run's words, sorted; runs that merges wrote have them
 
 The columns word, count and df of postings are the dictionary, in part: readers add up the rows of all runs and read nothing of the
-lists beside them. A run of deletions has rows with negative numbers, taken from the terms of what is deleted. Files that couldn't be
+lists beside them. since is the seq with which a word came; merges keep the least. A run of deletions has rows with negative numbers, taken from the terms of what is deleted. Files that couldn't be
 read have an error and no kind.
 
 Runs have levels. A change writes a run of level 0; FAN runs of a level are merged into one of the next, so a posting is written again at
@@ -42,7 +42,7 @@ log = logging.getLogger("foliant")
 __all__ = ["Conflict", "Index", "IndexInUse", "Snapshot"]
 
 FILES = "seq long, file_id long, name string, kind string, token_count long, error string, terms array<string>"
-POSTINGS = "seq long, word string, block long, count long, df long, ids array<long>, tfs array<long>"
+POSTINGS = "seq long, since long, word string, block long, count long, df long, ids array<long>, tfs array<long>"
 DELETED = "seq long, file_id long"
 BATCHES = "batch string, level int, n_files long, last_id long, n_postings long, n_tokens long, seconds double, at timestamp"
 BLOCK = 1 << 16  # ids of a row of postings
@@ -62,11 +62,13 @@ class Run:
     id: str
     level: int
     seq: int
+    n_rows: int = 0  # of files, with those that couldn't be read
     n_files: int = 0
     last_id: int = 0
     n_postings: int = 0
     n_tokens: int = 0
     n_deleted: int = 0
+    n_problems: int = 0
     filters: int = 0  # blocks of its Bloom filter
     grams: bool = False
     batches: int = 1
@@ -92,7 +94,7 @@ class Snapshot:
 
     @property
     def _with_files(self) -> list[Run]:
-        return [r for r in self.runs if r.n_files]
+        return [r for r in self.runs if r.n_rows]
 
     @cached_property
     def deleted(self) -> DataFrame:
@@ -123,7 +125,7 @@ class Snapshot:
 
     def dictionary_rows(self, runs: list[Run] | None = None) -> DataFrame:
         """word, count, df in parts. Nothing of the lists is read."""
-        return self.table("postings", POSTINGS, [r for r in (self.runs if runs is None else runs) if r.n_files or r.n_deleted]).select("word", "count", "df")
+        return self.table("postings", POSTINGS, [r for r in (self.runs if runs is None else runs) if r.n_rows or r.n_deleted]).select("word", "count", "df")
 
     @property
     def dictionary(self) -> DataFrame:
@@ -135,10 +137,17 @@ class Snapshot:
         """word, count, df, freq_bag."""
         return frequency_bags(self.dictionary)
 
+    def word_ids(self) -> DataFrame:
+        """word, word_id, count, df: words numbered from 1 in the order in which they came, those of one change by name. Later changes keep
+        the numbers, unless words have gone with deleted files."""
+        lists = self.table("postings", POSTINGS, [r for r in self.runs if r.n_rows or r.n_deleted]).select("since", "word", "count", "df")
+        words = lists.groupBy("word").agg(F.min("since").alias("since"), F.sum("count").alias("count"), F.sum("df").alias("df")).where("df > 0")
+        return numbered(words, ["since", "word"], 0, f"{self.path}/staging/{uuid.uuid4().hex}").select("word", F.col("_id").alias("word_id"), "count", "df")
+
     def entries(self, runs: list[Run] | None = None) -> DataFrame:
-        """seq, word, file_id, tf."""
+        """seq, since, word, file_id, tf."""
         lists = self.table("postings", POSTINGS, self._with_files if runs is None else runs)
-        return self.live(lists.select("seq", "word", F.explode(F.arrays_zip("ids", "tfs")).alias("e")).select("seq", "word", F.col("e.ids").alias("file_id"), F.col("e.tfs").alias("tf")))
+        return self.live(lists.select("seq", "since", "word", F.explode(F.arrays_zip("ids", "tfs")).alias("e")).select("seq", "since", "word", F.col("e.ids").alias("file_id"), F.col("e.tfs").alias("tf")))
 
     @property
     def postings(self) -> DataFrame:
@@ -158,10 +167,25 @@ class Snapshot:
     @property
     def batches(self) -> DataFrame:
         """What was written: batch, level, n_files, last_id, n_postings, n_tokens, seconds, at; as many rows as there are runs with files."""
-        rows = [(r.id, r.level, r.n_files, r.last_id, r.n_postings, r.n_tokens, r.seconds, datetime.fromtimestamp(r.at, UTC)) for r in self._with_files]
+        rows = [(r.id, r.level, r.n_files, r.last_id, r.n_postings, r.n_tokens, r.seconds, datetime.fromtimestamp(r.at, UTC)) for r in self._with_files if r.n_files]
         return self.spark.createDataFrame(rows, BATCHES)
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], last_id: int, path: str) -> DataFrame:
+    """rows with _id: their place in a range sort after last_id, from the number of rows in the ranges before."""
+    held = kept(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), path)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    ranked = held.withColumn("rank", rank).join(before, "part")
+    return ranked.select(*rows.columns, (F.col("rank") + F.col("before") + F.lit(last_id)).cast("long").alias("_id"))
+
+
 class Index:
     """An index in a folder. Its tables are those of the last version; snapshot() holds one."""
 
@@ -186,7 +210,7 @@ class Index:
         return Snapshot(self.spark, self.path, version, manifest)
 
     def __getattr__(self, name: str):
-        if name in ("files", "postings", "words", "dictionary", "problems", "batches", "deleted", "entries", "postings_of", "terms_of"):
+        if name in ("files", "postings", "words", "dictionary", "problems", "batches", "deleted", "entries", "postings_of", "terms_of", "word_ids"):
             return getattr(self.snapshot(), name)
         raise AttributeError(name)
 
@@ -272,14 +296,14 @@ class Index:
         staging = f"staging/{uuid.uuid4().hex}"
         if keep:
             with self._step("list"):
-                named = self._kept(named, f"{self.path}/{staging}/listed")
+                named = kept(named, f"{self.path}/{staging}/listed")
 
         def make(before: Snapshot, run: str) -> tuple | None:
             began, here, seq = time.time(), f"{self.path}/{staging}/{run}", before.version + 1
             names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
             with self._step("new names") as step:
                 names = members.unknown(before, names, here)
-                ids = self._kept(names if given else self._numbered(names, before.last_id, here), f"{here}/ids")
+                ids = kept(names if given else numbered(names, ["name"], before.last_id, f"{here}/names"), f"{here}/ids")
                 n_names, last = ids.agg(F.count(F.lit(1)), F.max("_id")).first()
                 step["names"] = n_names
             if not n_names:
@@ -288,7 +312,7 @@ class Index:
             rows = texts(ids, named).select("file_id", "name", "kind", "error", term_array(read, self.stop_words).alias("terms"))
             rows = rows.select(F.lit(seq).cast("long").alias("seq"), "file_id", "name", "kind", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("token_count"), "error", "terms")
             seen = Observation()
-            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"))
+            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"))
             with self._step("load and tokenize") as step:
                 self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
                 got = seen.get
@@ -298,7 +322,7 @@ class Index:
                 step |= counts
             with self._step("filter of names"):
                 blocks = members.write_filter(ids.select("name"), n_names, f"{self.path}/runs/{run}/names")
-            made = Run(run, 0, seq, n_files=got["n_files"], last_id=got["last_id"] or 0, filters=blocks, seconds=round(time.time() - began, 3), at=time.time(), **counts)
+            made = Run(run, 0, seq, n_rows=got["n_rows"], n_files=got["n_files"], n_problems=got["n_problems"], last_id=got["last_id"] or 0, filters=blocks, seconds=round(time.time() - began, 3), at=time.time(), **counts)
             return [made], set(), last or 0
 
         self._change(make)
@@ -325,12 +349,12 @@ class Index:
         """From (word, file_id): one shuffle, by ranges of word and block of ids, in which occurrences are counted and lists made."""
         ranged = occurrences.select("word", (F.shiftright("file_id", 16)).alias("block"), "file_id").repartitionByRange("word", "block")
         counted = ranged.groupBy("word", "block", "file_id").agg(F.count(F.lit(1)).alias("tf"))
-        held = counted.groupBy("word", "block").agg(F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("file_id", "tf"))).alias("held"))
+        held = counted.groupBy("word", "block").agg(F.lit(seq).cast("long").alias("since"), F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("file_id", "tf"))).alias("held"))
         return self._write_lists(held, seq, path)
 
     def _write_lists(self, held: DataFrame, seq: int, path: str) -> dict[str, int]:
-        """Rows word, block, count, df, held (file_id, tf), dealt by ranges of word; what was written is counted meanwhile."""
-        lists = held.select(F.lit(seq).cast("long").alias("seq"), "word", "block", "count", "df", F.col("held.file_id").alias("ids"), F.col("held.tf").alias("tfs"))
+        """Rows since, word, block, count, df, held (file_id, tf), dealt by ranges of word; what was written is counted meanwhile."""
+        lists = held.select(F.lit(seq).cast("long").alias("seq"), "since", "word", "block", "count", "df", F.col("held.file_id").alias("ids"), F.col("held.tf").alias("tfs"))
         seen = Observation()
         entries = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
         lists = lists.observe(seen, F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_postings"), F.coalesce(F.sum(entries), F.lit(0)).alias("n_tokens"))
@@ -338,18 +362,6 @@ class Index:
         got = seen.get
         return {"n_postings": int(got["n_postings"]), "n_tokens": int(got["n_tokens"])}
 
-    def _kept(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _numbered(self, names: DataFrame, last_id: int, staging: str) -> DataFrame:
-        """names with _id: their place in a range sort, from the number of names in the ranges before."""
-        held = self._kept(names.repartitionByRange("name").withColumn("part", F.spark_partition_id()), f"{staging}/names")
-        ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-        before = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
-        rank = F.row_number().over(Window.partitionBy("part").orderBy("name"))
-        return held.withColumn("rank", rank).join(before, "part").select("name", "copies", (F.col("rank") + F.col("before") + F.lit(last_id)).cast("long").alias("_id"))
-
     def delete(self, gone: DataFrame) -> None:
         """Delete files (file_id). Their names may be indexed again. What their terms added to the dictionary is taken off in a run of its own."""
 
@@ -363,7 +375,7 @@ class Index:
                 return None
             less = before.terms_of(ids).groupBy("word").agg((-F.sum("tf")).alias("count"), (-F.count(F.lit(1))).alias("df"))
             none = F.array().cast("array<long>")
-            rows = less.select(F.lit(seq).cast("long").alias("seq"), "word", F.lit(None).cast("long").alias("block"), "count", "df", none.alias("ids"), none.alias("tfs"))
+            rows = less.select(F.lit(seq).cast("long").alias("seq"), F.lit(seq).cast("long").alias("since"), "word", F.lit(None).cast("long").alias("block"), "count", "df", none.alias("ids"), none.alias("tfs"))
             self._write(rows.repartitionByRange("word").sortWithinPartitions("word"), f"{run}/postings")
             return [Run(run, 0, seq, n_deleted=n, seconds=round(time.time() - began, 3), at=time.time())], set(), 0
 
@@ -399,17 +411,17 @@ class Index:
         """Write runs as one. Counts of the dictionary are added up as they are, unless all runs are merged: then those of files that are gone go."""
         began, seq = time.time(), seq or before.version + 1
         whole = len(runs) == len(before.runs)
-        with_files = [r for r in runs if r.n_files]
+        with_files = [r for r in runs if r.n_rows]
         files = before.rows(with_files).withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("file_id")
         seen = Observation()  # after the shuffle, as ranges are found by reading what comes before twice
-        observed = files.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"))
+        observed = files.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"))
         self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
-        entries = before.entries(with_files).select("word", F.shiftright("file_id", 16).alias("block"), (F.col("tf") if whole else F.lit(0).cast("long")).alias("count"), F.lit(int(whole)).cast("long").alias("df"), F.struct("file_id", "tf").alias("e"))
+        entries = before.entries(with_files).select("since", "word", F.shiftright("file_id", 16).alias("block"), (F.col("tf") if whole else F.lit(0).cast("long")).alias("count"), F.lit(int(whole)).cast("long").alias("df"), F.struct("file_id", "tf").alias("e"))
         if not whole:
-            counts = before.table("postings", POSTINGS, [r for r in runs if r.n_files or r.n_deleted]).select("word", "block", "count", "df", F.lit(None).cast("struct<file_id: bigint, tf: bigint>").alias("e"))
+            counts = before.table("postings", POSTINGS, [r for r in runs if r.n_rows or r.n_deleted]).select("since", "word", "block", "count", "df", F.lit(None).cast("struct<file_id: bigint, tf: bigint>").alias("e"))
             entries = entries.union(counts)
         ranged = entries.repartitionByRange("word", "block")
-        held = ranged.groupBy("word", "block").agg(F.sum("count").alias("count"), F.sum("df").alias("df"), F.sort_array(F.collect_list("e")).alias("held")).where("count <> 0 or df <> 0 or size(held) > 0")
+        held = ranged.groupBy("word", "block").agg(F.min("since").alias("since"), F.sum("count").alias("count"), F.sum("df").alias("df"), F.sort_array(F.collect_list("e")).alias("held")).where("count <> 0 or df <> 0 or size(held) > 0")
         counts = self._write_lists(held, seq, f"{run}/postings")
         n_deleted = 0
         if not whole:
@@ -424,7 +436,7 @@ class Index:
         blocks = members.write_filter(names, got["n_files"], f"{self.path}/runs/{run}/names")
         batches = sum(r.batches for r in runs)
         last = max((r.last_id for r in with_files), default=0)
-        made = Run(run, level, seq, n_files=got["n_files"], last_id=last, n_deleted=n_deleted, filters=blocks, grams=True, batches=batches, seconds=round(time.time() - began, 3), at=time.time(), **counts)
+        made = Run(run, level, seq, n_rows=got["n_rows"], n_files=got["n_files"], n_problems=got["n_problems"], last_id=last, n_deleted=n_deleted, filters=blocks, grams=True, batches=batches, seconds=round(time.time() - began, 3), at=time.time(), **counts)
         return [made], {r.id for r in runs}, before.last_id
 
     def vacuum(self, retention: float = RETENTION) -> None:

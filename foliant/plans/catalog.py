@@ -488,6 +488,16 @@ def dictionary_batches(spark, d):
     return index.words
 
 
+@query("word_ids", DOCS + "SELECT word, row_number() OVER (ORDER BY first % 2, word) AS word_id, count, df FROM words JOIN (SELECT word, min(file_id % 2) AS first FROM tf GROUP BY word) USING (word)")
+def word_ids(spark, d):
+    """Words numbered in the order in which they came, in two batches that are merged then."""
+    docs = tables.documents(spark, d)
+    index = Index(spark, f"{_folder(spark)}/index")
+    for i in range(2):
+        index.add(docs.where(F.pmod("file_id", F.lit(2)) == i))
+    return index.compact().word_ids()
+
+
 @query("lookup_find", _found_sql(DOCS.rstrip(), ["*ation", "?e*"]))
 def lookup_find(spark, d):
     """Words without a fixed beginning, looked up by their pieces in an index that was merged."""

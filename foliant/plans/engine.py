@@ -31,7 +31,7 @@ class Engine:
         self.root = root or self.root
         self.index_.add_files(file_source.list_files(self.spark, self.root), incremental.loaded(self.root, self.modern))
         self.index_.compact_if_grown()
-        if problems := self.problems().count():
+        if problems := sum(r.n_problems for r in self.index_.snapshot().runs):
             log.warning("%d files couldn't be read or seem to be binary: see problems()", problems)
 
     def index_stream(self, checkpoint: str, root: str | None = None, per_batch: int = 1000) -> bool:
@@ -110,6 +110,10 @@ class Engine:
     def words(self) -> DataFrame:
         return self.index_.words.orderBy("word")
 
+    def word_ids(self) -> DataFrame:
+        """word, word_id, count, df, in the order in which words came."""
+        return self.index_.word_ids().orderBy("word_id")
+
     def postings(self, word: str) -> DataFrame:
         return self.index_.postings.where(F.col("word") == word)
 

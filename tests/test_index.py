@@ -113,7 +113,7 @@ def test_messages_between_batches(spark, tree, tmp_path):
 def test_batch_that_dies_is_found_again(spark, tmp_path):
     index = Index(spark, f"{tmp_path}/index")
     texts = spark.createDataFrame([(7, "x", "text", "tree house"), (8, None, "text", "lost"), (9, "y", "ignore", None)], "file_id long, name string, kind string, text string")
-    lost = spark.createDataFrame([(1, "tree", 0, 1, 1, [7], [1])], POSTINGS)
+    lost = spark.createDataFrame([(1, 1, "tree", 0, 1, 1, [7], [1])], POSTINGS)
     lost.write.parquet(f"{tmp_path}/index/runs/dead/postings")
     assert index.postings.count() == 0
     index.add(texts)
@@ -202,6 +202,10 @@ def test_files_that_cant_be_read(spark, tree, tmp_path):
     assert index.files.where("name in ('gone', 'x')").count() == 0 and index.files.count() == 6
     said = dict(map(tuple, index.problems.collect()))
     assert "No such file" in said["gone"] and said["x"] == "no way in"
+    index.add_files(lost, incremental.loaded(str(tree)))  # nothing but errors
+    assert index.problems.where("name = 'x'").count() == 2 and index.files.count() == 6 and index.batches.count() == 1
+    index.compact()
+    assert index.problems.count() == 5 and index.files.count() == 6 and index.words.count() > 5
     (tree / "gone").write_text("back again")
     index.add_files(file_source.list_files(spark, str(tree)), incremental.loaded(str(tree)))
     assert index.files.where("name = 'gone'").count() == 1

@@ -49,6 +49,19 @@ def test_batches_equal_one(spark, tmp_path):
     assert a.last_id() == 19 and a.snapshot().runs[0].n_postings == b.snapshot().runs[0].n_postings
 
 
+def test_words_keep_their_numbers(spark, tmp_path):
+    index = Index(spark, f"{tmp_path}/index", stop_words=[], fan=2)
+    first = {"cat": 1, "house": 2, "onlya": 3, "onlyb": 4, "tree": 5}
+    index.add(batch(spark, range(2)))
+    assert {r["word"]: r["word_id"] for r in index.word_ids().collect()} == first
+    for _ in range(2):
+        index.add(batch(spark, range(2, 4), "apple house"))
+        index.compact_if_grown()
+        assert {r["word"]: r["word_id"] for r in index.word_ids().collect()} == first | {"apple": 6, "onlyc": 7, "onlyd": 8}
+    index.delete(spark.createDataFrame([(2,)], "file_id long"))
+    assert {r["word"]: (r["word_id"], r["df"]) for r in index.word_ids().collect()}["onlyd"] == (7, 1)  # onlyc has gone
+
+
 def test_deleted_ids_may_come_again(spark, tmp_path):
     index = Index(spark, f"{tmp_path}/index", stop_words=[], fan=2)
     index.add(batch(spark, range(4)))
@@ -103,6 +116,28 @@ def test_a_number_is_taken_once(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "x/versions")) == [os.path.basename(files.name(1))]
 
 
+def test_a_store_that_renames(spark, tmp_path):
+    """An index in a file system that isn't a local disk to this library: numbers are taken by renames without overwriting."""
+    (tmp_path / "x").mkdir()
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.runs.link./x", f"file://{tmp_path}/x")
+    store = Store(spark, "viewfs://runs/x/index")
+    files = Numbered(store, "versions", "v")
+    assert not store.local and files.last() == (0, None)
+    assert files.put(1, {"a": 1}) and not files.put(1, {"a": 2}) and files.last() == (1, {"a": 1})
+    assert store.names("versions") == [os.path.basename(files.name(1))] and files.read(2) is None
+    index = Index(spark, "viewfs://runs/x/other", stop_words=[], fan=2)
+    for i in range(2):
+        index.add(batch(spark, [i]))
+    index.compact_if_grown()
+    index.delete(spark.createDataFrame([(0,)], "file_id long"))
+    with index.locked(), pytest.raises(IndexInUse):
+        index.compact()
+    index.vacuum(0)
+    assert index.snapshot().version == 4 and rows(index.files.select("file_id")) == [(1,)] and len(store.names("../other/runs")) == 2
+    index.clear()
+    assert index.snapshot().version == 0
+
+
 def test_a_slow_writer_gives_up(spark, tmp_path):
     """Its lease ran out, another one has changed the index: what it was about to write isn't seen."""
     slow, quick = (Index(spark, f"{tmp_path}/index", stop_words=[], term=0.5) for _ in range(2))
