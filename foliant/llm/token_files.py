@@ -41,7 +41,7 @@ BLOCK = rans.BLOCK
 class Words(WordIds):
     """Ids of words, and those of texts put together from them."""
 
-    LIMIT = 1_400_000
+    LIMIT = 1_000_000
     JOINED = 1000
     SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"  # no apostrophe: some words start with one
 
