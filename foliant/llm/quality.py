@@ -150,7 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = BY
     for _ in range(EPOCHS):
         for i in order.permutation(len(examples)):
             model.learn(*examples[i])
-    return model.dense()
+    weights = model.dense()
+    del got, data, examples, model
+    give_back()  # the driver's memory, which its JVM needs
+    return weights
 
 
 def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
