@@ -36,7 +36,7 @@ def write_filter(names: DataFrame, n_names: int, path: str) -> int:
     blocks = -(-n_names // NAMES_A_BLOCK)
     block, places = _places(F.col("name"), blocks)
     bits = names.select(block.alias("block"), F.explode(places).alias("place")).groupBy("block").agg(F.bitmap_construct_agg(F.col("place")).alias("bits"))
-    bits.repartitionByRange("block").sortWithinPartitions("block").write.parquet(path)
+    bits.sortWithinPartitions("block").write.parquet(path)  # dealt by block already
     return blocks
 
 
