@@ -30,12 +30,12 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lookup, members
 from .stats import frequency_bags
-from .tokens import term_array
+from .tokens import counted, term_array
 from .versions import Conflict, IndexInUse, Lease, Leases, Numbered, Store
 
 log = logging.getLogger("foliant")
@@ -49,6 +49,9 @@ BLOCK = 1 << 16  # ids of a row of postings
 FAN = 8  # runs of a level that are merged
 ROW_GROUP = 16 << 20  # bytes; so small that a word's row groups are few
 ROWS_A_FILE = 1_000_000  # of postings, each with up to BLOCK files
+ENTRIES_A_TASK = 400_000  # entries of lists that a task sorts and gathers; its memory grows with them
+BYTES_A_TASK = 16 << 20  # of texts that a task tokenizes
+BYTES_A_FILE = 1 << 16  # of a file whose length the list doesn't say
 TERM = 60.0  # seconds of a lease that isn't renewed
 RETENTION = 7 * 24 * 3600.0  # seconds that runs stay which no version names any more
 STEPS = 100  # that are remembered
@@ -162,7 +165,7 @@ class Snapshot:
         """file_id, word, tf of one file or of some (file_id): forward, from terms, so no postings are read."""
         rows = self.rows().where("error is null")
         rows = rows.where(F.col("file_id") == files) if isinstance(files, int) else rows.join(files.select("file_id"), "file_id", "left_semi")
-        return rows.select("file_id", F.explode("terms").alias("word")).groupBy("file_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+        return rows.select("file_id", F.inline(counted(F.col("terms"))))
 
     @property
     def batches(self) -> DataFrame:
@@ -171,6 +174,11 @@ class Snapshot:
         return self.spark.createDataFrame(rows, BATCHES)
 
 
+def tasks(n: int | None, a_task: int | None = None) -> int:
+    """How many tasks share n entries or bytes, so that one's memory doesn't depend on how much there is."""
+    return max(1, -(-int(n or 0) // (a_task or ENTRIES_A_TASK)))
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -270,13 +278,17 @@ class Index:
         given = "file_id" in texts.columns
         named = texts.where("name is not null")
 
-        def rows(ids: DataFrame, named: DataFrame) -> DataFrame:
-            found = named.join(ids.select("name", "_id"), "name")
-            if ids.where("copies > 1").head(1):  # one text of a name counts
-                found = (found.where("file_id = _id") if given else found).dropDuplicates(["name"])
-            return found.select(F.col("_id").alias("file_id"), "name", "kind", "text", F.lit(None).cast("string").alias("error")).repartitionByRange("file_id")
+        def rows(ids: DataFrame, named: DataFrame, every: bool, n: int) -> DataFrame:
+            if given and every:  # each row is a new name's only one, and has its id
+                found = named.withColumn("_id", F.col("file_id").cast("long"))
+            else:
+                found = named.join(ids.select("name", "_id"), "name")
+                if ids.where("copies > 1").head(1):  # one text of a name counts
+                    found = (found.where("file_id = _id") if given else found).dropDuplicates(["name"])
+            found = found.select(F.col("_id").alias("file_id"), "name", "kind", "text", F.lit(None).cast("string").alias("error"))
+            return found.repartitionByRange(n, "file_id").sortWithinPartitions("file_id")
 
-        self._add(named, given, rows, False)
+        self._add(named, given, F.octet_length("text"), rows, False)
 
     def add_files(self, listed: DataFrame, load: Callable[[DataFrame], DataFrame]) -> None:
         """Index listed files (name and what load needs). load gets those that are new and gives name, kind, text, error for each.
@@ -284,15 +296,16 @@ class Index:
         So only new files are opened. One with an error isn't indexed but becomes a problem.
         """
 
-        def rows(ids: DataFrame, listed: DataFrame) -> DataFrame:
+        def rows(ids: DataFrame, listed: DataFrame, every: bool, n: int) -> DataFrame:
             one = listed.dropDuplicates(["name"]) if ids.where("copies > 1").head(1) else listed
-            found = one.join(ids.select("name", F.col("_id").alias("file_id")), "name").repartitionByRange("file_id")
+            found = one.join(ids.select("name", F.col("_id").alias("file_id")), "name").repartitionByRange(n, "file_id").sortWithinPartitions("file_id")
             return load(found).select("file_id", "name", "kind", "text", "error")
 
-        self._add(listed, False, rows, True)
+        self._add(listed, False, F.col("length") if "length" in listed.columns else F.lit(BYTES_A_FILE), rows, True)
 
-    def _add(self, named: DataFrame, given: bool, texts: Callable[[DataFrame, DataFrame], DataFrame], keep: bool) -> None:
-        """texts makes rows of the ids of new names and named; keep: named is costly to make and small, so it is staged."""
+    def _add(self, named: DataFrame, given: bool, size: Column, texts: Callable[[DataFrame, DataFrame, bool, int], DataFrame], keep: bool) -> None:
+        """texts makes rows, in the order of file_id, of the ids of new names, named, whether each row of named is a new name's only one, and
+        the number of tasks; size: bytes of a row of named; keep: named is costly to make and small, so it is staged."""
         staging = f"staging/{uuid.uuid4().hex}"
         if keep:
             with self._step("list"):
@@ -300,25 +313,26 @@ class Index:
 
         def make(before: Snapshot, run: str) -> tuple | None:
             began, here, seq = time.time(), f"{self.path}/{staging}/{run}", before.version + 1
-            names = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
+            found = named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.sum(size).alias("bytes"), *([F.min("file_id").cast("long").alias("_id")] if given else []))
             with self._step("new names") as step:
-                names = members.unknown(before, names, here)
+                names, all_new = members.unknown(before, found, here)
                 ids = kept(names if given else numbered(names, ["name"], before.last_id, f"{here}/names"), f"{here}/ids")
-                n_names, last = ids.agg(F.count(F.lit(1)), F.max("_id")).first()
+                n_names, last, copies, n_bytes = ids.agg(F.count(F.lit(1)), F.max("_id"), F.max("copies"), F.sum("bytes")).first()
                 step["names"] = n_names
             if not n_names:
                 return None
+            every, n = copies == 1 and all_new, tasks(n_bytes, BYTES_A_TASK)
             read = F.when(F.col("kind").isNotNull() & (F.col("kind") != "ignore"), F.col("text"))
-            rows = texts(ids, named).select("file_id", "name", "kind", "error", term_array(read, self.stop_words).alias("terms"))
+            rows = texts(ids, named, every, n).select("file_id", "name", "kind", "error", term_array(read, self.stop_words).alias("terms"))
             rows = rows.select(F.lit(seq).cast("long").alias("seq"), "file_id", "name", "kind", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("token_count"), "error", "terms")
             seen = Observation()
-            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"))
+            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"), F.sum(F.expr("if(error is null, token_count, 0)")).alias("n_terms"))
             with self._step("load and tokenize") as step:
-                self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
+                self._write(observed, f"{run}/files")
                 got = seen.get
                 step["files"] = got["n_files"]
             with self._step("postings") as step:
-                counts = self._write_postings(self._exploded(run), seq, f"{run}/postings")
+                counts = self._write_postings(self._counted(run), got["n_terms"], seq, f"{run}/postings")
                 step |= counts
             with self._step("filter of names"):
                 blocks = members.write_filter(ids.select("name"), n_names, f"{self.path}/runs/{run}/names")
@@ -340,16 +354,15 @@ class Index:
     def _write(self, df: DataFrame, path: str) -> None:
         df.write.option("parquet.block.size", ROW_GROUP).option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{self.path}/runs/{path}")
 
-    def _exploded(self, run: str) -> DataFrame:
-        """word, file_id of a run that is being written: one row an occurrence."""
+    def _counted(self, run: str) -> DataFrame:
+        """file_id, word, tf of a run that is being written: counted in each file by itself."""
         files = self.spark.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null")
-        return files.select("file_id", F.explode("terms").alias("word"))
+        return files.select("file_id", F.inline(counted(F.col("terms"))))
 
-    def _write_postings(self, occurrences: DataFrame, seq: int, path: str) -> dict[str, int]:
-        """From (word, file_id): one shuffle, by ranges of word and block of ids, in which occurrences are counted and lists made."""
-        ranged = occurrences.select("word", (F.shiftright("file_id", 16)).alias("block"), "file_id").repartitionByRange("word", "block")
-        counted = ranged.groupBy("word", "block", "file_id").agg(F.count(F.lit(1)).alias("tf"))
-        held = counted.groupBy("word", "block").agg(F.lit(seq).cast("long").alias("since"), F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("file_id", "tf"))).alias("held"))
+    def _write_postings(self, entries: DataFrame, n: int | None, seq: int, path: str) -> dict[str, int]:
+        """From (file_id, word, tf), n at most: one shuffle, by ranges of word and block of ids, in which lists are made."""
+        ranged = entries.select("word", (F.shiftright("file_id", 16)).alias("block"), "file_id", "tf").repartitionByRange(tasks(n), "word", "block")
+        held = ranged.groupBy("word", "block").agg(F.lit(seq).cast("long").alias("since"), F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("file_id", "tf"))).alias("held"))
         return self._write_lists(held, seq, path)
 
     def _write_lists(self, held: DataFrame, seq: int, path: str) -> dict[str, int]:
@@ -412,7 +425,8 @@ class Index:
         began, seq = time.time(), seq or before.version + 1
         whole = len(runs) == len(before.runs)
         with_files = [r for r in runs if r.n_rows]
-        files = before.rows(with_files).withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("file_id")
+        n_rows = tasks(max(sum(r.n_tokens for r in with_files), sum(r.n_rows for r in with_files)))
+        files = before.rows(with_files).withColumn("seq", F.lit(seq).cast("long")).repartitionByRange(n_rows, "file_id")
         seen = Observation()  # after the shuffle, as ranges are found by reading what comes before twice
         observed = files.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"))
         self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
@@ -420,7 +434,7 @@ class Index:
         if not whole:
             counts = before.table("postings", POSTINGS, [r for r in runs if r.n_rows or r.n_deleted]).select("since", "word", "block", "count", "df", F.lit(None).cast("struct<file_id: bigint, tf: bigint>").alias("e"))
             entries = entries.union(counts)
-        ranged = entries.repartitionByRange("word", "block")
+        ranged = entries.repartitionByRange(tasks(sum(r.n_postings for r in with_files)), "word", "block")
         held = ranged.groupBy("word", "block").agg(F.min("since").alias("since"), F.sum("count").alias("count"), F.sum("df").alias("df"), F.sort_array(F.collect_list("e")).alias("held")).where("count <> 0 or df <> 0 or size(held) > 0")
         counts = self._write_lists(held, seq, f"{run}/postings")
         n_deleted = 0

@@ -23,6 +23,7 @@ if TYPE_CHECKING:
 
 GRAMS = "gram string, word string"
 GRAM = 3
+PIECES_A_TASK = 500_000  # that a task sorts
 LISTED = 512  # words that become equalities
 FIRST, LAST = "^", "$"  # no words contain them
 
@@ -48,7 +49,8 @@ def write_grams(postings: DataFrame, path: str, row_group: int) -> None:
     """The pieces of a run's words."""
     words = postings.select("word").distinct()
     pieces = words.select(F.explode(grams_of(F.col("word"))).alias("gram"), "word")
-    pieces.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word").write.option("parquet.block.size", row_group).parquet(path)
+    n = words.agg(F.sum(F.char_length("word") + 2)).first()[0] or 0  # pieces, at most
+    pieces.repartitionByRange(-(-n // PIECES_A_TASK) or 1, "gram", "word").sortWithinPartitions("gram", "word").write.option("parquet.block.size", row_group).parquet(path)
 
 
 def any_of(column: Column, values: list[str]) -> Column:

@@ -18,6 +18,7 @@ if TYPE_CHECKING:
 NAMES = "block long, bits binary"
 BITS = 32_768  # of a bitmap that Spark's aggregate makes
 NAMES_A_BLOCK = 2_000  # so a name that isn't there is shown about once in 2,000 times
+NAMES_A_TASK = 50_000  # whose bits a task sorts
 PROBES = 7
 
 
@@ -35,7 +36,8 @@ def write_filter(names: DataFrame, n_names: int, path: str) -> int:
         return 0
     blocks = -(-n_names // NAMES_A_BLOCK)
     block, places = _places(F.col("name"), blocks)
-    bits = names.select(block.alias("block"), F.explode(places).alias("place")).groupBy("block").agg(F.bitmap_construct_agg(F.col("place")).alias("bits"))
+    dealt = names.select(block.alias("block"), places.alias("places")).repartition(-(-n_names // NAMES_A_TASK), "block")  # before a row is made of each place
+    bits = dealt.select("block", F.explode("places").alias("place")).groupBy("block").agg(F.bitmap_construct_agg(F.col("place")).alias("bits"))
     bits.sortWithinPartitions("block").write.parquet(path)  # dealt by block already
     return blocks
 
@@ -57,17 +59,17 @@ def shown(snapshot: Snapshot, names: DataFrame) -> DataFrame:
     return names.sparkSession.createDataFrame([], "run string, name string") if found is None else found
 
 
-def unknown(snapshot: Snapshot, names: DataFrame, staging: str) -> DataFrame:
-    """Rows of names whose name the catalogue doesn't have."""
+def unknown(snapshot: Snapshot, names: DataFrame, staging: str) -> tuple[DataFrame, bool]:
+    """Rows of names whose name the catalogue doesn't have, and whether the filters alone say that these are all."""
     if not any(r.filters for r in snapshot.runs):
-        return names
+        return names, True
     names.write.parquet(f"{staging}/asked")
     names = names.sparkSession.read.schema(names.schema).parquet(f"{staging}/asked")
     shown(snapshot, names.select("name")).write.parquet(f"{staging}/shown")
     some = names.sparkSession.read.schema("run string, name string").parquet(f"{staging}/shown")
     runs = {r["run"] for r in some.select("run").distinct().collect()}  # as many as there are runs
     if not runs:
-        return names
+        return names, True
     has = snapshot.rows([r for r in snapshot.runs if r.id in runs]).where("error is null").select("name")
     known = some.select("name").distinct().join(has, "name", "left_semi")
-    return names.join(known, "name", "left_anti")
+    return names.join(known, "name", "left_anti"), False

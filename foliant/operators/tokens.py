@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,27 @@ def term_array(text: Column, stop_words: Iterable[str] | None = None) -> Column:
     return F.filter(lowered, lambda w: ~w.isin(*listed)) if listed else lowered
 
 
+def counted(words: Column) -> Column:
+    """word, tf of each word of an array, as an array of structs; null of a null. Equal words stand side by side when they are sorted, so
+    they are counted within their row: nothing is shuffled or held in a table."""
+
+    def runs(held: Column, starts: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(starts, k + 1), F.size(held))
+        return F.transform(starts, lambda at, k: F.struct(F.get(held, at).alias("word"), (until(k) - at).cast("long").alias("tf")))
+
+    def of_sorted(held: Column) -> Column:
+        places = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda at: (at == 0) | (F.get(held, at) != F.get(held, at - 1)))
+        return once(starts, lambda s: runs(held, s))
+
+    return F.when(words.isNotNull(), once(F.sort_array(words), of_sorted))
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def terms(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
     """file_id, word; what is indexed. Stop words, a third of all words, leave the array before a row is made of each word."""
     lowered = F.transform(words(F.col("text")), term)
