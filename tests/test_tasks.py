@@ -42,3 +42,17 @@ def test_words_are_counted_in_their_row(spark):
     got = rows.select("id", F.inline(tokens.counted(F.col("terms"))))
     assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 2), (4, "é", 1)]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.usefixtures("small")
+def test_walked_files_are_dealt_by_their_bytes(spark, tmp_path):
+    """Not by the list of their names, which is short however much they hold."""
+    from foliant.plans.engine import Engine
+
+    (tmp_path / "tree").mkdir()
+    for i in range(20):
+        (tmp_path / "tree" / f"{i}.txt").write_text("tree house " * 10)
+    engine = Engine(spark, f"{tmp_path}/index", f"{tmp_path}/tree", stop_words=[])
+    engine.index()
+    assert parts(f"{tmp_path}/index", "files") >= 3
+    assert [(r["word"], r["count"], r["df"]) for r in engine.words().collect()] == [("house", 200, 20), ("tree", 200, 20)]
