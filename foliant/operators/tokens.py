@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from foliant.functions.stopwords import default_list, stop_words_sql, usable
 from foliant.functions.text import term, words
 
+BYTES_A_TASK = 4 << 20  # of a table whose words a task counts
+UNKNOWN = 1 << 60  # bytes of what Spark can't estimate
+
 
 def spread(df: DataFrame, by: str | None = None) -> DataFrame:
     """Tokenizing is costly and a small file is one split: deal the rows of such a scan over all cores. Larger scans and tables that
@@ -25,6 +28,16 @@ def _texts(texts: DataFrame) -> DataFrame:
     return spread(texts.select("file_id", "text"), "file_id")
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """Rows of a scan that spread() would leave alone, dealt by file_id to as many tasks as its bytes need. Other plans stay as they are."""
+    dealt = spread(texts, "file_id")
+    leaves = texts._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if dealt is not texts or size >= UNKNOWN or "Exchange" in (plan := texts._jdf.queryExecution().executedPlan().toString()) or "AdaptiveSparkPlan" in plan:
+        return dealt
+    return texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // BYTES_A_TASK)), "file_id")
+
+
 def raw_words(texts: DataFrame) -> DataFrame:
     """From (file_id, text): file_id, word; every word as it is written."""
     return _texts(texts).select("file_id", F.explode(words(F.col("text"))).alias("word"))
@@ -75,8 +88,9 @@ def terms(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFram
 
 
 def term_frequencies(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
-    """file_id, word, tf. Words are counted within each split; only tables that spread() leaves alone are shuffled, after that."""
-    return terms(texts, stop_words).groupBy("file_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    """file_id, word, tf. A text is dealt by its file_id, so that its words, which take more room, aren't shuffled: neither to count them nor
+    to group them by file_id again."""
+    return terms(_dealt(texts.select("file_id", "text")), stop_words).groupBy("file_id", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def token_counts(texts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:

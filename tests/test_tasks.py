@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.operators import index as module
 from foliant.operators import tokens
 from foliant.operators.index import Index
+from foliant.operators.stats import inverted_frequencies
 
 
 def texts(spark, n):
@@ -56,3 +57,19 @@ def test_walked_files_are_dealt_by_their_bytes(spark, tmp_path):
     engine.index()
     assert parts(f"{tmp_path}/index", "files") >= 3
     assert [(r["word"], r["count"], r["df"]) for r in engine.words().collect()] == [("house", 200, 20), ("tree", 200, 20)]
+
+
+def test_texts_of_a_large_scan_are_shuffled_and_not_their_words(spark, tmp_path):
+    for i in range(9):  # as many splits as cores, at least
+        spark.createDataFrame([(i, "tree house tree"), (i + 100, "tree"), (1, "tree")], "file_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.openCostInBytes", "600")
+    try:
+        frequencies = tokens.term_frequencies(spark.read.parquet(f"{tmp_path}/t"), [])
+        plan = inverted_frequencies(frequencies)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # a plan is written from its end
+        got = {(r["file_id"], r["word"]): r["tf"] for r in frequencies.collect()}
+        assert got[1, "tree"] == 11 and got[105, "tree"] == 1 and len(got) == 9 + 9 + 9
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
