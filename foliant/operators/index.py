@@ -2,7 +2,8 @@
 
 A run is what one change has written, in a folder of its own:
 
-    files     seq, file_id, name, kind, token_count, error, terms     in the order of file_id; terms is what the file gave to the index
+    files     seq, file_id, name, kind, token_count, error, terms, tfs     in the order of file_id; terms are the words that the file gave to the
+                                                                           index, sorted, tfs how often each; without tfs, terms are all words
     postings  seq, since, word, block, count, df, ids, tfs            sorted by word; a row has the files of one block of ids
     deleted   seq, file_id                                            files that are gone from runs of smaller seq
     names     block, bits                                             a Bloom filter of names
@@ -26,6 +27,7 @@ import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from copy import copy
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from functools import cached_property
@@ -35,13 +37,13 @@ from pyspark.sql import functions as F
 
 from . import lookup, members
 from .stats import frequency_bags
-from .tokens import counted, term_array
+from .tokens import counted, counted_apart, term_array
 from .versions import Conflict, IndexInUse, Lease, Leases, Numbered, Store
 
 log = logging.getLogger("foliant")
 __all__ = ["Conflict", "Index", "IndexInUse", "Snapshot"]
 
-FILES = "seq long, file_id long, name string, kind string, token_count long, error string, terms array<string>"
+FILES = "seq long, file_id long, name string, kind string, token_count long, error string, terms array<string>, tfs array<long>"
 POSTINGS = "seq long, since long, word string, block long, count long, df long, ids array<long>, tfs array<long>"
 DELETED = "seq long, file_id long"
 BATCHES = "batch string, level int, n_files long, last_id long, n_postings long, n_tokens long, seconds double, at timestamp"
@@ -49,8 +51,9 @@ BLOCK = 1 << 16  # ids of a row of postings
 FAN = 8  # runs of a level that are merged
 ROW_GROUP = 16 << 20  # bytes; so small that a word's row groups are few
 ROWS_A_FILE = 1_000_000  # of postings, each with up to BLOCK files
-ENTRIES_A_TASK = 400_000  # entries of lists that a task sorts and gathers; its memory grows with them
+ENTRIES_A_TASK = 800_000  # entries of lists that a task sorts and gathers; its memory grows with them
 BYTES_A_TASK = 16 << 20  # of texts that a task tokenizes
+BYTES_A_SPLIT = 4 << 20  # of a run's tables that a task reads to make entries of them; a writer holds what it makes of these
 BYTES_A_FILE = 1 << 16  # of a file whose length the list doesn't say
 TERM = 60.0  # seconds of a lease that isn't renewed
 RETENTION = 7 * 24 * 3600.0  # seconds that runs stay which no version names any more
@@ -89,6 +92,13 @@ class Snapshot:
         self.runs = [Run(**r) for r in manifest["runs"]]
         self.last_id, self.written, self.rewritten = manifest["last_id"], manifest["written"], manifest["rewritten"]
 
+    def within(self, spark: SparkSession) -> Snapshot:
+        """The same, read in another session."""
+        other = copy(self)
+        other.__dict__.pop("deleted", None)
+        other.spark = spark
+        return other
+
     def table(self, name: str, schema: str, runs: list[Run]) -> DataFrame:
         """One table of some runs."""
         if not runs:
@@ -165,7 +175,8 @@ class Snapshot:
         """file_id, word, tf of one file or of some (file_id): forward, from terms, so no postings are read."""
         rows = self.rows().where("error is null")
         rows = rows.where(F.col("file_id") == files) if isinstance(files, int) else rows.join(files.select("file_id"), "file_id", "left_semi")
-        return rows.select("file_id", F.inline(counted(F.col("terms"))))
+        given = F.when(F.col("tfs").isNull(), counted(F.col("terms"))).otherwise(F.arrays_zip(F.col("terms").alias("word"), F.col("tfs").alias("tf")))
+        return rows.select("file_id", given.alias("given")).select("file_id", F.inline("given"))
 
     @property
     def batches(self) -> DataFrame:
@@ -225,6 +236,22 @@ class Index:
     def last_id(self) -> int:
         return self.snapshot().last_id
 
+    @cached_property
+    def writer(self) -> SparkSession:
+        """The session in which runs are read to write runs of them: the caller's, but for two settings that this one mustn't share.
+
+        A scan's task is made of up to 128 MB of files otherwise, and what it makes of them is some sixteen times as much, which the writer of a
+        shuffle holds. Lists of many words are gathered by sorting once; an aggregate in a hash table falls back to sorting, twice.
+        """
+        own = self.spark.newSession()
+        for key, value in self.spark.conf.getAll.items():
+            if own.conf.isModifiable(key):
+                own.conf.set(key, value)
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(BYTES_A_SPLIT))
+        own.conf.set("spark.sql.files.openCostInBytes", str(BYTES_A_SPLIT // 8))
+        own.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
+        return own
+
     # Changes.
 
     @contextmanager
@@ -324,9 +351,10 @@ class Index:
             every, n = copies == 1 and all_new, tasks(n_bytes, BYTES_A_TASK)
             read = F.when(F.col("kind").isNotNull() & (F.col("kind") != "ignore"), F.col("text"))
             rows = texts(ids, named, every, n).select("file_id", "name", "kind", "error", term_array(read, self.stop_words).alias("terms"))
-            rows = rows.select(F.lit(seq).cast("long").alias("seq"), "file_id", "name", "kind", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("token_count"), "error", "terms")
+            rows = rows.select("file_id", "name", "kind", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("token_count"), "error", "terms")
+            rows = counted_apart(rows, "terms").select(F.lit(seq).cast("long").alias("seq"), "file_id", "name", "kind", "token_count", "error", "terms", "tfs")
             seen = Observation()
-            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"), F.sum(F.expr("if(error is null, token_count, 0)")).alias("n_terms"))
+            observed = rows.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.max(F.expr("if(error is null, file_id, null)")).alias("last_id"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"), F.sum(F.expr("if(error is null, greatest(size(terms), 0), 0)")).alias("n_terms"))
             with self._step("load and tokenize") as step:
                 self._write(observed, f"{run}/files")
                 got = seen.get
@@ -355,9 +383,9 @@ class Index:
         df.write.option("parquet.block.size", ROW_GROUP).option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{self.path}/runs/{path}")
 
     def _counted(self, run: str) -> DataFrame:
-        """file_id, word, tf of a run that is being written: counted in each file by itself."""
-        files = self.spark.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null")
-        return files.select("file_id", F.inline(counted(F.col("terms"))))
+        """file_id, word, tf of a run that is being written."""
+        files = self.writer.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null")
+        return files.select("file_id", F.inline(F.arrays_zip(F.col("terms").alias("word"), F.col("tfs").alias("tf"))))
 
     def _write_postings(self, entries: DataFrame, n: int | None, seq: int, path: str) -> dict[str, int]:
         """From (file_id, word, tf), n at most: one shuffle, by ranges of word and block of ids, in which lists are made."""
@@ -382,11 +410,11 @@ class Index:
             began, seq = time.time(), before.version + 1
             ids = gone.select(F.col("file_id").cast("long").alias("file_id")).join(before.files.select("file_id"), "file_id", "left_semi").distinct()
             self._write(ids.select(F.lit(seq).cast("long").alias("seq"), "file_id"), f"{run}/deleted")
-            ids = self.spark.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").select("file_id")
+            ids = self.writer.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").select("file_id")
             n = ids.count()
             if not n:
                 return None
-            less = before.terms_of(ids).groupBy("word").agg((-F.sum("tf")).alias("count"), (-F.count(F.lit(1))).alias("df"))
+            less = before.within(self.writer).terms_of(ids).groupBy("word").agg((-F.sum("tf")).alias("count"), (-F.count(F.lit(1))).alias("df"))
             none = F.array().cast("array<long>")
             rows = less.select(F.lit(seq).cast("long").alias("seq"), F.lit(seq).cast("long").alias("since"), "word", F.lit(None).cast("long").alias("block"), "count", "df", none.alias("ids"), none.alias("tfs"))
             self._write(rows.repartitionByRange("word").sortWithinPartitions("word"), f"{run}/postings")
@@ -422,7 +450,7 @@ class Index:
 
     def _merge(self, before: Snapshot, runs: list[Run], run: str, level: int, seq: int | None = None) -> tuple[list[Run], set[str], int]:
         """Write runs as one. Counts of the dictionary are added up as they are, unless all runs are merged: then those of files that are gone go."""
-        began, seq = time.time(), seq or before.version + 1
+        began, seq, before = time.time(), seq or before.version + 1, before.within(self.writer)
         whole = len(runs) == len(before.runs)
         with_files = [r for r in runs if r.n_rows]
         n_rows = tasks(max(sum(r.n_tokens for r in with_files), sum(r.n_rows for r in with_files)))
@@ -443,10 +471,10 @@ class Index:
             met = before.table("files", FILES, with_files).select(F.col("file_id").alias("_met"), F.col("seq").alias("_of"))
             left = gone.join(met, (gone["file_id"] == met["_met"]) & (met["_of"] < gone["seq"]), "left_anti")  # what it deletes is in other runs
             self._write(left, f"{run}/deleted")
-            n_deleted = self.spark.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").count()
+            n_deleted = self.writer.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").count()
         got = seen.get
-        lookup.write_grams(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/runs/{run}/postings"), f"{self.path}/runs/{run}/grams", ROW_GROUP)
-        names = self.spark.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null").select("name")
+        lookup.write_grams(self.writer.read.schema(POSTINGS).parquet(f"{self.path}/runs/{run}/postings"), f"{self.path}/runs/{run}/grams", ROW_GROUP)
+        names = self.writer.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null").select("name")
         blocks = members.write_filter(names, got["n_files"], f"{self.path}/runs/{run}/names")
         batches = sum(r.batches for r in runs)
         last = max((r.last_id for r in with_files), default=0)

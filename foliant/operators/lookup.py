@@ -48,7 +48,7 @@ def grams_of_glob(glob: str) -> list[str]:
 def write_grams(postings: DataFrame, path: str, row_group: int) -> None:
     """The pieces of a run's words."""
     words = postings.select("word").distinct()
-    pieces = words.select(F.explode(grams_of(F.col("word"))).alias("gram"), "word")
+    pieces = words.select(grams_of(F.col("word")).alias("grams"), "word").select(F.explode("grams").alias("gram"), "word")
     n = words.agg(F.sum(F.char_length("word") + 2)).first()[0] or 0  # pieces, at most
     pieces.repartitionByRange(-(-n // PIECES_A_TASK) or 1, "gram", "word").sortWithinPartitions("gram", "word").write.option("parquet.block.size", row_group).parquet(path)
 

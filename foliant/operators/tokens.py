@@ -68,12 +68,21 @@ def counted(words: Column) -> Column:
         until = lambda k: F.coalesce(F.get(starts, k + 1), F.size(held))
         return F.transform(starts, lambda at, k: F.struct(F.get(held, at).alias("word"), (until(k) - at).cast("long").alias("tf")))
 
-    def of_sorted(held: Column) -> Column:
-        places = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda at: (at == 0) | (F.get(held, at) != F.get(held, at - 1)))
-        return once(starts, lambda s: runs(held, s))
+    return F.when(words.isNotNull(), once(F.sort_array(words), lambda held: once(_starts(held), lambda s: runs(held, s))))
 
-    return F.when(words.isNotNull(), once(F.sort_array(words), of_sorted))
+
+def _starts(held: Column) -> Column:
+    """Of a sorted array, the places at which its values begin."""
+    places = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda at: (at == 0) | (F.get(held, at) != F.get(held, at - 1)))
+
+
+def counted_apart(rows: DataFrame, words: str) -> DataFrame:
+    """rows with terms and tfs in place of the array column words: what counted() gives, as two arrays and without a struct for each word."""
+    others = [c for c in rows.columns if c != words]
+    starts = rows.select(*others, F.sort_array(words).alias("_held")).select(*others, "_held", F.when(F.col("_held").isNotNull(), _starts(F.col("_held"))).alias("_starts"))
+    tfs = F.transform("_starts", lambda at, k: (F.coalesce(F.get("_starts", k + 1), F.size("_held")) - at).cast("long"))
+    return starts.select(*others, F.array_distinct("_held").alias("terms"), tfs.alias("tfs"))
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -59,6 +59,36 @@ def test_walked_files_are_dealt_by_their_bytes(spark, tmp_path):
     assert [(r["word"], r["count"], r["df"]) for r in engine.words().collect()] == [("house", 200, 20), ("tree", 200, 20)]
 
 
+def test_terms_are_stored_counted(spark, tmp_path):
+    """So they aren't counted again by each pass over a run; runs whose terms are all words are read as before."""
+    index = Index(spark, f"{tmp_path}/index", stop_words=[])
+    rows = [(1, "f1", "text", "b a b"), (2, "f2", "text", ""), (3, "f3", "ignore", None)]
+    index.add(spark.createDataFrame(rows, "file_id long, name string, kind string, text string"))
+    got = {r["file_id"]: (r["terms"], r["tfs"], r["token_count"]) for r in index.snapshot().rows().collect()}
+    assert got == {1: (["a", "b"], [1, 2], 3), 2: ([], [], 0), 3: (None, None, 0)}
+    run = index.snapshot().runs[0].id
+    held = index.snapshot().rows().withColumn("terms", F.when(F.col("file_id") == 1, F.array(F.lit("b"), F.lit("a"), F.lit("b")))).drop("tfs").collect()
+    old = f"{tmp_path}/index/runs/{run}/files"
+    spark.createDataFrame(held, "seq long, file_id long, name string, kind string, token_count long, error string, terms array<string>").write.mode("overwrite").parquet(old)
+    assert sorted(tuple(r) for r in index.terms_of(1).collect()) == [(1, "a", 1), (1, "b", 2)]
+    index.delete(spark.createDataFrame([(1,)], "file_id long"))
+    assert index.words.count() == 0 and index.compact().postings.count() == 0
+
+
+@pytest.mark.usefixtures("small")
+def test_a_task_reads_a_bounded_part_of_a_run(spark, tmp_path, monkeypatch):
+    """Splits of a scan grow with the table up to 128 MB, and the writer of a shuffle holds all that is made of one."""
+    monkeypatch.setattr(module, "BYTES_A_TASK", 50)
+    monkeypatch.setattr(module, "BYTES_A_SPLIT", 2000, raising=False)
+    index = Index(spark, f"{tmp_path}/index", stop_words=[])
+    index.add(texts(spark, 60))
+    run = index.snapshot().runs[0].id
+    n = parts(f"{tmp_path}/index", "files")
+    assert n > 12 and index._counted(run)._jdf.rdd().getNumPartitions() >= n
+    assert index._counted(run).count() == index.postings.count() == index.compact().postings.count()
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") in ("134217728b", "134217728", "128MB")
+
+
 def test_texts_of_a_large_scan_are_shuffled_and_not_their_words(spark, tmp_path):
     for i in range(9):  # as many splits as cores, at least
         spark.createDataFrame([(i, "tree house tree"), (i + 100, "tree"), (1, "tree")], "file_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
