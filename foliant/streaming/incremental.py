@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliant.operators import search
-from foliant.operators.index import Index
+from foliant.operators.index import Index, kept
 from foliant.sources import files as file_source
 from foliant.streaming.control import Control, Stopped
 
@@ -28,9 +30,11 @@ def queued(index: Index, root: str, checkpoint: str, per_batch: int) -> DataFram
     The walk is that of a batch, in tasks, so both find the same files; the queue limits what a micro-batch opens. Names that an
     earlier walk queued and no batch has taken yet may be queued twice, and are indexed once.
     """
-    where = f"{checkpoint}/queue"
-    found = search.new_files(file_source.list_files(index.spark, root), index.files)
+    where, walk = f"{checkpoint}/queue", f"staging/{uuid.uuid4().hex}"
+    listed = kept(file_source.list_files(index.spark, root), f"{index.path}/{walk}")  # ranges are found by reading what comes before twice
+    found = search.new_files(listed, index.files)
     found.repartitionByRange("name").sortWithinPartitions("name").write.mode("append").option("maxRecordsPerFile", per_batch).parquet(where)
+    index.store.remove(walk)
     return index.spark.readStream.schema(file_source.LISTED).option("maxFilesPerTrigger", 1).parquet(where)
 
 
