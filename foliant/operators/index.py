@@ -52,6 +52,7 @@ FAN = 8  # runs of a level that are merged
 ROW_GROUP = 16 << 20  # bytes; so small that a word's row groups are few
 ROWS_A_FILE = 1_000_000  # of postings, each with up to BLOCK files
 ENTRIES_A_TASK = 800_000  # entries of lists that a task sorts and gathers; its memory grows with them
+WORDS_A_TASK = 250_000  # rows of the dictionary that a task adds up
 BYTES_A_TASK = 16 << 20  # of texts that a task tokenizes
 BYTES_A_SPLIT = 4 << 20  # of a run's tables that a task reads to make entries of them; a writer holds what it makes of these
 BYTES_A_FILE = 1 << 16  # of a file whose length the list doesn't say
@@ -75,6 +76,7 @@ class Run:
     n_tokens: int = 0
     n_deleted: int = 0
     n_problems: int = 0
+    n_lists: int | None = None  # rows of postings; runs of earlier versions don't say
     filters: int = 0  # blocks of its Bloom filter
     grams: bool = False
     batches: int = 1
@@ -136,6 +138,18 @@ class Snapshot:
         message = F.coalesce("error", F.when(F.col("kind") == "ignore", "maybe binary file"))
         return self.rows().select("name", message.alias("message")).where("message is not null")
 
+    def summed(self, *least: str) -> DataFrame:
+        """word, the least of some columns, count, df of all runs. Rows are dealt by how many there are: shares of a session's partitions grow with them."""
+        runs = [r for r in self.runs if r.n_rows or r.n_deleted]
+        lists = self.table("postings", POSTINGS, runs).select("word", *least, "count", "df")
+        dealt = lists.repartition(tasks(self.n_lists(runs), WORDS_A_TASK), "word")
+        return dealt.groupBy("word").agg(*[F.min(c).alias(c) for c in least], F.sum("count").alias("count"), F.sum("df").alias("df")).where("df > 0")
+
+    def n_lists(self, runs: list[Run]) -> int:
+        """Rows of the dictionary."""
+        unsaid = [r for r in runs if r.n_lists is None]
+        return sum(r.n_lists or 0 for r in runs) + (self.table("postings", POSTINGS, unsaid).count() if unsaid else 0)
+
     def dictionary_rows(self, runs: list[Run] | None = None) -> DataFrame:
         """word, count, df in parts. Nothing of the lists is read."""
         return self.table("postings", POSTINGS, [r for r in (self.runs if runs is None else runs) if r.n_rows or r.n_deleted]).select("word", "count", "df")
@@ -143,7 +157,7 @@ class Snapshot:
     @property
     def dictionary(self) -> DataFrame:
         """word, count, df."""
-        return self.dictionary_rows().groupBy("word").agg(F.sum("count").alias("count"), F.sum("df").alias("df")).where("df > 0")
+        return self.summed()
 
     @property
     def words(self) -> DataFrame:
@@ -153,9 +167,8 @@ class Snapshot:
     def word_ids(self) -> DataFrame:
         """word, word_id, count, df: words numbered from 1 in the order in which they came, those of one change by name. Later changes keep
         the numbers, unless words have gone with deleted files."""
-        lists = self.table("postings", POSTINGS, [r for r in self.runs if r.n_rows or r.n_deleted]).select("since", "word", "count", "df")
-        words = lists.groupBy("word").agg(F.min("since").alias("since"), F.sum("count").alias("count"), F.sum("df").alias("df")).where("df > 0")
-        return numbered(words, ["since", "word"], 0, f"{self.path}/staging/{uuid.uuid4().hex}").select("word", F.col("_id").alias("word_id"), "count", "df")
+        n = tasks(self.n_lists([r for r in self.runs if r.n_rows or r.n_deleted]), WORDS_A_TASK)
+        return numbered(self.summed("since"), ["since", "word"], 0, f"{self.path}/staging/{uuid.uuid4().hex}", n).select("word", F.col("_id").alias("word_id"), "count", "df")
 
     def entries(self, runs: list[Run] | None = None) -> DataFrame:
         """seq, since, word, file_id, tf."""
@@ -195,13 +208,14 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, order: list[str], last_id: int, path: str) -> DataFrame:
-    """rows with _id: their place in a range sort after last_id, from the number of rows in the ranges before."""
-    held = kept(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), path)
+def numbered(rows: DataFrame, order: list[str], last_id: int, path: str, n: int | None = None) -> DataFrame:
+    """rows with _id: their place in a range sort after last_id, from the number of rows in the ranges before. n: ranges, else the session's."""
+    ranged = rows.repartitionByRange(*([n] if n else []), *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of a row in its range, from 0: the bits above are the range's
+    held = kept(ranged.withColumn("part", F.spark_partition_id()).withColumn("rank", place + 1), path)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     before = held.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    ranked = held.withColumn("rank", rank).join(before, "part")
+    ranked = held.join(F.broadcast(before), "part")
     return ranked.select(*rows.columns, (F.col("rank") + F.col("before") + F.lit(last_id)).cast("long").alias("_id"))
 
 
@@ -398,10 +412,10 @@ class Index:
         lists = held.select(F.lit(seq).cast("long").alias("seq"), "since", "word", "block", "count", "df", F.col("held.file_id").alias("ids"), F.col("held.tf").alias("tfs"))
         seen = Observation()
         entries = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
-        lists = lists.observe(seen, F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_postings"), F.coalesce(F.sum(entries), F.lit(0)).alias("n_tokens"))
+        lists = lists.observe(seen, F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_postings"), F.coalesce(F.sum(entries), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_lists"))
         self._write(lists.sortWithinPartitions("word", "block"), path)
         got = seen.get
-        return {"n_postings": int(got["n_postings"]), "n_tokens": int(got["n_tokens"])}
+        return {name: int(got[name]) for name in ("n_postings", "n_tokens", "n_lists")}
 
     def delete(self, gone: DataFrame) -> None:
         """Delete files (file_id). Their names may be indexed again. What their terms added to the dictionary is taken off in a run of its own."""
@@ -417,8 +431,9 @@ class Index:
             less = before.within(self.writer).terms_of(ids).groupBy("word").agg((-F.sum("tf")).alias("count"), (-F.count(F.lit(1))).alias("df"))
             none = F.array().cast("array<long>")
             rows = less.select(F.lit(seq).cast("long").alias("seq"), F.lit(seq).cast("long").alias("since"), "word", F.lit(None).cast("long").alias("block"), "count", "df", none.alias("ids"), none.alias("tfs"))
-            self._write(rows.repartitionByRange("word").sortWithinPartitions("word"), f"{run}/postings")
-            return [Run(run, 0, seq, n_deleted=n, seconds=round(time.time() - began, 3), at=time.time())], set(), 0
+            seen = Observation()
+            self._write(rows.repartitionByRange("word").observe(seen, F.count(F.lit(1)).alias("n_lists")).sortWithinPartitions("word"), f"{run}/postings")
+            return [Run(run, 0, seq, n_deleted=n, n_lists=seen.get["n_lists"], seconds=round(time.time() - began, 3), at=time.time())], set(), 0
 
         self._change(make)
 
@@ -473,7 +488,10 @@ class Index:
             self._write(left, f"{run}/deleted")
             n_deleted = self.writer.read.schema(DELETED).parquet(f"{self.path}/runs/{run}/deleted").count()
         got = seen.get
-        lookup.write_grams(self.writer.read.schema(POSTINGS).parquet(f"{self.path}/runs/{run}/postings"), f"{self.path}/runs/{run}/grams", ROW_GROUP)
+        staging = f"staging/{uuid.uuid4().hex}"
+        words = self.writer.read.schema(POSTINGS).parquet(f"{self.path}/runs/{run}/postings").select("word").repartition(tasks(counts["n_lists"], WORDS_A_TASK), "word").distinct()
+        lookup.write_grams(words, f"{self.path}/runs/{run}/grams", ROW_GROUP, f"{self.path}/{staging}")
+        self.store.remove(staging)
         names = self.writer.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null").select("name")
         blocks = members.write_filter(names, got["n_files"], f"{self.path}/runs/{run}/names")
         batches = sum(r.batches for r in runs)

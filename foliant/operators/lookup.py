@@ -13,7 +13,7 @@ from functools import reduce
 from operator import or_
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.functions.globs import matches
@@ -45,12 +45,15 @@ def grams_of_glob(glob: str) -> list[str]:
     return sorted(out)
 
 
-def write_grams(postings: DataFrame, path: str, row_group: int) -> None:
-    """The pieces of a run's words."""
-    words = postings.select("word").distinct()
-    pieces = words.select(grams_of(F.col("word")).alias("grams"), "word").select(F.explode("grams").alias("gram"), "word")
-    n = words.agg(F.sum(F.char_length("word") + 2)).first()[0] or 0  # pieces, at most
-    pieces.repartitionByRange(-(-n // PIECES_A_TASK) or 1, "gram", "word").sortWithinPartitions("gram", "word").write.option("parquet.block.size", row_group).parquet(path)
+def write_grams(words: DataFrame, path: str, row_group: int, staging: str) -> None:
+    """The pieces of a run's words, which are staged: as many words go to a task as have the pieces that one sorts, for the writer of a shuffle
+    into many ranges holds all that is made of its share."""
+    seen = Observation()
+    words.observe(seen, F.coalesce(F.sum(F.char_length("word") + 2), F.lit(0)).alias("n")).write.parquet(staging)
+    n = -(-seen.get["n"] // PIECES_A_TASK) or 1  # pieces, at most
+    dealt = words.sparkSession.read.schema(words.schema).parquet(staging).repartition(n, "word")
+    pieces = dealt.select(grams_of(F.col("word")).alias("grams"), "word").select(F.explode_outer("grams").alias("gram"), "word")  # none is empty, which a filter would look into
+    pieces.repartitionByRange(n, "gram", "word").sortWithinPartitions("gram", "word").write.option("parquet.block.size", row_group).parquet(path)
 
 
 def any_of(column: Column, values: list[str]) -> Column:

@@ -60,7 +60,7 @@ def shown(snapshot: Snapshot, names: DataFrame) -> DataFrame:
 
 
 def unknown(snapshot: Snapshot, names: DataFrame, staging: str) -> tuple[DataFrame, bool]:
-    """Rows of names whose name the catalogue doesn't have, and whether the filters alone say that these are all."""
+    """Rows of names whose name the catalogue doesn't have, and whether these are all: names that only filters show need no join."""
     if not any(r.filters for r in snapshot.runs):
         return names, True
     names.write.parquet(f"{staging}/asked")
@@ -71,5 +71,8 @@ def unknown(snapshot: Snapshot, names: DataFrame, staging: str) -> tuple[DataFra
     if not runs:
         return names, True
     has = snapshot.rows([r for r in snapshot.runs if r.id in runs]).where("error is null").select("name")
-    known = some.select("name").distinct().join(has, "name", "left_semi")
+    some.select("name").distinct().join(has, "name", "left_semi").write.parquet(f"{staging}/known")
+    known = names.sparkSession.read.schema("name string").parquet(f"{staging}/known")
+    if not known.head(1):
+        return names, True
     return names.join(known, "name", "left_anti"), False

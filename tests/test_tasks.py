@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import index as module
-from foliant.operators import tokens
+from foliant.operators import lookup, members, tokens
 from foliant.operators.index import Index
 from foliant.operators.stats import inverted_frequencies
 
@@ -103,3 +103,36 @@ def test_texts_of_a_large_scan_are_shuffled_and_not_their_words(spark, tmp_path)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.usefixtures("small")
+def test_words_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """The dictionary is added up, and its words numbered and cut into pieces, by tasks of bounded shares, not by a session's partitions."""
+    monkeypatch.setattr(module, "WORDS_A_TASK", 6, raising=False)
+    monkeypatch.setattr(lookup, "PIECES_A_TASK", 50)
+    index = Index(spark, f"{tmp_path}/index", stop_words=[])
+    index.add(texts(spark, 60).withColumn("text", F.translate("text", "01", "ab")))
+    spark.sparkContext.setJobGroup("merge", "merge")
+    index.compact()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    n = parts(f"{tmp_path}/index", "grams")
+    status = spark.sparkContext.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("merge") for s in status.getJobInfo(j).stageIds}
+    ran = [i.numTasks for s in stages if (i := status.getStageInfo(s)) and i.numCompletedTasks]
+    words = index.word_ids().orderBy("word_id").collect()
+    assert len(words) == 62 and [r["word_id"] for r in words] == list(range(1, 63)) and [r["word"] for r in words] == sorted(r["word"] for r in words)
+    assert n >= 8 and sum(x >= n for x in ran) >= 2  # those that make pieces, and those that sort them
+    assert index.dictionary.rdd.getNumPartitions() >= 62 // 6
+
+
+def test_a_name_that_only_filters_show_needs_no_join(spark, tmp_path, monkeypatch):
+    """A few new names are always shown by filters; texts were joined by name for them."""
+    index = Index(spark, f"{tmp_path}/index", stop_words=[])
+    index.add(texts(spark, 3))
+    new = texts(spark, 6).where("file_id > 2").select("name")
+    seen = members.shown
+    monkeypatch.setattr(members, "shown", lambda snapshot, names: seen(snapshot, names).union(names.select(F.lit(snapshot.runs[0].id).alias("run"), "name")))
+    names, every = members.unknown(index.snapshot(), new, f"{tmp_path}/new")
+    assert every and names.count() == 3
+    names, every = members.unknown(index.snapshot(), texts(spark, 6).select("name"), f"{tmp_path}/some")
+    assert not every and sorted(r["name"] for r in names.collect()) == ["f3", "f4", "f5"]
