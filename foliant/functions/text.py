@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_A = r"\p{IsAlphabetic}"
+_A = r"a-zA-Z\p{IsAlphabetic}"  # within brackets; most letters are told by the two ranges, without a look at a table
 _W = r"\p{IsWhite_Space}"
 _DASHES = "-----"
 # Blocks that start a line.
@@ -20,13 +20,18 @@ ENCODED = rf"BEGIN[^\n]*+(?:[\n\r](?!END){_W}*+[^\n]++)*+[\n\r]END[^\n]*+"
 HEADER = r"[A-Za-z0-9*-]*+:[^\n]*+"
 TAG = "<[^>]{1,20}+>"
 # Words come first, as most matches are words; nothing else starts with a letter.
-TOKENS = rf"({_A}++)[^{_A}\n]*+|[\n\r]{_W}*+(?:{SIGNATURE}|{UUENCODED}|{ENCODED}|{HEADER})|{TAG}|[^{_A}\n]++|[\n\r]"
+TOKENS = rf"([{_A}]++)[^{_A}\n]*+|[\n\r]{_W}*+(?:{SIGNATURE}|{UUENCODED}|{ENCODED}|{HEADER})|{TAG}|[^{_A}\n]++|[\n\r]"
 # Every text is covered by matches of TOKENS; group 1 holds the word, if the match is one.
 
 
+def matched(text: Column) -> Column:
+    """All words of a text, in order, as they are written, and an empty string for each match between them."""
+    return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1))
+
+
 def words(text: Column) -> Column:
     """All words of a text, in order, as they are written."""
-    return F.filter(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1)), lambda w: w != "")
+    return F.filter(matched(text), lambda w: w != "")
 
 
 def term(word: Column) -> Column:

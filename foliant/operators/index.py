@@ -48,6 +48,7 @@ POSTINGS = "seq long, since long, word string, block long, count long, df long,
 DELETED = "seq long, file_id long"
 BATCHES = "batch string, level int, n_files long, last_id long, n_postings long, n_tokens long, seconds double, at timestamp"
 BLOCK = 1 << 16  # ids of a row of postings
+TF_BITS = 40  # of a packed entry; a text has fewer words than 2 ** 31
 FAN = 8  # runs of a level that are merged
 ROW_GROUP = 16 << 20  # bytes; so small that a word's row groups are few
 ROWS_A_FILE = 1_000_000  # of postings, each with up to BLOCK files
@@ -208,6 +209,19 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(file_id: Column, tf: Column) -> Column:
+    """An entry of a block's list as one number, in the order of file_id: numbers are gathered and sorted without a row for each."""
+    return file_id.bitwiseAND(F.lit(BLOCK - 1)) * F.lit(1 << TF_BITS) + tf
+
+
+def file_id_of(block: Column, e: Column) -> Column:
+    return block * F.lit(BLOCK) + F.shiftright(e, TF_BITS)
+
+
+def tf_of(e: Column) -> Column:
+    return e.bitwiseAND(F.lit((1 << TF_BITS) - 1))
+
+
 def numbered(rows: DataFrame, order: list[str], last_id: int, path: str, n: int | None = None) -> DataFrame:
     """rows with _id: their place in a range sort after last_id, from the number of rows in the ranges before. n: ranges, else the session's."""
     ranged = rows.repartitionByRange(*([n] if n else []), *order).sortWithinPartitions(*order)
@@ -255,7 +269,8 @@ class Index:
         """The session in which runs are read to write runs of them: the caller's, but for two settings that this one mustn't share.
 
         A scan's task is made of up to 128 MB of files otherwise, and what it makes of them is some sixteen times as much, which the writer of a
-        shuffle holds. Lists of many words are gathered by sorting once; an aggregate in a hash table falls back to sorting, twice.
+        shuffle holds. A task's lists are gathered in a hash table, unless it has more than WORDS_A_TASK of them: 128 is when an aggregate
+        falls back to sorting otherwise, and entries of one word, equal in what they are sorted by, are slow to sort.
         """
         own = self.spark.newSession()
         for key, value in self.spark.conf.getAll.items():
@@ -263,7 +278,7 @@ class Index:
                 own.conf.set(key, value)
         own.conf.set("spark.sql.files.maxPartitionBytes", str(BYTES_A_SPLIT))
         own.conf.set("spark.sql.files.openCostInBytes", str(BYTES_A_SPLIT // 8))
-        own.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
+        own.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(WORDS_A_TASK))
         return own
 
     # Changes.
@@ -399,21 +414,22 @@ class Index:
     def _counted(self, run: str) -> DataFrame:
         """file_id, word, tf of a run that is being written."""
         files = self.writer.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null")
-        return files.select("file_id", F.inline(F.arrays_zip(F.col("terms").alias("word"), F.col("tfs").alias("tf"))))
+        return files.select("file_id", "tfs", F.posexplode("terms").alias("at", "word")).select("file_id", "word", F.get("tfs", F.col("at")).alias("tf"))
 
     def _write_postings(self, entries: DataFrame, n: int | None, seq: int, path: str) -> dict[str, int]:
         """From (file_id, word, tf), n at most: one shuffle, by ranges of word and block of ids, in which lists are made."""
-        ranged = entries.select("word", (F.shiftright("file_id", 16)).alias("block"), "file_id", "tf").repartitionByRange(tasks(n), "word", "block")
-        held = ranged.groupBy("word", "block").agg(F.lit(seq).cast("long").alias("since"), F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("file_id", "tf"))).alias("held"))
-        return self._write_lists(held, seq, path)
+        ranged = entries.select("word", (F.shiftright("file_id", 16)).alias("block"), packed(F.col("file_id"), F.col("tf")).alias("e")).repartitionByRange(tasks(n), "word", "block")
+        held = ranged.groupBy("word", "block").agg(F.sum(tf_of(F.col("e"))).alias("tokens"), F.sort_array(F.collect_list("e")).alias("held"))
+        lists = held.select(F.lit(seq).cast("long").alias("since"), "word", "block", F.col("tokens").alias("count"), F.size("held").cast("long").alias("df"), "tokens", "held")
+        return self._write_lists(lists, seq, path)
 
     def _write_lists(self, held: DataFrame, seq: int, path: str) -> dict[str, int]:
-        """Rows since, word, block, count, df, held (file_id, tf), dealt by ranges of word; what was written is counted meanwhile."""
-        lists = held.select(F.lit(seq).cast("long").alias("seq"), "since", "word", "block", "count", "df", F.col("held.file_id").alias("ids"), F.col("held.tf").alias("tfs"))
+        """Rows since, word, block, count, df, tokens, held (packed, sorted), dealt by ranges of word; what was written is counted meanwhile."""
         seen = Observation()
-        entries = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
-        lists = lists.observe(seen, F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_postings"), F.coalesce(F.sum(entries), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_lists"))
-        self._write(lists.sortWithinPartitions("word", "block"), path)
+        held = held.observe(seen, F.coalesce(F.sum(F.size("held")), F.lit(0)).alias("n_postings"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_lists"))
+        ids, tfs = F.transform("held", lambda e: file_id_of(F.col("block"), e)), F.transform("held", tf_of)
+        lists = held.sortWithinPartitions("word", "block").select(F.lit(seq).cast("long").alias("seq"), "since", "word", "block", "count", "df", ids.alias("ids"), tfs.alias("tfs"))
+        self._write(lists, path)
         got = seen.get
         return {name: int(got[name]) for name in ("n_postings", "n_tokens", "n_lists")}
 
@@ -473,12 +489,12 @@ class Index:
         seen = Observation()  # after the shuffle, as ranges are found by reading what comes before twice
         observed = files.observe(seen, F.count_if(F.expr("error is null")).alias("n_files"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.expr("error is not null or kind = 'ignore'")).alias("n_problems"))
         self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
-        entries = before.entries(with_files).select("since", "word", F.shiftright("file_id", 16).alias("block"), (F.col("tf") if whole else F.lit(0).cast("long")).alias("count"), F.lit(int(whole)).cast("long").alias("df"), F.struct("file_id", "tf").alias("e"))
+        entries = before.entries(with_files).select("since", "word", F.shiftright("file_id", 16).alias("block"), (F.col("tf") if whole else F.lit(0).cast("long")).alias("count"), F.lit(int(whole)).cast("long").alias("df"), packed(F.col("file_id"), F.col("tf")).alias("e"))
         if not whole:
-            counts = before.table("postings", POSTINGS, [r for r in runs if r.n_rows or r.n_deleted]).select("since", "word", "block", "count", "df", F.lit(None).cast("struct<file_id: bigint, tf: bigint>").alias("e"))
+            counts = before.table("postings", POSTINGS, [r for r in runs if r.n_rows or r.n_deleted]).select("since", "word", "block", "count", "df", F.lit(None).cast("long").alias("e"))
             entries = entries.union(counts)
         ranged = entries.repartitionByRange(tasks(sum(r.n_postings for r in with_files)), "word", "block")
-        held = ranged.groupBy("word", "block").agg(F.min("since").alias("since"), F.sum("count").alias("count"), F.sum("df").alias("df"), F.sort_array(F.collect_list("e")).alias("held")).where("count <> 0 or df <> 0 or size(held) > 0")
+        held = ranged.groupBy("word", "block").agg(F.min("since").alias("since"), F.sum("count").alias("count"), F.sum("df").alias("df"), F.sum(tf_of(F.col("e"))).alias("tokens"), F.sort_array(F.collect_list("e")).alias("held")).where("count <> 0 or df <> 0 or size(held) > 0")
         counts = self._write_lists(held, seq, f"{run}/postings")
         n_deleted = 0
         if not whole:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.stopwords import default_list, stop_words_sql, usable
-from foliant.functions.text import term, words
+from foliant.functions.text import matched, term, words
 
 BYTES_A_TASK = 4 << 20  # of a table whose words a task counts
 UNKNOWN = 1 << 60  # bytes of what Spark can't estimate
@@ -54,10 +54,9 @@ def _kept(stop_words: Iterable[str] | None) -> Column:
 
 
 def term_array(text: Column, stop_words: Iterable[str] | None = None) -> Column:
-    """What is indexed of a text, in order; null of a null."""
+    """What is indexed of a text, in order; null of a null. What isn't a word is left out together with stop words, in one pass."""
     listed = default_list() if stop_words is None else usable(stop_words)
-    lowered = F.transform(words(text), term)
-    return F.filter(lowered, lambda w: ~w.isin(*listed)) if listed else lowered
+    return F.filter(F.transform(matched(text), term), lambda w: ~w.isin("", *listed))
 
 
 def counted(words: Column) -> Column:
@@ -79,10 +78,10 @@ def _starts(held: Column) -> Column:
 
 def counted_apart(rows: DataFrame, words: str) -> DataFrame:
     """rows with terms and tfs in place of the array column words: what counted() gives, as two arrays and without a struct for each word."""
-    others = [c for c in rows.columns if c != words]
+    others, held = [c for c in rows.columns if c != words], F.col("_held")
     starts = rows.select(*others, F.sort_array(words).alias("_held")).select(*others, "_held", F.when(F.col("_held").isNotNull(), _starts(F.col("_held"))).alias("_starts"))
     tfs = F.transform("_starts", lambda at, k: (F.coalesce(F.get("_starts", k + 1), F.size("_held")) - at).cast("long"))
-    return starts.select(*others, F.array_distinct("_held").alias("terms"), tfs.alias("tfs"))
+    return starts.select(*others, F.transform("_starts", lambda at: F.get(held, at)).alias("terms"), tfs.alias("tfs"))
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -136,3 +136,32 @@ def test_a_name_that_only_filters_show_needs_no_join(spark, tmp_path, monkeypatc
     assert every and names.count() == 3
     names, every = members.unknown(index.snapshot(), texts(spark, 6).select("name"), f"{tmp_path}/some")
     assert not every and sorted(r["name"] for r in names.collect()) == ["f3", "f4", "f5"]
+
+
+def test_entries_are_gathered_as_numbers(spark, tmp_path, monkeypatch):
+    """A struct for each entry took more time than tokenizing; a number holds a file's place in its block and its tf, whatever the ids."""
+    kinds, write = [], Index._write_lists
+    monkeypatch.setattr(Index, "_write_lists", lambda self, held, *a: kinds.append(dict(held.dtypes)["held"]) or write(self, held, *a))
+    ids = [-(1 << 40), -65537, -65536, -1, 0, 65535, 65536, (1 << 40) + 7]
+    index = Index(spark, f"{tmp_path}/index", stop_words=[], fan=3)
+    for half in (ids[:4], ids[4:]):
+        index.add(spark.createDataFrame([(i, f"f{i}", "text", "b a b " * (1 + i % 3)) for i in half], "file_id long, name string, kind string, text string"))
+    want = {(w, i, n * (1 + i % 3)) for i in ids for w, n in (("a", 1), ("b", 2))}
+    assert {tuple(r) for r in index.postings.collect()} == want
+    index.delete(spark.createDataFrame([(-1,)], "file_id long"))
+    index.compact_if_grown()  # two runs and what was deleted from them
+    assert {tuple(r) for r in index.postings.collect()} == {x for x in want if x[1] != -1}
+    assert all(r["ids"] == sorted(r["ids"]) for r in index.snapshot().table("postings", module.POSTINGS, index.snapshot().runs).collect())
+    assert sum(r.n_tokens for r in index.snapshot().runs) == sum(x[2] for x in want if x[1] != -1)
+    assert len(kinds) == 3 and set(kinds) == {"array<bigint>"}
+    assert int(index.writer.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")) == module.WORDS_A_TASK
+    assert index.writer.conf.get("spark.sql.execution.useObjectHashAggregateExec") != "false"
+
+
+def test_words_are_told_from_stop_words_in_one_pass(spark):
+    df = spark.createDataFrame([("Tree, the house é 1 ÉT\nfrom: x\nİ tree",), ("",), (None,)], "text string")
+    got = df.select(tokens.term_array(F.col("text"), ["the"]).alias("t"), tokens.term_array(F.col("text"), []).alias("every"))
+    assert got.select("t")._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 1
+    rows = got.collect()
+    assert rows[0]["t"] == ["tree", "house", "é", "ét", "i̇", "tree"] and rows[0]["every"] == ["tree", "the", *rows[0]["t"][1:]]
+    assert [tuple(r) for r in rows[1:]] == [([], []), (None, None)]
