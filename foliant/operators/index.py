@@ -188,7 +188,11 @@ class Snapshot:
     def terms_of(self, files: DataFrame | int) -> DataFrame:
         """file_id, word, tf of one file or of some (file_id): forward, from terms, so no postings are read."""
         rows = self.rows().where("error is null")
-        rows = rows.where(F.col("file_id") == files) if isinstance(files, int) else rows.join(files.select("file_id"), "file_id", "left_semi")
+        return self.given(rows.where(F.col("file_id") == files) if isinstance(files, int) else rows.join(files.select("file_id"), "file_id", "left_semi"))
+
+    @staticmethod
+    def given(rows: DataFrame) -> DataFrame:
+        """file_id, word, tf of rows of files."""
         given = F.when(F.col("tfs").isNull(), counted(F.col("terms"))).otherwise(F.arrays_zip(F.col("terms").alias("word"), F.col("tfs").alias("tf")))
         return rows.select("file_id", given.alias("given")).select("file_id", F.inline("given"))
 
@@ -491,6 +495,10 @@ class Index:
         self._write(observed.sortWithinPartitions("file_id"), f"{run}/files")
         entries = before.entries(with_files).select("since", "word", F.shiftright("file_id", 16).alias("block"), (F.col("tf") if whole else F.lit(0).cast("long")).alias("count"), F.lit(int(whole)).cast("long").alias("df"), packed(F.col("file_id"), F.col("tf")).alias("e"))
         if not whole:
+            if any(r.n_deleted for r in before.runs):  # entries of files that are left, from these, so that only files are joined with what is deleted
+                left = Snapshot.given(self.writer.read.schema(FILES).parquet(f"{self.path}/runs/{run}/files").where("error is null"))
+                none = F.lit(0).cast("long")  # the dictionary's rows say since when there is a word
+                entries = left.select(F.lit(None).cast("long").alias("since"), "word", F.shiftright("file_id", 16).alias("block"), none.alias("count"), none.alias("df"), packed(F.col("file_id"), F.col("tf")).alias("e"))
             counts = before.table("postings", POSTINGS, [r for r in runs if r.n_rows or r.n_deleted]).select("since", "word", "block", "count", "df", F.lit(None).cast("long").alias("e"))
             entries = entries.union(counts)
         ranged = entries.repartitionByRange(tasks(sum(r.n_postings for r in with_files)), "word", "block")

@@ -165,3 +165,25 @@ def test_words_are_told_from_stop_words_in_one_pass(spark):
     rows = got.collect()
     assert rows[0]["t"] == ["tree", "house", "é", "ét", "i̇", "tree"] and rows[0]["every"] == ["tree", "the", *rows[0]["t"][1:]]
     assert [tuple(r) for r in rows[1:]] == [([], []), (None, None)]
+
+
+def test_a_partial_merge_joins_files_and_not_entries(spark, tmp_path, monkeypatch):
+    """With what was deleted: there are some hundred entries a file."""
+    plans, write = [], Index._write_lists
+    monkeypatch.setattr(Index, "_write_lists", lambda self, held, *a: plans.append(held._jdf.queryExecution().optimizedPlan().toString()) or write(self, held, *a))
+    index = Index(spark, f"{tmp_path}/index", stop_words=[], fan=2)
+    add = lambda *ids: index.add(spark.createDataFrame([(i, f"f{i}", "text", f"b a b x{chr(97 + i % 26)}") for i in ids], "file_id long, name string, kind string, text string"))
+    add(1, 2)
+    add(3)
+    index.compact_if_grown()
+    add(4, 4464)
+    add(70005)
+    monkeypatch.setattr(index, "fan", 3)
+    index.delete(spark.createDataFrame([(1,), (4,)], "file_id long"))
+    plans.clear()
+    index.compact_if_grown()
+    assert len(plans) == 1 and "Join" not in plans[0] and len(index.snapshot().runs) == 2
+    left = (2, 3, 4464, 70005)
+    assert {tuple(r) for r in index.postings.collect()} == {x for i in left for x in (("a", i, 1), ("b", i, 2), (f"x{chr(97 + i % 26)}", i, 1))}
+    assert {(r["word"], r["count"], r["df"]) for r in index.words.collect()} == {("a", 4, 4), ("b", 8, 4)} | {(f"x{chr(97 + i % 26)}", 1, 1) for i in left}
+    assert [r["word"] for r in index.word_ids().orderBy("word_id").collect()] == ["a", "b", "xc", "xd", "xs", "xn"]
